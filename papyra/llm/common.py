@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,13 +19,14 @@ def fold(doc_id: Column, modulus: int, remainder: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % modulus == remainder, F.lit(False))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> DataFrame:
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> tuple[DataFrame, dict[int, int]]:
     """Texts and labels of the training fold, about per_class rows a class at most.
 
     Rows whose crc32(doc_id) mod 4 is 2 are left out. Where a class has more rows
     than per_class, a hash of the id picks about that many. Repeated labels of one
     id count once (the largest). The sample is bounded by the parameter, so it can
-    be broadcast to the scan of the documents; no text is shuffled.
+    be broadcast to the scan of the documents; no text is shuffled. Also returns the
+    rows of each class before sampling, to put the prior right.
     """
     lab = (
         labels.select(F.col("doc_id"), F.col(label).cast("int").alias("y"))
@@ -35,10 +37,18 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     )
     sizes = {r["y"]: r["n"] for r in lab.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if not sizes:
-        return docs.select("doc_id", "text").limit(0).withColumn("y", F.lit(0))
+        return docs.select("doc_id", "text").limit(0).withColumn("y", F.lit(0)), {}
     pick = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1_000_000))
     keep = F.lit(False)
     for y, n in sizes.items():
         keep = keep | ((F.col("y") == y) & (pick < int(min(1.0, per_class / n) * 1_000_000)))
     one = docs.select("doc_id", "text")
-    return one.join(F.broadcast(lab.where(keep)), "doc_id")
+    return one.join(F.broadcast(lab.where(keep)), "doc_id"), sizes
+
+
+def prior_shift(y: np.ndarray, sizes: dict[int, int]) -> float:
+    """What to add to the log odds learned on a sample with other shares of the classes."""
+    n1, n0 = int((y == 1).sum()), int((y == 0).sum())
+    if not n1 or not n0:
+        return 0.0
+    return float(np.log(sizes.get(1, n1) / sizes.get(0, n0)) - np.log(n1 / n0))

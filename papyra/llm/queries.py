@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from papyra.llm import chat, langid
+from papyra.llm import chat, langid, quality, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_language_id": langid.query,
+        "op2_toxicity": toxicity.query,
         "op3_chat_format": chat.query,
+        "op9_quality": quality.query,
     }
 
 
