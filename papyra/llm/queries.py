@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from papyra.llm import chat, langid, quality, toxicity
+from papyra.llm import chat, langid, quality, simhash, toxicity
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_language_id": langid.query,
         "op2_toxicity": toxicity.query,
         "op3_chat_format": chat.query,
+        "op4_simhash": simhash.query,
         "op9_quality": quality.query,
     }
 
