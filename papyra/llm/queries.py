@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from papyra.llm import chat, langid, quality, simhash, toxicity
+from papyra.llm import chat, html, langid, quality, simhash, toxicity
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_toxicity": toxicity.query,
         "op3_chat_format": chat.query,
         "op4_simhash": simhash.query,
+        "op5_html_text": html.query,
         "op9_quality": quality.query,
     }
 
