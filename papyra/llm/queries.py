@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from papyra.llm import chat, html, langid, minhash, quality, simhash, tokenfile, toxicity
+from papyra.llm import chat, html, langid, minhash, packing, quality, simhash, tokenfile, toxicity
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op4_simhash": simhash.query,
         "op5_html_text": html.query,
         "op6_token_files": tokenfile.query,
+        "op7_packing": packing.query,
         "op8_fingerprints": minhash.query,
         "op9_quality": quality.query,
     }
