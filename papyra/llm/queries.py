@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from papyra.llm import chat, html, langid, minhash, packing, quality, simhash, tokenfile, toxicity
+from papyra.llm import chat, decontaminate, html, langid, minhash, packing, quality, simhash, tokenfile, toxicity
 
 
 def queries() -> dict:
@@ -16,8 +16,9 @@ def queries() -> dict:
         "op7_packing": packing.query,
         "op8_fingerprints": minhash.query,
         "op9_quality": quality.query,
+        "op10_decontaminate": decontaminate.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_decontaminate": decontaminate.ORACLE}
