@@ -154,13 +154,23 @@ def covered(matches: DataFrame) -> DataFrame:
     return spans.withColumn("fresh", fresh).groupBy("did", "th").agg(F.sum("fresh").cast("long").alias("n_hit"))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """One row a document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
+def _matches(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Matches, written as a table, and the items of each window."""
     named, owners = windows(benchmark)
     terms = write_table(named.select(F.explode("words").alias("term")).distinct(), "terms")
     ranked = write_table(by_rarity(named, frequencies(docs, terms)), "ranked")
     postings = index(docs, ranked.select("term").distinct())
-    matches = write_table(phrase_matches(postings, ranked), "matches")
+    return write_table(phrase_matches(postings, ranked), "matches"), owners
+
+
+def matched(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(did, th, start, len, window_id) of all matches in docs (doc_id, text)."""
+    return _matches(docs, benchmark)[0]
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """One row a document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
+    matches, owners = _matches(docs, benchmark)
     listed = matches.select("did", "th", "window_id").distinct().join(owners, "window_id").groupBy("did", "th").agg(
         F.collect_set(F.col("item_id").cast("string")).alias("items")
     )
