@@ -30,6 +30,8 @@ from papyra.session import write_table
 
 WINDOW = 10
 BROADCAST = 500_000
+#: Tables made of test items have a file for so many items: few files, but more as the benchmark grows.
+ITEMS_A_FILE = 5_000
 _SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -58,9 +60,10 @@ def windows(items: DataFrame, size: int = WINDOW) -> tuple[DataFrame, DataFrame]
         .select("item_id", F.slice("w", F.col("s"), F.col("n")).alias("words"))
         .distinct()
     )
-    each = write_table(each, "item-windows")
-    named = write_table(each.select("words").distinct().withColumn("window_id", F.monotonically_increasing_id()), "windows")
-    return named, write_table(each.join(named, "words").select("window_id", "item_id").distinct(), "window-items")
+    n = 1 + items.count() // ITEMS_A_FILE
+    each = write_table(each.coalesce(n), "item-windows")
+    named = write_table(each.select("words").distinct().coalesce(n).withColumn("window_id", F.monotonically_increasing_id()), "windows")
+    return named, write_table(each.join(named, "words").select("window_id", "item_id").distinct().coalesce(n), "window-items")
 
 
 def parts(df: DataFrame, key: str, most: int) -> list[DataFrame]:
@@ -155,12 +158,13 @@ def covered(matches: DataFrame) -> DataFrame:
 
 
 def _matches(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Matches, written as a table, and the items of each window."""
+    """Matches (from the stored postings) and the items of each window."""
     named, owners = windows(benchmark)
-    terms = write_table(named.select(F.explode("words").alias("term")).distinct(), "terms")
-    ranked = write_table(by_rarity(named, frequencies(docs, terms)), "ranked")
+    n = 1 + benchmark.count() // ITEMS_A_FILE
+    terms = write_table(named.select(F.explode("words").alias("term")).distinct().coalesce(n), "terms")
+    ranked = write_table(by_rarity(named, frequencies(docs, terms)).coalesce(n), "ranked")
     postings = index(docs, ranked.select("term").distinct())
-    return write_table(phrase_matches(postings, ranked), "matches"), owners
+    return phrase_matches(postings, ranked), owners
 
 
 def matched(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
