@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 from papyra.session import write_table
 
+#: A round's table has a file for so many edges: few files for few edges.
+EDGES_A_FILE = 250_000
+
 
 def _large(e: DataFrame) -> DataFrame:
     both = e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -34,7 +37,8 @@ def components(edges: DataFrame) -> DataFrame:
     e = write_table(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
     last = None
     while True:
-        e = write_table(_small(_large(e)), "edges")
+        files = 1 + (last[0] if last else e.count()) // EDGES_A_FILE  # rounds don't add edges
+        e = write_table(_small(_large(e)).coalesce(files), "edges")
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == last:
             break

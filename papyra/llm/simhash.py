@@ -37,6 +37,8 @@ WIDTHS = (22, 21, 21)
 STARTS = (0, 22, 43)
 PAIRWISE = 32
 BLOCK = 8192
+#: The table of classes has a file for so many documents at most.
+CLASSES_A_FILE = 50_000
 _LANES = np.uint64(0x0101010101010101)
 
 
@@ -203,7 +205,8 @@ def hot_keys(classes: DataFrame, block: int) -> DataFrame:
 def links(classes: DataFrame, block: int = BLOCK) -> DataFrame:
     """(a, b): representatives of linked classes; enough links to connect what is connected."""
     rows = variants(classes)
-    hot = write_table(hot_keys(classes, block), "hot")
+    # a hot key takes block // 2 classes of one segment value, so there are few
+    hot = write_table(hot_keys(classes, block).coalesce(8), "hot")
     small = hot.limit(100_001).count() <= 100_000
     marked = rows.join(F.broadcast(hot) if small else hot, "key", "left")
     own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
@@ -220,7 +223,8 @@ def links(classes: DataFrame, block: int = BLOCK) -> DataFrame:
 def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """(doc_id, fp, component_id) of every row of docs (doc_id, text)."""
     prints = write_table(docs.select(F.col("doc_id").cast("long").alias("doc_id"), fingerprint(F.col("text")).alias("fp")), "fingerprints")
-    classes = write_table(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
+    files = 1 + prints.count() // CLASSES_A_FILE
+    classes = write_table(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")).coalesce(files), "classes")
     found = components(links(classes.where("rep IS NOT NULL"), block))
     named = classes.join(found, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return prints.join(named, "fp")
