@@ -111,6 +111,7 @@ class Index:
         own = glossary if glossary is not None else G.empty(documents.sparkSession)
         if auto_glossary:
             own = G.merge(own, G.automatic(documents, nodes))
+            own = write_table(own, "glossary")
         return cls(documents, nodes, postings, vocab, stats, facets_of(documents), refs_of(documents), own, n, mean, ranking, weights)
 
     # parameters

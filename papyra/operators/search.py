@@ -63,17 +63,32 @@ def scope(index: Index, filters: Filters | None = None, collection: str | None =
     return found
 
 
-def scored(index: Index, terms: DataFrame, filters: Filters | None = None, collection: str | None = None, doc_id: str | None = None,
-           prefix: bool = True, bonuses: bool = True) -> DataFrame:
-    """(qid, doc_id, node_id, doc_ord, ord, score, matched_terms, match_positions) of every match (Q05-Q13)."""
-    r = index.ranking
+def allowed_postings(index: Index, filters: Filters | None = None, collection: str | None = None, doc_id: str | None = None) -> DataFrame:
+    """Postings of the documents that pass (Q03-Q05)."""
     postings = index.postings
     if doc_id is not None:
         postings = postings.where(F.col("doc_id") == doc_id)
     allowed = scope(index, filters, collection)
-    if allowed is not None:
-        postings = postings.join(allowed, "doc_id", "left_semi")
-    hits = postings.join(term_matches(index, terms, prefix), "term")
+    return postings if allowed is None else postings.join(allowed, "doc_id", "left_semi")
+
+
+def scored(index: Index, terms: DataFrame, filters: Filters | None = None, collection: str | None = None, doc_id: str | None = None,
+           prefix: bool = True, bonuses: bool = True) -> DataFrame:
+    """(qid, doc_id, node_id, doc_ord, ord, score, n_matched) of every match (Q05-Q12).
+
+    Only numbers are grouped: which query terms matched is a set of bits in a few longs.
+    """
+    r = index.ranking
+    most = terms.agg(F.max("idx")).first()[0] or 0  # length of the longest query
+    words = range(most // 60 + 1)
+    matches = term_matches(index, terms, prefix)
+    # several query terms may lead to one indexed term: put together before postings multiply them
+    bits = [f"b{w}" for w in words]
+    if words.stop == 1:
+        bit = lambda w: F.bit_or(F.expr("shiftleft(1L, CAST(idx AS INT))"))
+    else:
+        bit = lambda w: F.bit_or(F.expr(f"CASE WHEN CAST(idx AS INT) DIV 60 = {w} THEN shiftleft(1L, CAST(idx AS INT) % 60) ELSE 0L END"))
+    wanted = matches.groupBy("qid", "term").agg(F.sum("penalty").alias("penalty"), F.first("df").alias("df"), F.first("n_terms").alias("n_terms"), *(bit(w).alias(b) for w, b in zip(words, bits)))
     tf, df, n = F.col("tf"), F.col("df"), F.lit(float(index.n_nodes))
     idf = F.ln((n - df + 0.5) / (df + 0.5) + 1.0)
     norm = tf * (r.k1 + 1) / (tf + r.k1 * (1 - r.b + r.b * F.col("total_tokens") / F.lit(index.avgdl or 1.0)))
@@ -81,22 +96,33 @@ def scored(index: Index, terms: DataFrame, filters: Filters | None = None, colle
         F.lit(1.0), F.when(F.col("has_title"), r.title_weight).otherwise(1.0),
         F.when(F.col("has_desc"), max(1.0, r.description_weight)).otherwise(1.0), F.when(F.col("has_code"), r.code_weight).otherwise(1.0),
     )
-    each = hits.withColumn("s", idf * norm * weight * F.col("penalty"))
-    agg = each.groupBy("qid", "doc_id", "node_id").agg(
-        F.sum("s").alias("score"), F.collect_set(F.struct("idx", "qterm")).alias("m"), F.array_sort(F.flatten(F.collect_list("positions"))).alias("match_positions"),
-        F.first("doc_ord").alias("doc_ord"), F.first("ord").alias("ord"), F.first("n_terms").alias("n_terms"),
-    )
-    m, score = F.size("m"), F.col("score")
+    # the scan reads no positions; what a posting is worth without the query is computed before the join
+    worth = allowed_postings(index, filters, collection, doc_id).select("term", "doc_id", "node_id", "doc_ord", "ord", (norm * weight).alias("v"))
+    each = worth.join(wanted.withColumn("u", idf * F.col("penalty")), "term")
+    agg = each.groupBy("qid", "doc_id", "node_id", "doc_ord", "ord", "n_terms").agg(F.sum(F.col("u") * F.col("v")).alias("score"), *(F.bit_or(b).alias(b) for b in bits))
+    m = sum((F.bit_count(b) for b in bits[1:]), F.bit_count(bits[0]))
+    agg = agg.withColumn("n_matched", m)
+    score = F.col("score")
     if bonuses:
-        score = score + F.when(m > 1, (m - 1) * r.term_proximity_bonus).otherwise(0.0)
-        score = score + F.when((m == F.col("n_terms")) & (F.col("n_terms") > 1), r.full_coverage_bonus).otherwise(0.0)
+        score = score + F.when(F.col("n_matched") > 1, (F.col("n_matched") - 1) * r.term_proximity_bonus).otherwise(0.0)
+        score = score + F.when((F.col("n_matched") == F.col("n_terms")) & (F.col("n_terms") > 1), r.full_coverage_bonus).otherwise(0.0)
     agg = agg.withColumn("score", score)
     if index.weights:
         w = index.spark.createDataFrame([(k, float(v)) for k, v in index.weights.items()], "collection string, weight double")
         of = index.documents.select("doc_id", "collection").join(F.broadcast(w), "collection").select("doc_id", "weight")
         agg = agg.join(of, "doc_id", "left").withColumn("score", F.col("score") * F.coalesce("weight", F.lit(1.0)))
-    terms_found = F.transform(F.array_sort("m"), lambda x: x["qterm"])
-    return agg.select("qid", "doc_id", "node_id", "doc_ord", "ord", "score", terms_found.alias("matched_terms"), "match_positions")
+    return agg.select("qid", "doc_id", "node_id", "doc_ord", "ord", "score", "n_matched")
+
+
+def details(index: Index, terms: DataFrame, best: DataFrame, prefix: bool = True) -> DataFrame:
+    """matched_terms and sorted match_positions of the best rows alone (Q09, Q13)."""
+    few = index.postings.join(best.select("doc_id", "node_id").distinct(), ["doc_id", "node_id"], "left_semi").select("term", "doc_id", "node_id", "positions")
+    hits = few.join(term_matches(index, terms, prefix), "term").join(best.select("qid", "doc_id", "node_id"), ["qid", "doc_id", "node_id"], "left_semi")
+    found = hits.groupBy("qid", "doc_id", "node_id").agg(
+        F.transform(F.array_sort(F.collect_set(F.struct("idx", "qterm"))), lambda x: x["qterm"]).alias("matched_terms"),
+        F.array_sort(F.flatten(F.collect_list("positions"))).alias("match_positions"),
+    )
+    return best.join(found, ["qid", "doc_id", "node_id"])
 
 
 def top(matches: DataFrame, limit: int) -> DataFrame:
@@ -116,8 +142,9 @@ def enrich(index: Index, best: DataFrame) -> DataFrame:
 def search_batch(index: Index, queries: DataFrame, limit: int = 20, filters: Filters | None = None, collection: str | None = None,
                  doc_id: str | None = None, prefix: bool = True, expand: bool = True, snippets: bool = True) -> DataFrame:
     """Search many queries (qid, query) at once; one row a result, with its rank."""
-    best = top(scored(index, query_terms(index, queries, expand), filters, collection, doc_id, prefix), limit)
-    return enrich(index, best) if snippets else best
+    terms = query_terms(index, queries, expand).persist()  # as small as the queries; read for the longest, for scores and for details
+    best = top(scored(index, terms, filters, collection, doc_id, prefix), limit)
+    return enrich(index, details(index, terms, best, prefix)) if snippets else best
 
 
 def search(index: Index, query: str, limit: int = 15, filters: Filters | None = None, collection: str | None = None, doc_id: str | None = None) -> DataFrame:
@@ -137,9 +164,10 @@ def find_symbol(index: Index, query: str, kind: str | None = None, language: str
     limit = min(max(limit, 1), 50)
     if not (strict_kind and kind):
         return search(index, query, limit, filters)
-    every = scored(index, query_terms(index, query_frame(index.spark, query)), filters)
+    terms = query_terms(index, query_frame(index.spark, query))
     own = index.nodes.where(F.col("kind") == kind).select("doc_id", "node_id")
-    return enrich(index, top(every.join(own, ["doc_id", "node_id"], "left_semi"), limit)).orderBy("rank")
+    best = top(scored(index, terms, filters).join(own, ["doc_id", "node_id"], "left_semi"), limit)
+    return enrich(index, details(index, terms, best)).orderBy("rank")
 
 
 MAX_QUERY_TOKENS = 200
@@ -154,12 +182,12 @@ def similar_batch(index: Index, inputs: DataFrame, limit: int = 5, threshold: fl
     toks = F.slice(F.array_distinct(T.raw_tokens(body, 3)), 1, MAX_QUERY_TOKENS)
     q = inputs.select("qid", toks.alias("toks")).withColumn("n", F.size("toks"))
     found = search_batch(index, q.select("qid", F.array_join("toks", " ").alias("query")), max(3 * limit, 15), collection=collection, snippets=False)
-    rows = found.join(q.select("qid", "n"), "qid").withColumn("overlap", F.least(F.lit(1.0), F.size("matched_terms") / F.col("n")))
+    rows = found.join(q.select("qid", "n"), "qid").withColumn("overlap", F.least(F.lit(1.0), F.col("n_matched") / F.col("n")))
     rows = rows.withColumn("suggest_merge", F.max("overlap").over(Window.partitionBy("qid")) >= duplicate_threshold)
     w = Window.partitionBy("qid").orderBy("rank")
     kept = rows.where(F.col("score") >= threshold).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
     titles = index.nodes.select("doc_id", "node_id", F.col("title"))
-    return kept.join(titles, ["doc_id", "node_id"]).select("qid", "rank", "doc_id", "node_id", "title", "score", "overlap", "matched_terms", "suggest_merge", "doc_ord", "ord")
+    return kept.join(titles, ["doc_id", "node_id"]).select("qid", "rank", "doc_id", "node_id", "title", "score", "overlap", "n_matched", "suggest_merge", "doc_ord", "ord")
 
 
 def find_similar(index: Index, content: str, limit: int = 5, threshold: float = 0.1, duplicate_threshold: float = 0.35, collection: str | None = None) -> DataFrame:

@@ -93,7 +93,9 @@ def code_tokens(spark, d):
 def _run(spark, index, rows, **how) -> DataFrame:
     prefix, bonuses, limit = how.pop("prefix", True), how.pop("bonuses", True), how.pop("limit", 20)
     q = search.query_terms(index, search.query_frame(spark, rows), how.pop("expand", False))
-    return search.top(search.scored(index, q, prefix=prefix, bonuses=bonuses, **how), limit)
+    more = how.pop("more", False)
+    best = search.top(search.scored(index, q, prefix=prefix, bonuses=bonuses, **how), limit)
+    return search.details(index, q, best, prefix) if more else best
 
 
 @query("bm25_exact", f"WITH {S.search('docs', S.values(THREE), prefix=False, bonus=False)} {_BEST}")
@@ -165,7 +167,7 @@ def bm25_code_weight(spark, d):
 
 @query("matched_terms", f"WITH {S.search('conv', S.values(THREE))} SELECT qid, node_id, array_to_string(matched, ' ') AS matched, array_to_string(pos, ',') AS positions FROM r")
 def matched_terms(spark, d):
-    return _run(spark, C.conv_index(spark, d), THREE).select("qid", "node_id", F.array_join("matched_terms", " ").alias("matched"), F.array_join("match_positions", ",").alias("positions"))
+    return _run(spark, C.conv_index(spark, d), THREE, more=True).select("qid", "node_id", F.array_join("matched_terms", " ").alias("matched"), F.array_join("match_positions", ",").alias("positions"))
 
 
 @query(
@@ -181,7 +183,7 @@ FROM w4 WHERE len(v) > 0""",
 )
 def snippet_density(spark, d):
     i = C.docs_index(spark, d)
-    found = search.enrich(i, _run(spark, i, THREE, prefix=False)).join(i.nodes.select("node_id", "content"), "node_id")
+    found = search.enrich(i, _run(spark, i, THREE, prefix=False, more=True)).join(i.nodes.select("node_id", "content"), "node_id")
     some = F.size(F.filter("match_positions", lambda p: p < F.size(F.split("content", r"\s+")))) > 0
     return found.where(some).select("qid", "doc_id", "snippet")
 
