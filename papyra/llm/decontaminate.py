@@ -48,7 +48,7 @@ def raw_words(text: Column) -> Column:
 
 def count_words(text: Column) -> Column:
     w = raw_words(text)
-    return F.size(w) - F.when(F.element_at(w, 1) == "", 1).otherwise(0) - F.when((F.size(w) > 1) & (F.element_at(w, -1) == ""), 1).otherwise(0)
+    return F.size(w) - F.when(F.get(w, F.lit(0)) == "", 1).otherwise(0) - F.when((F.size(w) > 1) & (F.get(w, F.size(w) - 1) == ""), 1).otherwise(0)
 
 
 def windows(items: DataFrame, size: int = WINDOW) -> tuple[DataFrame, DataFrame]:
