@@ -28,15 +28,13 @@ def with_children(nodes: DataFrame) -> DataFrame:
     return nodes.join(children(nodes), ["doc_id", "node_id"], "left").withColumn("children", F.coalesce("children", F.array().cast("array<string>")))
 
 
-MAX_DEPTH = 6
-
-
-def ancestors(nodes: DataFrame, most: int = MAX_DEPTH) -> DataFrame:
+def ancestors(nodes: DataFrame) -> DataFrame:
     """(doc_id, node_id, ancestor, depth) pairs, a node its own ancestor at depth 0.
 
-    One chain of equality joins, a join a level; levels go from 0 to 6, so no node has
-    more than six ancestors.
+    One chain of equality joins; a parent's level is smaller than its child's, so the
+    span of levels (six at most) says how many joins reach every root.
     """
+    most = nodes.agg(F.max("level") - F.min("level")).first()[0] or 0
     base = nodes.select("doc_id", "node_id", "parent_id")
     up = base.select(F.col("doc_id").alias("__d"), F.col("node_id").alias("__n"), F.col("parent_id").alias("__p"))
     rows = base.select("doc_id", "node_id", F.array("node_id").alias("chain"), F.col("parent_id").alias("__up"))

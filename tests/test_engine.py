@@ -149,9 +149,9 @@ def test_similar_draft_and_write(spark, index, tmp_path):
         with pytest.raises(curate.CuratorError) as e:
             write(path, meta, content)
         assert e.value.code == code
-    report, same = write("new/x.md", {"title": "X", "tags": ["a", "b"]}, "# X\nunheardof word\n\n", dry_run=True)
-    assert same is index and report["content"] == "---\ntitle: X\ntags: [a, b]\n---\n\n# X\nunheardof word\n" and not (tmp_path / "new").exists()
-    report, after = write("new/x.md", {"title": "X", "tags": ["a", "b"]}, "# X\nunheardof word\n")
+    report, same = write("new/x.md", {"title": "X", "tags": ["a", "b"]}, "# X\nunheardof qwertz zuiop\n\n", dry_run=True)
+    assert same is index and report["content"] == "---\ntitle: X\ntags: [a, b]\n---\n\n# X\nunheardof qwertz zuiop\n" and not (tmp_path / "new").exists()
+    report, after = write("new/x.md", {"title": "X", "tags": ["a", "b"]}, "# X\nunheardof qwertz zuiop\n")
     assert report["doc_id"] == "docs:new:x" and (tmp_path / "new/x.md").exists()
     assert ids(search.search(after, "unheardof"), "doc_id") == ["docs:new:x"]
     with pytest.raises(curate.CuratorError) as e:
