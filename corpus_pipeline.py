@@ -22,6 +22,8 @@ from papyra.llm.common import table
 from papyra.session import attach, write_table
 
 MIN_LANGUAGE = 0.3
+#: Ids (16 bytes each) that may be broadcast to the scan of the documents.
+BROADCAST = 2_000_000
 
 
 def by_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,26 +39,32 @@ def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scored.where((F.col("__lang_id.lang") != "und") & (F.col("__lang_id.score") >= MIN_LANGUAGE)).drop("__lang_id")
 
 
+def _beside(ids: DataFrame) -> DataFrame:
+    """A side to join documents with: broadcast if it has BROADCAST rows at most, else both sides are dealt by key."""
+    return F.broadcast(ids) if ids.limit(BROADCAST + 1).count() <= BROADCAST else ids.hint("shuffle_hash")
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each SimHash component (4)."""
     attach(spark)
     found = simhash.near_duplicates(docs.select("doc_id", "text"))
     kept = write_table(found.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count("*").alias("n")), "kept")
-    ids = kept.select(F.col("doc_id").alias("__id"))
     own = docs["doc_id"]
+    alone = docs.where(own.isNull())
+    named = lambda which: _beside(kept.where(which).select(F.col("doc_id").alias("__id")))
     if kept.where("n > 1").limit(1).count():
-        once = docs.join(kept.where("n = 1").select(F.col("doc_id").alias("__id")), own == F.col("__id"), "left_semi")
-        many = docs.join(kept.where("n > 1").select(F.col("doc_id").alias("__id")), own == F.col("__id"), "left_semi")
-        return once.unionByName(many.dropDuplicates(["doc_id"])).unionByName(docs.where(own.isNull()))
-    return docs.join(ids, own == F.col("__id"), "left_semi").unionByName(docs.where(own.isNull()))
+        once = docs.join(named("n = 1"), own == F.col("__id"), "left_semi")
+        many = docs.join(named("n > 1"), own == F.col("__id"), "left_semi")
+        return once.unionByName(many.dropDuplicates(["doc_id"])).unionByName(alone)
+    return docs.join(named("true"), own == F.col("__id"), "left_semi").unionByName(alone)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents with a benchmark window (10); joined by id and a hash of the text."""
     matches = decontaminate.matched(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
-    hit = matches.select(F.col("did").alias("__did"), F.col("th").alias("__th")).distinct()
+    hit = write_table(matches.select(F.col("did").alias("__did"), F.col("th").alias("__th")).distinct(), "hit")
     key = (F.coalesce(docs["doc_id"].cast("long"), F.lit(-1)) == F.col("__did")) & (F.xxhash64(docs["text"]) == F.col("__th"))
-    return docs.join(hit, key, "left_anti")
+    return docs.join(_beside(hit), key, "left_anti")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
