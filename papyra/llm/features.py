@@ -16,7 +16,7 @@ FOLD = fold_map()
 RAW = fold_map(keep_case=True, separators=SPACES)
 PREFIX = 6
 #: Rows go in groups of about this many bytes, so that memory stays bounded.
-GROUP = 4 << 20
+GROUP = 2 << 20
 
 
 def _classes() -> np.ndarray:

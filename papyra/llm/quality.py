@@ -80,19 +80,20 @@ class NBSVM:
         self.keep = np.zeros(features.BUCKETS, bool)
         if self.constant is not None:
             return
-        flat = np.concatenate(lists).astype(np.int64)
+        flat = np.concatenate(lists)
         label = np.repeat(y, [len(x) for x in lists])
         p = np.bincount(flat[label == 1], minlength=features.BUCKETS).astype(np.float64)
         q = np.bincount(flat[label == 0], minlength=features.BUCKETS).astype(np.float64)
         self.keep = p + q >= least
+        del flat, label
         ratio = np.where(self.keep, np.log((p + 1) / (p + 1).sum()) - np.log((q + 1) / (q + 1).sum()), 0.0)
         rows, values = [], []
         for x in lists:
             k = x[self.keep[x]]
             v = ratio[k]
             size = np.sqrt(v @ v)
-            rows.append(np.append(k, features.BUCKETS).astype(np.int64))
-            values.append(np.append(v / size if size else v, 1.0))
+            rows.append(np.append(k, features.BUCKETS).astype(np.int32))
+            values.append(np.append(v / size if size else v, 1.0).astype(np.float32))
         sign = np.where(y > 0, 1, -1)
         part = np.random.default_rng(11).permutation(n) % 5 == 0
         if not 0 < y[part].sum() < part.sum() or not 0 < y[~part].sum() < (~part).sum():

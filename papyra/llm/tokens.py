@@ -19,9 +19,9 @@ import pyarrow as pa  # noqa: E402
 from papyra.llm.bytetools import buffers  # noqa: E402
 
 #: Pieces a worker remembers; the rest is encoded again when met, so memory stays bounded.
-CACHE = 600_000
+CACHE = 400_000
 #: Texts go in groups of about this many bytes.
-GROUP = 16 << 20
+GROUP = 8 << 20
 
 _BYTE = np.arange(256)
 _SPACE = np.isin(_BYTE, [9, 10, 11, 12, 13, 32])
