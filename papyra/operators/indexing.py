@@ -18,7 +18,9 @@ def node_tokens(nodes: DataFrame, documents: DataFrame) -> DataFrame:
     """One row a node: tokens of title and body, their stems, stems of the description (first node), code tokens."""
     desc = documents.select("doc_id", T.stems(T.raw_tokens(F.col("description"))).alias("desc_stems"))
     both = F.concat(T.raw_tokens(F.col("title")), T.raw_tokens(F.col("content")))
-    rows = nodes.select(
+    # a fixed number of partitions: by the size of the texts alone they would be put together, but tokens are many times larger
+    n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = nodes.repartition(n, "doc_id", "node_id").select(
         "doc_id", "doc_ord", "node_id", "ord", F.size(T.raw_tokens(F.col("title"))).alias("title_len"), both.alias("tokens"), T.code_tokens(F.col("content")).alias("code"),
     )
     return (
@@ -32,9 +34,9 @@ def postings_of(tokens: DataFrame) -> DataFrame:
     """(term, doc, node, positions, tf, total_tokens) with flags for the weight classes.
 
     An occurrence counts for the first class that holds: title, description, code. Rows
-    are dealt by node before tokens are spread, so grouping needs no further shuffle.
+    were dealt by node before tokens are spread, so grouping needs no further shuffle.
     """
-    spread = tokens.repartition("doc_id", "node_id").select(
+    spread = tokens.select(
         "doc_id", "doc_ord", "node_id", "ord", F.size("tokens").alias("total_tokens"), "title_len", "desc_stems", "code",
         F.posexplode(F.arrays_zip("stems", "tokens")).alias("pos", "t"),
     )
