@@ -6,9 +6,12 @@ good, bad, or ambiguous (short, or nearly good). In pass two ambiguous blocks in
 the label of the nearest decided neighbours; where these differ, a nearly good block
 is kept and a short one goes with the nearer.
 
-Inside an article or main element every block that isn't mostly links or part of an
-excluded element is text of the article; outside of it, where a page has one, nothing
-is. Pages without such an element are decided by the block rules alone.
+Both passes run on every page; an article or main element is one more signal. A block in
+one that pass one rejects is ambiguous instead, unless more than half of it is links or an
+excluded element holds it. Ambiguous blocks ask the decided blocks on their own side of the
+element's border first, and those beyond it where there are none; excluded elements have no
+say over blocks inside the article. Where no block of the page is good, those of the article
+that aren't rejected are kept.
 
 Defined cases: null and empty pages, and pages without text, give an empty string; unclosed and
 crossing elements are closed by the elements around them; a text without any tag is
@@ -217,6 +220,13 @@ def blocks(page: str) -> list[Block]:
 
 
 def _judge(b: Block) -> str:
+    label, size = _rule(b), len(b.text)
+    if label == "bad" and b.main and b.text[0] != "©" and b.linked <= LINKS * size:
+        return "short" if size < SHORT else "near"
+    return label
+
+
+def _rule(b: Block) -> str:
     size = len(b.text)
     density = b.linked / size
     if b.text[0] == "©" or density > LINKS_OUTSIDE:
@@ -230,32 +240,37 @@ def _judge(b: Block) -> str:
     return "near" if stop >= STOP_LOW else "bad"
 
 
-def _neighbour(labels: list[str], i: int, step: int) -> tuple[str | None, int]:
-    j = i + step
-    while 0 <= j < len(labels):
-        if labels[j] in ("good", "bad"):
-            return labels[j], abs(j - i)
-        j += step
-    return None, len(labels) + 1
+def _nearest(decided: list[str | None]) -> list[tuple[tuple[str | None, int], tuple[str | None, int]]]:
+    """For each place the label and distance of the nearest decided place before it and after it."""
+    none = (None, len(decided) + 1)
+    before, after = [none] * len(decided), [none] * len(decided)
+    for out, places in ((before, range(len(decided))), (after, range(len(decided) - 1, -1, -1))):
+        last = None
+        for i in places:
+            if last is not None:
+                out[i] = (decided[last], abs(i - last))
+            if decided[i]:
+                last = i
+    return list(zip(before, after))
 
 
 def main_text(page: str | None) -> str:
     if not page:
         return ""
     found = blocks(page)
-    has_main = any(b.main and not b.excluded() for b in found)
-    labels = []
-    for b in found:
-        if b.excluded():
-            labels.append("bad")
-        elif has_main:
-            labels.append("good" if b.main and b.linked <= LINKS * len(b.text) else "bad")
-        else:
-            labels.append(_judge(b))
+    out = [b.excluded() for b in found]
+    labels = ["bad" if x else _judge(b) for b, x in zip(found, out)]
+    decided = [x if x in ("good", "bad") else None for x in labels]
+    inside = _nearest([x if b.main and not o else None for x, b, o in zip(decided, found, out)])
+    outside = _nearest([None if b.main else x for x, b in zip(decided, found)])
+    shown = _nearest([None if o else x for x, o in zip(decided, out)])
     final = list(labels)
     for i, x in enumerate(labels):
         if x in ("short", "near"):
-            (before, d1), (after, d2) = _neighbour(labels, i, -1), _neighbour(labels, i, 1)
+            near = inside[i] if found[i].main else outside[i]
+            if not any(s for s, _ in near):
+                near = shown[i]
+            (before, d1), (after, d2) = near
             sides = {s for s in (before, after) if s}
             if not sides:
                 final[i] = "good"
@@ -267,7 +282,7 @@ def main_text(page: str | None) -> str:
                 final[i] = before if d1 < d2 else after if d2 < d1 else "bad"
             if x == "short" and found[i].heading and after == "good":
                 final[i] = "good"
-            if x == "near" and "good" not in labels:
+            if (x == "near" or found[i].main) and "good" not in labels:
                 final[i] = "good"  # nothing better on the page
     return "\n".join(b.text for b, x in zip(found, final) if x == "good")
 

@@ -61,3 +61,18 @@ def test_odd_pages(spark):
     df = spark.createDataFrame([(1, "u", None), (2, None, "<article>x &lt; y</article>"), (2, None, "<article>x &lt; y</article>")], "page_id long, url string, html string")
     rows = df.select("page_id", html.extract("html").alias("t")).collect()
     assert sorted((r[0], r[1]) for r in rows) == [(1, ""), (2, "x < y"), (2, "x < y")]
+
+
+def test_an_article_is_one_signal_among_the_block_rules():
+    good = "It is the case that we were in the house and he had been there for a very long time with all of them. " * 3
+    text = good.strip()
+    # the body is in divs, the article is a short box beside links
+    page = f"<body><article><p>New offer</p></article><div><a href=1>All offers here</a></div><div>{good}</div></body>"
+    assert html.main_text(page) == text
+    # rejected text of an article goes with its neighbours in it, not with those beyond its border
+    rare = "Zork blap quux frob wibble " * 5
+    links = "<a href=1>one link</a> and <a href=2>two links</a> "
+    page = f"<body><div>{links}</div><article><p>{good}</p><p>{rare}</p></article><div>{rare}</div><div>{links}</div></body>"
+    assert html.main_text(page).split("\n") == [text, rare.strip()]
+    # links decide in an article too, together with what stands around
+    assert html.main_text(f"<article><p>{links}</p><p>x <a href=1>yz</a> zz</p><p>{links}</p></article><div>{good}</div>") == text
