@@ -130,6 +130,16 @@ def bm25_batch(spark, d):
     return _best(search.search_batch(C.docs_index(spark, d), _batch_queries(spark, d), 10, expand=False, snippets=False))
 
 
+_WHOLE = "SELECT CAST(item_id AS VARCHAR) AS qid, text AS query FROM benchmark"
+
+
+@query("bm25_batch_whole", f"WITH {S.search('docs', _WHOLE, limit=10)} {_BEST}")
+def bm25_batch_whole(spark, d):
+    """Every token of each benchmark text is searched; bm25_batch and its SQL take the first five."""
+    q = C.read(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("qid"), F.col("text").alias("query"))
+    return _best(search.search_batch(C.docs_index(spark, d), q, 10, expand=False, snippets=False))
+
+
 @query("bm25_filtered", f"""WITH {S.search('docs', S.values(THREE), where="doc_id IN (SELECT 'docs:' || doc_id FROM documents WHERE lang IN ('fr', 'de') AND source IN ('src0', 'src1', 'src2', 'src3'))")} {_BEST}""")
 def bm25_filtered(spark, d):
     return _best(_run(spark, C.docs_index(spark, d), THREE, filters={"lang": ["fr", "de"], "source": ["src0", "src1", "src2", "src3"]}))

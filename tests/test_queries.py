@@ -38,3 +38,9 @@ def test_matches_sql(spark, con, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(queries.QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_entry_searches_whole_texts(spark, con):
+    got = flat(entry.entry(spark).toPandas())
+    pd.testing.assert_frame_equal(got, flat(con.sql(queries.SQL["bm25_batch_whole"]).df()))
+    assert not got.equals(flat(con.sql(queries.SQL["bm25_batch"]).df()))
