@@ -6,6 +6,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.fs
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -57,6 +58,26 @@ def test_files_hold_all_documents_in_order(spark, monkeypatch):
     assert none.count() == 0 and tokenfile.read_tokens(none).count() == 0
 
 
+def test_ranks_are_those_of_all_documents(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        manifest = tokenfile.write_tokens(frame(spark), scratch_path(spark, "t"), WORD)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    plain, counts, tables = Tokenizer.from_file(WORD), {}, []
+    for _, t, *_ in documents():
+        for i in plain.encode(t or "", add_special_tokens=False).ids + [1]:
+            counts[i] = counts.get(i, 0) + 1
+    want = sorted(counts, key=lambda i: (-counts[i], i))
+    for r in manifest.collect():
+        with pa.fs.FileSystem.from_uri(r["path"])[0].open_input_stream(r["path"].removeprefix("file://")) as f:
+            while head := f.read(tokenfile.HEADER.size):
+                _, docs, _, ranks, nc, nd = tokenfile.HEADER.unpack(head)
+                tables.append(np.frombuffer(f.read(4 * ranks), "<u4").tolist())
+                f.read(17 * docs + nc + nd)
+    assert len(tables) > 3 and all(t == want[: len(t)] for t in tables) and max(map(len, tables)) == len(want)
+
+
 def check_sequences(rows, capacity):
     by = {}
     for r in rows:
