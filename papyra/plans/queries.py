@@ -87,6 +87,12 @@ def code_tokens(spark, d):
     return n.select("node_id", F.size(T.code_tokens(F.col("content"))).cast("long").alias("n_code"))
 
 
+@query("code_tokens_all")
+def code_tokens_all(spark, d):
+    """Every node, also those with blank lines or without code; code_tokens and its SQL leave these out."""
+    return C.conv_index(spark, d).nodes.select("node_id", F.size(T.code_tokens(F.col("content"))).cast("long").alias("n_code"))
+
+
 # -- search ------------------------------------------------------------------
 
 
@@ -198,6 +204,13 @@ def snippet_density(spark, d):
     return found.where(some).select("qid", "doc_id", "snippet")
 
 
+@query("snippet_all")
+def snippet_all(spark, d):
+    """Every top row, also those whose snippet is the head of the text; snippet_density and its SQL leave these out."""
+    i = C.docs_index(spark, d)
+    return search.enrich(i, _run(spark, i, THREE, prefix=False, more=True)).select("qid", "doc_id", "snippet")
+
+
 GLOSSARY = {"tion": ["ention heon"], "von": ["über"], "xq": ["thereds ereth", "lich"]}
 _GL = "(VALUES ('tion', 'ention heon', 0), ('von', 'über', 1000), ('xq', 'thereds ereth', 2000), ('xq', 'lich', 2001), ('ention heon', 'tion', 1000000000), ('über', 'von', 1000001000), ('thereds ereth', 'xq', 1000002000), ('lich', 'xq', 1000002001)) gl(key, expansion, pos)"
 _EXPANDED = rf"UNION ALL SELECT qid, o, s FROM (SELECT qid, i * 1000000 + row_number() OVER (PARTITION BY qid, i ORDER BY pos) AS o, unnest({S.tok('expansion')}) AS t FROM (SELECT qid, i, s FROM qt JOIN st USING (t)) z JOIN {_GL} ON z.s = gl.key) y JOIN st USING (t) WHERE length(s) >= 2"
