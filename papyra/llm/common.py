@@ -14,6 +14,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return attach(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of a few numbers that may be broadcast, about 32 bytes each.
+BROADCAST = 1_000_000
+
+
+def beside(keys: DataFrame, most: int = BROADCAST) -> DataFrame:
+    """A side of keys to join a large table with: broadcast if it has most rows at most, counted first."""
+    return F.broadcast(keys) if keys.limit(most + 1).count() <= most else keys
+
+
 def fold(doc_id: Column, modulus: int, remainder: int) -> Column:
     """Whether crc32 of the id as text leaves this remainder; false for a null id."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % modulus == remainder, F.lit(False))

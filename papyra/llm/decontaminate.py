@@ -1,22 +1,24 @@
 """Benchmark decontamination by a distributed positional inverted index, in DataFrame operations only.
 
-Test items are cut into windows of WINDOW consecutive words. Collection frequencies of
-all test terms are counted over all training documents, and each window is ordered by
-rarity. Training postings (term, document, position) are stored for the terms that are
-the rarest of some window, each with the terms around it, that is with the offset-
-adjusted lists of its neighbourhood. A window's matches start from the postings of its
-rarest term; the next rarest term must stand at its offset, then all the others. Frequent
-terms are never expanded into postings of their own unless nothing in a window is rarer.
-
-Texts are read in place and never shuffled; what moves is postings and matches. The
-tables that are broadcast (test terms, windows) are counted first; beyond BROADCAST rows
-they are worked off in parts of that size, each an exact pass of its own.
+Test items are cut into windows of WINDOW consecutive words. One pass over the training
+texts stores the postings (term, row, place) of every test term as a table; a term's list
+is its rows of that table, its length the term's frequency over all documents. A window's
+lists are intersected from the rarest term: its postings are kept where the next rarest
+term has one within reach, and around those that are left the postings of all lists meet.
+Seen from the rarest term, a phrase match has every term at its own offset; a proximity
+match has every term within WINDOW - 1 places, in any order. Phrase matches are among them.
+
+Texts are read once, in place, and never shuffled; what moves is postings and matches.
+Lists meet by row and cells of a few places, so a frequent term, a long document or a
+common passage is no hot key. The tables that are broadcast (test terms, windows) are
+counted first; beyond BROADCAST rows they are worked off in parts of that size, each an
+exact pass of its own.
 
 Defined cases: null texts have no words (n_words 0, not contaminated); an item without
 words has no window; one of fewer than WINDOW words is one window; repeated items and
-windows count once; rows with one doc_id and different texts are told apart by a hash
-of the text; items without an id mark words as hit, but aren't listed; an empty
-benchmark or table gives no hits; other columns are ignored.
+windows count once; every row of docs is matched on its own, repeated or not; items
+without an id mark words as hit, but aren't listed or counted; an empty benchmark or
+table gives no hits; very long texts are a row as any other; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,13 +27,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from papyra.llm.common import table
+from papyra.llm.common import beside, table
 from papyra.session import write_table
 
 WINDOW = 10
 BROADCAST = 500_000
 #: Tables made of test items have a file for so many items: few files, but more as the benchmark grows.
 ITEMS_A_FILE = 5_000
+#: Tables of anchors and matches have a file for so many anchors.
+ANCHORS_A_FILE = 250_000
 _SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -46,9 +50,10 @@ def raw_words(text: Column) -> Column:
     return F.when(text.isNull(), F.array().cast("array<string>")).otherwise(F.split(text, _SEPARATORS))
 
 
-def count_words(text: Column) -> Column:
-    w = raw_words(text)
-    return F.size(w) - F.when(F.get(w, F.lit(0)) == "", 1).otherwise(0) - F.when((F.size(w) > 1) & (F.get(w, F.size(w) - 1) == ""), 1).otherwise(0)
+def word_count(w: Column) -> Column:
+    """Words among raw words: without the empty strings at either end."""
+    first, last = F.get(w, F.lit(0)) == "", (F.size(w) > 1) & (F.get(w, F.size(w) - 1) == "")
+    return (F.size(w) - F.when(first, 1).otherwise(0) - F.when(last, 1).otherwise(0)).cast("long")
 
 
 def windows(items: DataFrame, size: int = WINDOW) -> tuple[DataFrame, DataFrame]:
@@ -66,6 +71,12 @@ def windows(items: DataFrame, size: int = WINDOW) -> tuple[DataFrame, DataFrame]
     return named, write_table(each.join(named, "words").select("window_id", "item_id").distinct().coalesce(n), "window-items")
 
 
+def vocabulary(named: DataFrame, files: int = 1) -> DataFrame:
+    """(term, t): the distinct terms of the windows, numbered; written as a table."""
+    terms = named.select(F.explode("words").alias("term")).distinct().coalesce(files)
+    return write_table(terms.withColumn("t", F.monotonically_increasing_id()), "terms")
+
+
 def parts(df: DataFrame, key: str, most: int) -> list[DataFrame]:
     """df in parts of about most rows, by a hash of the key; one part if it is small."""
     n = -(-max(df.count(), 1) // most)
@@ -74,119 +85,154 @@ def parts(df: DataFrame, key: str, most: int) -> list[DataFrame]:
     return [df.where(F.pmod(F.xxhash64(key), F.lit(n)) == i) for i in range(n)]
 
 
-def _documents(docs: DataFrame) -> DataFrame:
-    """(did, th, words): id without nulls, hash of the text, words in their case."""
-    text = F.col("text")
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("did"), F.xxhash64(F.col("text")).alias("th"), raw_words(text).alias("words"))
+def union(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
 
 
-def frequencies(docs: DataFrame, terms: DataFrame, most: int = BROADCAST) -> DataFrame:
-    """(term, n): occurrences of each test term in all documents."""
-    out = None
-    for part in parts(terms, "term", most):
-        tokens = docs.select(F.explode(raw_words(F.col("text"))).alias("raw")).select(fold_ascii(F.col("raw")).alias("term"))
-        one = tokens.join(F.broadcast(part), "term").groupBy("term").agg(F.count("*").alias("n"))
-        out = one if out is None else out.unionByName(one)
-    return out
+def index(docs: DataFrame, terms: DataFrame, most: int = BROADCAST) -> DataFrame:
+    """The positional index of docs (doc_id, text), written as a table in one pass over the texts.
 
+    A posting is (t, rid, pos): term, row and place. Beside them each row has one line with
+    its doc_id, a hash of its text and its number of words, where n_words isn't null.
+    """
+    of_terms = parts(terms, "term", most)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.monotonically_increasing_id().alias("rid"))
+    if len(of_terms) > 1:
+        rows = write_table(rows, "numbered")  # all passes must see the same numbers
+    rows = rows.select("doc_id", F.xxhash64("text").alias("th"), "rid", raw_words(F.col("text")).alias("words"))
+    rows = rows.select("doc_id", "th", "rid", "words", F.size("words").alias("size"), word_count(F.col("words")).alias("n"))
+    tokens = rows.select("doc_id", "th", "rid", "size", "n", F.posexplode_outer("words").alias("pos", "raw")).withColumn("term", fold_ascii(F.col("raw")))
+    last = F.col("pos").isNull() | (F.col("pos") == F.col("size") - 1)
+    out = []
+    for part in of_terms:
+        own = F.lit(not out) & last  # the row's own line comes once
+        out.append(
+            tokens.join(F.broadcast(part), "term", "left").where(F.col("t").isNotNull() | own)
+            .select("t", "rid", "pos", *(F.when(own, F.col(c)).alias(n) for c, n in (("doc_id", "doc_id"), ("th", "th"), ("n", "n_words"))))
+        )
+    return write_table(union(out), "postings")
+
+
+def lists(postings: DataFrame) -> DataFrame:
+    return postings.where("t IS NOT NULL").select("t", "rid", "pos")
 
-def by_rarity(named: DataFrame, counts: DataFrame) -> DataFrame:
-    """Windows that can occur, with the offsets of the rarest and the next rarest term."""
-    terms = named.select("window_id", F.posexplode("words").alias("o", "term")).join(counts, "term", "left")
-    ranked = terms.groupBy("window_id").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "o", "term"))).alias("r"))
-    return named.join(ranked.where(F.col("r")[0]["n"] > 0), "window_id").select(
-        "window_id", "words", F.size("words").alias("len"), F.col("r")[0]["term"].alias("term"), F.col("r")[0]["o"].alias("o1"),
-        F.when(F.size("r") > 1, F.get("r", F.lit(1))["o"]).otherwise(F.col("r")[0]["o"]).alias("o2"),
-    )
 
+def documents(postings: DataFrame) -> DataFrame:
+    """(rid, doc_id, th, n_words) of every row indexed."""
+    return postings.where("n_words IS NOT NULL").select("rid", "doc_id", "th", "n_words")
 
-def index(docs: DataFrame, terms: DataFrame, size: int = WINDOW, most: int = BROADCAST) -> DataFrame:
-    """Postings of the given terms: (term, did, th, pos, lead, around), written as a table.
 
-    around: the terms from size - 1 places before to as many after; the posting's own
-    is at index lead (from 0). Generator, join and slices run in one code-generated
-    stage, so words of a document aren't copied per posting.
+def by_rarity(named: DataFrame, terms: DataFrame, postings: DataFrame) -> DataFrame:
+    """Windows all of whose terms occur, by rarity over all documents.
+
+    t1, o1: the rarest term (of equals the first) and its offset; t2: the next rarest
+    other term (t1 if there is none); ts: the terms; at: each term with its offset from
+    the rarest, as one number.
     """
-    out = None
-    near = size - 1
-    for part in parts(terms, "term", most):
-        tokens = _documents(docs).select("did", "th", "words", F.posexplode("words").alias("pos", "raw"))
-        hits = tokens.withColumn("term", fold_ascii(F.col("raw"))).join(F.broadcast(part), "term")
-        lead = F.least(F.col("pos"), F.lit(near))
-        one = hits.select(
-            "term", "did", "th", "pos", lead.alias("lead"),
-            F.transform(F.slice("words", F.col("pos") + 1 - lead, lead + size), fold_ascii).alias("around"),
-        )
-        out = one if out is None else out.unionByName(one)
-    return write_table(out, "postings")
+    counts = lists(postings).groupBy("t").agg(F.count("*").alias("n"))
+    each = named.select("window_id", F.posexplode("words").alias("o", "term")).join(terms, "term").join(counts, "t", "left")
+    ranked = each.groupBy("window_id").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "o", "t"))).alias("r")).where(F.col("r")[0]["n"] > 0)
+    first = F.col("r")[0]
+    others = F.filter("r", lambda x: x["t"] != first["t"])
+    return ranked.select(
+        "window_id", first["t"].alias("t1"), first["o"].alias("o1"), F.size("r").alias("len"), first["n"].alias("n1"),
+        F.coalesce(F.get(others, F.lit(0))["t"], first["t"]).alias("t2"),
+        F.array_distinct(F.transform("r", lambda x: x["t"])).alias("ts"),
+        F.transform("r", lambda x: _place(x["t"], x["o"] - first["o"])).alias("at"),
+    )
 
 
-def phrase_matches(postings: DataFrame, ranked: DataFrame, most: int = BROADCAST) -> DataFrame:
-    """(did, th, start, len, window_id): exact occurrences of windows."""
-    out = None
-    at = F.col("lead") - F.col("o1")
-    for part in parts(ranked, "window_id", most):
-        own = part.withColumn("second", F.element_at("words", F.col("o2") + 1))
-        one = (
-            postings.join(F.broadcast(own), "term").where((at >= 0) & (at + F.col("len") <= F.size("around")))
-            .where(F.get("around", at + F.col("o2")) == F.col("second"))
-            .where(F.slice("around", F.greatest(at, F.lit(0)) + 1, F.col("len")) == F.col("words"))
-            .select("did", "th", (F.col("pos") - F.col("o1")).alias("start"), "len", "window_id")
-        )
-        out = one if out is None else out.unionByName(one)
-    return out.distinct()
+def _place(t: Column, distance: Column) -> Column:
+    """A term and its distance from another, -REACH to REACH, as one number."""
+    return t * 64 + distance + 32
+
+
+def _cells(pos: Column, reach: int) -> Column:
+    """The cells of reach + 1 places that lie within reach."""
+    return F.array_distinct(F.array(*(F.floor((pos + d) / (reach + 1)) for d in (-reach, 0, reach))))
 
 
-def proximity_matches(postings: DataFrame, ranked: DataFrame, most: int = BROADCAST) -> DataFrame:
-    """(did, th, pos, window_id): places where all terms of a window stand around its rarest term, in any order."""
-    out = None
+def anchors(postings: DataFrame, ranked: DataFrame, size: int = WINDOW, most: int = BROADCAST) -> DataFrame:
+    """(rid, pos, t1): postings of rarest terms with a next rarest term of one of its windows within reach.
+
+    The two lists meet by row, term and cell of a few places, so no key is hot however
+    frequent the term or long the document.
+    """
+    reach, out = size - 1, []
+    for part in parts(ranked.select("t1", "t2").distinct(), "t1", most):
+        first = lists(postings).join(F.broadcast(part), F.col("t") == F.col("t1")).select("rid", "pos", "t1", "t2", F.explode(_cells(F.col("pos"), reach)).alias("cell"))
+        wanted = F.broadcast(part.select(F.col("t2").alias("t")).distinct())
+        second = lists(postings).join(wanted, "t", "left_semi").select("rid", F.col("t").alias("t2"), F.col("pos").alias("p2"), F.floor(F.col("pos") / size).alias("cell"))
+        out.append(first.join(second, ["rid", "t2", "cell"]).where(F.abs(F.col("pos") - F.col("p2")) <= reach).select("rid", "pos", "t1"))
+    return union(out).distinct()
+
+
+def neighbourhoods(postings: DataFrame, found: DataFrame, size: int = WINDOW) -> DataFrame:
+    """(rid, pos, t1, around): of all lists, the postings within reach of an anchor, as places seen from it."""
+    reach = size - 1
+    near = lists(postings).join(beside(found.select("rid").distinct()), "rid", "left_semi")
+    near = near.select("rid", "t", F.col("pos").alias("p2"), F.floor(F.col("pos") / size).alias("cell"))
+    spread = found.withColumn("cell", F.explode(_cells(F.col("pos"), reach)))
+    gap = F.col("p2") - F.col("pos")
+    return spread.join(near, ["rid", "cell"]).where(F.abs(gap) <= reach).groupBy("rid", "pos", "t1").agg(F.collect_list(_place(F.col("t"), gap)).alias("around"))
+
+
+def matches(postings: DataFrame, ranked: DataFrame, size: int = WINDOW, most: int = BROADCAST) -> DataFrame:
+    """(rid, window_id, start, len, exact), written as a table: windows all of whose terms stand within reach of an occurrence of the rarest.
+
+    start is where the window would begin; exact: every list has its term at its offset,
+    which is a phrase match. The others are proximity matches only, in any order.
+    """
+    bound = ranked.select("t1", "t2", "n1").distinct().agg(F.sum("n1")).first()[0] or 0
+    found = write_table(anchors(postings, ranked, size, most).repartition(1 + bound // ANCHORS_A_FILE), "anchors")
+    hoods = neighbourhoods(postings, found, size).withColumn("near", F.transform("around", lambda x: F.shiftright(x, 6)))
+    out = []
     for part in parts(ranked, "window_id", most):
-        one = (
-            postings.join(F.broadcast(part), "term").where(F.size(F.array_except("words", "around")) == 0)
-            .select("did", "th", "pos", "window_id")
-        )
-        out = one if out is None else out.unionByName(one)
-    return out.distinct()
+        both = hoods.join(F.broadcast(part.drop("n1", "t2")), "t1").where(F.size(F.array_except("ts", "near")) == 0)
+        out.append(both.select("rid", "window_id", (F.col("pos") - F.col("o1")).alias("start"), "len", (F.size(F.array_except("at", "around")) == 0).alias("exact")))
+    return write_table(union(out).repartition(1 + found.count() // ANCHORS_A_FILE), "matches")
 
 
-def covered(matches: DataFrame) -> DataFrame:
-    """(did, th, n_hit): words inside any match."""
-    spans = matches.groupBy("did", "th", "start").agg(F.max(F.col("start") + F.col("len")).alias("stop"))
-    before = Window.partitionBy("did", "th").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+def covered(phrases: DataFrame) -> DataFrame:
+    """(rid, n_hit): words inside any phrase match."""
+    spans = phrases.groupBy("rid", "start").agg(F.max(F.col("start") + F.col("len")).alias("stop"))
+    before = Window.partitionBy("rid").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
     fresh = F.greatest(F.lit(0), F.col("stop") - F.greatest(F.col("start"), F.coalesce(F.max("stop").over(before), F.col("start"))))
-    return spans.withColumn("fresh", fresh).groupBy("did", "th").agg(F.sum("fresh").cast("long").alias("n_hit"))
+    return spans.withColumn("fresh", fresh).groupBy("rid").agg(F.sum("fresh").cast("long").alias("n_hit"))
 
 
-def _matches(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Matches (from the stored postings) and the items of each window."""
+def search(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The rows of docs (doc_id, text), the matches in them, and the items of each window."""
     named, owners = windows(benchmark)
-    n = 1 + benchmark.count() // ITEMS_A_FILE
-    terms = write_table(named.select(F.explode("words").alias("term")).distinct().coalesce(n), "terms")
-    ranked = write_table(by_rarity(named, frequencies(docs, terms)).coalesce(n), "ranked")
-    postings = index(docs, ranked.select("term").distinct())
-    return phrase_matches(postings, ranked), owners
+    files = 1 + benchmark.count() // ITEMS_A_FILE
+    terms = vocabulary(named, files)
+    postings = index(docs, terms)
+    ranked = write_table(by_rarity(named, terms, postings).coalesce(files), "ranked")
+    return documents(postings), matches(postings, ranked), owners
 
 
 def matched(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(did, th, start, len, window_id) of all matches in docs (doc_id, text)."""
-    return _matches(docs, benchmark)[0]
+    """(did, th) of the rows of docs (doc_id, text) that hold a phrase match; a null doc_id is -1."""
+    rows, found, _ = search(docs, benchmark)
+    hit = rows.join(found.where("exact").select("rid").distinct(), "rid", "left_semi")
+    return hit.select(F.coalesce("doc_id", F.lit(-1)).alias("did"), "th").distinct()
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """One row a document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
-    matches, owners = _matches(docs, benchmark)
-    listed = matches.select("did", "th", "window_id").distinct().join(owners, "window_id").groupBy("did", "th").agg(
-        F.collect_set(F.col("item_id").cast("string")).alias("items")
-    )
-    hits = covered(matches).join(listed, ["did", "th"], "left")
-    items = F.coalesce("items", F.array().cast("array<string>"))
-    rows = docs.select(
-        "doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("did"), F.xxhash64("text").alias("th"),
-        count_words(F.col("text")).cast("long").alias("n_words"),
+    """One row a document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, n_proximity."""
+    rows, found, owners = search(docs, benchmark)
+    listed = found.select("rid", "window_id", "exact").distinct().join(owners, "window_id").where("item_id IS NOT NULL").groupBy("rid").agg(
+        F.collect_set(F.when(F.col("exact"), F.col("item_id").cast("string"))).alias("items"), F.collect_set("item_id").alias("near")
     )
-    return rows.join(hits, ["did", "th"], "left").select(
-        "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(items).cast("long").alias("n_items"),
-        F.sha2(F.array_join(F.array_sort(items), ","), 256).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
+    hits = covered(found.where("exact")).join(listed, "rid", "full")
+    items, n_hit = F.coalesce("items", F.array().cast("array<string>")), F.coalesce("n_hit", F.lit(0))
+    return rows.join(hits, "rid", "left").select(
+        "doc_id", "n_words", n_hit.cast("long").alias("n_hit"), F.size(items).cast("long").alias("n_items"),
+        F.sha2(F.array_join(F.array_sort(items), ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
+        F.coalesce(F.size("near"), F.lit(0)).cast("long").alias("n_proximity"),
     )
 
 
@@ -212,8 +258,16 @@ m AS (SELECT DISTINCT rid, dw.n, s, dw.k FROM dw JOIN (SELECT DISTINCT n, k FROM
 p AS (SELECT DISTINCT rid, unnest(range(s, s + n)) AS p FROM m),
 h AS (SELECT rid, count(*) AS n_hit FROM p GROUP BY rid),
 i AS (SELECT rid, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS items
-  FROM (SELECT DISTINCT rid, n, k FROM m) m JOIN bw ON m.n = bw.n AND m.k = bw.k GROUP BY rid)
+  FROM (SELECT DISTINCT rid, n, k FROM m) m JOIN bw ON m.n = bw.n AND m.k = bw.k GROUP BY rid),
+tok AS (SELECT rid, unnest(w) AS t, unnest(range(1, len(w) + 1)) AS pos FROM d),
+tc AS (SELECT t, count(*) AS n FROM tok GROUP BY t),
+x AS (SELECT row_number() OVER () AS wid, ws FROM (SELECT DISTINCT w[s:s + n - 1] AS ws FROM bs)),
+xt AS (SELECT wid, unnest(ws) AS t, unnest(range(1, len(ws) + 1)) AS o FROM x),
+r AS (SELECT wid, xt.t, row_number() OVER (PARTITION BY wid ORDER BY coalesce(n, 0), o) AS k FROM xt LEFT JOIN tc ON xt.t = tc.t),
+q AS (SELECT DISTINCT rid, wid FROM r JOIN tok ON r.t = tok.t AND k = 1 JOIN x USING (wid) JOIN d USING (rid)
+  WHERE list_has_all(w[greatest(1, pos - 9):pos + 9], ws)),
+o AS (SELECT rid, count(DISTINCT item_id) AS n_proximity FROM q JOIN x USING (wid) JOIN (SELECT DISTINCT item_id, w[s:s + n - 1] AS ws FROM bs) y ON x.ws = y.ws GROUP BY rid)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
-  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN h ON d.rid = h.rid LEFT JOIN i ON d.rid = i.rid
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, CAST(coalesce(n_proximity, 0) AS BIGINT) AS n_proximity
+FROM d LEFT JOIN h ON d.rid = h.rid LEFT JOIN i ON d.rid = i.rid LEFT JOIN o ON d.rid = o.rid
 """

@@ -1,5 +1,6 @@
 """Decontamination against brute force and SQL; the pipeline against its parts."""
 
+import collections
 import hashlib
 import random
 import re
@@ -27,7 +28,7 @@ def items():
 def planted():
     own = items()
     rows = [(500, "Start " + own[0][1].upper() + " end"), (501, "a RARE, short—phrase. rare short phrase x"), (502, own[1][1][:90]), (503, "É Straße 日本 é straße 日本"), (504, "the " * 30), (505, own[2][1] + " " + own[2][1]),
-            (506, "-nameless item words-"), (507, own[3][1] + " " + own[4][1])]
+            (506, "-nameless item words-"), (507, own[3][1] + " " + own[4][1]), (508, " ".join(own[0][1].split()[9::-1])), (509, "phrase, so short and so rare")]
     return documents() + [(i, t, "en", "s", len(t), "c", "c", "c", "c", "c") for i, t in rows]
 
 
@@ -38,16 +39,21 @@ def brute(rows, own):
         n = min(10, len(w))
         for s in range(len(w) - n + 1 if w else 0):
             wins.setdefault(tuple(w[s : s + n]), set()).add(i)
+    count = collections.Counter(w for r in rows for w in words(r[1]))
+    rarest = {k: min((count[x], o) for o, x in enumerate(k))[1] for k in wins}
     out = []
     for r in rows:
-        w, hit, found = words(r[1]), set(), set()
+        w, hit, found, near = words(r[1]), set(), set(), set()
         for n in {len(x) for x in wins}:
             for s in range(len(w) - n + 1):
                 if (k := tuple(w[s : s + n])) in wins:
                     hit |= set(range(s, s + n))
                     found |= wins[k] - {None}
+        for k, ids in wins.items():
+            if any(x == k[rarest[k]] and set(k) <= set(w[max(0, p - 9) : p + 10]) for p, x in enumerate(w)):
+                near |= ids - {None}
         listed = ",".join(sorted(map(str, found)))
-        out.append((r[0], len(w), len(hit), len(found), hashlib.sha256(listed.encode()).hexdigest(), bool(hit)))
+        out.append((r[0], len(w), len(hit), len(found), hashlib.sha256(listed.encode()).hexdigest(), bool(hit), len(near)))
     return out
 
 
@@ -57,7 +63,7 @@ def key(r):
 
 @pytest.mark.parametrize("most", [500_000, 7])
 def test_matches_brute_force(spark, monkeypatch, most):
-    for f in (D.frequencies, D.index, D.phrase_matches, D.proximity_matches):
+    for f in (D.index, D.anchors, D.matches):
         monkeypatch.setattr(f, "__defaults__", tuple(most if x == D.BROADCAST else x for x in f.__defaults__))
     bench = spark.createDataFrame(items(), "item_id long, text string").selectExpr("*", "1 AS term", "2 AS doc_id")
     got = D.decontaminate(frame(spark, planted()), bench).collect()
@@ -74,12 +80,18 @@ def test_empty_sides(spark):
 def test_proximity_finds_terms_in_any_order(spark):
     bench = spark.createDataFrame([(1, "alpha beta gamma")], "item_id long, text string")
     docs = spark.createDataFrame([(1, "gamma then beta and alpha"), (2, "alpha beta " + "x " * 30 + "gamma"), (3, "alpha beta gamma")], "doc_id long, text string")
-    named, _ = D.windows(bench)
-    terms = named.selectExpr("explode(words) AS term").distinct()
-    ranked = D.by_rarity(named, D.frequencies(docs, terms))
-    postings = D.index(docs, ranked.select("term").distinct())
-    assert {r["did"] for r in D.proximity_matches(postings, ranked).collect()} == {1, 3}
-    assert {r["did"] for r in D.phrase_matches(postings, ranked).collect()} == {3}
+    rows, found, _ = D.search(docs, bench)
+    got = {(r["doc_id"], r["exact"]) for r in rows.join(found, "rid").collect()}
+    assert got == {(1, False), (3, True)}
+
+
+def test_a_frequent_word_and_a_long_text(spark):
+    """One word many times over, in one row and in many."""
+    bench = spark.createDataFrame([(1, "so so so"), (2, "so it goes on and on like that for ever and a day")], "item_id long, text string")
+    rows = [(i, "so " * 40) for i in range(20)] + [(30, "so " * 5000 + "it"), (31, "x " * 9000 + "so it goes on and on like that for ever and a day")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(tuple(r) for r in D.decontaminate(docs, bench).collect())
+    assert got == sorted(brute(rows, [(1, "so so so"), (2, "so it goes on and on like that for ever and a day")]))
 
 
 def test_no_python_on_the_main_path(spark):
