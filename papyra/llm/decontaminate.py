@@ -133,6 +133,8 @@ def by_rarity(named: DataFrame, terms: DataFrame, postings: DataFrame) -> DataFr
     the rarest, as one number.
     """
     counts = lists(postings).groupBy("t").agg(F.count("*").alias("n"))
+    if terms.count() <= BROADCAST:  # else the windows of a frequent term are split as Spark splits skewed joins
+        terms, counts = F.broadcast(terms), F.broadcast(counts)
     each = named.select("window_id", F.posexplode("words").alias("o", "term")).join(terms, "term").join(counts, "t", "left")
     ranked = each.groupBy("window_id").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "o", "t"))).alias("r")).where(F.col("r")[0]["n"] > 0)
     first = F.col("r")[0]

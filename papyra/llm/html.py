@@ -7,15 +7,22 @@ the label of the nearest decided neighbours; where these differ, a nearly good b
 is kept and a short one goes with the nearer.
 
 Both passes run on every page; an article or main element is one more signal. A block in
-one that pass one rejects is ambiguous instead, unless more than half of it is links or an
-excluded element holds it. Ambiguous blocks ask the decided blocks on their own side of the
-element's border first, and those beyond it where there are none; excluded elements have no
+one that pass one rejects is ambiguous instead, unless an excluded element holds it or more
+than half of it is links; a paragraph that is a link from end to end is ambiguous too if it
+stands in no list and not beside links. Ambiguous blocks ask the decided blocks on their own side of the
+element's border first; where there are none, those inside ask beyond it and those outside
+are rejected as what stands around an article; excluded elements have no
 say over blocks inside the article. Where no block of the page is good, those of the article
 that aren't rejected are kept.
 
-Defined cases: null and empty pages, and pages without text, give an empty string; unclosed and
-crossing elements are closed by the elements around them; a text without any tag is
-one block and decided like any other; repeated rows give equal results.
+Elements with a class, id or role that is made up of words of page furniture and layout alone
+are excluded (cookie-banner is, notice-period isn't); inline ones only drop their own words.
+
+Defined cases: null and empty pages, and pages without text, give an empty string; an empty
+table gives no rows; unclosed and crossing elements are closed by the elements around them; a
+quoted value that is never closed ends at the next ">"; a page that ends within a tag or comment
+ends before it; a text without any tag is one block and decided like any other; repeated rows
+give equal results; other columns are ignored. A page costs time in proportion to its length.
 """
 
 from __future__ import annotations
@@ -65,6 +72,16 @@ FURNITURE = frozenset(
     pager login signup search skip banner contentinfo complementary dialog alert alertdialog sitenav siteheader sitefooter
     """.split()
 )
+# Layout words that stand beside those of page furniture in a class, id or role.
+LAYOUT = frozenset(
+    """
+    area bar block body bottom box btn button buttons col column container content feed form group head inner item items left link links list main
+    message outer page panel post posts region right row section site slot text thread title top unit wrap wrapper
+    """.split()
+)
+# Elements within a line of text, and those that end an open element of their kind.
+PHRASES = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
+SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th"), "tr": ("tr",), "option": ("option",)}
 KEEPERS = frozenset(("html", "body", "main", "article"))
 MAIN = frozenset(("main", "article"))
 
@@ -73,155 +90,244 @@ LINKS_OUTSIDE = 0.2
 SHORT, LONG = 70, 200
 STOP_LOW, STOP_HIGH = 0.30, 0.32
 
-_TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*>|<(?P<end>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<attrs>(?:"[^"]*"|'[^']*'|[^>"'])*)>""",
-    re.S,
-)
-_ATTR = re.compile(r"""(class|id|role|style|hidden|aria-hidden)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s>]+))?(?=[\s/>]|$)""", re.I)
+_NAME = re.compile(r"</?([A-Za-z][^\s/>]*)")
+_STOP = re.compile(r"[>\"']")
+_ATTR = re.compile(r"""(?<![\w-])(class|id|role|style|hidden|aria-hidden)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s>]+))?(?=[\s/>]|$)""", re.I)
+_CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _PART = re.compile(r"[a-z]+")
 _WORD = re.compile(r"\w+")
+_CLOSE = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW_TEXT}
+_HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
 
 class _Zone:
     """An element whose text is left out, unless the article turns out to stand in it."""
 
-    __slots__ = ("holds_main", "sure")
+    __slots__ = ("around", "holds_main", "out", "sure")
 
-    def __init__(self, sure: bool):
-        self.holds_main, self.sure = False, sure
+    def __init__(self, sure: bool, around: _Zone | None):
+        self.around, self.holds_main, self.sure, self.out = around, False, sure, False
 
 
 class Block:
-    __slots__ = ("text", "linked", "heading", "zones", "main")
+    __slots__ = ("heading", "item", "linked", "main", "text", "zone")
 
-    def __init__(self, text: str, linked: int, heading: bool, zones: tuple, main: bool):
-        self.text, self.linked, self.heading, self.zones, self.main = text, linked, heading, zones, main
+    def __init__(self, text: str, linked: int, heading: bool, item: bool, zone: _Zone | None, main: bool):
+        self.text, self.linked, self.heading, self.item, self.zone, self.main = text, linked, heading, item, zone, main
 
     def excluded(self) -> bool:
-        return any(z.sure or not z.holds_main for z in self.zones)
+        return self.zone is not None and self.zone.out
+
+
+def _is_furniture(name: str) -> bool:
+    """Whether a class, id or role says page furniture and nothing else: cookie-banner does, notice-period doesn't."""
+    own = set(_PART.findall(_CAMEL.sub("-", name).lower()))
+    return not own.isdisjoint(FURNITURE) and own <= FURNITURE | LAYOUT
 
 
 def _furniture(attrs: str) -> tuple[bool, bool]:
     """(hidden, named as page furniture)"""
     hidden = named = False
     for key, value in _ATTR.findall(attrs):
-        key, value = key.lower(), value.strip("\"'").lower()
-        if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
+        key, value = key.lower(), value.strip("\"'")
+        if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and _HIDING.search(value.lower()):
             hidden = True
         elif key in ("class", "id", "role"):
-            named = named or not FURNITURE.isdisjoint(_PART.findall(value))
+            named = named or any(map(_is_furniture, value.split()))
     return hidden, named
 
 
-def blocks(page: str) -> list[Block]:
-    """The blocks of a page in order, white space folded, character references decoded."""
-    out: list[Block] = []
-    stack: list[tuple[str, _Zone | None]] = []
-    text: list[str] = []
-    linked: list[str] = []
-    heading = False
-
-    def flush() -> None:
-        nonlocal heading
-        if text:
-            whole = " ".join("".join(text).split())
-            if whole:
-                n = len(" ".join("".join(linked).split())) if linked else 0
-                names = [t for t, _ in stack]
-                out.append(Block(whole, n, heading, tuple(z for _, z in stack if z), any(t in MAIN for t in names)))
-            text.clear()
-            linked.clear()
-        heading = False
-
-    def say(s: str) -> None:
-        if s:
+class _Page:
+    """Open elements and the text of the block now being read. Every step costs what it opens or closes."""
+
+    def __init__(self):
+        self.blocks: list[Block] = []
+        self.zones: list[_Zone] = []
+        self.stack: list[tuple[str, _Zone | None, bool]] = []
+        self.open: dict[str, list[int]] = {}  # places of open elements by name
+        self.solid: list[int] = []  # places of open block elements
+        self.hard: list[int] = []  # the same without paragraphs
+        self.mains = 0
+        self.text: list[str] = []
+        self.linked: list[str] = []
+        self.mute = 0  # open inline elements that are hidden or furniture
+        self.heading = False
+
+    def zone(self) -> _Zone | None:
+        return self.stack[-1][1] if self.stack else None
+
+    def last(self, *names: str) -> int:
+        """The place of the innermost open element of these names, or -1."""
+        return max((self.open[n][-1] for n in names if self.open.get(n)), default=-1)
+
+    def push(self, name: str, zone: _Zone | None, mute: bool) -> None:
+        at = len(self.stack)
+        self.stack.append((name, zone, mute))
+        self.mute += mute
+        self.open.setdefault(name, []).append(at)
+        if name in BLOCKS:
+            self.solid.append(at)
+            if name != "p":
+                self.hard.append(at)
+        self.mains += name in MAIN
+
+    def pop_to(self, at: int) -> None:
+        while len(self.stack) > at:
+            name, _, mute = self.stack.pop()
+            self.open[name].pop()
+            self.mute -= mute
+            self.mains -= name in MAIN
+            for places in (self.solid, self.hard):
+                if places and places[-1] == len(self.stack):
+                    places.pop()
+
+    def say(self, s: str) -> None:
+        if s and not self.mute:
             s = _html.unescape(s)
-            text.append(s)
-            if any(t == "a" for t, _ in stack):
-                linked.append(s)
-
-    def pop_to(i: int) -> None:
-        del stack[i:]
+            self.text.append(s)
+            if self.open.get("a"):
+                self.linked.append(s)
 
-    pos, n = 0, len(page)
-    while pos < n:
-        m = _TOKEN.search(page, pos)
-        if not m:
-            say(page[pos:])
-            break
-        say(page[pos : m.start()])
-        pos = m.end()
-        if m["cdata"]:
-            say(_html.escape(m["cdata"]))
-        if not m["name"]:
-            continue
-        name = m["name"].lower()
+    def flush(self) -> None:
+        if self.text:
+            whole = " ".join("".join(self.text).split())
+            if whole:
+                n = len(" ".join("".join(self.linked).split())) if self.linked else 0
+                item = bool(self.open.get("li") or self.open.get("td"))
+                self.blocks.append(Block(whole, n, self.heading, item, self.zone(), self.mains > 0))
+            self.text.clear()
+            self.linked.clear()
+        self.heading = False
+
+    def close(self, name: str) -> None:
+        if name in BLOCKS:
+            self.flush()
+        at = self.last(name)
+        # an inline end doesn't close the block around it
+        if at >= 0 and (name in BLOCKS or at > (self.solid[-1] if self.solid else -1)):
+            self.pop_to(at)
+
+    def start(self, name: str, attrs: str) -> None:
         block = name in BLOCKS
-        if name == "br" or name == "img":
-            text.append(" ")
-            continue
-        if m["end"]:
-            if block:
-                flush()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    pop_to(i)
-                    break
-                if not block and stack[i][0] in BLOCKS:
-                    break  # an inline end doesn't close the block around it
-            continue
         if block:
-            flush()
-            if name in ("p", "li", "dt", "dd", "td", "th", "tr", "option"):
-                # an open element of the kind ends here, unless a container stands between
-                own = {"dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th")}.get(name, (name,))
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] in own:
-                        pop_to(i)
-                        break
-                    if stack[i][0] in BLOCKS and stack[i][0] != "p":
-                        break
-            elif stack and stack[-1][0] == "p":
-                pop_to(len(stack) - 1)
-            heading = len(name) == 2 and name[0] == "h" and name[1] in "123456"
-        elif name == "a":
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == "a":
-                    pop_to(i)
-                    break
-                if stack[i][0] in BLOCKS:
-                    break
-        if name in RAW_TEXT:
-            close = re.compile(rf"</{name}\s*>", re.I).search(page, pos)
-            pos = close.end() if close else n
-            continue
+            self.flush()
+            # an open element of the kind ends here, unless a container stands between; so does a paragraph
+            wall = self.hard[-1] if self.hard else 0
+            ending = [at for at in (self.last(*SIBLINGS.get(name, ())), self.last("p")) if at >= wall]
+            if ending:
+                self.pop_to(min(ending))
+            self.heading = len(name) == 2 and name[0] == "h" and name[1] in "123456"
+        elif name == "a" and self.last("a") > (self.solid[-1] if self.solid else -1):
+            self.pop_to(self.last("a"))
         if name in VOID:
-            continue
-        inside = any(t in MAIN for t, _ in stack)
-        zone = None
-        hidden, named = _furniture(m["attrs"]) if m["attrs"].strip() else (False, False)
+            return
+        around, inside, zone, mute = self.zone(), self.mains > 0, None, False
+        hidden, named = _furniture(attrs) if attrs.strip(" /\n") else (False, False)
         if name == "header" and inside:
-            zone = _Zone(True) if hidden else None  # the head of the article itself
+            zone = _Zone(True, around) if hidden else None  # the head of the article itself
         elif name in DROPPED:
-            zone = _Zone(name not in ("header", "form", "aside", "nav", "footer"))
+            zone = _Zone(name not in ("header", "form", "aside", "nav", "footer"), around)
         elif name in KEEPERS:
             if named and name == "article":
-                zone = _Zone(True)
+                zone = _Zone(True, around)
+        elif name in PHRASES:
+            mute = hidden or named and not (self.open.get("pre") or self.open.get("code"))
         elif hidden or named:
-            zone = _Zone(hidden)
-        if name in MAIN and not inside and not (zone and zone.sure):
-            for _, z in stack:
-                if z:
-                    z.holds_main = True
-        if not m["attrs"].endswith("/") or block:
-            stack.append((name, zone))
-    flush()
-    return out
-
-
-def _judge(b: Block) -> str:
+            zone = _Zone(hidden, around)
+        if zone:
+            self.zones.append(zone)
+        elif name in MAIN and not inside:
+            z = around
+            while z and not z.holds_main:
+                z.holds_main, z = True, z.around
+        if block or not attrs.endswith("/"):
+            self.push(name, zone or around, mute)
+
+
+def blocks(page: str) -> list[Block]:
+    """The blocks of a page in order, white space folded, character references decoded.
+
+    One pass: tags end at ">" outside of quoted values (at the first one if a quote is
+    never closed); comments, declarations and tags without an end reach to the page's end.
+    """
+    p, n, pos = _Page(), len(page), 0
+    quotes = {q: page.rfind(q) for q in "\"'"}
+
+    def tag_end(at: int) -> int:
+        """Place of the ">" that ends a tag whose attributes begin here, or n."""
+        while at < n:
+            m = _STOP.search(page, at)
+            if not m:
+                return n
+            at = m.start()
+            if page[at] == ">":
+                return at
+            before = at - 1
+            while page[before].isspace():
+                before -= 1
+            if page[before] != "=":  # a quote within a name
+                at += 1
+            elif quotes[page[at]] == at:
+                end = page.find(">", at)
+                return n if end < 0 else end
+            else:
+                at = page.find(page[at], at + 1) + 1
+        return n
+
+    while pos < n:
+        at = page.find("<", pos)
+        if at < 0:
+            p.say(page[pos:])
+            break
+        kind = page[at + 1 : at + 2]
+        m = _NAME.match(page, at)
+        if not m and kind not in ("!", "?", "/"):
+            p.say(page[pos : at + 1])  # a "<" that begins no tag
+            pos = at + 1
+            continue
+        p.say(page[pos:at])
+        if not m:
+            if page.startswith("<!--", at):
+                end, skip = page.find("-->", at + 4), 3
+            elif page.startswith("<![CDATA[", at):
+                end, skip = page.find("]]>", at), 3
+                p.say(_html.escape(page[at + 9 : n if end < 0 else end]))
+            else:
+                end, skip = page.find(">", at), 1
+            pos = n if end < 0 else end + skip
+            continue
+        end = tag_end(m.end())
+        if end == n:
+            break  # the page ends within a tag
+        name, pos = m[1].lower(), end + 1
+        if name in ("br", "img"):
+            p.text.append(" ")
+        elif kind == "/":
+            p.close(name)
+        elif name in RAW_TEXT:
+            if name in BLOCKS:
+                p.flush()
+            close = _CLOSE[name].search(page, pos)
+            pos = close.end() if close else n
+        else:
+            p.start(name, page[m.end() : end])
+    p.flush()
+    for z in p.zones:  # those around come first
+        z.out = z.sure or not z.holds_main or z.around is not None and z.around.out
+    return p.blocks
+
+
+def _lone_link(found: list[Block], i: int) -> bool:
+    """A paragraph that is one link from end to end, not one of a list of links."""
+    linkish = lambda j: 0 <= j < len(found) and found[j].main and found[j].linked > LINKS * len(found[j].text)
+    return found[i].linked == len(found[i].text) and not found[i].item and not linkish(i - 1) and not linkish(i + 1)
+
+
+def judge(found: list[Block], i: int) -> str:
+    """The label of pass one: good, bad, near (nearly good) or short."""
+    b = found[i]
     label, size = _rule(b), len(b.text)
-    if label == "bad" and b.main and b.text[0] != "©" and b.linked <= LINKS * size:
+    if label == "bad" and b.main and b.text[0] != "©" and (b.linked <= LINKS * size or _lone_link(found, i)):
         return "short" if size < SHORT else "near"
     return label
 
@@ -259,17 +365,19 @@ def main_text(page: str | None) -> str:
         return ""
     found = blocks(page)
     out = [b.excluded() for b in found]
-    labels = ["bad" if x else _judge(b) for b, x in zip(found, out)]
+    labels = ["bad" if x else judge(found, i) for i, x in enumerate(out)]
     decided = [x if x in ("good", "bad") else None for x in labels]
     inside = _nearest([x if b.main and not o else None for x, b, o in zip(decided, found, out)])
     outside = _nearest([None if b.main else x for x, b in zip(decided, found)])
     shown = _nearest([None if o else x for x, o in zip(decided, out)])
     final = list(labels)
+    some_good = "good" in labels
+    article = any(b.main and not o for b, o in zip(found, out))
     for i, x in enumerate(labels):
         if x in ("short", "near"):
             near = inside[i] if found[i].main else outside[i]
             if not any(s for s, _ in near):
-                near = shown[i]
+                near = shown[i] if found[i].main or not article else (("bad", 1), ("bad", 1))
             (before, d1), (after, d2) = near
             sides = {s for s in (before, after) if s}
             if not sides:
@@ -282,9 +390,9 @@ def main_text(page: str | None) -> str:
                 final[i] = before if d1 < d2 else after if d2 < d1 else "bad"
             if x == "short" and found[i].heading and after == "good":
                 final[i] = "good"
-            if (x == "near" or found[i].main) and "good" not in labels:
+            if (x == "near" or found[i].main) and not some_good:
                 final[i] = "good"  # nothing better on the page
-    return "\n".join(b.text for b, x in zip(found, final) if x == "good")
+    return "\n\n".join(b.text for b, x in zip(found, final) if x == "good")
 
 
 def _extract(pages: pa.Array) -> pa.Array:
