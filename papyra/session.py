@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import tempfile
 import uuid
 
@@ -12,19 +13,28 @@ from pyspark.sql import DataFrame, SparkSession
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
+#: Environment of Python workers: blocks from 256 KB on go back to the system when they are freed.
+WORKERS = {"MALLOC_MMAP_THRESHOLD_": "262144", "MALLOC_TRIM_THRESHOLD_": "1048576", "MALLOC_ARENA_MAX": "2", "ARROW_DEFAULT_MEMORY_POOL": "system"}
+#: Rows and bytes of an Arrow batch at most.
+BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
+
+
 def attach(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package and keep Arrow batches small.
+    """Let Python workers import this package and keep their memory small.
 
     Workers get the repository on their path (on a cluster the same path, or a
-    wheel, must exist on every node). Arrow batches hold at most 2,000 rows, so
-    that long texts do not fill a worker's memory.
+    wheel, must exist on every node). Arrow batches are bounded in rows and bytes,
+    so that long texts do not fill a worker's memory.
     """
     env = spark.sparkContext.environment
     parts = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in parts:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *parts])
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > 2000:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    for k, v in WORKERS.items():
+        env.setdefault(k, v)
+    if not 0 < int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark
 
 
@@ -48,10 +58,12 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or our own if unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir, or a temporary one if unset on a local master."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = "file://" + tempfile.mkdtemp(prefix="papyra-")
