@@ -15,8 +15,10 @@ BLOCK members are cut into blocks, and each pair of blocks is a group of its own
 no task holds more than two blocks of a group; no pair is lost.
 
 Defined cases: null and empty texts have no words and fingerprint zero, linked like
-any other. Repeated rows share a class. A null doc_id is fingerprinted, but never a
-representative. An empty table gives an empty result. Other columns are ignored.
+any other. Repeated rows share a class. Rows with a null doc_id are fingerprinted and
+linked, and join others to each other; only the smallest doc_id leaves them out (null if
+a group has none). Very long texts are a group of their own in a task, hashed whole. An
+empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,8 +29,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyra.llm.common import table
+from papyra.llm.bytetools import buffers, words
+from papyra.llm.common import beside, table
 from papyra.llm.components import components
+from papyra.llm.features import groups
 from papyra.session import write_table
 
 SHINGLE = 4
@@ -39,47 +43,127 @@ PAIRWISE = 32
 BLOCK = 8192
 #: The table of classes has a file for so many documents at most.
 CLASSES_A_FILE = 50_000
+#: Texts go in groups of about this many bytes.
+GROUP = 1 << 20
+#: A shingle of more bytes is hashed on its own.
+LONG = 4096
+SEED = 42
 _LANES = np.uint64(0x0101010101010101)
-
-
-def shingle_hashes(text: bytes) -> list[int]:
-    """XXH64 (seed 42) of each 4-word shingle of lower-cased text; of the whole sequence if shorter."""
-    parts = text.lower().split()
-    if not parts:
-        return []
-    joined = b" ".join(parts)
-    if len(parts) <= SHINGLE:
-        return [xxhash.xxh64_intdigest(joined, 42)]
-    ends, at = [], -1
-    for p in parts:
-        at += len(p) + 1
-        ends.append(at)
-    h = xxhash.xxh64_intdigest
-    starts = [0, *(e + 1 for e in ends[: len(ends) - SHINGLE])]
-    return [h(joined[s:e], 42) for s, e in zip(starts, ends[SHINGLE - 1 :])]
-
-
-def majority(hashes: np.ndarray) -> int:
-    """Bits set in over half the hashes, as an unsigned number."""
-    n = len(hashes)
-    if n == 0:
-        return 0
-    counts = np.zeros((8, 8), np.int64)  # [shift][byte]
-    for lo in range(0, n, 255 * 64):
-        part = hashes[lo : lo + 255 * 64]
-        cuts = np.arange(0, len(part), 255)
-        for j in range(8):
-            sums = np.add.reduceat((part >> np.uint64(j)) & _LANES, cuts)
-            counts[j] += sums.view(np.uint8).reshape(-1, 8).sum(0, dtype=np.int64)
-    bits = counts.T.ravel() * 2 > n  # bit 8 * byte + shift
-    return int(np.packbits(bits, bitorder="little").view(np.uint64)[0])
+_WORD = (~np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])).astype(np.uint8)
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+# The five primes of XXH64.
+_P1, _P2, _P3, _P4, _P5 = (
+    np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)
+)
+
+
+def _turn(x: np.ndarray, by: int) -> np.ndarray:
+    return (x << np.uint64(by)) | (x >> np.uint64(64 - by))
+
+
+def _round(acc: np.ndarray, lane: np.ndarray) -> np.ndarray:
+    return _turn(acc + lane * _P2, 31) * _P1
+
+
+def xxh64(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = SEED) -> np.ndarray:
+    """XXH64 of many spans of bytes, all at once: every step takes the spans that are long enough for it."""
+    size = ends - starts
+    room = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(room) - 7,), "<u8", buffer=room, strides=(1,))
+    four = np.ndarray((len(room) - 3,), "<u4", buffer=room, strides=(1,))
+    s = np.uint64(seed)
+    h = np.full(len(size), s + _P5, np.uint64)
+    at = starts.copy()
+    big = np.flatnonzero((size >= 32) & (size <= LONG))
+    if len(big):
+        with np.errstate(over="ignore"):
+            acc = [np.full(len(big), x, np.uint64) for x in (s + _P1 + _P2, s + _P2, s, s - _P1)]
+        for k in range(int(size[big].max()) // 32):
+            on = np.flatnonzero(size[big] >= 32 * (k + 1))
+            for j in range(4):
+                acc[j][on] = _round(acc[j][on], eight[starts[big[on]] + 32 * k + 8 * j])
+        mixed = _turn(acc[0], 1) + _turn(acc[1], 7) + _turn(acc[2], 12) + _turn(acc[3], 18)
+        for a in acc:
+            mixed = (mixed ^ _round(np.zeros_like(a), a)) * _P1 + _P4
+        h[big] = mixed
+        at[big] += size[big] // 32 * 32
+    h += size.astype(np.uint64)
+    for _ in range(3):
+        on = np.flatnonzero(at + 8 <= ends)
+        on = on[size[on] <= LONG]
+        if not len(on):
+            break
+        h[on] = _turn(h[on] ^ _round(np.zeros(len(on), np.uint64), eight[at[on]]), 27) * _P1 + _P4
+        at[on] += 8
+    on = np.flatnonzero(at + 4 <= ends)
+    on = on[size[on] <= LONG]
+    h[on] = _turn(h[on] ^ (four[at[on]].astype(np.uint64) * _P1), 23) * _P2 + _P3
+    at[on] += 4
+    for _ in range(3):
+        on = np.flatnonzero(at < ends)
+        on = on[size[on] <= LONG]
+        if not len(on):
+            break
+        h[on] = _turn(h[on] ^ (room[at[on]].astype(np.uint64) * _P5), 11) * _P1
+        at[on] += 1
+    h ^= h >> np.uint64(33)
+    h *= _P2
+    h ^= h >> np.uint64(29)
+    h *= _P3
+    h ^= h >> np.uint64(32)
+    for i in np.flatnonzero(size > LONG):
+        h[i] = xxhash.xxh64_intdigest(memoryview(data[starts[i] : ends[i]]), seed)
+    return h
+
+
+def shingle_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash) of every shingle of lower-cased texts, by row; of a shorter text the whole sequence."""
+    s, e, rows = words(data, offsets, _WORD)
+    if not len(s):
+        return rows, np.zeros(0, np.uint64)
+    word = _WORD[data] == 1
+    keep = word.copy()
+    keep[e[e < len(data)]] = True  # one separator after each word
+    joined = np.where(word, _LOWER[data], 32)[keep].astype(np.uint8)
+    place = np.cumsum(keep) - 1
+    s, e = place[s], place[e - 1] + 1
+    sizes = np.bincount(rows, minlength=len(offsets) - 1)
+    first = np.cumsum(sizes) - sizes
+    short = np.flatnonzero((sizes > 0) & (sizes < SHINGLE))
+    from_word = np.flatnonzero(rows[SHINGLE - 1 :] == rows[: len(rows) - SHINGLE + 1]) if len(rows) >= SHINGLE else np.zeros(0, np.int64)
+    begin = np.concatenate([from_word, first[short]])
+    end = np.concatenate([from_word + SHINGLE - 1, first[short] + sizes[short] - 1])
+    order = np.argsort(begin, kind="stable")
+    begin, end = begin[order], end[order]
+    return rows[begin], xxh64(joined, s[begin], e[end])
+
+
+def majority(rows: np.ndarray, hashes: np.ndarray, n: int) -> np.ndarray:
+    """For each of n rows the bits set in over half its hashes; rows are in order."""
+    out = np.zeros(n, np.uint64)
+    if not len(rows):
+        return out
+    new = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
+    size = np.diff(np.append(new, len(rows)))
+    own = np.arange(len(rows)) - np.repeat(new, size)
+    cuts = np.flatnonzero(own % 255 == 0)  # a byte counts up to 255
+    of_row = np.searchsorted(cuts, new)
+    counts = np.empty((len(new), 8, 8), np.int64)  # [row][byte][shift]
+    for j in range(8):
+        sums = np.add.reduceat((hashes >> np.uint64(j)) & _LANES, cuts)
+        counts[:, :, j] = np.add.reduceat(sums.astype("<u8").view(np.uint8).reshape(-1, 8).astype(np.int64), of_row, axis=0)
+    bits = (counts * 2 > size[:, None, None]).reshape(len(new), 64)  # bit 8 * byte + shift
+    out[rows[new]] = np.packbits(bits, axis=1, bitorder="little").view("<u8")[:, 0]
+    return out
 
 
 def _fingerprints(texts: pa.Array) -> pa.Array:
+    data, offsets = buffers(texts)
     out = np.zeros(len(texts), np.uint64)
-    for i, t in enumerate(texts.cast(pa.binary()).to_pylist()):
-        if t:
-            out[i] = majority(np.array(shingle_hashes(t), np.uint64))
+    for i, j in groups(offsets, GROUP):
+        part = data[offsets[i] : offsets[j]]
+        out[i:j] = majority(*shingle_hashes(part, offsets[i : j + 1] - offsets[i]), j - i)
     return pa.array(out.view(np.int64))
 
 
@@ -221,13 +305,24 @@ def links(classes: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(doc_id, fp, component_id) of every row of docs (doc_id, text)."""
-    prints = write_table(docs.select(F.col("doc_id").cast("long").alias("doc_id"), fingerprint(F.col("text")).alias("fp")), "fingerprints")
+    """(doc_id, th, fp, group_id, component_id) of every row of docs (doc_id, text).
+
+    th: a hash of the text; group_id: the least fingerprint of the linked ones, which
+    names the group even where doc_ids are null or repeat.
+    """
+    prints = write_table(
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), fingerprint(F.col("text")).alias("fp")), "fingerprints"
+    )
     files = 1 + prints.count() // CLASSES_A_FILE
-    classes = write_table(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")).coalesce(files), "classes")
-    found = components(links(classes.where("rep IS NOT NULL"), block))
-    named = classes.join(found, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return prints.join(named, "fp")
+    classes = write_table(prints.groupBy("fp").agg(F.min("doc_id").alias("least")).coalesce(files), "classes")
+    found = components(links(classes.select("fp", F.col("fp").alias("rep")), block))
+    linked = classes.join(found, F.col("fp") == F.col("node")).select("fp", "least", F.col("component").alias("group_id"))
+    smallest = linked.groupBy("group_id").agg(F.min("least").alias("of_group"))
+    linked = linked.select(F.col("fp").alias("of"), "group_id").join(beside(smallest), "group_id")
+    named = classes.join(linked, F.col("fp") == F.col("of"), "left").select(
+        "fp", F.coalesce("group_id", "fp").alias("group_id"), F.when(F.col("of").isNull(), F.col("least")).otherwise(F.col("of_group")).alias("component_id")
+    )
+    return prints.join(named, "fp").select("doc_id", "th", "fp", "group_id", "component_id")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -67,6 +67,41 @@ def test_near_duplicates_match_brute_force(spark):
     assert simhash.near_duplicates(empty(spark).select("doc_id", "text")).count() == 0
 
 
+def test_rows_without_an_id_join_others(spark):
+    """a ~ b ~ c, and only b has no doc_id."""
+    rng = random.Random(3)
+    words = [f"w{rng.randrange(400)}" for _ in range(900)]
+    rows, prints = [], []
+    for k in range(200):
+        own = list(words)
+        own[rng.randrange(900)] = "x"
+        own[rng.randrange(900)] = "y"
+        rows.append(" ".join(own))
+        prints.append(brute_simhash(rows[-1]))
+    apart = lambda i, j: bin(prints[i] ^ prints[j]).count("1")
+    a, b, c = next((i, j, k) for j in range(200) for i in range(200) for k in range(200) if apart(i, j) <= 4 and apart(j, k) <= 4 and apart(i, k) > 4)
+    df = spark.createDataFrame([(1, rows[a]), (None, rows[b]), (3, rows[c]), (None, "alone here in its group")], "doc_id long, text string")
+    got = simhash.near_duplicates(df).collect()
+    assert {r["component_id"] for r in got if r["doc_id"]} == {1} and sorted(str(r["component_id"]) for r in got if r["doc_id"] is None) == ["1", "None"]
+
+
+def test_xxh64_matches_the_library():
+    rng = random.Random(5)
+    data = bytes(rng.randrange(256) for _ in range(30_000))
+    starts = np.array([rng.randrange(15_000) for _ in range(2000)])
+    ends = starts + np.array([rng.randrange(140) if k % 20 else rng.randrange(9000) for k in range(2000)])
+    got = simhash.xxh64(np.frombuffer(data, np.uint8), starts, ends)
+    assert [int(x) for x in got] == [xxhash.xxh64_intdigest(data[i:j], 42) for i, j in zip(starts, ends)]
+
+
+def test_fingerprints_of_odd_texts(monkeypatch):
+    texts = ["a\x00b c\x00 \x0bD é\u2003f g", "ÀÉ a" + " B" * 700, "w" * 9000 + " x y z " + "v" * 40, None, "", " \t", "one", "one two three", "one two three four", " A\r\nb  c d e "] * 3
+    for size in (1, 50, 1 << 20):
+        monkeypatch.setattr(simhash, "GROUP", size)
+        got = simhash._fingerprints(pa.array(texts)).to_pylist()
+        assert [x % (1 << 64) for x in got] == [brute_simhash(t) for t in texts]
+
+
 def test_links_lose_nothing_in_dense_groups(spark):
     rng = np.random.default_rng(4)
     core = rng.integers(0, 1 << 63, 3, dtype=np.uint64)
@@ -121,6 +156,45 @@ def test_fingerprints_match_brute_force(spark):
     assert all(len(v) == 1 for v in same.values())
 
 
+def brute_lanes(text):
+    """Low bits of each bin, straight from the definition."""
+    def mixed(h):
+        h &= M
+        h ^= h >> 30
+        h = h * 0xBF58476D1CE4E5B9 & M
+        h ^= h >> 27
+        h = h * 0x94D049BB133111EB & M
+        return h ^ h >> 31
+
+    M, step = (1 << 64) - 1, 0x9E3779B97F4A7C15
+    word = lambda w: mixed(sum(c * pow(step, i, 1 << 64) for i, c in enumerate(w)))
+    bins = {}
+    for gram in words5(text):
+        h = len(gram)
+        for w in gram:
+            h = (h * step + word(w)) & M
+        h = mixed(h)
+        bins[h >> 55] = min(bins.get(h >> 55, M), h)
+    out = []
+    for j in range(512 if bins else 0):
+        t, at = 0, j
+        while at not in bins:
+            t += 1
+            at = mixed(j * 1_000_003 + t * step) >> 55
+        out.append(bins[at] & 15)
+    return out or [0] * 512
+
+
+def test_packed_fingerprints_match_brute_force():
+    texts = [r[1] or "" for r in documents()][:75] + ["a b c d", "a", "A-b", "é ß x y z w"]
+    got = minhash.lanes(pa.array(texts))
+    packed = minhash.pack(got)
+    for i, t in enumerate(texts):
+        want = brute_lanes(t)
+        assert got[i].tolist() == want
+        assert packed[i] == "".join(f"{want[k] | want[k + 1] << 4:02x}" for k in range(0, 512, 2))
+
+
 def test_fingerprints_of_few_rows(spark):
     one = spark.createDataFrame([(5, "a b c d e f")], "doc_id long, text string")
     r = minhash.fingerprints(one).collect()
