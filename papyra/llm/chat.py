@@ -12,7 +12,8 @@ Defined cases: null text or role counts as empty; rows of a null conv_id form on
 conversation; equal turns are ordered by role and text; turns that break the order
 of roles are formatted all the same and counted in n_violations; unknown roles use
 the template's open form, which carries the role's name; an empty table gives only
-the planted conversation; other columns are ignored.
+the planted conversation; very long texts and conversations are streamed, a text at a
+time; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -143,7 +144,8 @@ DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss
 def read_back(formatted: DataFrame, template: Template | None = None) -> DataFrame:
     """Digests of each conversation, from the formatted segments alone.
 
-    Expects the order of format_turns; a conversation's text is parsed turn by turn.
+    Expects the order of format_turns. Roles and texts are parsed from the segments' text,
+    turn by turn; what counts for the loss is what the segments' flags say.
     """
 
     def run(batches):
@@ -156,10 +158,12 @@ def read_back(formatted: DataFrame, template: Template | None = None) -> DataFra
                         out.append(_end(now, state))
                     now, state = c, [0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0]
                 whole = "".join(s["text"] for s in segs)
-                for role, text, loss in f.parse(whole):
+                for role, text, _ in f.parse(whole):
                     state[0] += 1
                     state[1].update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
-                    if loss:
+                for s in segs:
+                    if s["loss"]:
+                        text = f.unescape(s["text"])
                         state[2] += len(text)
                         state[3].update(text.encode("utf-8", "surrogatepass"))
                 state[4] += len(whole)

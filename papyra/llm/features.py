@@ -16,7 +16,7 @@ FOLD = fold_map()
 RAW = fold_map(keep_case=True, separators=SPACES)
 PREFIX = 6
 #: Rows go in groups of about this many bytes, so that memory stays bounded.
-GROUP = 2 << 20
+GROUP = 1 << 18
 
 
 def _classes() -> np.ndarray:
@@ -74,11 +74,11 @@ def ngrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 Extract = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
 
-def groups(offsets: np.ndarray):
-    """Runs of rows of about GROUP bytes."""
+def groups(offsets: np.ndarray, size: int = GROUP):
+    """Runs of rows of about size bytes."""
     i, n = 0, len(offsets) - 1
     while i < n:
-        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + GROUP, side="right")) - 1)
+        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + size, side="right")) - 1)
         yield i, min(j, n)
         i = min(j, n)
 
@@ -96,7 +96,11 @@ def pairs(data: np.ndarray, offsets: np.ndarray, extract: Extract, keep: np.ndar
 
 
 def collect_features(sample: DataFrame, extract: Extract) -> tuple[list[np.ndarray], np.ndarray]:
-    """Feature lists and labels of a bounded sample (doc_id, text, y), in order of id."""
+    """Feature lists and labels of a bounded sample (doc_id, h, text, y), in order of id and hash.
+
+    The lists are views of one array, filled batch by batch, so that little more than
+    the features themselves is held.
+    """
 
     def run(batches):
         for b in batches:
@@ -109,12 +113,31 @@ def collect_features(sample: DataFrame, extract: Extract) -> tuple[list[np.ndarr
             np.cumsum([len(x) for x in lists], out=sizes[1:])
             flat = np.concatenate(lists) if lists else np.zeros(0, np.int32)
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id").cast(pa.int64()), b.column("y").cast(pa.int32()), pa.ListArray.from_arrays(pa.array(sizes), pa.array(flat))], names=["doc_id", "y", "f"]
+                [b.column("doc_id").cast(pa.int64()), b.column("h"), b.column("y").cast(pa.int32()), pa.ListArray.from_arrays(pa.array(sizes), pa.array(flat))],
+                names=["doc_id", "h", "y", "f"],
             )
 
-    got = sample.select("doc_id", "text", "y").mapInArrow(run, "doc_id long, y int, f array<int>").toArrow().sort_by([("doc_id", "ascending")])
-    lists = got.column("f").combine_chunks()
-    if isinstance(lists, pa.ChunkedArray):
-        lists = pa.concat_arrays(lists.chunks) if lists.num_chunks else pa.array([], pa.list_(pa.int32()))
-    flat, cuts = lists.values.to_numpy(), lists.offsets.to_numpy()
-    return [flat[a:z] for a, z in zip(cuts[:-1], cuts[1:])], got.column("y").to_numpy().astype(np.int64)
+    batches = sample.select("doc_id", "h", "text", "y").mapInArrow(run, "doc_id long, h long, y int, f array<int>").toArrow().to_batches()
+    column = lambda name: np.concatenate([b.column(name).to_numpy() for b in batches] or [np.zeros(0, np.int64)])
+    ids, h, y = column("doc_id"), column("h"), column("y").astype(np.int64)
+    sizes = np.concatenate([np.diff(b.column("f").offsets.to_numpy()) for b in batches] or [np.zeros(0, np.int64)]).astype(np.int64)
+    order = np.lexsort((h, ids))
+    ends = np.cumsum(sizes[order])
+    start = np.empty(len(order), np.int64)
+    start[order] = ends - sizes[order]
+    flat, row = np.empty(int(sizes.sum()), np.int32), len(order)
+    while batches:
+        f = batches.pop().column("f")
+        values, cuts = f.values.to_numpy(), f.offsets.to_numpy()
+        row -= len(f)
+        for k in range(len(f)):
+            flat[start[row + k] : start[row + k] + cuts[k + 1] - cuts[k]] = values[cuts[k] : cuts[k + 1]]
+    return [flat[e - n : e] for e, n in zip(ends.tolist(), sizes[order].tolist())], y[order]
+
+
+def counts(lists: list[np.ndarray]) -> np.ndarray:
+    """In how many lists each bucket is; some hundred lists at a time."""
+    out = np.zeros(BUCKETS, np.float64)
+    for i in range(0, len(lists), 256):
+        out += np.bincount(np.concatenate(lists[i : i + 256]), minlength=BUCKETS)
+    return out

@@ -23,15 +23,18 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from papyra.llm.bytetools import buffers
-from papyra.llm.common import fold, table
+from papyra.llm.common import fold, resident, table, trim
 
 A = 157
 BLOCK = 1 << 20
 PER_LANGUAGE = 3000
+#: Bits a byte that a code without any statistics takes; a longer code is of none of the languages.
+UNIFORM = float(np.log2(A))
 
 
 def _symbols() -> np.ndarray:
@@ -68,7 +71,7 @@ def _count(batches):
     for b in batches:
         lang, texts = b.column("lang"), b.column("text")
         for name in lang.unique().to_pylist():
-            data, offsets = buffers(texts.filter(pa.compute.equal(lang, name)))
+            data, offsets = buffers(texts.filter(pc.equal(lang, name)))
             out: dict[int, int] = {}
             for lo in range(0, len(data), BLOCK):
                 c, n = np.unique(codes(data, offsets, lo, min(lo + BLOCK, len(data))), return_counts=True)
@@ -91,11 +94,9 @@ class Model:
         rows = np.zeros((len(seen) + 1, n_lang), np.float32)
         self.esc2 = np.zeros((A * A, n_lang), np.float32)
         self.cost1 = np.zeros((A * A, n_lang), np.float32)
+        ab, bc = seen // A, seen % (A * A)
         for k, (code, n) in enumerate(counts):
-            n3 = np.zeros(A * A * A, np.float64)
-            n3[code] = n
-            cube = n3.reshape(A, A, A)
-            n2 = cube.sum(0)
+            n2 = np.bincount(code % (A * A), n, A * A).reshape(A, A)
             n1 = n2.sum(0)
             total, kinds = n1.sum(), (n1 > 0).sum()
             p0 = np.where(n1 > 0, n1, kinds / A) / (total + kinds)
@@ -103,12 +104,12 @@ class Model:
             with np.errstate(divide="ignore", invalid="ignore"):
                 esc1 = np.where(total > 0, kinds / (total + kinds), 1.0)
                 p1 = np.where(n2 > 0, n2 / (total + kinds)[:, None], esc1[:, None] * p0[None, :])
-                total, kinds = cube.sum(2).ravel(), (cube > 0).sum(2).ravel()
+                total, kinds = np.bincount(code // A, n, A * A), np.bincount(code // A, minlength=A * A)
                 esc2 = np.where(total > 0, kinds / (total + kinds), 1.0)
             self.esc2[:, k] = -np.log2(esc2)
             self.cost1[:, k] = -np.log2(p1).ravel()
-            ab, bc = seen // A, seen % (A * A)
-            mine = n3[seen]
+            mine = np.zeros(len(seen))
+            mine[np.searchsorted(seen, code)] = n
             with np.errstate(divide="ignore"):
                 direct = -np.log2(mine / np.maximum(total + kinds, 1)[ab])
             rows[1:, k] = np.where(mine > 0, direct, self.esc2[ab, k] + self.cost1[bc, k])
@@ -144,39 +145,33 @@ class Model:
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     """Learn from text and non-null lang of documents outside the held-out fold.
 
-    About per_language documents a language are used (a bounded sample drawn by a
-    hash of the id); counting runs on the executors, the counts of at most A^3
-    contexts a language come to the driver.
+    About per_language distinct rows a language are used, picked by a hash of id and text,
+    so a repeated id or row doesn't add to them; counting runs on the executors, the counts
+    of at most A^3 contexts a language come to the driver.
     """
+    h = F.xxhash64("doc_id", "text")
     rows = docs.select("doc_id", "text", "lang").where(
         F.col("lang").isNotNull() & F.col("text").isNotNull() & ~fold(F.col("doc_id"), 5, 0)
     )
-    sizes = {r["lang"]: r["n"] for r in rows.select("lang").groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    pick = F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1_000_000))
+    sizes = {r["lang"]: r for r in rows.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct(h, 0.02).alias("distinct")).collect()}
     keep = F.lit(False)
-    for name, n in sizes.items():
-        keep = keep | ((F.col("lang") == name) & (pick < int(min(1.0, per_language / n) * 1_000_000)))
+    for name, r in sizes.items():
+        keep = keep | ((F.col("lang") == name) & (F.pmod(F.xxhash64(h), F.lit(1 << 40)) < int(min(1.0, per_language / r["distinct"]) * (1 << 40))))
     got = (
-        rows.where(keep).select("lang", "text").mapInArrow(_count, "lang string, code int, n long")
+        rows.where(keep).dropDuplicates(["doc_id", "text", "lang"]).select("lang", "text").mapInArrow(_count, "lang string, code int, n long")
         .groupBy("lang", "code").agg(F.sum("n").alias("n")).toArrow()
     )
-    frame = got.to_pandas()
-    langs = sorted(frame["lang"].unique())
+    lang, code, n = got.column("lang"), got.column("code").to_numpy(), got.column("n").to_numpy()
+    langs = sorted(lang.unique().to_pylist())
     counts = []
     for name in langs:
-        own = frame[frame["lang"] == name]
-        counts.append((own["code"].to_numpy(np.int64), own["n"].to_numpy(np.float64)))
-    return Model(langs, counts, [sizes[x] for x in langs])
-
-
-_index: dict[str, np.ndarray] = {}
-
-
-def _index_of(model: Model) -> np.ndarray:
-    if model.uid not in _index:
-        _index.clear()
-        _index[model.uid] = model.index()
-    return _index[model.uid]
+        own = pc.equal(lang, name).to_numpy(zero_copy_only=False) if isinstance(lang, pa.Array) else pc.equal(lang, name).to_numpy()
+        order = np.argsort(code[own])
+        counts.append((code[own][order].astype(np.int64), n[own][order].astype(np.float64)))
+    model = Model(langs, counts, [sizes[x]["n"] for x in langs])
+    del got, lang, code, n, counts
+    trim()
+    return model
 
 
 def scorer(spark: SparkSession, model: Model):
@@ -186,7 +181,7 @@ def scorer(spark: SparkSession, model: Model):
     def run(texts: pa.Array) -> pa.Array:
         m = sent.value
         data, offsets = buffers(texts)
-        bits = m.bits(data, offsets, _index_of(m)) + m.prior
+        bits = m.bits(data, offsets, resident(m.uid, m.index)) + m.prior
         best = bits.argmin(1)
         low = bits.min(1)
         score = 1 / np.exp2(-np.minimum(bits - low[:, None], 1000.0)).sum(1)

@@ -12,7 +12,7 @@ not grow with the partition. A bin has SEQUENCE members at most. Each round's bi
 written to the shared folder, so lost executors repeat one round at most.
 
 Defined cases: a null text is empty and gives one piece of one id; repeated rows are
-packed as often as they occur; a null doc_id stays null; an empty table gives no rows;
+packed as often as they occur, and dealt evenly; a null doc_id stays null; an empty table gives no rows;
 other columns are ignored. Sequence ids are unique, odd for packed bins and even for
 full pieces.
 """
@@ -164,7 +164,7 @@ def pack(pieces: DataFrame, capacity: int = SEQUENCE, items: int = ITEMS) -> Dat
     )
     part = pieces.where(F.col("length") < capacity)
     member = F.struct("doc_id", "piece", "start", "length", "ids_crc32", F.lit(0).cast("long").alias("offset"))
-    bins = part.select(F.col("length").cast("int").alias("fill"), F.array(member).alias("members"), F.xxhash64("doc_id", "piece", "ids_crc32").alias("k"))
+    bins = part.select(F.col("length").cast("int").alias("fill"), F.array(member).alias("members"), F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()).alias("k"))
     count = part.count()
     n = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(count / items)))
     done, level = [], 0

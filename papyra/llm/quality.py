@@ -4,12 +4,12 @@ N-gram indicators (word uni- and bigrams, and n-grams of token shapes) are scale
 the log-count ratio of the two classes; on the scaled, length-normalised vectors a
 linear model with hinge loss is fit by dual coordinate descent. A logistic curve,
 fit on rows kept out of the descent, turns margins into scores of 0 to 1. It learns
-from a bounded labelled sample (PER_CLASS rows a class).
+from a bounded labelled sample (about PER_CLASS distinct rows a class).
 
-Defined cases: null and empty texts get the score of no n-grams at all (the margin is
+Defined cases: an empty table gives no rows; null and empty texts get the score of no n-grams at all (the margin is
 the bias); without labels of both classes the score is the share of label 1 (0.0
 without labels). Repeated rows score alike; other columns are ignored; whole texts
-are read, in groups of rows.
+are read, in groups of rows, so memory depends on the longest text alone.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from papyra.llm import features
 from papyra.llm.bytetools import buffers
-from papyra.llm.common import fold, labelled_sample, prior_shift, table
+from papyra.llm.common import fold, labelled_sample, prior_shift, table, trim
 
 PER_CLASS = 6000
 THRESHOLD = 0.7
@@ -80,19 +80,17 @@ class NBSVM:
         self.keep = np.zeros(features.BUCKETS, bool)
         if self.constant is not None:
             return
-        flat = np.concatenate(lists)
-        label = np.repeat(y, [len(x) for x in lists])
-        p = np.bincount(flat[label == 1], minlength=features.BUCKETS).astype(np.float64)
-        q = np.bincount(flat[label == 0], minlength=features.BUCKETS).astype(np.float64)
+        p = features.counts([x for x, k in zip(lists, y) if k == 1])
+        q = features.counts([x for x, k in zip(lists, y) if k == 0])
         self.keep = p + q >= least
-        del flat, label
         ratio = np.where(self.keep, np.log((p + 1) / (p + 1).sum()) - np.log((q + 1) / (q + 1).sum()), 0.0)
+        del p, q
         rows, values = [], []
         for x in lists:
             k = x[self.keep[x]]
             v = ratio[k]
             size = np.sqrt(v @ v)
-            rows.append(np.append(k, features.BUCKETS).astype(np.int32))
+            rows.append(np.append(k, np.int32(features.BUCKETS)))
             values.append(np.append(v / size if size else v, 1.0).astype(np.float32))
         sign = np.where(y > 0, 1, -1)
         part = np.random.default_rng(11).permutation(n) % 5 == 0
@@ -120,8 +118,10 @@ class NBSVM:
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> NBSVM:
     sample, sizes = labelled_sample(docs, labels, "quality", per_class)
-    lists, y = features.collect_features(sample, features.ngrams)
-    return NBSVM(lists, y, prior_shift(y, sizes))
+    model = NBSVM(*(got := features.collect_features(sample, features.ngrams)), prior_shift(got[1], sizes))
+    del got
+    trim()
+    return model
 
 
 def scorer(spark: SparkSession, model: NBSVM):

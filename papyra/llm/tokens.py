@@ -17,6 +17,7 @@ import numpy as np  # noqa: E402
 import pyarrow as pa  # noqa: E402
 
 from papyra.llm.bytetools import buffers  # noqa: E402
+from papyra.llm.common import resident  # noqa: E402
 
 #: Pieces a worker remembers; the rest is encoded again when met, so memory stays bounded.
 CACHE = 400_000
@@ -144,12 +145,6 @@ class Encoder:
             i = j
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
     """This process's encoder of a vocabulary file."""
-    if path not in _encoders:
-        _encoders.clear()
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    return resident(path, lambda: Encoder(path))

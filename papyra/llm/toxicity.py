@@ -5,9 +5,9 @@ linear weights and pairwise interactions through factors of a low rank, so a pai
 such as an insult with the mention of a group can count more than its parts. Terms
 are folded words and the beginnings of longer words, hashed into buckets; the
 buckets most associated with the label (chi-square, ACTIVE of them) are learned by
-AdaGrad with weight decay on a bounded labelled sample (PER_CLASS rows a class).
+AdaGrad with weight decay on a bounded labelled sample (about PER_CLASS distinct rows a class).
 
-Defined cases: null and empty texts get the score of no terms at all; without
+Defined cases: an empty table gives no rows; null and empty texts get the score of no terms at all; without
 labels of both classes the score is the share of label 1 (0.0 without any labels).
 Repeated rows score alike; other columns are ignored; whole texts are read, in groups
 of rows, so memory depends on the longest text alone.
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from papyra.llm import features
 from papyra.llm.bytetools import buffers
-from papyra.llm.common import fold, labelled_sample, prior_shift, table
+from papyra.llm.common import fold, labelled_sample, prior_shift, resident, table, trim
 
 PER_CLASS = 12000
 ACTIVE = 4096
@@ -43,10 +43,8 @@ class FM:
         self.buckets, self.w, self.v = np.zeros(0, np.int64), np.zeros(0), np.zeros((0, RANK))
         if self.constant is not None:
             return
-        flat = np.concatenate(lists).astype(np.int64)
-        label = np.repeat(y, [len(x) for x in lists])
-        a = np.bincount(flat[label == 1], minlength=features.BUCKETS).astype(np.float64)
-        df = np.bincount(flat, minlength=features.BUCKETS).astype(np.float64)
+        a = features.counts([x for x, k in zip(lists, y) if k == 1])
+        df = features.counts(lists)
         want = df * n1 / n
         chi = np.where(df >= 3, (a - want) ** 2 / np.maximum(want * (1 - df / n) * (1 - n1 / n), 1e-9), 0.0)
         top = np.argsort(-chi, kind="stable")[:ACTIVE]
@@ -105,11 +103,10 @@ class FM:
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> FM:
     sample, sizes = labelled_sample(docs, labels, "toxic", per_class)
-    lists, y = features.collect_features(sample, features.terms)
-    return FM(lists, y, prior_shift(y, sizes))
-
-
-_active: dict[str, np.ndarray] = {}
+    model = FM(*(got := features.collect_features(sample, features.terms)), prior_shift(got[1], sizes))
+    del got
+    trim()
+    return model
 
 
 def scorer(spark: SparkSession, model: FM):
@@ -118,10 +115,7 @@ def scorer(spark: SparkSession, model: FM):
 
     def run(texts: pa.Array) -> pa.Array:
         m = sent.value
-        if m.uid not in _active:
-            _active.clear()
-            _active[m.uid] = m.table()
-        return pa.array(m.score(*buffers(texts), _active[m.uid]))
+        return pa.array(m.score(*buffers(texts), resident(m.uid, m.table)))
 
     run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
     return F.arrow_udf(run, "double")

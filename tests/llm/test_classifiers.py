@@ -1,6 +1,7 @@
 """Language ID, toxicity, quality: brute force on small texts, learning, odd cases."""
 
 import math
+import re
 import zlib
 from collections import Counter
 
@@ -164,3 +165,109 @@ def test_label_sample_leaves_out_the_held_out_fold(spark):
     m = quality.train(docs, labels)
     got = docs.select(quality.scorer(spark, m)("text").alias("s")).collect()
     assert all(0 <= r["s"] <= 1 for r in got)
+
+
+def test_sample_is_bounded_by_rows_not_ids(spark):
+    """Ten ids, each with many texts, and one row many times over."""
+    rows = spark.range(20_000).selectExpr("id % 10 AS doc_id", "concat('text number ', IF(id % 2 = 0, 0, id)) AS text", "'en' AS lang")
+    labels = spark.range(10).selectExpr("id AS doc_id", "CAST(id % 2 AS INT) AS quality", "CAST(id % 2 AS INT) AS toxic")
+    sample, _ = labelled_sample(rows, labels, "quality", 100)
+    got = sample.collect()
+    assert 20 < len(got) < 300 and len({(r["doc_id"], r["text"]) for r in got}) == len(got)
+    lists, y = features.collect_features(sample, features.terms)
+    assert len(lists) == len(y) == len(got) and set(y) <= {0, 1}
+    assert langid.train(rows, 50).langs == ["en"]
+
+
+def brute_terms(text):
+    """Buckets of folded words and beginnings of long ones."""
+    out = set()
+    for w in re.findall(rb"[a-z0-9\x80-\xff]+", "".join(c.lower() if c.isascii() else c for c in text or "").encode()):
+        for k, part in ((1, w), (2, w[:6])):
+            if k == 1 or len(w) > 6:
+                out.add(bucket_of(part, k))
+    return out
+
+
+def mixed(h):
+    M = (1 << 64) - 1
+    h = (h ^ h >> 30) * 0xBF58476D1CE4E5B9 & M
+    h = (h ^ h >> 27) * 0x94D049BB133111EB & M
+    return h ^ h >> 31
+
+
+def hash_of(part):
+    return mixed(sum(c * pow(0x9E3779B97F4A7C15, i, 1 << 64) for i, c in enumerate(part)) % (1 << 64))
+
+
+def bucket_of_number(h, salt):
+    return mixed((h ^ salt * 0x632BE59BD9B4E019) % (1 << 64)) >> (64 - features.BITS)
+
+
+def bucket_of(part, salt):
+    return bucket_of_number(hash_of(part), salt)
+
+
+ODD = ["Die Idioten und the people", "", None, "x", "groups groups GROUPS", "!!! aa aa bb, Cc. 12 é", "longest beginnings matter " * 3]
+
+
+def test_machine_score_matches_brute_force():
+    """Every pair of terms, one by one."""
+    texts = [t for r in documents() if (t := r[1])] * 2
+    y = np.array([int("the" in t.split()) for t in texts])
+    m = toxicity.FM(_lists(texts, features.terms), y, shift=0.3, epochs=3)
+    at = {int(b): k for k, b in enumerate(m.buckets)}
+    for t, got in zip(ODD + texts[:20], m.score(*bytetools.buffers(pa.array(ODD + texts[:20])), m.table())):
+        own = sorted(at[b] for b in brute_terms(t) if b in at)
+        z = m.bias + sum(m.w[i] for i in own) + sum(float(m.v[i] @ m.v[j]) for i in own for j in own if i < j)
+        assert got == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-9)
+
+
+def brute_ngrams(text):
+    raw = (text or "").encode()
+    out = set()
+    w = [hash_of(x) for x in re.findall(rb"[a-z0-9\x80-\xff]+", bytes(c + 32 if 65 <= c <= 90 else c for c in raw))]
+    out |= {bucket_of_number(h, 3) for h in w} | {bucket_of_number((b * 31 + a) % (1 << 64), 4) for a, b in zip(w, w[1:])}
+    kind = lambda c: 0 if 97 <= c <= 122 else 1 if 65 <= c <= 90 else 2 if 48 <= c <= 57 else 3 if c in b",." else 5 if c >= 128 else 4
+    tokens = re.findall(rb"[^ \t\n\r\x0b\x0c\x00]+", raw)
+    u = [((kind(x[0]) * 6 + kind(x[min(1, len(x) - 1)])) * 6 + kind(x[-1])) * 2 + (k > 0 and x == tokens[k - 1]) + 1 for k, x in enumerate(tokens)]
+    out |= {bucket_of_number(x, 5) for x in u} | {bucket_of_number(a * 512 + b, 6) for a, b in zip(u, u[1:])}
+    return out | {bucket_of_number((a * 512 + b) * 512 + c, 7) for a, b, c in zip(u, u[1:], u[2:])}
+
+
+def test_quality_score_matches_brute_force(monkeypatch):
+    texts = [t for r in documents() if (t := r[1])]
+    y = np.array([int(len(t) > 200) for t in texts])
+    m = quality.NBSVM(_lists(texts, features.ngrams), y, shift=-0.2)
+    # scaling by log-count ratios, from the definition
+    has = [brute_ngrams(t) for t in texts]
+    p, q = Counter(b for h, k in zip(has, y) if k for b in h), Counter(b for h, k in zip(has, y) if not k for b in h)
+    size = [sum(c.values()) + features.BUCKETS for c in (p, q)]
+    for size_of_group in (40, features.GROUP):
+        monkeypatch.setattr(features.groups, "__defaults__", (size_of_group,))
+        for t, got in zip(ODD + texts[:30], m.score(*bytetools.buffers(pa.array(ODD + texts[:30])))):
+            own = [b for b in brute_ngrams(t) if p[b] + q[b] >= 3]
+            ratio = {b: math.log((p[b] + 1) / size[0]) - math.log((q[b] + 1) / size[1]) for b in own}
+            for b in own:
+                assert m.square[b] == pytest.approx(ratio[b] ** 2, rel=1e-5)
+            norm = math.sqrt(sum(r * r for r in ratio.values()))
+            z = sum(float(m.weight[b]) for b in own) / norm if norm else 0.0
+            assert got == pytest.approx(1 / (1 + math.exp(-(m.slope * (z + m.bias) + m.offset))), abs=1e-6)
+
+
+@pytest.mark.parametrize("op", [toxicity, quality])
+def test_queries_on_odd_tables(spark, tmp_path, op):
+    """An empty table, clashing extra columns, a very long text, repeated rows."""
+    labels = spark.createDataFrame([(i, i % 2, i % 2, 9.0) for i in range(50)], "doc_id long, quality int, toxic int, score double")
+    rows = documents() + [(200, "word " * 200_000, "en", "s", 1, "c", "c", "c", "c", "c")]
+    for name, df in (("a", empty(spark)), ("b", frame(spark, rows).withColumn("held_out", F.lit("x")).withColumn("predicted", F.lit("x")).withColumn("h", F.lit("x")))):
+        df.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        labels.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        got = op.query(spark, f"{tmp_path}/{name}").collect()
+        assert len(got) == (0 if name == "a" else len(rows))
+        assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= op.THRESHOLD) for r in got)
+        scores = {}
+        for r in got:
+            scores.setdefault(r["doc_id"], set()).add(r["score"])
+        if name == "b":
+            assert scores[100] == scores[101] and all(len(s) == 1 for s in scores.values())

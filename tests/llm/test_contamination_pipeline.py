@@ -143,3 +143,24 @@ def test_pipeline_stages(spark, tmp_path):
     assert {r["doc_id"] for r in now.collect()} == set(kept["decontaminate"])
     assert P.run(spark, sf).count() >= len(kept["decontaminate"])
     assert WORDS and langid.train(docs).langs == ["de", "en"]
+
+
+def test_pipeline_keeps_unrelated_rows_of_one_id(spark, tmp_path):
+    """Repeats are rows equal in id and text; a null id is a document as any other."""
+    import corpus_pipeline as P
+
+    rng = random.Random(6)
+    a, b, c, d = (sentence(rng, "en", 80) for _ in range(4))
+    rows = [(5, a), (5, b), (6, c), (6, c), (None, c), (None, d), (None, d), (None, None), (9, "")]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, n string")
+    got = sorted(((r["doc_id"], r["text"]) for r in P.near_dedup(spark, docs, "").collect()), key=str)
+    assert got == sorted([(5, a), (5, b), (6, c), (None, d), (9, "")], key=str)
+
+
+def test_pipeline_on_empty_tables(spark, tmp_path):
+    import corpus_pipeline as P
+
+    empty(spark).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert P.run(spark, str(tmp_path)).count() == 0
