@@ -6,10 +6,13 @@ kept; all but the last return the columns of documents. Models learn from the la
 documents.parquet's own rows, so a stage behaves alike whatever an earlier one removed.
 
 Defined cases: a document that the quality classifier scores below its threshold goes;
-so does one whose language is `und` or whose score is below MIN_LANGUAGE; of linked near-
-duplicates the one with the smallest doc_id stays (one row of it, if rows repeat; rows
-without a doc_id stay); a document with a hit benchmark window goes. Extra columns pass
-through the filters untouched.
+so does one whose language is `und`, whose score is below MIN_LANGUAGE, or whose code is
+longer than without any statistics of a language (bytes that are in none of them). Of a
+group of linked near-duplicates the row with the smallest doc_id stays, a null doc_id
+counting as the largest, and of several texts with that doc_id the one whose hash is
+smallest; of rows equal in doc_id and text one. Rows with one doc_id and unrelated texts
+are documents of their own. A document with a hit benchmark window goes. Extra columns
+pass through the filters untouched. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -18,12 +21,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from papyra.llm import decontaminate, langid, packing, quality, simhash
-from papyra.llm.common import table
+from papyra.llm.common import beside, table
 from papyra.session import attach, write_table
 
 MIN_LANGUAGE = 0.3
-#: Ids (16 bytes each) that may be broadcast to the scan of the documents.
-BROADCAST = 2_000_000
 
 
 def by_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,35 +37,31 @@ def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents in a language that language identification (1) knows."""
     model = langid.train(table(spark, sf_dir, "documents"))
     scored = langid.identify(docs, model, out="__lang_id")
-    return scored.where((F.col("__lang_id.lang") != "und") & (F.col("__lang_id.score") >= MIN_LANGUAGE)).drop("__lang_id")
-
-
-def _beside(ids: DataFrame) -> DataFrame:
-    """A side to join documents with: broadcast if it has BROADCAST rows at most, else both sides are dealt by key."""
-    return F.broadcast(ids) if ids.limit(BROADCAST + 1).count() <= BROADCAST else ids.hint("shuffle_hash")
+    known = (F.col("__lang_id.lang") != "und") & (F.col("__lang_id.score") >= MIN_LANGUAGE) & (F.col("__lang_id.bits_per_byte") <= langid.UNIFORM)
+    return scored.where(known).drop("__lang_id")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each SimHash component (4)."""
+    """Keep one document of each SimHash group (4)."""
     attach(spark)
     found = simhash.near_duplicates(docs.select("doc_id", "text"))
-    kept = write_table(found.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count("*").alias("n")), "kept")
-    own = docs["doc_id"]
-    alone = docs.where(own.isNull())
-    named = lambda which: _beside(kept.where(which).select(F.col("doc_id").alias("__id")))
-    if kept.where("n > 1").limit(1).count():
-        once = docs.join(named("n = 1"), own == F.col("__id"), "left_semi")
-        many = docs.join(named("n > 1"), own == F.col("__id"), "left_semi")
-        return once.unionByName(many.dropDuplicates(["doc_id"])).unionByName(alone)
-    return docs.join(named("true"), own == F.col("__id"), "left_semi").unionByName(alone)
+    rows = found.groupBy("group_id", "doc_id", "th").agg(F.count("*").alias("n"))
+    least = rows.groupBy("group_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", "n")).alias("k"))
+    kept = write_table(least.select(F.col("k.doc_id").alias("__id"), F.col("k.th").alias("__th"), F.col("k.n").alias("__n")), "kept")
+    same = docs["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__th"))
+    if not kept.where("__n > 1").limit(1).count():
+        return docs.join(beside(kept), same, "left_semi")
+    once = docs.join(beside(kept.where("__n = 1")), same, "left_semi")
+    many = docs.join(beside(kept.where("__n > 1")), same, "left_semi")
+    return once.unionByName(many.dropDuplicates(["doc_id", "text"]))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents with a benchmark window (10); joined by id and a hash of the text."""
     matches = decontaminate.matched(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
-    hit = write_table(matches.select(F.col("did").alias("__did"), F.col("th").alias("__th")).distinct(), "hit")
+    hit = write_table(matches.select(F.col("did").alias("__did"), F.col("th").alias("__th")), "hit")
     key = (F.coalesce(docs["doc_id"].cast("long"), F.lit(-1)) == F.col("__did")) & (F.xxhash64(docs["text"]) == F.col("__th"))
-    return docs.join(_beside(hit), key, "left_anti")
+    return docs.join(beside(hit), key, "left_anti")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
