@@ -135,8 +135,8 @@ PATH_TYPES = (
     (r"\btroubleshoot", "troubleshooting"),
     (r"\bfaqs?\b", "faq"),
     (r"\bchangelog", "changelog"),
-    (r"\brelease[-_]?notes\b", "release-notes"),
-    (r"\bhow[-_]?to\b", "howto"),
+    (r"\brelease[-_]?notes?\b", "release-notes"),
+    (r"\bhowto\b", "howto"),
     (r"\bops\b", "operations"),
     (r"\bdeploy", "deployment"),
     (r"\bpipeline", "pipeline"),

@@ -13,7 +13,7 @@ from papyra.operators.schema import DOCUMENTS
 
 #: File extensions and the languages they stand for.
 LANGUAGES = {
-    "ts": "typescript", "tsx": "typescript", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript", "py": "python", "pyi": "python",
+    "ts": "typescript", "tsx": "typescript", "mts": "typescript", "cts": "typescript", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript", "py": "python", "pyi": "python",
     "java": "java", "kt": "kotlin", "scala": "scala", "go": "go", "rs": "rust", "c": "c", "h": "c", "cpp": "cpp", "cc": "cpp", "hpp": "cpp", "cs": "csharp",
     "rb": "ruby", "swift": "swift", "php": "php", "lua": "lua", "r": "r", "sh": "shell", "bash": "shell", "zsh": "shell",
 }

@@ -19,12 +19,16 @@ _KINDS = {"struct": "class", "enum": "enum", "trait": "interface"}
 
 def parse(src: Source) -> None:
     owners: dict[str, int] = {}
-    for i, line in enumerate(src.lines):
-        if m := _TYPE.match(line):
-            owners[m["name"]] = src.add(_KINDS[m["kind"]], m["name"], i, src.statement(i), bool(m["pub"]))
     i = 0
     while i < len(src):
-        line, end = src.lines[i], i
+        end = i
+        if m := _TYPE.match(src.trimmed[i]):
+            end = src.statement(i)
+            owners[m["name"]] = src.add(_KINDS[m["kind"]], m["name"], i, end, bool(m["pub"]))
+        i = end + 1
+    i = 0
+    while i < len(src):
+        line, end = src.trimmed[i], i
         if line.startswith(("impl", "unsafe impl")) and (m := _IMPL.match(line)):
             end, k = src.braces(i), i + 1
             while k < end:

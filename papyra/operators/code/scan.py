@@ -5,6 +5,26 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 
+def word(text: str) -> tuple[str, str]:
+    """The word that text begins with (or ""), and what comes after it and white space."""
+    n = 0
+    while n < len(text) and (text[n].isalnum() or text[n] == "_"):
+        n += 1
+    return text[:n], text[n:].lstrip()
+
+
+def bracketed(text: str, pair: str) -> tuple[str, str]:
+    """What stands in the brackets that text begins with, and what comes after; ("", text) without them."""
+    if not text.startswith(pair[0]):
+        return "", text
+    depth = 0
+    for k, c in enumerate(text):
+        depth += (c == pair[0]) - (c == pair[1])
+        if depth == 0:
+            return text[1:k].strip(), text[k + 1 :].lstrip()
+    return "", text
+
+
 @dataclass
 class Symbol:
     kind: str

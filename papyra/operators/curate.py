@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import os
 import posixpath
 import re
+from collections.abc import Callable
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame
@@ -19,6 +21,19 @@ from papyra.operators.search import find_similar
 DUPLICATE_THRESHOLD = 0.35
 
 
+def answer(call: Callable[[], object]) -> dict:
+    """A curation call's result as text (W10): a block of JSON, or the error with its code."""
+    try:
+        value = call()
+        if isinstance(value, DataFrame):
+            value = [r.asDict(recursive=True) for r in value.collect()]  # as many as the call's limit
+        return {"text": "```json\n" + json.dumps(value, indent=2, ensure_ascii=False, default=str) + "\n```", "is_error": False}
+    except CuratorError as e:
+        return {"text": f"Error: {e.code}: {e}", "is_error": True}
+    except Exception as e:  # noqa: BLE001  whatever went wrong is the answer
+        return {"text": f"Error: {e}", "is_error": True}
+
+
 class CuratorError(Exception):
     """code: PATH_ESCAPE, PATH_INVALID, EXISTS, FRONTMATTER_INVALID, DUPLICATE or WRITE_FAILED."""
 
@@ -147,10 +162,10 @@ def serialize(meta: dict, content: str) -> str:
 
 
 def write_entry(index: Index, root: str, collection: str, path: str, meta: dict, content: str, dry_run: bool = False, allow_duplicate: bool = False,
-                overwrite: bool = False, enabled: bool = True, duplicate_threshold: float = DUPLICATE_THRESHOLD) -> tuple[dict, Index]:
+                overwrite: bool = False, enabled: bool = False, duplicate_threshold: float = DUPLICATE_THRESHOLD) -> tuple[dict, Index]:
     """Validate, check for duplicates, write the file and index it (W03); returns the report and the new index.
 
-    The file is written under a temporary name and renamed, so readers never see half of it.
+    Writing is off unless enabled says otherwise. The file is written under a temporary name and renamed, so readers never see half of it.
     """
     if not enabled:
         raise CuratorError("WRITE_FAILED", "writing is not enabled")

@@ -280,7 +280,7 @@ def index_markdown(files: DataFrame, mode: str = "block") -> tuple[DataFrame, Da
     rows = own.join(doc_totals(nodes), "doc_id", "left")
     one = lambda k: F.nullif(F.get(F.try_element_at("meta", F.lit(k)), F.lit(0)), F.lit(""))
     base = F.regexp_replace(T.base_name(F.col("file_path")), r"(?i)\.md$", "")
-    first = F.when(F.col("__first_title") == "(document root)", None).otherwise(F.nullif("__first_title", F.lit("")))
+    first = F.nullif("__first_title", F.lit(""))
     docs = rows.select(
         "doc_id", "doc_ord", "file_path", T.better_title(F.coalesce(one("title"), first, base), F.col("file_path")).alias("title"),
         F.coalesce(one("description"), F.col("__first_summary"), F.lit("")).alias("description"),

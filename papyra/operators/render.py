@@ -64,11 +64,19 @@ def symbols(found: DataFrame) -> DataFrame:
 
 
 def navigation(tree: DataFrame) -> DataFrame:
-    """Sections and words of a subtree with its texts indented from the root."""
+    """The sections of a subtree, indented from the root."""
     base = tree.agg(F.min("level")).first()[0] or 0
-    text = F.concat(F.repeat(F.lit("  "), F.greatest(F.col("level") - base, F.lit(0))), "title", F.lit("\n"), "content")
+    indent = F.repeat(F.lit("  "), F.greatest(F.col("level") - base, F.lit(0)))
+    body = F.when(F.coalesce("content", F.lit("")) == "", F.lit("(empty)")).otherwise(F.col("content"))
+    text = F.concat(indent, F.repeat(F.lit("#"), F.col("level")), F.lit(" "), "title", F.lit(" ["), "node_id", F.lit("]\n"), indent, body)
     return tree.select("depth", "ord", text.alias("text")).orderBy("depth", "ord")
 
 
+def navigation_head(tree: DataFrame) -> DataFrame:
+    """One line over a subtree: its title, sections and words."""
+    root = F.min_by("title", F.struct("depth", "ord"))
+    return tree.agg(F.concat(F.lit("Subtree: "), root, F.lit(" ("), F.count("*").cast("string"), F.lit(" sections, "), F.sum("word_count").cast("string"), F.lit(" words)")).alias("text")).where("text IS NOT NULL")
+
+
 def as_json(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct("*")).alias("json"))

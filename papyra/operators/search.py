@@ -191,5 +191,7 @@ def similar_batch(index: Index, inputs: DataFrame, limit: int = 5, threshold: fl
 
 
 def find_similar(index: Index, content: str, limit: int = 5, threshold: float = 0.1, duplicate_threshold: float = 0.35, collection: str | None = None) -> DataFrame:
+    if not 0 <= threshold <= 10:
+        raise ValueError("threshold must be from 0 to 10")
     one = index.spark.createDataFrame([("0", content)], "qid string, content string")
     return similar_batch(index, one, min(max(limit, 1), 20), threshold, duplicate_threshold, collection).orderBy("rank")

@@ -52,7 +52,7 @@ def test_documents(index):
     assert (t["title"], t["description"], t["tags"]) == ("Token handling", "How bearer tokens are issued", ["security", "tokens"])
     assert t["facets"] == {"category": ["auth"], "has_code": ["true"], "code_languages": ["python"], "has_links": ["true"]} and t["references"] == ["runbooks/rotate.md"]
     assert docs["docs:runbooks:rotate"]["title"] == "Runbooks — Overview" and docs["docs:runbooks:rotate"]["facets"]["type"] == ["runbook"]
-    assert docs["docs:notes"]["title"] == "notes" and docs["docs:guides:deploy"]["tags"] == ["ops"]
+    assert docs["docs:notes"]["title"] == "(document root)" and docs["docs:guides:deploy"]["tags"] == ["ops"]
     assert docs["src:app_py"]["facets"]["language"] == ["python"] and docs["src:app_py"]["tags"] == ["Store", "get_token", "MAX_SIZE", "deploy_all"]
     assert docs["src:app_py"]["description"] == "1 classes: Store; 1 functions: deploy_all" and docs["src:empty_rb"]["heading_count"] == 1
 
@@ -141,7 +141,7 @@ def test_similar_draft_and_write(spark, index, tmp_path):
     d = curate.draft(index, "Key rotation", text, source_url="https://x")
     assert d["suggested_path"] == "key-rotation.md" and d["frontmatter"]["title"] == "Key Rotation" and d["duplicate_warning"]["doc_id"] == "docs:runbooks:rotate"
     assert len({b["doc_id"] for b in d["backlinks"]}) == len(d["backlinks"])
-    write = lambda *a, **k: curate.write_entry(index, str(tmp_path), "docs", *a, **k)
+    write = lambda *a, **k: curate.write_entry(index, str(tmp_path), "docs", *a, enabled=True, **k)
     for path, meta, content, code in (
         ("../x.md", {}, "a", "PATH_ESCAPE"), ("/x.md", {}, "a", "PATH_INVALID"), ("x.txt", {}, "a", "PATH_INVALID"), ("", {}, "a", "PATH_INVALID"),
         ("x.md", {"a b": 1}, "a", "FRONTMATTER_INVALID"), ("x.md", {"a": "x\ny"}, "a", "FRONTMATTER_INVALID"), ("x.md", [], "a", "FRONTMATTER_INVALID"), ("x.md", {}, text, "DUPLICATE"),
@@ -149,6 +149,11 @@ def test_similar_draft_and_write(spark, index, tmp_path):
         with pytest.raises(curate.CuratorError) as e:
             write(path, meta, content)
         assert e.value.code == code
+    with pytest.raises(curate.CuratorError):
+        curate.write_entry(index, str(tmp_path), "docs", "new/x.md", {}, "off unless enabled")
+    said = curate.answer(lambda: write("../x.md", {}, "a"))
+    assert said["is_error"] and said["text"].startswith("Error: PATH_ESCAPE: ") and curate.answer(lambda: search.find_similar(index, text, threshold=11))["is_error"]
+    assert curate.answer(lambda: search.find_similar(index, text, 1))["text"].startswith("```json\n[")
     report, same = write("new/x.md", {"title": "X", "tags": ["a", "b"]}, "# X\nunheardof qwertz zuiop\n\n", dry_run=True)
     assert same is index and report["content"] == "---\ntitle: X\ntags: [a, b]\n---\n\n# X\nunheardof qwertz zuiop\n" and not (tmp_path / "new").exists()
     report, after = write("new/x.md", {"title": "X", "tags": ["a", "b"]}, "# X\nunheardof qwertz zuiop\n")
@@ -166,6 +171,8 @@ def test_rendering(index):
     assert lines[1].startswith("  - Rotate keys") and render.outline(tree.outline(index, "docs:notes")).first()["text"].startswith("- (document root)")
     assert "refs: runbooks/rotate.md" in render.listing(catalog.document(index, "docs:auth:tokens")).first()[0]
     assert render.navigation(tree.subtree(index, "docs:runbooks:rotate", "docs:runbooks:rotate:n2")).count() == 2
+    assert render.navigation(tree.subtree(index, "docs:runbooks:rotate", "docs:runbooks:rotate:n3")).first()["text"] == "### Verify [docs:runbooks:rotate:n3]\nCheck the deployment."
+    assert render.navigation_head(tree.subtree(index, "docs:runbooks:rotate", "docs:runbooks:rotate:n2")).first()["text"].startswith("Subtree: Rotate keys (2 sections, ")
     assert render.symbols(search.find_symbol(index, "get_token")).count() >= 1
 
 

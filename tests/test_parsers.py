@@ -123,6 +123,21 @@ def test_go_and_rust():
     ]
 
 
+def test_indented_go_and_rust_items():
+    rust = "mod m {\n    // struct No;\n    pub struct P {\n        n: u8,\n    }\n    impl P {\n        pub fn new() -> u8 {\n            1\n        }\n    }\n    fn f() {\n    }\n}\n"
+    assert [(k, n, s, e, x, p) for k, n, s, e, x, p in found("m.rs", rust)] == [("class", "P", 3, 5, True, None), ("method", "new", 7, 9, True, "P"), ("function", "f", 11, 12, False, None)]
+    go = "  type Set[K comparable, V []int] struct {\n  }\n\ttype Row [4]int\n type F = func(a int) struct{}\n  func (s *Set[K, V]) Add(k K) {\n  }\n func (Row) Len() int {\n }\n  func Map[A any, B any](a []A) []B {\n  }\nimport (\n\t\"func x(\"\n)\n"
+    assert [(k, n, p) for k, n, _, _, _, p in found("m.go", go)] == [("class", "Set", None), ("type", "Row", None), ("type", "F", None), ("method", "Add", "Set"), ("method", "Len", "Row"), ("function", "Map", None)]
+
+
+def test_arrows_and_python_heads():
+    ts = "const a = <T,>(x: T): T => x;\nexport const b: (n: number) => void = async n => {\n};\nexport const c = a >= 1;\nlet d = (1 + 2);\n"
+    assert [(k, n) for k, n, *_ in found("a.mts", ts)] == [("function", "a"), ("function", "b"), ("variable", "c")]
+    py = "def f(a: dict = {1: 2},\n" + "".join(f"      b{i}: int = {i},\n" for i in range(12)) + "      ) -> dict[str, int]:\n    return a\n"
+    src, got = symbols(py, "m.py")
+    assert got[0].signature.startswith("def f(a: dict = {1: 2}, b0: int = 0,") and got[0].signature.endswith(") -> dict[str, int]") and got[0].end == 14
+
+
 def test_other_languages():
     c = '#include <a.h>\n#include "b.h"\n\nstruct Point {\n  int x;\n};\nenum Kind { A };\nint Ns::Cls::run(int a) {\n  return a;\n}\nstatic int help(void) {\n  return 1;\n}\nint proto(int a);\n'
     assert [(k, n, e) for k, n, _, _, e, _ in found("a.cpp", c)] == [("import", "imports", False), ("class", "Point", False), ("enum", "Kind", False), ("function", "Ns::Cls::run", True), ("function", "help", False), ("function", "proto", True)]
