@@ -74,6 +74,21 @@ def last_wins(documents: DataFrame) -> DataFrame:
     return ranked.where("__n = 1").withColumn("doc_ord", F.col("__first")).drop("__n", "__first")
 
 
+def stats_of(nodes: DataFrame) -> DataFrame:
+    """(doc_id, node_id, total_tokens) of every node."""
+    return nodes.select("doc_id", "node_id", F.size(F.concat(T.raw_tokens(F.col("title")), T.raw_tokens(F.col("content")))).alias("total_tokens"))
+
+
+def _totals(stats: DataFrame) -> tuple[int, int]:
+    """Nodes and their tokens."""
+    return tuple(stats.agg(F.count("*"), F.coalesce(F.sum("total_tokens"), F.lit(0))).first())
+
+
+#: Changes between two whole writes of the tables, and ids or terms that a change may broadcast.
+MOST_CHANGES = 8
+MOST_GONE = 500_000
+
+
 @dataclass
 class Index:
     """Tables of a store. Rebuild-free parameters: ranking, weights, glossary."""
@@ -87,9 +102,14 @@ class Index:
     refs: DataFrame
     glossary: DataFrame
     n_nodes: int
-    avgdl: float
+    n_tokens: int
     ranking: Ranking = field(default_factory=Ranking)
     weights: dict[str, float] = field(default_factory=dict)
+    changes: int = 0  # since the tables were last written whole
+
+    @property
+    def avgdl(self) -> float:
+        return self.n_tokens / self.n_nodes if self.n_nodes else 0.0
 
     @property
     def spark(self) -> SparkSession:
@@ -103,18 +123,18 @@ class Index:
         nodes = write_table(nodes, "nodes")
         tokens = node_tokens(nodes, documents)
         postings = write_table(postings_of(tokens), "postings")
-        stats = write_table(nodes.select("doc_id", "node_id", F.size(F.concat(T.raw_tokens(F.col("title")), T.raw_tokens(F.col("content")))).alias("total_tokens")), "node-stats")
+        stats = write_table(stats_of(nodes), "node-stats")
         return cls._assemble(documents, nodes, postings, stats, ranking or Ranking(), dict(weights or {}), glossary, auto_glossary)
 
     @classmethod
     def _assemble(cls, documents, nodes, postings, stats, ranking, weights, glossary, auto_glossary) -> Index:
         vocab = write_table(postings.groupBy("term").agg(F.count("*").alias("df")), "vocab")
-        n, mean = stats.agg(F.count("*"), F.coalesce(F.avg("total_tokens"), F.lit(0.0))).first()  # one row
+        n, total = _totals(stats)
         own = glossary if glossary is not None else G.empty(documents.sparkSession)
         if auto_glossary:
             own = G.merge(own, G.automatic(documents, nodes))
             own = write_table(own, "glossary")
-        return cls(documents, nodes, postings, vocab, stats, facets_of(documents), refs_of(documents), own, n, mean, ranking, weights)
+        return cls(documents, nodes, postings, vocab, stats, facets_of(documents), refs_of(documents), own, n, total, ranking, weights)
 
     # parameters
 
@@ -133,25 +153,41 @@ class Index:
     # maintenance
 
     def remove(self, doc_ids: DataFrame | list[str]) -> Index:
-        """Without these documents: anti-joins on every table; totals are counted anew."""
-        gone = self.spark.createDataFrame([(d,) for d in doc_ids], "doc_id string") if isinstance(doc_ids, list) else doc_ids.select("doc_id").distinct()
-        keep = lambda df: df.join(gone, "doc_id", "left_anti")
-        return self._assemble(
-            write_table(keep(self.documents), "documents"), write_table(keep(self.nodes), "nodes"), write_table(keep(self.postings), "postings"),
-            write_table(keep(self.node_stats), "node-stats"), self.ranking, self.weights, self.glossary, False,
-        )
+        """Without these documents."""
+        return self._change(self.spark.createDataFrame([(d,) for d in doc_ids], "doc_id string") if isinstance(doc_ids, list) else doc_ids)
 
     def upsert(self, documents: DataFrame, nodes: DataFrame) -> Index:
         """Add documents or replace those of the same id; only the new ones are tokenised."""
-        gone = documents.select("doc_id").distinct()
-        keep = lambda df: df.join(gone, "doc_id", "left_anti")
-        tokens = node_tokens(nodes, documents)
-        stats = nodes.select("doc_id", "node_id", F.size(F.concat(T.raw_tokens(F.col("title")), T.raw_tokens(F.col("content")))).alias("total_tokens"))
-        return self._assemble(
-            write_table(keep(self.documents).unionByName(documents), "documents"), write_table(keep(self.nodes).unionByName(nodes), "nodes"),
-            write_table(keep(self.postings).unionByName(postings_of(tokens)), "postings"), write_table(keep(self.node_stats).unionByName(stats), "node-stats"),
-            self.ranking, self.weights, self.glossary, False,
-        )
+        return self._change(documents, documents, nodes)
+
+    def _change(self, gone: DataFrame, documents: DataFrame | None = None, nodes: DataFrame | None = None) -> Index:
+        """Written is what changes: the ids that go, the rows that come, the terms whose frequency differs.
+
+        The tables become what they were without the ids, and the new rows; readers leave
+        the ids out as they scan. Totals and frequencies change by difference. After
+        MOST_CHANGES changes the tables are written whole, once for all of them.
+        """
+        gone = write_table(gone.select("doc_id").distinct(), "gone")
+        side = F.broadcast(gone) if gone.count() <= MOST_GONE else gone
+        tables = {n: getattr(self, n).join(side, "doc_id", "left_anti") for n in ("documents", "nodes", "postings", "node_stats")}
+        df = [self.postings.join(side, "doc_id", "left_semi").groupBy("term").agg((-F.count("*")).alias("d"))]
+        n, total = _totals(self.node_stats.join(side, "doc_id", "left_semi"))
+        n, total = self.n_nodes - n, self.n_tokens - total
+        if documents is not None and nodes is not None:
+            documents, nodes = write_table(documents, "documents"), write_table(nodes, "nodes")
+            new = {"documents": documents, "nodes": nodes, "postings": write_table(postings_of(node_tokens(nodes, documents)), "postings"), "node_stats": write_table(stats_of(nodes), "node-stats")}
+            tables = {k: v.unionByName(new[k]) for k, v in tables.items()}
+            df.append(new["postings"].groupBy("term").agg(F.count("*").alias("d")))
+            more, tokens = _totals(new["node_stats"])
+            n, total = n + more, total + tokens
+        moved = (df[0] if len(df) == 1 else df[0].unionByName(df[1])).groupBy("term").agg(F.sum("d").alias("d")).where("d <> 0")
+        moved = write_table(moved.join(self.vocab, "term", "left").select("term", (F.coalesce("df", F.lit(0)) + F.col("d")).alias("df")), "vocab")
+        terms = moved.select("term")
+        tables["vocab"] = self.vocab.join(F.broadcast(terms) if terms.count() <= MOST_GONE else terms, "term", "left_anti").unionByName(moved.where("df > 0"))
+        changes = self.changes + 1
+        if changes > MOST_CHANGES:
+            tables, changes = {k: write_table(v, k) for k, v in tables.items()}, 0
+        return replace(self, **tables, facets=facets_of(tables["documents"]), refs=refs_of(tables["documents"]), n_nodes=n, n_tokens=total, changes=changes)
 
     # persistence
 
@@ -164,9 +200,9 @@ class Index:
     @classmethod
     def load(cls, spark: SparkSession, path: str, ranking: Ranking | None = None, weights: dict[str, float] | None = None) -> Index:
         t = {n: spark.read.parquet(f"{path}/{n}") for n in ("documents", "nodes", "postings", "vocab", "node_stats", "glossary")}
-        n, mean = t["node_stats"].agg(F.count("*"), F.coalesce(F.avg("total_tokens"), F.lit(0.0))).first()
+        n, total = _totals(t["node_stats"])
         return cls(t["documents"], t["nodes"], t["postings"], t["vocab"], t["node_stats"], facets_of(t["documents"]), refs_of(t["documents"]),
-                   t["glossary"], n, mean, ranking or Ranking(), dict(weights or {}))
+                   t["glossary"], n, total, ranking or Ranking(), dict(weights or {}))
 
 
 def changed(new: DataFrame, manifest: DataFrame) -> DataFrame:

@@ -152,5 +152,29 @@ def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# a file's text by language; @ stands for the key
+MANY = {
+    "ts": "import { a } from 'x';\nexport class C@ {\n  run(a: number): number {\n    return a;\n  }\n}\nexport const go@ = (a: number) => a;\n",
+    "cts": "export interface I@ {\n  size: number;\n}\nenum E@ { A, B }\nexport async function load@(\n  a: string,\n): Promise<void> {\n}\n",
+    "java": "package a;\nimport b.C;\n\npublic class J@ {\n  public int run(int a) {\n    return a;\n  }\n}\n",
+    "go": "package m\n\ntype S@ struct {\n\tn int\n}\n\nfunc (s *S@) Run() int {\n\treturn s.n\n}\n\nconst (\n\tA = 1\n)\n\nfunc make@(a int) int {\n\treturn a\n}\n",
+    "rs": "mod m {\n    pub struct P@ {\n        n: u8,\n    }\n    impl P@ {\n        pub fn new() -> u8 {\n            @\n        }\n    }\n    fn f@() {\n    }\n}\n",
+    "py": "import os\n\nclass A@:\n    def run(self,\n            b: dict = {1: 2}) -> int:\n        return @\n\nTOP@ = 1\n\ndef _f@():\n    pass\n",
+    "rb": "require 'x'\n\nclass R@\n  def run(a)\n  end\nend\n",
+    "cpp": "#include <a.h>\n\nstruct Q@ {\n  int x;\n};\nint calc@(int a) {\n  return a;\n}\n",
+}
+
+
+def many_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A source file a part, in eight languages by turns."""
+    key, n = F.col("p_partkey").cast("string"), len(MANY)
+    which = (F.col("p_partkey") % n).cast("int")
+    pick = lambda xs: F.get(F.array(*map(F.lit, xs)), which)
+    return read(spark, sf_dir, "part").select(
+        F.concat(F.lit("many/p"), key, F.lit("."), pick(MANY)).alias("file_path"), F.replace(pick(MANY.values()), F.lit("@"), key).alias("text"), F.lit("many").alias("collection"),
+        F.lit("2024-01-02 03:04:05").cast("timestamp").alias("modified"), F.col("p_partkey").cast("long").alias("doc_ord"),
+    )
+
+
 def code_index(spark: SparkSession, sf_dir: str) -> Index:
     return kept(spark, sf_dir, "code", lambda s, d: Index.build(*code.index_code(code_files(s, d)), auto_glossary=False))

@@ -81,15 +81,11 @@ def corpus_stats(spark, d):
     return i.vocab.agg(F.count("*").alias("n_terms")).select(F.lit(i.n_nodes).cast("long").alias("n_nodes"), F.round(F.lit(i.avgdl), 6).alias("avgdl"), "n_terms")
 
 
-@query("code_tokens", rf"""WITH n AS ({S.NODES['conv']}) SELECT node_id, len(list_distinct({S.tok("regexp_replace(content, '^.code:x. ', '')")})) AS n_code FROM n WHERE content LIKE '[code:x] %' AND NOT contains(content, chr(10) || chr(10))""")
-def code_tokens(spark, d):
-    n = C.conv_index(spark, d).nodes.where(F.startswith("content", F.lit("[code:x] ")) & ~F.contains("content", F.lit("\n\n")))
-    return n.select("node_id", F.size(T.code_tokens(F.col("content"))).cast("long").alias("n_code"))
+_MARKED = f"list_transform(string_split(content, '[code:')[2:], lambda p: {S.tok("string_split(substr(p, position(']' IN p) + 1), chr(10) || chr(10))[1]")})"
 
 
-@query("code_tokens_all")
-def code_tokens_all(spark, d):
-    """Every node, also those with blank lines or without code; code_tokens and its SQL leave these out."""
+@query("code_tokens", f"WITH n AS ({S.NODES['conv']}) SELECT node_id, len(list_distinct(flatten({_MARKED}))) AS n_code FROM n")
+def code_tokens(spark, d):
     return C.conv_index(spark, d).nodes.select("node_id", F.size(T.code_tokens(F.col("content"))).cast("long").alias("n_code"))
 
 
@@ -124,24 +120,12 @@ def bm25_full(spark, d):
     return _best(_run(spark, C.docs_index(spark, d), THREE))
 
 
-_BATCH = rf"SELECT CAST(item_id AS VARCHAR) AS qid, array_to_string(list_slice({S.tok('text')}, 1, 5), ' ') AS query FROM benchmark"
-
-
-def _batch_queries(spark, d) -> DataFrame:
-    return C.read(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("qid"), F.array_join(F.slice(T.raw_tokens(F.col("text")), 1, 5), " ").alias("query"))
+_BATCH = "SELECT CAST(item_id AS VARCHAR) AS qid, text AS query FROM benchmark"
 
 
 @query("bm25_batch", f"WITH {S.search('docs', _BATCH, limit=10)} {_BEST}")
 def bm25_batch(spark, d):
-    return _best(search.search_batch(C.docs_index(spark, d), _batch_queries(spark, d), 10, expand=False, snippets=False))
-
-
-_WHOLE = "SELECT CAST(item_id AS VARCHAR) AS qid, text AS query FROM benchmark"
-
-
-@query("bm25_batch_whole", f"WITH {S.search('docs', _WHOLE, limit=10)} {_BEST}")
-def bm25_batch_whole(spark, d):
-    """Every token of each benchmark text is searched; bm25_batch and its SQL take the first five."""
+    """Every token of each benchmark text is searched."""
     q = C.read(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("qid"), F.col("text").alias("query"))
     return _best(search.search_batch(C.docs_index(spark, d), q, 10, expand=False, snippets=False))
 
@@ -189,24 +173,17 @@ def matched_terms(spark, d):
 @query(
     "snippet_density",
     rf"""WITH {S.search('docs', S.values(THREE), prefix=False)},
-w0 AS (SELECT r.qid, r.doc_id, string_split_regex(content, '\s+') AS ws, list_filter(pos, lambda z: z < len(string_split_regex(content, '\s+'))) AS v FROM r JOIN n USING (node_id)),
-w1 AS (SELECT *, list_transform(range(0, greatest(0, len(ws) - 30) + 1), lambda b: len(list_filter(v, lambda z: z >= b AND z < b + 30))) AS cnt FROM w0),
+w0 AS (SELECT r.qid, r.doc_id, content, title, string_split_regex(content, '\s+') AS ws, list_filter(pos, lambda z: z < len(string_split_regex(content, '\s+'))) AS v FROM r JOIN n USING (node_id)),
+w1 AS (SELECT *, CASE WHEN content = '' THEN title ELSE content END AS body, list_transform(range(0, greatest(0, len(ws) - 30) + 1), lambda b: len(list_filter(v, lambda z: z >= b AND z < b + 30))) AS cnt FROM w0),
 w2 AS (SELECT *, list_position(cnt, list_max(cnt)) - 1 AS bs FROM w1),
 w3 AS (SELECT *, array_to_string(ws[bs + 1:bs + 30], ' ') AS sn, left(array_to_string(ws[bs + 1:bs + 30], ' '), 180) AS cut FROM w2),
 w4 AS (SELECT *, CASE WHEN contains(cut, ' ') THEN length(cut) - position(' ' IN reverse(cut)) ELSE -1 END AS k FROM w3)
-SELECT qid, doc_id, CASE WHEN bs > 0 THEN '…' ELSE '' END || CASE WHEN length(sn) <= 180 THEN sn WHEN k > 126 THEN left(cut, k) ELSE cut END || CASE WHEN bs + 30 < len(ws) THEN '…' ELSE '' END AS snippet
-FROM w4 WHERE len(v) > 0""",
+SELECT qid, doc_id, CASE WHEN len(v) = 0 OR content = '' THEN left(body, 180) || CASE WHEN length(body) > 180 THEN '…' ELSE '' END
+ELSE CASE WHEN bs > 0 THEN '…' ELSE '' END || CASE WHEN length(sn) <= 180 THEN sn WHEN k > 126 THEN left(cut, k) ELSE cut END || CASE WHEN bs + 30 < len(ws) THEN '…' ELSE '' END END AS snippet
+FROM w4""",
 )
 def snippet_density(spark, d):
-    i = C.docs_index(spark, d)
-    found = search.enrich(i, _run(spark, i, THREE, prefix=False, more=True)).join(i.nodes.select("node_id", "content"), "node_id")
-    some = F.size(F.filter("match_positions", lambda p: p < F.size(F.split("content", r"\s+")))) > 0
-    return found.where(some).select("qid", "doc_id", "snippet")
-
-
-@query("snippet_all")
-def snippet_all(spark, d):
-    """Every top row, also those whose snippet is the head of the text; snippet_density and its SQL leave these out."""
+    """Every top row, also those whose snippet is the head of the text."""
     i = C.docs_index(spark, d)
     return search.enrich(i, _run(spark, i, THREE, prefix=False, more=True)).select("qid", "doc_id", "snippet")
 
@@ -227,7 +204,7 @@ def glossary_extract(spark, d):
     files = C.md_files(spark, d)
     found = glossary.extract(files)
     n = files.agg(F.count("*").alias("n"))
-    return found.join(n.withColumn("acronym", F.lit("NKB")), "acronym").where("expansion = 'nation key book'").select("acronym", "expansion", "n")
+    return found.join(n.withColumn("acronym", F.lit("NKB")), "acronym").select("acronym", "expansion", "n")
 
 
 @query("glossary_both_ways", f"SELECT key, expansion FROM {_GL}")
@@ -359,12 +336,17 @@ def node_content_order(spark, d):
 
 @query(
     "resolve_ref",
-    f"""WITH {S.GEO} SELECT * FROM (SELECT 'geo/asia.md#japan' AS ref, 'geo:' || r_regionkey AS doc_id, (SELECT min_by(node_id, ord) FROM g WHERE lower(title) = 'japan' AND g.doc_id = 'geo:' || r_regionkey) AS node_id FROM region WHERE r_name = 'ASIA'
-UNION ALL SELECT '../europe.md', 'geo:' || r_regionkey, NULL FROM region WHERE r_name = 'EUROPE' UNION ALL SELECT 'x/africa.md#none', 'geo:' || r_regionkey, NULL FROM region WHERE r_name = 'AFRICA')""",
+    """WITH f AS (SELECT n_regionkey AS rk, min_by(n_name, n_nationkey) AS name, min(n_nationkey) AS nk FROM nation GROUP BY 1)
+SELECT 'x/' || lower(r_name) || '.md#' || lower(name) AS ref, 'geo:' || rk AS doc_id, 'geo:' || rk || ':' || nk || ':-1' AS node_id FROM f JOIN region ON rk = r_regionkey
+UNION ALL SELECT '../' || lower(r_name) || '.md', 'geo:' || r_regionkey, NULL FROM region UNION ALL SELECT lower(r_name) || '.md#none', 'geo:' || r_regionkey, NULL FROM region""",
 )
 def resolve_ref(spark, d):
-    refs = spark.createDataFrame([("1", "geo/asia.md#japan"), ("2", "../europe.md"), ("3", "x/africa.md#none"), ("4", "nowhere.md")], "ref_id string, ref string")
-    return tree.resolve_refs(C.geo_index(spark, d), refs).select("ref", "doc_id", "node_id")
+    """Of each region: a reference to its first nation, one without a fragment, one to no node, one to no file."""
+    first = C.read(spark, d, "nation").groupBy(F.col("n_regionkey").alias("r_regionkey")).agg(F.min_by("n_name", "n_nationkey").alias("name"))
+    low = F.lower("r_name")
+    each = F.array(F.concat(F.lit("x/"), low, F.lit(".md#"), F.lower("name")), F.concat(F.lit("../"), low, F.lit(".md")), F.concat(low, F.lit(".md#none")), F.concat(F.lit("no"), low, F.lit(".md")))
+    refs = C.read(spark, d, "region").join(first, "r_regionkey").select(F.col("r_regionkey").cast("string").alias("k"), F.posexplode(each).alias("p", "ref"))
+    return tree.resolve_refs(C.geo_index(spark, d), refs.select(F.concat_ws("-", "k", "p").alias("ref_id"), "ref")).select("ref", "doc_id", "node_id")
 
 
 # -- markdown ----------------------------------------------------------------
@@ -396,9 +378,10 @@ def block_sections(spark, d):
     return _sections(spark, d, "block")
 
 
-@query("block_code_marks", f"WITH {S.MD} SELECT doc_id, '[code:sql] select ' || k AS first_line FROM f")
+@query("block_code_marks", f"""WITH {S.MD} SELECT doc_id, e.ord, e.content FROM f, LATERAL (VALUES (0, 'Nation ' || n || ' of ' || r || '. More about it.'),
+(1, '[code:sql] select ' || k || chr(10) || 'See region and home or web.'), (2, 'NKB (Nation Key Book) and ' || n || ' here.')) e(ord, content)""")
 def block_code_marks(spark, d):
-    return C.md_tables(spark, d, "block")[1].where("ord = 1").select("doc_id", F.split("content", "\n")[0].alias("first_line"))
+    return C.md_tables(spark, d, "block")[1].select("doc_id", "ord", "content")
 
 
 _MD_TITLE = "CASE WHEN has THEN n ELSE CASE folder WHEN 'guides' THEN 'Guides — Overview' WHEN 'ops/deploy' THEN 'Deploy — Overview' ELSE 'Misc — Overview' END END"
@@ -638,9 +621,11 @@ def code_tags(spark, d):
     return C.code_index(spark, d).documents.select("doc_id", F.array_join("tags", ",").alias("tags"))
 
 
-@query("find_symbol_strict", f"WITH {_CODE} SELECT 'code:src:' || lower(c) || '_py:n' || (ord + 1) AS node_id FROM sy JOIN k1 USING (rk) WHERE kind = 'method' AND starts_with(name, 'united')")
+@query("find_symbol_strict", f"WITH {_CODE} SELECT 'code:src:' || lower(c) || '_py:n' || (ord + 1) AS node_id FROM sy JOIN k1 USING (rk) WHERE kind = 'method' AND starts_with(name, (SELECT left(min(m), 3) FROM ms))")
 def find_symbol_strict(spark, d):
-    return search.find_symbol(C.code_index(spark, d), "united", "method", "python", 50, strict_kind=True).where(F.contains("node_title", F.lit("united"))).select("node_id")
+    """Methods whose name begins as the first nation's does, found by prefix."""
+    first = C.read(spark, d, "nation").agg(F.min(F.left(F.regexp_replace(F.lower("n_name"), "[^a-z0-9]", "_"), F.lit(3)))).first()[0]
+    return search.find_symbol(C.code_index(spark, d), first or "none", "method", "python", 50, strict_kind=True).select("node_id")
 
 
 @query("find_symbol")
@@ -648,6 +633,32 @@ def find_symbol(spark, d):
     return search.find_symbol(C.code_index(spark, d), "load japan", language="python").select("rank", "node_id", "node_title", F.round("score", 6).alias("score"))
 
 
+# what the parsers find in the files of `many_files`, by language: kind, name before the key, exported, first and last line, place of the parent
+_FOUND = {
+    "ts": [("import", "imports", False, 1, 1, None), ("class", "C", True, 2, 6, None), ("method", "run", False, 3, 5, 1), ("function", "go", True, 7, 7, None)],
+    "cts": [("interface", "I", True, 1, 3, None), ("property", "size", False, 2, 2, 0), ("enum", "E", False, 4, 4, None), ("function", "load", True, 5, 8, None)],
+    "java": [("import", "imports", False, 1, 2, None), ("class", "J", True, 4, 8, None), ("method", "run", True, 5, 7, 1)],
+    "go": [("class", "S", True, 3, 5, None), ("method", "Run", True, 7, 9, 0), ("variable", "constants", False, 11, 13, None), ("function", "make", False, 15, 17, None)],
+    "rs": [("class", "P", True, 2, 4, None), ("method", "new", True, 6, 8, 0), ("function", "f", False, 10, 11, None)],
+    "py": [("import", "imports", False, 1, 1, None), ("class", "A", True, 3, 6, None), ("method", "run", True, 4, 6, 1), ("variable", "TOP", True, 8, 8, None), ("function", "_f", False, 10, 11, None)],
+    "rb": [("import", "imports", False, 1, 1, None), ("class", "R", True, 3, 6, None), ("method", "run", True, 4, 5, 1)],
+    "cpp": [("import", "imports", False, 1, 1, None), ("class", "Q", False, 3, 5, None), ("function", "calc", True, 6, 8, None)],
+}
+_FOUND_ROWS = ", ".join(
+    f"('{x}', {k}, '{kind}', '{name}', {str(out).lower()}, {a}, {z}, {'NULL' if up is None else up})" for x, rows in _FOUND.items() for k, (kind, name, out, a, z, up) in enumerate(rows)
+)
+
+
+@query(
+    "symbols_by_language",
+    f"""SELECT p_partkey AS doc_ord, e.ord, e.kind, e.name || CASE WHEN e.name IN ('imports', 'constants', 'run', 'Run', 'size', 'new') THEN '' ELSE CAST(p_partkey AS VARCHAR) END AS name, e.exported, e.line_start, e.line_end, e.parent_ord
+FROM part JOIN (VALUES {_FOUND_ROWS}) e(ext, ord, kind, name, exported, line_start, line_end, parent_ord) ON e.ext = ['{"', '".join(C.MANY)}'][p_partkey % {len(C.MANY)} + 1]""",
+)
+def symbols_by_language(spark, d):
+    files = C.many_files(spark, d).withColumn("doc_id", F.col("file_path"))
+    return code.parse_symbols(files).select("doc_ord", "ord", "kind", "name", "exported", "line_start", "line_end", "parent_ord")
+
+
 @query("symbol_stats", f"WITH {_CODE}, p AS (SELECT rk, count(*) AS n FROM sy GROUP BY rk) SELECT count(*) AS files, avg(n) AS avg_nodes, max(n) AS max_nodes, 0 AS import_only_files FROM p")
 def symbol_stats(spark, d):
     return evaluate.index_stats(C.code_index(spark, d).nodes).select("files", "avg_nodes", "max_nodes", F.col("import_only_files").cast("int").alias("import_only_files"))

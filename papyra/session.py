@@ -7,6 +7,7 @@ import os
 import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -88,6 +89,14 @@ def _clean() -> None:
             return
 
 
+@contextmanager
+def recorded():
+    """The scratch paths handed out in the block, for whoever drops them before the program ends."""
+    first, paths = len(_written), []
+    yield paths
+    paths += [p for _, p in _written[first:]]
+
+
 def scratch_path(spark: SparkSession, tag: str) -> str:
     """A fresh path in the shared folder; dropped when the program ends."""
     path = f"{shared_dir(spark)}/papyra/{tag}-{uuid.uuid4().hex}"

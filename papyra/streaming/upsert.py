@@ -6,18 +6,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from papyra.operators.indexing import Index, changed
 from papyra.operators.schema import Collection
+from papyra.session import drop_path, recorded
 from papyra.sources.files import documents_and_nodes, read_manifest
 
 
 class LiveIndex:
-    """Holds the newest index; each micro-batch replaces it as a whole, so readers see one state."""
+    """Holds the newest index; each micro-batch replaces it as a whole, so readers see one state.
+
+    When the tables have been written whole, those of the time before the last such write
+    are dropped: whoever holds an older index has until the next one.
+    """
 
     def __init__(self, index: Index):
         self.index = index
         self.batches = 0
+        self._now: list[str] = []
+        self._before: list[str] = []
 
     def apply(self, files: DataFrame, batch_id: int) -> None:
         """Index the files of a batch whose content changed; of a path's versions the latest counts."""
@@ -27,9 +35,17 @@ class LiveIndex:
         if new.isEmpty():
             return
         last = self.index.documents.agg(F.coalesce(F.max("doc_ord"), F.lit(-1))).first()[0]
-        placed = new.withColumn("doc_ord", F.lit(last + 1) + F.pmod(F.xxhash64("file_path"), F.lit(1 << 30)))
-        docs, nodes = documents_and_nodes(placed)
-        self.index = self.index.upsert(docs, nodes)
+        # the paths of one batch alone are numbered in one task, so no two files share a place
+        places = new.select(F.col("file_path").alias("p"), F.col("collection").alias("c")).withColumn("doc_ord", F.lit(last) + F.row_number().over(Window.orderBy("c", "p")))
+        placed = new.join(places, (F.col("file_path") == F.col("p")) & F.col("collection").eqNullSafe(F.col("c"))).drop("p", "c")
+        with recorded() as paths:
+            docs, nodes = documents_and_nodes(placed)
+            self.index = self.index.upsert(docs, nodes)
+        if self.index.changes == 0:
+            for path in self._before:
+                drop_path(self.index.spark, path)
+            self._now, self._before = [], self._now
+        self._now += paths
         self.batches += 1
 
 

@@ -126,6 +126,20 @@ def test_upsert_and_remove(index):
     assert more.n_nodes == index.n_nodes and search.search(more, "brandnew").count() == 1 and search.search(more, "clusters without").where("doc_id = 'docs:notes'").count() == 0
 
 
+def test_many_changes_are_the_same_as_a_new_index(spark, index):
+    """By deltas and, after some changes, written whole; totals and frequencies by difference."""
+    now = index
+    for k in range(11):
+        docs = index.documents.where("doc_id = 'docs:notes'").withColumn("doc_id", F.lit(f"docs:x{k % 4}")).withColumn("doc_ord", F.lit(1000 + k).cast("long"))
+        nodes = index.nodes.where("doc_id = 'docs:notes'").withColumn("doc_id", F.lit(f"docs:x{k % 4}")).withColumn("node_id", F.lit(f"docs:x{k % 4}:n1")).withColumn("content", F.lit(f"brandnew word{k} words"))
+        now = now.remove(["docs:x1", "none"]) if k == 6 else now.upsert(docs, nodes)
+    fresh = Index.build(now.documents, now.nodes, now.ranking, now.weights, now.glossary, False)
+    assert (now.n_nodes, now.n_tokens) == (fresh.n_nodes, fresh.n_tokens) and 0 < now.changes < 11
+    for name in ("vocab", "postings", "node_stats", "facets", "refs"):
+        a, b = ([tuple(map(str, r)) for r in getattr(i, name).select(*sorted(fresh.vocab.columns if name == "vocab" else getattr(fresh, name).columns)).collect()] for i in (now, fresh))
+        assert sorted(a) == sorted(b)
+
+
 def test_save_and_load(spark, index, tmp_path):
     index.save(str(tmp_path / "i"))
     again = Index.load(spark, str(tmp_path / "i"))
