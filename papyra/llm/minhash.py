@@ -14,7 +14,8 @@ bucket as well. Texts are shuffled once; a task streams its bucket in order.
 Defined cases: null texts count as empty; a text without words has a fingerprint of
 zeros (likeness 1 to another such text); a null doc_id sorts before all others; equal
 ids are ordered by text; a single document is its own neighbour; an empty table gives
-an empty result; other columns are ignored.
+an empty result; very long texts are a group of their own, in memory in proportion to
+the longest; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ BIN_BITS = 9
 BINS = 1 << BIN_BITS
 BITS = 4
 FOLD = fold_map()
+#: Texts go in groups of about this many bytes; a group fills and packs its bins at once.
+GROUP = 2 << 20
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -83,7 +86,7 @@ def lanes(texts: pa.Array) -> np.ndarray:
     """Low bits of each bin: (row, bin) of small numbers."""
     data, offsets = buffers(texts)
     out = np.zeros((len(offsets) - 1, BINS), np.uint8)
-    for i, j in groups(offsets):
+    for i, j in groups(offsets, GROUP):
         rows, h = shingle_hashes(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
         for a in range(i, j, 4096):  # at most 4096 rows of bins at once
             b = min(a + 4096, j)
