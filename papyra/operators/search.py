@@ -142,7 +142,7 @@ def enrich(index: Index, best: DataFrame) -> DataFrame:
 def search_batch(index: Index, queries: DataFrame, limit: int = 20, filters: Filters | None = None, collection: str | None = None,
                  doc_id: str | None = None, prefix: bool = True, expand: bool = True, snippets: bool = True) -> DataFrame:
     """Search many queries (qid, query) at once; one row a result, with its rank."""
-    terms = query_terms(index, queries, expand).persist()  # as small as the queries; read for the longest, for scores and for details
+    terms = query_terms(index, queries, expand)  # as small as the queries; made anew for the longest, for scores and for details
     best = top(scored(index, terms, filters, collection, doc_id, prefix), limit)
     return enrich(index, details(index, terms, best, prefix)) if snippets else best
 
