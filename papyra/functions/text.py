@@ -6,14 +6,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: The letters a token may have, and the suffix rules of the stemmer in their order.
-TOKEN_JUNK = r"[^a-z0-9_\-./]"
+TOKEN_LETTERS = r"[a-z0-9_\-./]"
 DROPPED_SUFFIXES = ("ment", "ness", "able", "ible", "ally", "ful", "ous", "ive", "ly")
 
 
 def raw_tokens(text: Column, least: int = 2) -> Column:
-    """Lower-cased tokens of at least this length; null gives an empty array."""
-    parts = F.split(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), TOKEN_JUNK, " "), r"\s+")
-    return F.filter(parts, lambda t: F.length(t) >= least)
+    """Lower-cased tokens of at least this length; null gives an empty array. One pass: a token is a run of its letters."""
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"{TOKEN_LETTERS}{{{least},}}+"), F.lit(0))
 
 
 def _cut(x: Column, suffix: str, put: str = "") -> Column:

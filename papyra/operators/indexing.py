@@ -47,11 +47,12 @@ def postings_of(tokens: DataFrame) -> DataFrame:
     flat = spread.where(F.length(term) >= 2).select(
         "doc_id", "doc_ord", "node_id", "ord", "total_tokens", "pos", term.alias("term"), in_title.alias("it"), in_desc.alias("id"), in_code.alias("ic")
     )
-    return flat.groupBy("doc_id", "node_id", "term").agg(
-        F.first("doc_ord").alias("doc_ord"), F.first("ord").alias("ord"), F.sort_array(F.collect_list("pos")).alias("positions"),
-        F.count("*").cast("int").alias("tf"), F.first("total_tokens").alias("total_tokens"),
+    # the number of the document stands first among the keys: most rows are sorted by it alone, without a look at the texts
+    grouped = flat.groupBy("doc_ord", "ord", "doc_id", "node_id", "term", "total_tokens").agg(
+        F.sort_array(F.collect_list("pos")).alias("positions"), F.count("*").cast("int").alias("tf"),
         F.bool_or("it").alias("has_title"), F.bool_or("id").alias("has_desc"), F.bool_or("ic").alias("has_code"),
     )
+    return grouped.select("doc_id", "node_id", "term", "doc_ord", "ord", "positions", "tf", "total_tokens", "has_title", "has_desc", "has_code")
 
 
 def facets_of(documents: DataFrame) -> DataFrame:
