@@ -38,7 +38,7 @@ def test_titles_and_paths(spark):
     t = lambda a, b: one(spark, T.better_title(F.col("a"), F.col("b")), a=a, b=b)
     assert t("Overview", "docs/api-v2/index.md") == "Api V2 — Overview" and t("Overview", "index.md") == "Overview" and t("Intro", "a/b.md") == "Intro"
     k = lambda p: one(spark, T.type_of_path(F.col("p")), p=p)
-    assert [k(p) for p in ("a/Runbooks/x.md", "guide/x.md", "x/how-to/y.md", "guide.md", "deployments/a.md")] == ["runbook", "guide", "howto", None, "deployment"]
+    assert [k(p) for p in ("a/Runbooks/x.md", "guide/x.md", "x/howto/y.md", "x/how-to/y.md", "guide.md", "deployments/a.md")] == ["runbook", "guide", "howto", None, None, "deployment"]
     n = lambda p: one(spark, T.normal_path(F.col("p")), p=p)
     assert n("a/b/../c/./d.md") == "a/c/d.md" and n("../x.md") == "x.md"
     assert one(spark, T.slug(F.col("t")), t="Hello, World! 2") == "hello-world-2" and one(spark, T.slug(F.col("t")), t="!!") == "untitled"
