@@ -72,23 +72,20 @@ def allowed_postings(index: Index, filters: Filters | None = None, collection: s
     return postings if allowed is None else postings.join(allowed, "doc_id", "left_semi")
 
 
+#: Query terms of a batch that a join may broadcast; beyond that both sides are dealt by term.
+MOST_TERMS = 500_000
+
+
 def scored(index: Index, terms: DataFrame, filters: Filters | None = None, collection: str | None = None, doc_id: str | None = None,
            prefix: bool = True, bonuses: bool = True) -> DataFrame:
     """(qid, doc_id, node_id, doc_ord, ord, score, n_matched) of every match (Q05-Q12).
 
-    Only numbers are grouped: which query terms matched is a set of bits in a few longs.
+    Queries share terms, and a term's prefixes lead to many indexed ones: a node's score
+    is summed for each distinct query term first, then for the queries that have it. The
+    matching postings are dealt by node once; both sums follow without a further exchange.
     """
     r = index.ranking
-    most = terms.agg(F.max("idx")).first()[0] or 0  # length of the longest query
-    words = range(most // 60 + 1)
     matches = term_matches(index, terms, prefix)
-    # several query terms may lead to one indexed term: put together before postings multiply them
-    bits = [f"b{w}" for w in words]
-    if words.stop == 1:
-        bit = lambda w: F.bit_or(F.expr("shiftleft(1L, CAST(idx AS INT))"))
-    else:
-        bit = lambda w: F.bit_or(F.expr(f"CASE WHEN CAST(idx AS INT) DIV 60 = {w} THEN shiftleft(1L, CAST(idx AS INT) % 60) ELSE 0L END"))
-    wanted = matches.groupBy("qid", "term").agg(F.sum("penalty").alias("penalty"), F.first("df").alias("df"), F.first("n_terms").alias("n_terms"), *(bit(w).alias(b) for w, b in zip(words, bits)))
     tf, df, n = F.col("tf"), F.col("df"), F.lit(float(index.n_nodes))
     idf = F.ln((n - df + 0.5) / (df + 0.5) + 1.0)
     norm = tf * (r.k1 + 1) / (tf + r.k1 * (1 - r.b + r.b * F.col("total_tokens") / F.lit(index.avgdl or 1.0)))
@@ -96,12 +93,15 @@ def scored(index: Index, terms: DataFrame, filters: Filters | None = None, colle
         F.lit(1.0), F.when(F.col("has_title"), r.title_weight).otherwise(1.0),
         F.when(F.col("has_desc"), max(1.0, r.description_weight)).otherwise(1.0), F.when(F.col("has_code"), r.code_weight).otherwise(1.0),
     )
+    wanted = matches.select("qterm", "term", (idf * F.col("penalty")).alias("u")).distinct()
     # the scan reads no positions; what a posting is worth without the query is computed before the join
     worth = allowed_postings(index, filters, collection, doc_id).select("term", "doc_id", "node_id", "doc_ord", "ord", (norm * weight).alias("v"))
-    each = worth.join(wanted.withColumn("u", idf * F.col("penalty")), "term")
-    agg = each.groupBy("qid", "doc_id", "node_id", "doc_ord", "ord", "n_terms").agg(F.sum(F.col("u") * F.col("v")).alias("score"), *(F.bit_or(b).alias(b) for b in bits))
-    m = sum((F.bit_count(b) for b in bits[1:]), F.bit_count(bits[0]))
-    agg = agg.withColumn("n_matched", m)
+    node = ["doc_ord", "ord", "doc_id", "node_id"]
+    each = worth.join(wanted, "term").select(*node, "qterm", (F.col("u") * F.col("v")).alias("s")).repartition("doc_id", "node_id")
+    summed = each.groupBy(*node, "qterm").agg(F.sum("s").alias("s"))
+    asked = terms.select("qid", F.col("term").alias("qterm"), "n_terms")
+    asked = F.broadcast(asked) if terms.count() <= MOST_TERMS else asked
+    agg = summed.join(asked, "qterm").groupBy(*node, "qid", "n_terms").agg(F.sum("s").alias("score"), F.count("*").cast("int").alias("n_matched"))
     score = F.col("score")
     if bonuses:
         score = score + F.when(F.col("n_matched") > 1, (F.col("n_matched") - 1) * r.term_proximity_bonus).otherwise(0.0)
