@@ -15,6 +15,12 @@ def raw_tokens(text: Column, least: int = 2) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"{TOKEN_LETTERS}{{{least},}}+"), F.lit(0))
 
 
+def grams(text: Column) -> Column:
+    """Distinct runs of up to three characters that stand in a text, the empty one included: what begins any of its substrings."""
+    runs = [F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in (1, 2, 3)]
+    return F.array_distinct(F.concat(F.array(F.lit("")), *runs))
+
+
 def _cut(x: Column, suffix: str, put: str = "") -> Column:
     return F.when(F.endswith(x, F.lit(suffix)), F.concat(F.left(x, F.length(x) - len(suffix)), F.lit(put)) if put else F.left(x, F.length(x) - len(suffix)))
 

@@ -67,8 +67,8 @@ def backlinks(matches: DataFrame) -> DataFrame:
 def glossary_hits(index: Index, texts: DataFrame) -> DataFrame:
     """(qid, key): glossary keys of two letters at least in each text (qid, content): phrases as substrings, words at word boundaries.
 
-    Words meet by an equality join on the text's words where the key is one plain word;
-    other keys are few and compared one by one against the small table of texts.
+    Equality joins only: on the text's words where the key is one plain word; other keys
+    meet the texts that hold their first three characters, and are compared then.
     """
     keys = index.glossary.select("key").distinct().where(F.length("key") >= 2)
     low = texts.select("qid", F.lower("content").alias("t"))
@@ -76,7 +76,8 @@ def glossary_hits(index: Index, texts: DataFrame) -> DataFrame:
     plain = words.join(keys.where(F.col("key").rlike(r"^\w+$")), "key").select("qid", "key")
     other = keys.where(~F.col("key").rlike(r"^\w+$"))
     quoted = F.concat(F.lit(r"\b\Q"), F.regexp_replace("key", r"\\E", ""), F.lit(r"\E\b"))
-    hit = low.join(other, F.when(F.col("key").rlike(r"\s"), F.contains("t", F.col("key"))).otherwise(F.rlike(F.col("t"), quoted)))
+    held = low.select("qid", "t", F.explode(T.grams(F.col("t"))).alias("g"))
+    hit = held.join(other.withColumn("g", F.left("key", F.lit(3))), "g").where(F.when(F.col("key").rlike(r"\s"), F.contains("t", F.col("key"))).otherwise(F.rlike(F.col("t"), quoted)))
     return plain.unionByName(hit.select("qid", "key"))
 
 

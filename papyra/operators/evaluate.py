@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from papyra.functions import text as T
+
 
 def ndcg(ranked: DataFrame, qrels: DataFrame, k: int = 10) -> DataFrame:
     """(qid, ndcg): linear gain, discount log2(rank + 1); 1 where nothing is relevant. ranked: qid, item, rank; qrels: qid, item, relevance."""
@@ -36,11 +38,13 @@ def resolve_qrels(index, judged: DataFrame) -> DataFrame:
 
     A document matches if its title contains the fragment; of its nodes the best step
     counts: equal title, title begins with it, title contains it, content contains it,
-    first node. Case doesn't matter.
+    first node. Case doesn't matter. Fragments meet the titles that hold their first
+    three characters by an equality join, and are compared then.
     """
     low = lambda c: F.lower(F.col(c))
     docs = index.documents.select(F.col("doc_id").alias("d"), F.lower("title").alias("dt"))
-    hit = judged.join(docs, F.contains(F.col("dt"), low("doc_title")))
+    held = docs.withColumn("g", F.explode(T.grams(F.col("dt"))))
+    hit = judged.withColumn("g", F.left(low("doc_title"), F.lit(3))).join(held, "g").where(F.contains(F.col("dt"), low("doc_title"))).drop("g")
     rows = hit.join(index.nodes.select("doc_id", "node_id", "ord", "title", "content"), F.col("doc_id") == F.col("d"))
     t, want = low("title"), low("node_title")
     step = F.when(t == want, 1).when(F.startswith(t, want), 2).when(F.contains(t, want), 3).when(F.contains(low("content"), want), 4).when(F.col("ord") == 0, 5)

@@ -26,8 +26,8 @@ def from_dict(spark: SparkSession, entries: dict[str, list[str]]) -> DataFrame:
     return spark.createDataFrame(rows, SCHEMA)
 
 
-def extract(texts: DataFrame, column: str = "text") -> DataFrame:
-    """(acronym, expansion) pairs of each text, distinct over all."""
+def definitions(texts: DataFrame, column: str = "text") -> DataFrame:
+    """(acronym, expansion) of every definition in every text."""
     c = F.col(column)
     out = None
     for pattern, a, e in FORMS:
@@ -36,7 +36,12 @@ def extract(texts: DataFrame, column: str = "text") -> DataFrame:
             F.col("p.a").alias("acronym"), F.lower(F.regexp_replace(F.col("p.e"), r"\A\s+|\s+\z", "")).alias("expansion")
         )
         out = one if out is None else out.unionByName(one)
-    return out.distinct()
+    return out
+
+
+def extract(texts: DataFrame, column: str = "text") -> DataFrame:
+    """(acronym, expansion) pairs, distinct over all texts."""
+    return definitions(texts, column).distinct()
 
 
 def both_ways(entries: DataFrame) -> DataFrame:

@@ -130,6 +130,26 @@ def md_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def defined_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A text a part: its name defined for an acronym in each of the three forms, twice, or not at all."""
+    key = F.col("p_partkey").cast("string")
+    short, name = F.concat(F.lit("P"), (F.col("p_partkey") % 40).cast("string")), F.initcap("p_name")
+    texts = F.array(
+        F.concat(F.lit("the "), short, F.lit(" ("), name, F.lit(") is listed")), F.concat(F.lit("see "), name, F.lit(" ("), short, F.lit(") too")), F.concat(short, F.lit(" — "), name, F.lit(". then")),
+        F.concat(short, F.lit(" ("), name, F.lit(")\nand "), name, F.lit(" (X"), short, F.lit(")")), F.concat(F.lit("nothing of "), F.col("p_name"), F.lit(" (p1)")),
+    )
+    return read(spark, sf_dir, "part").select(key.alias("k"), F.col("p_partkey").alias("doc_ord"), F.get(texts, (F.col("p_partkey") % 5).cast("int")).alias("text"))
+
+
+def defined_index(spark: SparkSession, sf_dir: str) -> Index:
+    def make(s, d):
+        t, did = defined_texts(s, d), F.concat(F.lit("def:"), F.col("k"))
+        documents = _document(t, did, F.col("doc_ord"), F.concat(F.lit("d/"), F.col("k"), F.lit(".md")), F.lit("part"), F.lit(""), F.array().cast("array<string>"), F.lit("def"), F.create_map().cast("map<string,array<string>>"))
+        return Index.build(documents, _finish(_node(t, did, F.col("doc_ord"), F.lit(0), F.lit("part"), F.lit(1), F.col("text"))))
+
+    return kept(spark, sf_dir, "defined", make)
+
+
 def md_tables(spark: SparkSession, sf_dir: str, mode: str = "line") -> tuple[DataFrame, DataFrame]:
     return kept(spark, sf_dir, f"md-{mode}", lambda s, d: markdown.index_markdown(md_files(s, d), mode))
 

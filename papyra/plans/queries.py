@@ -199,12 +199,20 @@ def glossary_expand_search(spark, d):
     return _best(_run(spark, C.docs_index(spark, d).with_glossary(GLOSSARY), _GLQ, prefix=False, expand=True))
 
 
-@query("glossary_extract", f"WITH {S.MD} SELECT 'NKB' AS acronym, 'nation key book' AS expansion, count(*) AS n FROM f")
+_DEFINED = """p AS (SELECT p_partkey AS k, 'P' || (p_partkey % 40) AS a, lower(p_name) AS e FROM part WHERE p_name IS NOT NULL),
+g AS (SELECT a, e FROM p WHERE k % 5 < 4 UNION ALL SELECT 'X' || a, e FROM p WHERE k % 5 = 3)"""
+
+
+@query("glossary_extract", f"WITH {_DEFINED} SELECT a AS acronym, e AS expansion, count(*) AS n FROM g GROUP BY ALL")
 def glossary_extract(spark, d):
-    files = C.md_files(spark, d)
-    found = glossary.extract(files)
-    n = files.agg(F.count("*").alias("n"))
-    return found.join(n.withColumn("acronym", F.lit("NKB")), "acronym").select("acronym", "expansion", "n")
+    """Every pair with the number of its definitions."""
+    return glossary.definitions(C.defined_texts(spark, d)).groupBy("acronym", "expansion").agg(F.count("*").alias("n"))
+
+
+@query("glossary_automatic", f"WITH {_DEFINED} SELECT DISTINCT lower(a) AS key, e AS expansion FROM g UNION SELECT e, lower(a) FROM g")
+def glossary_automatic(spark, d):
+    """The glossary that building an index finds by itself."""
+    return C.defined_index(spark, d).glossary.select("key", "expansion")
 
 
 @query("glossary_both_ways", f"SELECT key, expansion FROM {_GL}")
