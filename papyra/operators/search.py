@@ -15,6 +15,7 @@ from pyspark.sql import Window
 
 from papyra.functions import text as T
 from papyra.operators.indexing import Index
+from papyra.session import write_table
 
 Filters = Mapping[str, "str | Sequence[str]"]
 
@@ -72,7 +73,7 @@ def allowed_postings(index: Index, filters: Filters | None = None, collection: s
     return postings if allowed is None else postings.join(allowed, "doc_id", "left_semi")
 
 
-#: Query terms of a batch that a join may broadcast; beyond that both sides are dealt by term.
+#: Rows of query terms, or of indexed terms wanted, that a join may broadcast; beyond that both sides are dealt by term.
 MOST_TERMS = 500_000
 
 
@@ -83,6 +84,8 @@ def scored(index: Index, terms: DataFrame, filters: Filters | None = None, colle
     Queries share terms, and a term's prefixes lead to many indexed ones: a node's score
     is summed for each distinct query term first, then for the queries that have it. The
     matching postings are dealt by node once; both sums follow without a further exchange.
+    The indexed terms that are wanted are written and counted: up to MOST_TERMS they are
+    broadcast, so that the postings are read where they lie and not dealt by term.
     """
     r = index.ranking
     matches = term_matches(index, terms, prefix)
@@ -94,6 +97,8 @@ def scored(index: Index, terms: DataFrame, filters: Filters | None = None, colle
         F.when(F.col("has_desc"), max(1.0, r.description_weight)).otherwise(1.0), F.when(F.col("has_code"), r.code_weight).otherwise(1.0),
     )
     wanted = matches.select("qterm", "term", (idf * F.col("penalty")).alias("u")).distinct()
+    wanted = write_table(wanted, "wanted")
+    wanted = F.broadcast(wanted) if wanted.count() <= MOST_TERMS else wanted
     # the scan reads no positions; what a posting is worth without the query is computed before the join
     worth = allowed_postings(index, filters, collection, doc_id).select("term", "doc_id", "node_id", "doc_ord", "ord", (norm * weight).alias("v"))
     node = ["doc_ord", "ord", "doc_id", "node_id"]
