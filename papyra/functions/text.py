@@ -21,34 +21,17 @@ def grams(text: Column) -> Column:
     return F.array_distinct(F.concat(F.array(F.lit("")), *runs))
 
 
-def _cut(x: Column, suffix: str, put: str = "") -> Column:
-    return F.when(F.endswith(x, F.lit(suffix)), F.concat(F.left(x, F.length(x) - len(suffix)), F.lit(put)) if put else F.left(x, F.length(x) - len(suffix)))
-
-
-def _dropper(suffix: str):
-    return lambda x: _cut(x, suffix).otherwise(x)
-
-
 def stems(tokens: Column) -> Column:
-    """Light suffix stripping of an array of tokens; tokens under four letters stay.
+    """Light suffix stripping of an array of tokens as raw_tokens gives them; tokens under four letters stay.
 
-    Each rule is one pass over the array: a lambda's variable is evaluated once, where
-    nested conditions over a column would be copied into each other.
+    The tokens are joined, each rule is one replacement at the ends of all words, and what
+    comes out is split again. `ing` goes only where two letters more went before it, which
+    `es` alone leaves possible.
     """
-    c = F.transform(tokens, lambda x: _cut(x, "ies", "y").otherwise(x))
-    c = F.transform(c, lambda x: _cut(x, "ied", "y").otherwise(x))
-    c = F.transform(c, lambda x: _cut(x, "es").when(F.endswith(x, F.lit("s")), F.left(x, F.length(x) - 1)).otherwise(x))
-    # the guard compares the original length with where the suffix begins
-    c = F.transform(
-        c,
-        lambda x, i: F.when(
-            F.endswith(x, F.lit("ing")) & (F.length(F.get(tokens, i)) - (F.length(x) - 3) > 4), F.left(x, F.length(x) - 3)
-        ).otherwise(x),
-    )
-    c = F.transform(c, lambda x: _cut(x, "tion", "t").otherwise(x))
-    for s in DROPPED_SUFFIXES:
-        c = F.transform(c, _dropper(s))
-    return F.transform(c, lambda x, i: F.when(F.length(F.get(tokens, i)) < 4, F.get(tokens, i)).otherwise(x))
+    c = F.array_join(tokens, " ")
+    for pattern, put in (("ie[sd]", "y"), ("(?:ing)?es|s", ""), ("tion", "t"), *((s, "") for s in DROPPED_SUFFIXES)):
+        c = F.regexp_replace(c, f"(?:{pattern})(?![^ ])", put)
+    return F.zip_with(tokens, F.slice(F.split(c, " "), 1, F.size(tokens)), lambda t, s: F.when(F.length(t) < 4, t).otherwise(s))
 
 
 def code_tokens(content: Column) -> Column:
