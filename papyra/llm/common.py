@@ -28,6 +28,21 @@ def beside(keys: DataFrame, most: int = BROADCAST) -> DataFrame:
     return F.broadcast(keys) if keys.limit(most + 1).count() <= most else keys
 
 
+#: A key is hot if over this share of all rows (one in so many) has it.
+SHARE = 1000
+
+
+def beside_hot(rows: DataFrame, keyed: DataFrame, key: str, total: int) -> DataFrame:
+    """rows joined with keyed (one row a key, n: its rows) without a hot key in one task.
+
+    total: at least half the sum of n, so that 2 * SHARE keys at most are hot. Those are
+    broadcast to where their rows lie; the others are dealt by key. n is dropped.
+    """
+    is_hot = F.col("n") * SHARE > total
+    hot, rest = F.broadcast(keyed.where(is_hot).drop("n")), keyed.where(~is_hot).drop("n")
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(rest, key))
+
+
 def fold(doc_id: Column, modulus: int, remainder: int) -> Column:
     """Whether crc32 of the id as text leaves this remainder; false for a null id."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % modulus == remainder, F.lit(False))

@@ -12,7 +12,8 @@ Scale: texts never move, only (id, fingerprint); equal fingerprints are one clas
 before anything else, so copies cost no pairs. A group links its members by a
 spanning forest once it is larger than PAIRWISE, never by all pairs. Groups above
 BLOCK members are cut into blocks, and each pair of blocks is a group of its own, so
-no task holds more than two blocks of a group; no pair is lost.
+no task holds more than two blocks of a group; no pair is lost. Rows of a large group
+of copies get its component by broadcast.
 
 Defined cases: null and empty texts have no words and fingerprint zero, linked like
 any other. Repeated rows share a class. Rows with a null doc_id are fingerprinted and
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from papyra.llm.bytetools import buffers, words
-from papyra.llm.common import beside, table
+from papyra.llm.common import beside, beside_hot, table
 from papyra.llm.components import components
 from papyra.llm.features import groups
 from papyra.session import write_table
@@ -313,16 +314,18 @@ def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     prints = write_table(
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), fingerprint(F.col("text")).alias("fp")), "fingerprints"
     )
-    files = 1 + prints.count() // CLASSES_A_FILE
-    classes = write_table(prints.groupBy("fp").agg(F.min("doc_id").alias("least")).coalesce(files), "classes")
+    total = prints.count()
+    files = 1 + total // CLASSES_A_FILE
+    classes = write_table(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).coalesce(files), "classes")
     found = components(links(classes.select("fp", F.col("fp").alias("rep")), block))
     linked = classes.join(found, F.col("fp") == F.col("node")).select("fp", "least", F.col("component").alias("group_id"))
     smallest = linked.groupBy("group_id").agg(F.min("least").alias("of_group"))
     linked = linked.select(F.col("fp").alias("of"), "group_id").join(beside(smallest), "group_id")
     named = classes.join(linked, F.col("fp") == F.col("of"), "left").select(
-        "fp", F.coalesce("group_id", "fp").alias("group_id"), F.when(F.col("of").isNull(), F.col("least")).otherwise(F.col("of_group")).alias("component_id")
+        "fp", "n", F.coalesce("group_id", "fp").alias("group_id"), F.when(F.col("of").isNull(), F.col("least")).otherwise(F.col("of_group")).alias("component_id")
     )
-    return prints.join(named, "fp").select("doc_id", "th", "fp", "group_id", "component_id")
+    named = write_table(named.coalesce(files), "named")
+    return beside_hot(prints, named, "fp", total).select("doc_id", "th", "fp", "group_id", "component_id")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

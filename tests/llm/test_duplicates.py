@@ -6,9 +6,11 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pytest
 import xxhash
 
-from papyra.llm import minhash, simhash
+from papyra.llm import common, minhash, simhash
+from papyra.llm import components as hubs
 from papyra.llm.components import components
 from tests.llm.fixtures import documents, empty, frame
 
@@ -34,7 +36,10 @@ def unions(ids, pairs):
     return {i: find(i) for i in ids}
 
 
-def test_components_of_paths_stars_and_repeats(spark):
+@pytest.mark.parametrize("edges, share", [(250_000, 1000), (1, 1000), (1, 20)])
+def test_components_of_paths_stars_and_repeats(spark, edges, share, monkeypatch):
+    monkeypatch.setattr(hubs, "EDGES_A_FILE", edges)
+    monkeypatch.setattr(common, "SHARE", share)
     rng = random.Random(2)
     pairs = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 60)] + [(rng.randint(200, 260), rng.randint(200, 260)) for _ in range(40)] + [(7, 7), (1, 0), (0, 1)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
@@ -43,6 +48,16 @@ def test_components_of_paths_stars_and_repeats(spark):
     assert all(want[n] == c for n, c in got.items()) and {n for p in pairs if p[0] != p[1] for n in p} == set(got)
 
 
+@pytest.mark.parametrize("share", [1, 3, 10**6])
+def test_hot_keys_join_like_others(spark, share, monkeypatch):
+    monkeypatch.setattr(common, "SHARE", share)
+    keys = [1] * 30 + [2] * 5 + [3, 4, None]
+    rows = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "k long, i long")
+    keyed = spark.createDataFrame([(k, keys.count(k), f"v{k}") for k in (1, 2, 3)], "k long, n long, v string")
+    got = sorted(map(tuple, common.beside_hot(rows, keyed, "k", len(keys)).select("k", "i", "v").collect()))
+    assert got == [(k, i, f"v{k}") for i, k in enumerate(keys) if k in (1, 2, 3)]
+
+
 def test_near_duplicates_match_brute_force(spark):
     rng = random.Random(9)
     rows = [(r[0], r[1]) for r in documents()]
