@@ -125,3 +125,26 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: n
         out[i:j] = (sums[e] - sums[s]) * inv[s]
         i = j
     return mix(out)
+
+
+def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of each run of true places, and its row. A run never crosses rows."""
+    if not len(inside):
+        z = np.zeros(0, np.int64)
+        return z, z, z
+    first = np.zeros(len(inside) + 1, bool)
+    first[offsets] = True
+    starts, ends = inside.copy(), inside.copy()
+    starts[1:] &= ~inside[:-1] | first[1:-1]
+    ends[:-1] &= ~inside[1:] | first[1:-1]
+    starts = np.flatnonzero(starts)
+    return starts, np.flatnonzero(ends) + 1, np.searchsorted(offsets, starts, side="right") - 1
+
+
+def spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The bytes of each span as an array of binary values."""
+    sizes = ends - starts
+    offsets = np.zeros(len(sizes) + 1, np.int64)
+    np.cumsum(sizes, out=offsets[1:])
+    values = data[np.repeat(starts - offsets[:-1], sizes) + np.arange(offsets[-1])] if len(sizes) else np.zeros(0, np.uint8)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from papyra.llm import chat, decontaminate, html, langid, minhash, packing, quality, simhash, tokenfile, toxicity
+from papyra.llm import chat, collocations, decontaminate, html, langid, minhash, packing, quality, simhash, tokenfile, toxicity
 
 
 def queries() -> dict:
@@ -17,8 +17,9 @@ def queries() -> dict:
         "op8_fingerprints": minhash.query,
         "op9_quality": quality.query,
         "op10_decontaminate": decontaminate.query,
+        "op11_collocations": collocations.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_decontaminate": decontaminate.ORACLE}
+    return {"op10_decontaminate": decontaminate.ORACLE, "op11_collocations": collocations.ORACLE}
