@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from papyra.llm import chat, collocations, decontaminate, html, langid, minhash, packing, quality, simhash, tokenfile, toxicity
+from papyra.llm import chat, collocations, decontaminate, html, langid, minhash, packing, quality, simhash, tokenfile, toxicity, whitening
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op9_quality": quality.query,
         "op10_decontaminate": decontaminate.query,
         "op11_collocations": collocations.query,
+        "op12_whitening": whitening.query,
     }
 
 
