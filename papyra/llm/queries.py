@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from papyra.llm import chat, collocations, decontaminate, html, langid, minhash, packing, quality, simhash, tokenfile, toxicity, whitening
+from papyra.llm import chat, collocations, decontaminate, html, langid, minhash, packing, quality, simhash, substrings, tokenfile, toxicity, whitening
 
 
 def queries() -> dict:
@@ -19,8 +19,9 @@ def queries() -> dict:
         "op10_decontaminate": decontaminate.query,
         "op11_collocations": collocations.query,
         "op12_whitening": whitening.query,
+        "op13_substring_dedup": substrings.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_decontaminate": decontaminate.ORACLE, "op11_collocations": collocations.ORACLE}
+    return {"op10_decontaminate": decontaminate.ORACLE, "op11_collocations": collocations.ORACLE, "op13_substring_dedup": substrings.ORACLE}
