@@ -6,9 +6,13 @@ import json
 import os
 import posixpath
 import re
+import uuid
 from collections.abc import Callable
 from datetime import datetime, timezone
 
+import ahocorasick
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -64,21 +68,77 @@ def backlinks(matches: DataFrame) -> DataFrame:
     return matches.withColumn("n", F.row_number().over(w)).where("n = 1").drop("n")
 
 
+#: Characters of glossary keys that one automaton holds; more keys go to several, each of which reads the texts once.
+AUTOMATON = 2 << 20
+
+
+def _inner(c: str) -> bool:
+    """Whether a character belongs to a word: a letter, a decimal digit or an underscore."""
+    return c == "_" or c.isalpha() or c.isdecimal()
+
+
+def _stands(text: str, a: int, z: int, key: str, plain: bool) -> bool:
+    """Whether text[a:z], equal to the key, stands at word boundaries; those of a plain key are between ASCII letters."""
+    before, after = text[a - 1 : a], text[z : z + 1]
+    if plain:
+        return not (before.isascii() and _inner(before)) and not (after.isascii() and _inner(after))
+    return (bool(before) and _inner(before)) != _inner(key[0]) and (bool(after) and _inner(after)) != _inner(key[-1])
+
+
+def _automaton(keys: list[str]) -> ahocorasick.Automaton:
+    """Of each key: itself, whether it is a phrase, whether it is of ASCII letters, digits and underscores alone."""
+    a = ahocorasick.Automaton()
+    for k in keys:
+        a.add_word(k, (k, bool(_BLANK.search(k)), bool(_PLAIN.match(k))))
+    a.make_automaton()
+    return a
+
+
+_BLANK, _PLAIN = re.compile(r"\s"), re.compile(r"\A[0-9A-Za-z_]+\Z")
+_made: dict[str, ahocorasick.Automaton] = {}  # the automaton that a worker made last
+
+
+def keys_in(keys: Broadcast):
+    """A function of batches (qid, t) giving (qid, key): the keys found in each text, in one pass over it."""
+    name = uuid.uuid4().hex
+
+    def run(batches):
+        if keys.value and name not in _made:
+            _made.clear()
+            _made[name] = _automaton(keys.value)
+        automaton = _made.get(name)
+        for b in batches:
+            at, out = [], []
+            for i, text in enumerate(b.column("t").to_pylist()):
+                found: set[str] = set()
+                for end, (key, phrase, plain) in automaton.iter(text or "") if automaton else ():
+                    if key not in found and (phrase or _stands(text, end + 1 - len(key), end + 1, key, plain)):
+                        found.add(key)
+                at += [i] * len(found)
+                out += found
+            yield pa.RecordBatch.from_arrays([b.column("qid").take(pa.array(at, pa.int64())), pa.array(out, pa.string())], names=["qid", "key"])
+
+    return run
+
+
 def glossary_hits(index: Index, texts: DataFrame) -> DataFrame:
     """(qid, key): glossary keys of two letters at least in each text (qid, content): phrases as substrings, words at word boundaries.
 
-    Equality joins only: on the text's words where the key is one plain word; other keys
-    meet the texts that hold their first three characters, and are compared then.
+    An automaton of all keys finds those of a text in one pass: the cost is linear in the
+    texts and in the keys. Keys are sent to the tasks in parts of AUTOMATON characters at
+    most, dealt by a hash, and the texts are read once a part.
     """
     keys = index.glossary.select("key").distinct().where(F.length("key") >= 2)
     low = texts.select("qid", F.lower("content").alias("t"))
-    words = low.select("qid", F.explode(F.array_distinct(F.regexp_extract_all("t", F.lit(r"\w+"), F.lit(0)))).alias("key"))
-    plain = words.join(keys.where(F.col("key").rlike(r"^\w+$")), "key").select("qid", "key")
-    other = keys.where(~F.col("key").rlike(r"^\w+$"))
-    quoted = F.concat(F.lit(r"\b\Q"), F.regexp_replace("key", r"\\E", ""), F.lit(r"\E\b"))
-    held = low.select("qid", "t", F.explode(T.grams(F.col("t"))).alias("g"))
-    hit = held.join(other.withColumn("g", F.left("key", F.lit(3))), "g").where(F.when(F.col("key").rlike(r"\s"), F.contains("t", F.col("key"))).otherwise(F.rlike(F.col("t"), quoted)))
-    return plain.unionByName(hit.select("qid", "key"))
+    size = keys.agg(F.coalesce(F.sum(F.length("key")), F.lit(0))).first()[0]
+    parts = 1 + size // AUTOMATON
+    found = None
+    for k in range(parts):
+        own = keys if parts == 1 else keys.where(F.pmod(F.xxhash64("key"), F.lit(parts)) == k)
+        sent = index.spark.sparkContext.broadcast([r["key"] for r in own.collect()])  # about AUTOMATON characters
+        one = low.mapInArrow(keys_in(sent), f"qid {low.schema['qid'].dataType.simpleString()}, key string")
+        found = one if found is None else found.unionByName(one)
+    return found
 
 
 def draft(index: Index, topic: str, raw_content: str, suggested_path: str | None = None, source_url: str | None = None,

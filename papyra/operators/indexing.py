@@ -69,10 +69,33 @@ def refs_of(documents: DataFrame) -> DataFrame:
 
 
 def last_wins(documents: DataFrame) -> DataFrame:
-    """One row a doc_id: the row loaded last, in the place of the first."""
-    w = Window.partitionBy("doc_id")
-    ranked = documents.withColumn("__n", F.row_number().over(w.orderBy(F.desc("doc_ord")))).withColumn("__first", F.min("doc_ord").over(w))
-    return ranked.where("__n = 1").withColumn("doc_ord", F.col("__first")).drop("__n", "__first")
+    """One row a doc_id: the row loaded last, in the place of the first."""
+    return of_the_last(documents, repeated(documents))
+
+
+def repeated(documents: DataFrame) -> DataFrame:
+    """(doc_id, last, first): where ids that several documents have were loaded last and first."""
+    return documents.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("doc_ord").alias("last"), F.min("doc_ord").alias("first")).where("n > 1").drop("n")
+
+
+def of_the_last(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows (documents, or their nodes) without those of a document loaded before the last of its id; the others take the first one's place.
+
+    ids: as repeated() gives them; the side is broadcast if it is counted small.
+    """
+    ids = ids.select(F.col("doc_id").alias("__id"), F.col("last").alias("__last"), F.col("first").alias("__first"))
+    side = F.broadcast(ids) if ids.limit(MOST_GONE + 1).count() <= MOST_GONE else ids
+    both = rows.join(side, F.col("doc_id") == F.col("__id"), "left").where(F.col("__last").isNull() | (F.col("doc_ord") == F.col("__last")))
+    return both.withColumn("doc_ord", F.coalesce("__first", "doc_ord")).drop("__id", "__last", "__first")
+
+
+def _once(documents: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both tables written, the last document of each id alone (nodes keep their document's doc_ord until then)."""
+    documents = write_table(documents, "documents")
+    ids = write_table(repeated(documents), "repeated")
+    if ids.isEmpty():
+        return documents, write_table(nodes, "nodes")
+    return write_table(of_the_last(documents, ids), "documents"), write_table(of_the_last(nodes, ids), "nodes")
 
 
 def stats_of(nodes: DataFrame) -> DataFrame:
@@ -119,9 +142,8 @@ class Index:
     @classmethod
     def build(cls, documents: DataFrame, nodes: DataFrame, ranking: Ranking | None = None, weights: dict[str, float] | None = None,
               glossary: DataFrame | None = None, auto_glossary: bool = True) -> Index:
-        """Build all tables (I11). Each is written once to the shared folder, so nothing is computed twice."""
-        documents = write_table(documents, "documents")
-        nodes = write_table(nodes, "nodes")
+        """Build all tables (I11). Of documents with one doc_id the one loaded last counts. Each table is written once to the shared folder, so nothing is computed twice."""
+        documents, nodes = _once(documents, nodes)
         tokens = node_tokens(nodes, documents)
         postings = write_table(postings_of(tokens), "postings")
         stats = write_table(stats_of(nodes), "node-stats")
@@ -175,7 +197,7 @@ class Index:
         n, total = _totals(self.node_stats.join(side, "doc_id", "left_semi"))
         n, total = self.n_nodes - n, self.n_tokens - total
         if documents is not None and nodes is not None:
-            documents, nodes = write_table(documents, "documents"), write_table(nodes, "nodes")
+            documents, nodes = _once(documents, nodes)
             new = {"documents": documents, "nodes": nodes, "postings": write_table(postings_of(node_tokens(nodes, documents)), "postings"), "node_stats": write_table(stats_of(nodes), "node-stats")}
             tables = {k: v.unionByName(new[k]) for k, v in tables.items()}
             df.append(new["postings"].groupBy("term").agg(F.count("*").alias("d")))

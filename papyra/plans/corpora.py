@@ -10,6 +10,7 @@ from papyra.operators import code, markdown
 from papyra.operators.indexing import Index
 from papyra.operators.tree import with_parents
 from papyra.session import attach
+from papyra.sources.files import documents_and_nodes
 
 _kept: dict[tuple[str, str, str], object] = {}
 
@@ -196,5 +197,19 @@ def many_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def twice_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A markdown file a part from one folder, and of every third part again from a second folder of the same collection, loaded later."""
+    p = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.coalesce("p_name", F.lit("")).alias("name"))
+    key = F.col("k").cast("string")
+    path, kind, when = F.concat(F.lit("parts/p"), key, F.lit(".md")), F.lit("md"), F.lit("2024-01-02 03:04:05").cast("timestamp")
+    one = p.select(path.alias("file_path"), F.concat(F.lit("# Part "), key, F.lit("\nearlier "), "name", F.lit("\n\n## Old\ngonezz words\n\n## Older\nmore\n")).alias("text"), F.col("k").cast("long").alias("doc_ord"))
+    two = p.where("k % 3 = 0").select(path.alias("file_path"), F.concat(F.lit("# Part "), key, F.lit("\nlater "), "name", F.lit("\n\n## New\nnewzz words\n")).alias("text"), (F.col("k") + (1 << 40)).cast("long").alias("doc_ord"))
+    return one.unionByName(two).withColumns({"collection": F.lit("twice"), "kind": kind, "modified": when})
+
+
+def twice_index(spark: SparkSession, sf_dir: str) -> Index:
+    return kept(spark, sf_dir, "twice", lambda s, d: Index.build(*documents_and_nodes(twice_files(s, d)), auto_glossary=False))
+
+
 def code_index(spark: SparkSession, sf_dir: str) -> Index:
     return kept(spark, sf_dir, "code", lambda s, d: Index.build(*code.index_code(code_files(s, d)), auto_glossary=False))

@@ -488,6 +488,31 @@ def glossary_hits(spark, d):
     return curate.glossary_hits(C.docs_index(spark, d).with_glossary(GLOSSARY), items).select("qid", "key")
 
 
+_PART_KEYS = """k AS (SELECT DISTINCT lower(w) AS key FROM (SELECT unnest(string_split(p_name, ' ')) AS w FROM part) WHERE length(w) >= 2
+UNION SELECT DISTINCT left(lower(text), 14) FROM documents WHERE doc_id % 10 = 3 AND regexp_matches(left(lower(text), 14), '[ ]') UNION SELECT DISTINCT lower(w) FROM (SELECT unnest(string_split(text, ' ')) AS w FROM benchmark) WHERE regexp_matches(w, '^[A-Za-z_0-9]{2,}$'))"""
+
+
+def _document_keys(spark, d) -> DataFrame:
+    """Words of parts and benchmark texts, and beginnings of documents that hold a blank."""
+    words = C.read(spark, d, "part").select(F.explode(F.split("p_name", " ")).alias("key"))
+    texts = C.read(spark, d, "benchmark").select(F.explode(F.split("text", " ")).alias("key")).where(F.col("key").rlike("^[A-Za-z_0-9]{2,}$"))
+    heads = C.read(spark, d, "documents").where("doc_id % 10 = 3").select(F.left(F.lower("text"), F.lit(14)).alias("key")).where(F.contains("key", F.lit(" ")))
+    return words.unionByName(texts).unionByName(heads).select(F.lower("key").alias("key")).distinct().select("key", F.lit("x").alias("expansion"), F.lit(0).cast("long").alias("pos"))
+
+
+@query(
+    "glossary_hits_documents",
+    f"""WITH {_PART_KEYS}, w AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[0-9A-Za-z_]+')) AS key FROM documents)
+SELECT CAST(doc_id AS VARCHAR) AS qid, key FROM w JOIN k USING (key)
+UNION SELECT CAST(doc_id AS VARCHAR), key FROM documents JOIN k ON contains(lower(text), key) WHERE contains(key, ' ')""",
+)
+def glossary_hits_documents(spark, d):
+    """Whole documents against some thousand keys; the keys are words of letters and digits, and phrases."""
+    i = indexing.replace(C.docs_index(spark, d), glossary=_document_keys(spark, d).where(F.col("key").rlike("^[a-z_0-9]{2,}$| ")))
+    texts = C.read(spark, d, "documents").select(F.col("doc_id").cast("string").alias("qid"), F.col("text").alias("content"))
+    return curate.glossary_hits(i, texts)
+
+
 # -- maintenance -------------------------------------------------------------
 
 
@@ -537,6 +562,38 @@ def last_wins(spark, d):
     return indexing.last_wins(rows)
 
 
+@query(
+    "last_file_wins",
+    """WITH f AS (SELECT p_partkey AS k, coalesce(p_name, '') AS name, p_partkey % 3 = 0 AS late FROM part)
+SELECT 'twice:parts:p' || k || ':n' || e.ord AS node_id, k AS doc_ord, e.title AS title, CASE e.ord WHEN 1 THEN CASE WHEN late THEN 'later ' ELSE 'earlier ' END || name WHEN 2 THEN CASE WHEN late THEN 'newzz words' ELSE 'gonezz words' END ELSE 'more' END AS content
+FROM f, LATERAL (VALUES (1, 'Part ' || k), (2, CASE WHEN late THEN 'New' ELSE 'Old' END), (3, 'Older')) e(ord, title) WHERE NOT late OR e.ord < 3""",
+)
+def last_file_wins(spark, d):
+    """Nodes of an index over two folders with the same paths."""
+    return C.twice_index(spark, d).nodes.select("node_id", "doc_ord", "title", F.regexp_replace("content", r"\s+$", "").alias("content"))
+
+
+@query(
+    "last_file_terms",
+    """WITH f AS (SELECT p_partkey % 3 = 0 AS late FROM part)
+SELECT e.term, e.n AS df FROM LATERAL (VALUES ('earlier', (SELECT count(*) FROM f WHERE NOT late)), ('later', (SELECT count(*) FROM f WHERE late)), ('gonezz', (SELECT count(*) FROM f WHERE NOT late)), ('newzz', (SELECT count(*) FROM f WHERE late))) e(term, n)""",
+)
+def last_file_terms(spark, d):
+    """How many nodes hold a word that only one of the two files of a path has."""
+    return C.twice_index(spark, d).vocab.where(F.col("term").isin("earlier", "later", "gonezz", "newzz")).select("term", "df")
+
+
+@query(
+    "last_file_search",
+    """SELECT p_partkey AS doc_ord, count(*) AS n FROM part WHERE p_partkey % 3 = 0 GROUP BY 1""",
+)
+def last_file_search(spark, d):
+    """A search for a word of the later files finds each of their nodes once."""
+    i = C.twice_index(spark, d)
+    found = search.scored(i, search.query_terms(i, search.query_frame(spark, "later")), prefix=False)
+    return found.groupBy("doc_ord").agg(F.count("*").alias("n"))
+
+
 @query("ref_map", "SELECT lower(r_name) || '.md' AS basename, 'geo:' || r_regionkey AS doc_id FROM region")
 def ref_map(spark, d):
     return C.geo_index(spark, d).refs

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from papyra.operators import code, glossary, markdown
-from papyra.operators.indexing import Index
+from papyra.operators.indexing import Index, of_the_last, repeated
 from papyra.operators.schema import Collection, Config
 
 FILES = "file_path string, text string, collection string, modified timestamp"
@@ -57,7 +57,10 @@ def read_manifest(index: Index) -> DataFrame:
 
 
 def documents_and_nodes(files: DataFrame, mode: str = "block") -> tuple[DataFrame, DataFrame]:
-    """Index markdown and code files (with their kind) together."""
+    """Index markdown and code files (with their kind) together (S05, S06); of files with one doc_id the one loaded last alone is read."""
+    own = F.when(F.col("kind") == "md", markdown.doc_id(F.col("collection"), F.col("file_path"))).otherwise(code.doc_id(F.col("collection"), F.col("file_path")))
+    named = files.withColumn("doc_id", own)
+    files = of_the_last(named, repeated(named.select("doc_id", "doc_ord"))).drop("doc_id")
     md_docs, md_nodes = markdown.index_markdown(files.where("kind = 'md'"), mode)
     code_docs, code_nodes = code.index_code(files.where("kind = 'code'"))
     return md_docs.unionByName(code_docs), md_nodes.unionByName(code_nodes)
