@@ -11,9 +11,9 @@ finds equal windows and the least doc_id of each, without any hashing.
 Strings whose minimiser only one document has are never sent: their windows occur in no other.
 Which minimisers several documents have is found first, from (minimiser, least and greatest
 doc_id), and comes to the tasks as a bitmap of at most 2^MOST_BITS bits; what it lets through
-by chance is sorted like the rest. Equal strings are put together before they are dealt, and
-what a bucket finds goes back to all documents with that string, named by its SHA-256; strings
-that very many documents have are joined by broadcast.
+by chance is sorted like the rest. Equal strings of a group of texts travel once, so a string
+that very many documents have is a row a group; what a bucket finds goes back to all documents
+with that string, named by its SHA-256, the most frequent ones by broadcast.
 
 Defined cases: a null text has no words; a null doc_id counts as 2^63 - 1, greater than any
 other; rows of one doc_id are one document, so they don't remove each other's words, and each
@@ -29,6 +29,7 @@ import hashlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -160,7 +161,10 @@ def minimisers(frequent, window: int, gram: int):
 
 
 def packed(frequent, shared, window: int, gram: int):
-    """A function of batches giving (m, s, doc, th, at): packed strings of minimisers that are marked in shared."""
+    """A function of batches giving (m, id, doc, th, at, s, low, high, n): packed strings of minimisers that are marked in shared.
+
+    Of equal strings in a group of texts the first row alone has s, and the least and greatest doc and the number of all.
+    """
 
     def run(batches):
         for b in batches:
@@ -172,11 +176,25 @@ def packed(frequent, shared, window: int, gram: int):
                 first, size, m = _runs_of_windows(h, rows, frequent.value, window, gram)
                 keep = _has(shared.value, m)
                 first, size, m = first[keep], size[keep], m[keep]
+                if not len(first):
+                    continue
                 own = rows[first] + i
                 text, cuts = _joined(part, starts, ends)
-                strings = spans(text, cuts[first], cuts[first + size + window - 1] - 1).cast(pa.large_string()).cast(pa.string())
+                strings = spans(text, cuts[first], cuts[first + size + window - 1] - 1)
+                coded = strings.dictionary_encode()
+                code, names = coded.indices.to_numpy(), [hashlib.sha256(x).digest()[:16] for x in coded.dictionary.to_pylist()]
                 at = (first - np.searchsorted(rows, rows[first])).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(m.view(np.int64)), strings, pa.array(doc[own]), pa.array(th[own]), pa.array(at)], names=["m", "s", "doc", "th", "at"])
+                order = np.argsort(code, kind="stable")
+                lead = np.flatnonzero(np.append(True, np.diff(code[order]) != 0))
+                once = order[lead]
+                low, high, n = np.zeros(len(code), np.int64), np.zeros(len(code), np.int64), np.zeros(len(code), np.int64)
+                low[once], high[once] = (f.reduceat(doc[own][order], lead) for f in (np.minimum, np.maximum))
+                n[once] = np.diff(np.append(lead, len(code)))
+                text = pc.if_else(pa.array(n > 0), strings.cast(pa.large_string()), pa.scalar(None, pa.large_string())).cast(pa.string())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(m.view(np.int64)), pa.array(names, pa.binary()).take(pa.array(code)), pa.array(doc[own]), pa.array(th[own]), pa.array(at), text, pa.array(low), pa.array(high), pa.array(n)],
+                    names=["m", "id", "doc", "th", "at", "s", "low", "high", "n"],
+                )
 
     return run
 
@@ -209,8 +227,24 @@ def _equal_windows(strings: pa.Array, window: int) -> tuple[np.ndarray, np.ndarr
     return number[at], rows[at], at - np.searchsorted(rows, rows[at])
 
 
+def _together(rows: pa.Table) -> pa.Table:
+    """Rows of equal strings as one."""
+    code = rows.column("id").combine_chunks().dictionary_encode().indices.to_numpy()
+    order = np.argsort(code, kind="stable")
+    lead = np.flatnonzero(np.append(True, np.diff(code[order]) != 0))
+    if len(lead) == len(rows):
+        return rows.combine_chunks()
+    once = np.sort(order[lead])
+    merged = {c: f.reduceat(rows.column(c).to_numpy()[order], lead)[code[once]] for c, f in (("low", np.minimum), ("high", np.maximum), ("n", np.add))}
+    out = rows.combine_chunks().take(pa.array(once))
+    for c, values in merged.items():
+        out = out.set_column(out.schema.get_field_index(c), c, pa.array(values))
+    return out.combine_chunks()
+
+
 def _sorted_windows(rows: pa.Table, window: int) -> pa.RecordBatch:
     """(id, n, a, b, least): runs of windows, from the a-th to the b-th of a string, that several documents have, the least of these."""
+    rows = _together(rows)
     m, low, high = (rows.column(c).to_numpy() for c in ("m", "low", "high"))
     new = np.append(True, m[1:] != m[:-1])
     several = ~(new & np.append(new[1:], True))
@@ -243,7 +277,7 @@ def buckets(window: int):
 
     def run(batches):
         held: list[pa.RecordBatch] = []
-        size = 0
+        size, last_size = 0, GROUP
         for b in batches:
             if not b.num_rows:
                 continue
@@ -254,7 +288,11 @@ def buckets(window: int):
             m = b.column("m").to_numpy()
             cut = int(np.searchsorted(m, m[-1]))  # the last bucket may go on
             if not cut and held[0].column("m")[0].as_py() == m[-1]:
+                if size > 2 * last_size:  # one bucket: equal strings of many groups of texts are put together as they come
+                    held = _together(pa.Table.from_batches(held)).to_batches()
+                    size = last_size = sum(x.column("s").nbytes for x in held)
                 continue
+            last_size = GROUP
             whole = pa.Table.from_batches([*held[:-1], b.slice(0, cut)])
             last = len(whole) - int(np.searchsorted(whole.column("m").to_numpy(), m[-1])) if not cut else 0
             yield _sorted_windows(whole.slice(0, len(whole) - last), window)
@@ -277,10 +315,8 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFram
     found = texts.select("doc", "text").mapInArrow(minimisers(frequent, window, gram), "m long, low long, high long")
     found = found.groupBy("m").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high").select("m")
     shared = spark.sparkContext.broadcast(_bitmap(write_table(found, "shared"), "m"))
-    sent = texts.mapInArrow(packed(frequent, shared, window, gram), "m long, s string, doc long, th long, at int")
-    sent = write_table(sent.withColumn("id", F.unhex(F.substring(F.sha2("s", 256), 1, 32))), "super-k-mers")
-    distinct = sent.groupBy("m", "s", "id").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.count("*").alias("n"))
-    dealt = distinct.repartition("m").sortWithinPartitions("m")
+    sent = write_table(texts.mapInArrow(packed(frequent, shared, window, gram), "m long, id binary, doc long, th long, at int, s string, low long, high long, n long"), "super-k-mers")
+    dealt = sent.where("s IS NOT NULL").select("m", "s", "low", "high", "n", "id").repartition("m").sortWithinPartitions("m")
     least = write_table(dealt.mapInArrow(buckets(window), "id binary, n long, a int, b int, least long"), "least")
     back = beside_hot(sent.select("id", "doc", "th", "at"), least, "id", sent.count()).where("least < doc")
     span = F.shiftleft((F.col("at") + F.col("a")).cast("long"), 32) + F.col("at") + F.col("b") + window
@@ -301,7 +337,7 @@ def _removed(batches):
             own = marks.slice(i, j - i)
             span = own.flatten().to_numpy(zero_copy_only=False)
             if len(span):
-                sizes = pa.compute.fill_null(pa.compute.list_value_length(own), 0).to_numpy(zero_copy_only=False)
+                sizes = pc.fill_null(pc.list_value_length(own), 0).to_numpy(zero_copy_only=False)
                 base = np.repeat(word[:-1], sizes)
                 np.add.at(steps, base + (span >> 32), 1)
                 np.subtract.at(steps, base + (span & 0xFFFFFFFF), 1)
