@@ -1,15 +1,18 @@
 """Collocations of words by Suffix-sigma: truncated suffixes, sorted, counted with one stack.
 
 Every occurrence of a word gives one suffix: it and the words after it within its piece, max_n
-at most. Equal suffixes of a task are counted before they are dealt by language and first word
-and sorted in reverse lexicographic order, so that all suffixes with one beginning lie together;
-one pass with a stack of max_n open beginnings counts every phrase of up to max_n words. A first
-word with more than one in SHARE of all words is dealt to several partitions, as many as its
-share asks for; what its partitions count of a phrase is added up afterwards. The parts of each
-candidate are then joined to it by equality.
+at most. A task counts equal suffixes of a group of texts and packs those with one language and
+first word into one string, which travels to that first word's bucket. There suffixes are put
+in reverse lexicographic order, so that all with one beginning lie together, and counted with a
+stack of max_n open beginnings: a beginning is closed, and its count final, where the next
+suffix differs from it. The parts of each candidate are then joined to it by equality.
+
+A first word with over PART suffixes is split by its second word into several buckets, and two
+such words that are frequent together by the whole suffix; what buckets count in part of a
+phrase is added up afterwards. So a bucket is bounded, whatever share of all rows a word has.
 
 A key is the language and the words with "\\0" between; "\\0" and "\\1" within a word are written
-as "\\1\\1" and "\\1\\2", so that a key and all its continuations are neighbours in the order.
+as "\\1\\1" and "\\1\\2".
 
 Defined cases: a null text is empty; a null language is `und`; texts without words give nothing;
 repeated rows count each time; scores are exact (decimals of 38 digits); phrases that tie in
@@ -19,6 +22,7 @@ rows. A very long text is cut where pieces end, so that memory stays bounded.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,16 +32,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from papyra.llm.bytetools import buffers, runs, spans
+from papyra.llm.bytetools import buffers, runs, span_hashes, spans
 from papyra.llm.common import beside, beside_hot, table
 from papyra.session import write_table
 
 MAX_N, MIN_COUNT, CONTAINED, TOP = 3, 10, 50, 2000
 UNKNOWN = "und"
-#: A first word is split if over one in SHARE of all words is that one.
-SHARE = 2000
+#: Suffixes of a bucket at most, about; words and pairs of words with more are split. As many are counted at once.
+PART = 500_000
+#: Words that are split at most (one in so many of all words must be such a word).
+SPLIT = 1_000_000
+#: A word or pair is looked at if a group of texts has it so often.
+SEEN = 4
 #: Bytes of text that a task looks at together.
-GROUP = 8 << 20
+GROUP = 12 << 20
 
 BREAKS = np.isin(np.arange(256), np.frombuffer(b".,;:!?\n\x0b\x0c\r", np.uint8))
 SPACE = np.isin(np.arange(256), np.frombuffer(b" \t", np.uint8))
@@ -84,162 +92,206 @@ def _grouped(batches: Iterator[pa.RecordBatch], size: int = GROUP) -> Iterator[t
         yield give()
 
 
-def _numbered(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray, np.ndarray]:
-    """Numbers of the words in order, the distinct words, and of each word its start, its text and its piece."""
+def _numbered(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]:
+    """Numbers of the words in order, the distinct words, and of each word its text and its piece."""
     breaks = BREAKS[data]
-    starts, ends, rows = runs(~(breaks | SPACE[data]), offsets)
+    inside = ~(breaks | SPACE[data])
+    starts, ends, rows = runs(inside, offsets)
     piece = np.cumsum(breaks, dtype=np.int32)[starts] if len(starts) else np.zeros(0, np.int32)
-    coded = spans(LOWER[data], starts, ends).dictionary_encode()
-    return coded.indices.to_numpy().astype(np.int64), coded.dictionary, starts, rows, piece
+    cuts = np.zeros(len(starts) + 1, np.int64)
+    np.cumsum(ends - starts, out=cuts[1:])
+    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(cuts), pa.py_buffer(LOWER[data[inside]])])
+    coded = words.dictionary_encode()
+    return coded.indices.to_numpy().astype(np.int64), coded.dictionary.cast(pa.string()), rows, piece
+
+
+def _tuples(columns: list[np.ndarray], sizes: list[int]) -> tuple[list[np.ndarray], np.ndarray]:
+    """Distinct tuples of numbers, sorted, and how often each is there."""
+    if math.prod(sizes) >= 1 << 62:
+        found, n = np.unique(np.stack(columns, 1), axis=0, return_counts=True)
+        return list(found.T), n
+    code = columns[0]
+    for c, size in zip(columns[1:], sizes[1:]):
+        code = code * size + c
+    code = np.sort(code)
+    at = np.flatnonzero(np.append(True, code[1:] != code[:-1])) if len(code) else np.zeros(0, np.int64)
+    n, code = np.diff(np.append(at, len(code))), code[at]
+    out = []
+    for size in reversed(sizes[1:]):
+        code, last = np.divmod(code, size)
+        out.append(last)
+    return [code, *reversed(out)], n
+
+
+def _next(ids: np.ndarray, rows: np.ndarray, piece: np.ndarray, k: int, none: int) -> np.ndarray:
+    """The k-th word after each one, none where its piece ends before."""
+    out = np.full(len(ids), none, np.int64)
+    if len(ids) > k:
+        out[:-k] = np.where((rows[k:] == rows[:-k]) & (piece[k:] == piece[:-k]), ids[k:], none)
+    return out
 
 
 def first_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, word, n): words that are frequent in a group of texts, and with a null word the number of all."""
+    """(lang, words, n): words and pairs of words that are frequent in a group of texts, and with null the number of all words."""
     for data, offsets, of, names in _grouped(batches):
-        ids, words, _, rows, _ = _numbered(data, offsets)
-        n_words = len(words)
-        for k, lang in enumerate(names):
-            own = ids[of[rows] == k]
-            n = np.bincount(own, minlength=n_words)
-            frequent = np.flatnonzero(n * 2 * SHARE > len(ids))
-            picked = _escaped(words.take(pa.array(frequent)).cast(pa.string()))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * (len(frequent) + 1)), pa.concat_arrays([picked, pa.nulls(1, pa.string())]), pa.array(np.append(n[frequent], len(own)))], names=["lang", "word", "n"]
-            )
-
-
-def _paired(code: np.ndarray, size: int, more: np.ndarray, n_more: int) -> tuple[np.ndarray, int]:
-    """One number for each pair of numbers; ranked anew where products would pass 62 bits."""
-    if size * n_more >= 1 << 62:
-        distinct, code = np.unique(code, return_inverse=True)
-        size = len(distinct)
-    return code * n_more + more, size * n_more
-
-
-def suffixes(max_n: int, hot: dict[tuple[str, str], int]):
-    """A function of batches (lang, text) giving distinct suffixes (key, n, parts) of a group of texts."""
+        ids, words, rows, piece = _numbered(data, offsets)
+        n_words, lang = len(words), of[rows]
+        words = _escaped(words)
+        n = np.bincount(lang * n_words + ids, minlength=len(names) * n_words)
+        often = np.flatnonzero(n >= SEEN)
+        # frequent pairs are of frequent words
+        known = n * 2000 > len(ids)
+        after = _next(ids, rows, piece, 1, -1)
+        two = np.flatnonzero(known[lang * n_words + ids] & (after >= 0))
+        two = two[known[(lang * n_words + after)[two]]]
+        (l2, a, b), n2 = _tuples([lang[two], ids[two], after[two]], [len(names), n_words, n_words])
+        l2, a, b, n2 = (x[n2 >= 16 * SEEN] for x in (l2, a, b, n2))
+        tongue = pa.array(names, pa.string())
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.concat_arrays([tongue, tongue.take(pa.array(often // max(1, n_words))), tongue.take(pa.array(l2))]),
+                pa.concat_arrays([pa.nulls(len(names), pa.string()), words.take(pa.array(often % max(1, n_words))), pc.binary_join_element_wise(words.take(pa.array(a)), words.take(pa.array(b)), "\0")]),
+                pa.array(np.concatenate([np.bincount(lang, minlength=len(names)), n[often], n2])),
+            ],
+            names=["lang", "words", "n"],
+        )
+
+
+def suffixes(max_n: int, split: dict[tuple[str, str], int]):
+    """A function of batches (lang, text) giving packed suffixes (bucket, items).
+
+    split: into how many buckets the suffixes of a first word, or of a pair of words, go.
+    bucket: language, first word and the number of words that several buckets may share,
+    with a number. items: the other words of each suffix and its count, "\0" after each.
+    """
 
     def run(batches):
         for data, offsets, of, names in _grouped(batches):
-            ids, words, _, rows, piece = _numbered(data, offsets)
+            ids, words, rows, piece = _numbered(data, offsets)
             if not len(ids):
                 continue
-            n_words, lang = len(words), of[rows]
-            columns, code, size = [ids], *_paired(lang, len(names), ids, n_words)
-            for k in range(1, max_n):
-                nxt = np.full(len(ids), n_words, np.int64)  # no word
-                if len(ids) > k:
-                    same = (rows[k:] == rows[:-k]) & (piece[k:] == piece[:-k])
-                    nxt[:-k][same] = ids[k:][same]
-                columns.append(nxt)
-                code, size = _paired(code, size, nxt, n_words + 1)
-            _, at, n = np.unique(code, return_index=True, return_counts=True)
-            words = _escaped(words.cast(pa.string()))
+            none = len(words)
+            columns, n = _tuples([of[rows], ids, *(_next(ids, rows, piece, k, none) for k in range(1, max_n))], [len(names), none, *[none + 1] * (max_n - 1)])
+            del ids, rows, piece
+            words = _escaped(words)
+            level, part = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)
+            order = np.arange(len(n))
+            if split and max_n > 1:
+                text, cuts = buffers(words)
+                own = np.append(span_hashes(text, cuts[:-1], cuts[1:], SAME) >> np.uint64(1), [np.uint64(0)]).astype(np.int64)
+                for (lang, first), parts in split.items():  # words before pairs
+                    first, _, second = first.partition("\0")
+                    a, b = pc.index_in(pa.array([first, second or first]), words).to_pylist()
+                    if lang not in names or a is None or b is None:
+                        continue
+                    s, e = np.searchsorted(columns[0] * none + columns[1], [names.index(lang) * none + a, names.index(lang) * none + a + 1])
+                    at = np.arange(s, e)
+                    if second:
+                        at = at[columns[2][s:e] == b]
+                        part[at] = (sum(own[c[at]] * (2 * k + 1) for k, c in enumerate(columns[2:])) & _POSITIVE) % parts
+                    else:
+                        part[at] = own[columns[2][at]] % parts
+                    level[at] = 2 if second else 1
+                hot = np.flatnonzero(level)
+                order = np.concatenate([np.flatnonzero(level == 0), hot[np.lexsort((part[hot], level[hot], columns[1][hot], columns[0][hot]))]])
+            columns, n, level, part = [c[order] for c in columns], n[order], level[order], part[order]
+            more = pa.concat_arrays([words, pa.array([""])])
+            begins = np.append(True, np.any([c[1:] != c[:-1] for c in (*columns[:2], level, part)], axis=0))
+            at = np.flatnonzero(begins)
             tongue = _escaped(pa.array(names, pa.string()))
-            parts = np.ones(len(names) * n_words, np.int32)
-            if hot:
-                place = pc.index_in(pa.array([w for _, w in hot], pa.string()), words).to_pylist()
-                for (own, _), much, i in zip(hot, hot.values(), place):
-                    if own in names and i is not None:
-                        parts[names.index(own) * n_words + i] = much
-            depth = sum((c[at] < n_words).astype(np.int64) for c in columns)
-            for d in range(1, max_n + 1):
-                for i in range(0, len(here := np.flatnonzero(depth == d)), 50_000):
-                    pick = at[here[i : i + 50_000]]
-                    pieces = [tongue.take(pa.array(lang[pick])), *(words.take(pa.array(c[pick])) for c in columns[:d])]
-                    yield pa.RecordBatch.from_arrays(
-                        [pc.binary_join_element_wise(*pieces, "\0"), pa.array(n[here[i : i + 50_000]]), pa.array(parts[lang[pick] * n_words + ids[pick]])], names=["key", "n", "parts"]
-                    )
+            step = 100_000
+            for i in range(0, len(at), step):
+                here, end = at[i : i + step], at[i + step] if i + step < len(at) else len(n)
+                s = slice(here[0], end)
+                items = pc.binary_join_element_wise(*(more.take(pa.array(c[s])) for c in columns[2:]), pa.array(n[s]).cast(pa.string()), pa.array([""] * (end - here[0])), "\0")
+                text, cuts = buffers(items)
+                cuts = np.append(cuts[here - here[0]], cuts[-1])
+                packed = pa.LargeStringArray.from_buffers(len(here), pa.py_buffer(cuts), pa.py_buffer(text)).cast(pa.string())
+                tag = pc.if_else(pa.array(level[here] > 0), pc.binary_join_element_wise(pa.array(level[here]).cast(pa.string()), pa.array(part[here]).cast(pa.string()), ":"), "")
+                yield pa.RecordBatch.from_arrays([pc.binary_join_element_wise(tongue.take(pa.array(columns[0][here])), words.take(pa.array(columns[1][here])), tag, "\0"), packed], names=["bucket", "items"])
 
     return run
 
 
-def _ends(data: np.ndarray, offsets: np.ndarray, max_n: int) -> np.ndarray:
-    """For each key the length in bytes of its beginnings of 1 to max_n words; -1 where it has fewer."""
-    out = np.full((max_n, len(offsets) - 1), -1, np.int64)
-    at = np.flatnonzero(data == 0)
-    row = np.searchsorted(offsets, at, side="right") - 1
-    first = np.searchsorted(row, np.arange(len(offsets) - 1))
-    nth = np.arange(len(at)) - first[row]  # the nth separator of its key; the one after the language is number 0
-    inner = (nth >= 1) & (nth <= max_n)
-    out[nth[inner] - 1, row[inner]] = at[inner] - offsets[row[inner]]
-    seps = np.bincount(row, minlength=len(offsets) - 1)
-    full = (seps >= 1) & (seps <= max_n)
-    out[seps[full] - 1, np.flatnonzero(full)] = np.diff(offsets)[full]
-    return out
-
-
-def _shared(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """How many bytes each key has in common with the key before it (none for the first)."""
-    n = np.diff(offsets)
-    before = np.concatenate([[0], n[:-1]])
-    most = np.minimum(n, before)
-    most[0] = 0
-    out = most.copy()
-    rows = np.flatnonzero(most)
-    cuts = np.zeros(len(rows) + 1, np.int64)
-    np.cumsum(most[rows], out=cuts[1:])
-    inside = np.arange(cuts[-1]) - np.repeat(cuts[:-1], most[rows])
-    differ = np.flatnonzero(data[np.repeat(offsets[:-1][rows], most[rows]) + inside] != data[np.repeat(offsets[:-1][rows - 1], most[rows]) + inside])
-    owner = np.searchsorted(cuts, differ, side="right") - 1
-    own, first = np.unique(owner, return_index=True)
-    out[rows[own]] = inside[differ[first]]
-    return out
+_POSITIVE = (1 << 63) - 1
+SAME = np.arange(256, dtype=np.uint8)
+
+
+def _ranks(words: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Words as numbers in reverse lexicographic order of their bytes, and the word of each number; the empty one comes last."""
+    coded = words.dictionary_encode()
+    order = pc.sort_indices(coded.dictionary, sort_keys=[("", "descending")])
+    rank = np.empty(len(order), np.int64)
+    rank[order.to_numpy()] = np.arange(len(order))
+    return rank[coded.indices.to_numpy()], coded.dictionary.take(order)
+
+
+def _counted(rows: pa.Table, max_n: int, least: int) -> Iterator[pa.RecordBatch]:
+    """(key, n, partial) of every phrase that begins in these whole buckets."""
+    bucket = rows.column("bucket").combine_chunks()
+    new = np.append(True, pc.not_equal(bucket.slice(1), bucket.slice(0, len(bucket) - 1)).to_numpy(zero_copy_only=False)) if len(bucket) else np.zeros(0, bool)
+    heads = [x.rpartition("\0") for x in bucket.filter(pa.array(new)).to_pylist()]
+    keys, level = pa.array([h for h, _, _ in heads], pa.string()), np.array([int(t[:1] or 0) for _, _, t in heads], np.int64)
+    data, offsets = buffers(rows.column("items"))
+    ends = np.flatnonzero(data == 0).reshape(-1, max_n)  # words after the first, and the count
+    starts = np.empty_like(ends)
+    starts.ravel()[1:] = ends.ravel()[:-1] + 1
+    starts[0, 0] = 0
+    n = spans(data, starts[:, -1], ends[:, -1]).cast(pa.large_string()).cast(pa.int64()).to_numpy()
+    own = (np.cumsum(new) - 1)[np.searchsorted(offsets, starts[:, 0], side="right") - 1]
+    ranked = [_ranks(spans(data, starts[:, k], ends[:, k])) for k in range(max_n - 1)]
+    order = np.lexsort([*(r for r, _ in reversed(ranked)), own])
+    columns, n = [own[order], *(r[order] for r, _ in ranked)], n[order]
+    closed = np.ones(len(n), bool)  # whether the beginning of so many words that was open before each suffix is closed by it
+    whole = np.arange(len(n))  # the suffixes with so many words
+    closed[1:] = columns[0][1:] != columns[0][:-1]
+    for k in range(max_n):
+        if k:
+            last = len(ranked[k - 1][1]) - 1
+            has_none = last >= 0 and len(ranked[k - 1][1][last].as_py()) == 0
+            closed[1:] |= columns[k][1:] != columns[k][:-1]
+            whole = whole[columns[k][whole] != last] if has_none else whole
+        if not len(whole):
+            break
+        at = np.flatnonzero(closed[whole])
+        counts = np.add.reduceat(n[whole], at)
+        lead = whole[at]
+        partial = level[columns[0][lead]] > k
+        keep = np.flatnonzero(partial | (counts >= least))
+        lead = lead[keep]
+        parts = [keys.take(pa.array(columns[0][lead])), *(ranked[j][1].take(pa.array(columns[j + 1][lead])).cast(pa.string()) for j in range(k))]
+        yield pa.RecordBatch.from_arrays([pc.binary_join_element_wise(*parts, "\0"), pa.array(counts[keep]), pa.array(partial[keep])], names=["key", "n", "partial"])
 
 
 def counter(max_n: int, least: int):
-    """A function of sorted (key, n, parts) giving (key, n, partial) of every phrase of up to max_n words.
+    """A function of batches (bucket, items), sorted by bucket, giving (key, n, partial) of every phrase of up to max_n words.
 
-    The stack holds, for each number of words, the beginning that is open and its count so
-    far; it passes from batch to batch. Whole counts under least are left out; counts of a
-    first word with several parts are partial.
+    Whole buckets are counted, several together while they are small. Counts under least
+    are left out unless other buckets have a part of them (partial).
     """
 
     def run(batches):
-        stack: list[tuple[bytes, int, bool] | None] = [None] * max_n
-
-        def closed(keys, counts, partial):
-            keep = partial | (counts >= least)
-            return pa.RecordBatch.from_arrays([keys.filter(pa.array(keep)).cast(pa.string()), pa.array(counts[keep]), pa.array(partial[keep])], names=["key", "n", "partial"])
-
-        def single(item):
-            key, n, partial = item
-            return closed(pa.array([key], pa.large_binary()), np.array([n]), np.array([partial]))
-
+        held: list[pa.RecordBatch] = []
+        size = 0
         for b in batches:
             if not b.num_rows:
                 continue
-            data, offsets = buffers(b.column("key"))
-            n, parts = b.column("n").to_numpy(), b.column("parts").to_numpy()
-            ends, common = _ends(data, offsets, max_n), _shared(data, offsets)
-            for k in range(max_n):
-                rows = np.flatnonzero(ends[k] >= 0)
-                open_, stack[k] = stack[k], None
-                if not len(rows):
-                    # no key here has as many words: what is open stays open, unless other words have begun
-                    stack[k] = open_
-                    continue
-                # a key of fewer words between two keys ends the beginning that both have only if it differs, and then so do they
-                same = np.zeros(len(rows), bool)
-                adjacent = rows[1:] == rows[:-1] + 1
-                same[1:] = adjacent & (common[rows[1:]] >= ends[k][rows[1:]]) & (ends[k][rows[:-1]] == ends[k][rows[1:]])
-                starts = np.flatnonzero(~same)
-                counts = np.add.reduceat(n[rows], starts)
-                lead = rows[starts]
-                begins, stops = offsets[lead], offsets[lead] + ends[k][lead]
-                partial = parts[lead] > 1
-                if open_ is not None:
-                    if data[begins[0] : stops[0]].tobytes() == open_[0]:
-                        counts[0] += open_[1]
-                    else:
-                        yield single(open_)
-                stack[k] = (data[begins[-1] : stops[-1]].tobytes(), int(counts[-1]), bool(partial[-1]))
-                if len(starts) > 1:
-                    keep = partial[:-1] | (counts[:-1] >= least)
-                    yield closed(spans(data, begins[:-1][keep], stops[:-1][keep]), counts[:-1][keep], partial[:-1][keep])
-        for item in stack:
-            if item:
-                yield single(item)
+            held.append(b)
+            size += b.column("items").nbytes
+            if size < 20 * PART:
+                continue
+            bucket = b.column("bucket")
+            cut = int(pc.index(bucket, bucket[-1]).as_py())  # the last bucket may go on
+            if not cut and held[0].column("bucket")[0] == bucket[-1]:
+                continue
+            rows = pa.Table.from_batches([*held[:-1], b.slice(0, cut)]).combine_chunks()
+            end = len(rows) if cut else int(pc.index(rows.column("bucket"), bucket[-1]).as_py())
+            end = len(rows) if end < 0 else end
+            yield from _counted(rows.slice(0, end), max_n, least)
+            held = [*(x for x in rows.slice(end).to_batches() if x.num_rows), b.slice(cut)]
+            size = sum(x.column("items").nbytes for x in held)
+        if held:
+            yield from _counted(pa.Table.from_batches(held), max_n, least)
 
     return run
 
@@ -247,15 +299,12 @@ def counter(max_n: int, least: int):
 def phrase_counts(docs: DataFrame, max_n: int = MAX_N, least: int = MIN_COUNT) -> tuple[DataFrame, DataFrame]:
     """(key, n) of all phrases of up to max_n words that occur at least least times, and (lang, n) with the words of each language."""
     texts = docs.select(F.col("lang").cast("string").alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    seen = texts.mapInArrow(first_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    seen = write_table(seen, "first-words")
-    sizes = seen.where("word IS NULL").select("lang", "n")
+    seen = write_table(texts.mapInArrow(first_words, "lang string, words string, n long").groupBy("lang", "words").agg(F.sum("n").alias("n")), "first-words")
+    sizes = seen.where("words IS NULL").select("lang", "n")
     total = sizes.agg(F.sum("n")).first()[0] or 0
-    frequent = seen.where(F.col("word").isNotNull() & (F.col("n") * SHARE > total)).collect()  # SHARE rows at most
-    hot = {(r["lang"], r["word"]): -(-r["n"] * SHARE // total) for r in frequent}
-    rows = texts.mapInArrow(suffixes(max_n, hot), "key string, n long, parts int")
-    part = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("key"), F.col("parts"))).otherwise(0)
-    dealt = rows.repartition(F.substring_index("key", "\0", 2), part).sortWithinPartitions(F.desc("key"))
+    often = seen.where(F.col("words").isNotNull() & (F.col("n") > PART) & (F.col("n") * SPLIT > total)).collect()  # 2 * SPLIT rows at most
+    split = {(r["lang"], r["words"]): -(-r["n"] // PART) for r in sorted(often, key=lambda r: ("\0" in r["words"], r["lang"], r["words"]))}
+    dealt = texts.mapInArrow(suffixes(max_n, split), "bucket string, items string").repartition("bucket").sortWithinPartitions("bucket")
     counted = write_table(dealt.mapInArrow(counter(max_n, least), "key string, n long, partial boolean"), "phrases")
     added = counted.where("partial").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     return counted.where("NOT partial").select("key", "n").unionByName(added), sizes

@@ -39,11 +39,12 @@ def random_rows(seed, n=150):
     return rows + [(None, "en"), ("", None), (" ,. ", "fr"), ("the the the the " * 40, "en"), ("x y z. " * 12, "fr")]
 
 
-@pytest.mark.parametrize("share,group,top", [(2000, 8 << 20, 2000), (3, 300, 2000), (1, 50, 4)])
-def test_matches_brute_force(spark, monkeypatch, share, group, top):
-    monkeypatch.setattr(C, "SHARE", share)
+@pytest.mark.parametrize("part,seen,group,top", [(500_000, 4, 8 << 20, 2000), (20, 1, 300, 2000), (3, 1, 50, 4), (100, 1, 4000, 2000)])
+def test_matches_brute_force(spark, monkeypatch, part, seen, group, top):
+    monkeypatch.setattr(C, "PART", part)
+    monkeypatch.setattr(C, "SEEN", seen)
     monkeypatch.setattr(C._grouped, "__defaults__", (group,))
-    rows = random_rows(share)
+    rows = random_rows(part)
     df = spark.createDataFrame([(t, lang, 1, "c", "c") for t, lang in rows], "text string, lang string, n long, key string, phrase string").repartition(3)
     got = sorted(map(tuple, C.collocations(df, top=top).collect()))
     assert got == brute(rows, top=top) and got
@@ -59,19 +60,24 @@ def test_other_lengths_and_large_counts(spark):
     assert one.first()[0] == 10**6 * a * a // parts**2
 
 
-def test_the_stack_passes_from_batch_to_batch():
+def test_buckets_cut_anywhere_count_alike(monkeypatch):
     rng = random.Random(1)
-    keys = Counter("\0".join(["en", *(rng.choice("abc") for _ in range(rng.randint(1, 3)))]) for _ in range(300))
-    want = Counter()
-    for k, n in keys.items():
-        p = k.split("\0")
-        for d in range(2, len(p) + 1):
-            want["\0".join(p[:d])] += n
-    rows = sorted(((k, n) for k, m in keys.items() for n in (1, m - 1) if n), reverse=True)
-    for size in (1, 2, 3, 7, 1000):
-        batches = [pa.RecordBatch.from_pylist([{"key": k, "n": n, "parts": 1} for k, n in rows[i : i + size]]) for i in range(0, len(rows), size)]
-        got = [r for b in C.counter(3, 5)(iter(batches)) for r in b.to_pylist()]
-        assert {r["key"]: r["n"] for r in got} == {k: n for k, n in want.items() if n >= 5} and len(got) == len({r["key"] for r in got})
+    rows, want = [], Counter()
+    for bucket in sorted({f"en\0{rng.choice('abcdef')}\0{rng.choice(['', '', '1:0', '1:7', '2:1'])}" for _ in range(40)}):
+        for _ in range(rng.randint(1, 5)):
+            items = [(rng.choice("xyz"), rng.choice(["x", "y", ""]), rng.randint(1, 4)) for _ in range(rng.randint(1, 6))] + [("", "", 2)]
+            rows.append({"bucket": bucket, "items": "".join(f"{a}\0{b}\0{n}\0" for a, b, n in items)})
+            key, _, tag = bucket.rpartition("\0")
+            for a, b, n in items:
+                for d, k in enumerate([key, f"{key}\0{a}", f"{key}\0{a}\0{b}"]):
+                    if d == 0 or a and d == 1 or a and b:
+                        want[k, int(tag[:1] or 0) > d, bucket] += n
+    want = Counter(x for x in ((k, n, p) for (k, p, _), n in want.items()) if x[2] or x[1] >= 5)
+    for part in (1, 3, 1000):
+        monkeypatch.setattr(C, "PART", part)
+        for size in (1, 2, 3, 7, 1000):
+            batches = [pa.RecordBatch.from_pylist(rows[i : i + size]) for i in range(0, len(rows), size)]
+            assert Counter(tuple(r.values()) for b in C.counter(3, 5)(iter(batches)) for r in b.to_pylist()) == want
 
 
 def test_query_on_empty_and_odd_tables(spark, tmp_path):
