@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,50 +10,51 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from papyra.functions import text as T
+from papyra.operators import blocks
 from papyra.operators import glossary as G
 from papyra.operators.schema import Ranking
 from papyra.session import write_table
 
 
 def node_tokens(nodes: DataFrame, documents: DataFrame) -> DataFrame:
-    """One row a node: tokens of title and body, their stems, stems of the description (first node), code tokens."""
+    """One row a node: its tokens (title, then body), their stems and marks.
+
+    An occurrence counts for the first class that holds: 1 title, 2 description, 4 code.
+    """
     desc = documents.select("doc_id", T.stems(T.raw_tokens(F.col("description"))).alias("desc_stems"))
     both = F.concat(T.raw_tokens(F.col("title")), T.raw_tokens(F.col("content")))
     # a fixed number of partitions: by the size of the texts alone they would be put together, but tokens are many times larger
     n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = nodes.repartition(n, "doc_id", "node_id").select(
-        "doc_id", "doc_ord", "node_id", "ord", F.size(T.raw_tokens(F.col("title"))).alias("title_len"), both.alias("tokens"), T.code_tokens(F.col("content")).alias("code"),
+        "doc_id", "doc_ord", "node_id", "ord", "nid", F.size(T.raw_tokens(F.col("title"))).alias("title_len"), both.alias("tokens"), T.code_tokens(F.col("content")).alias("code"),
     )
-    return (
+    none = F.array().cast("array<string>")
+    rows = (
         rows.join(desc, "doc_id", "left")
         .withColumn("stems", T.stems(F.col("tokens")))
-        .withColumn("desc_stems", F.when(F.col("ord") == 0, F.coalesce("desc_stems", F.array().cast("array<string>"))).otherwise(F.array().cast("array<string>")))
+        .withColumn("desc_stems", F.when(F.col("ord") == 0, F.coalesce("desc_stems", none)).otherwise(none))
     )
+    plain = (F.size("desc_stems") == 0) & (F.size("code") == 0)
+    title = lambda i: F.when(i < F.col("title_len"), 1)
+    mark = lambda p, i: title(i).when(F.array_contains(F.col("desc_stems"), p["stems"]), 2).when(F.array_contains(F.col("code"), p["tokens"]), 4).otherwise(0)
+    pairs = F.arrays_zip("stems", "tokens")
+    marks = F.when(plain, F.transform("stems", lambda x, i: title(i).otherwise(0))).otherwise(F.transform(pairs, mark))
+    return rows.select("doc_id", "doc_ord", "node_id", "ord", "nid", F.size("tokens").alias("total_tokens"), "stems", marks.alias("marks"))
 
 
 def postings_of(tokens: DataFrame) -> DataFrame:
     """(term, doc, node, positions, tf, total_tokens) with flags for the weight classes.
 
-    An occurrence counts for the first class that holds: title, description, code. Rows
-    were dealt by node before tokens are spread, so grouping needs no further shuffle.
+    Rows were dealt by node before tokens are spread, so grouping needs no further shuffle.
     """
-    spread = tokens.select(
-        "doc_id", "doc_ord", "node_id", "ord", F.size("tokens").alias("total_tokens"), "title_len", "desc_stems", "code",
-        F.posexplode(F.arrays_zip("stems", "tokens")).alias("pos", "t"),
-    )
-    term, raw = F.col("t.stems"), F.col("t.tokens")
-    in_title = F.col("pos") < F.col("title_len")
-    in_desc = ~in_title & F.array_contains("desc_stems", term)
-    in_code = ~in_title & ~in_desc & F.array_contains("code", raw)
-    flat = spread.where(F.length(term) >= 2).select(
-        "doc_id", "doc_ord", "node_id", "ord", "total_tokens", "pos", term.alias("term"), in_title.alias("it"), in_desc.alias("id"), in_code.alias("ic")
-    )
+    spread = tokens.select("doc_id", "doc_ord", "node_id", "ord", "nid", "total_tokens", F.posexplode(F.arrays_zip("stems", "marks")).alias("pos", "t"))
+    flat = spread.select("doc_id", "doc_ord", "node_id", "ord", "nid", "total_tokens", "pos", F.col("t.stems").alias("term"), F.col("t.marks").alias("mark")).where(F.length("term") >= 2)
     # the number of the document stands first among the keys: most rows are sorted by it alone, without a look at the texts
-    grouped = flat.groupBy("doc_ord", "ord", "doc_id", "node_id", "term", "total_tokens").agg(
-        F.sort_array(F.collect_list("pos")).alias("positions"), F.count("*").cast("int").alias("tf"),
-        F.bool_or("it").alias("has_title"), F.bool_or("id").alias("has_desc"), F.bool_or("ic").alias("has_code"),
+    grouped = flat.groupBy("doc_ord", "ord", "doc_id", "node_id", "nid", "term", "total_tokens").agg(
+        F.sort_array(F.collect_list("pos")).alias("positions"), F.count("*").cast("int").alias("tf"), F.bit_or("mark").alias("marks")
     )
-    return grouped.select("doc_id", "node_id", "term", "doc_ord", "ord", "positions", "tf", "total_tokens", "has_title", "has_desc", "has_code")
+    has = lambda bit: F.col("marks").bitwiseAND(F.lit(bit)) > 0
+    return grouped.select("doc_id", "node_id", "term", "doc_ord", "ord", "nid", "positions", "tf", "total_tokens", has(1).alias("has_title"), has(2).alias("has_desc"), has(4).alias("has_code"))
 
 
 def facets_of(documents: DataFrame) -> DataFrame:
@@ -89,18 +91,19 @@ def of_the_last(rows: DataFrame, ids: DataFrame) -> DataFrame:
     return both.withColumn("doc_ord", F.coalesce("__first", "doc_ord")).drop("__id", "__last", "__first")
 
 
-def _once(documents: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Both tables written, the last document of each id alone (nodes keep their document's doc_ord until then)."""
+def _once(documents: DataFrame, nodes: DataFrame, segment: int = 0) -> tuple[DataFrame, DataFrame]:
+    """Both tables written, the last document of each id alone (nodes keep their document's doc_ord until then), nodes numbered."""
     documents = write_table(documents, "documents")
-    ids = write_table(repeated(documents), "repeated")
+    ids = repeated(documents)
     if ids.isEmpty():
-        return documents, write_table(nodes, "nodes")
-    return write_table(of_the_last(documents, ids), "documents"), write_table(of_the_last(nodes, ids), "nodes")
+        return documents, write_table(blocks.numbered(nodes, segment), "nodes")
+    ids = write_table(ids, "repeated")
+    return write_table(of_the_last(documents, ids), "documents"), write_table(blocks.numbered(of_the_last(nodes, ids), segment), "nodes")
 
 
 def stats_of(nodes: DataFrame) -> DataFrame:
-    """(doc_id, node_id, total_tokens) of every node."""
-    return nodes.select("doc_id", "node_id", F.size(F.concat(T.raw_tokens(F.col("title")), T.raw_tokens(F.col("content")))).alias("total_tokens"))
+    """(doc_id, node_id, nid, doc_ord, ord, total_tokens) of every node."""
+    return nodes.select("doc_id", "node_id", "nid", "doc_ord", "ord", F.size(F.concat(T.raw_tokens(F.col("title")), T.raw_tokens(F.col("content")))).alias("total_tokens"))
 
 
 def _totals(stats: DataFrame) -> tuple[int, int]:
@@ -130,6 +133,11 @@ class Index:
     ranking: Ranking = field(default_factory=Ranking)
     weights: dict[str, float] = field(default_factory=dict)
     changes: int = 0  # since the tables were last written whole
+    slot_bits: int = blocks.MOST_BITS
+    blocks: DataFrame | None = None  # postings by term, see blocks.py
+    dead: DataFrame | None = None  # (block, bits) of the nodes in blocks that are there no more
+    segment: int = 0  # nodes that came with a change have its number in theirs
+    _bits: dict = field(default_factory=dict, repr=False, compare=False)
 
     @property
     def avgdl(self) -> float:
@@ -144,20 +152,28 @@ class Index:
               glossary: DataFrame | None = None, auto_glossary: bool = True) -> Index:
         """Build all tables (I11). Of documents with one doc_id the one loaded last counts. Each table is written once to the shared folder, so nothing is computed twice."""
         documents, nodes = _once(documents, nodes)
-        tokens = node_tokens(nodes, documents)
-        postings = write_table(postings_of(tokens), "postings")
-        stats = write_table(stats_of(nodes), "node-stats")
-        return cls._assemble(documents, nodes, postings, stats, ranking or Ranking(), dict(weights or {}), glossary, auto_glossary)
-
-    @classmethod
-    def _assemble(cls, documents, nodes, postings, stats, ranking, weights, glossary, auto_glossary) -> Index:
-        vocab = write_table(postings.groupBy("term").agg(F.count("*").alias("df")), "vocab")
+        ranking, weights = ranking or Ranking(), dict(weights or {})
+        with ThreadPoolExecutor(4) as pool:  # jobs that don't wait for each other; Spark schedules their tasks together
+            side = {
+                "facets": pool.submit(lambda: write_table(facets_of(documents), "facets")), "refs": pool.submit(lambda: write_table(refs_of(documents), "refs")),
+                "stats": pool.submit(lambda: write_table(stats_of(nodes), "node-stats")), "n": pool.submit(nodes.count),
+            }
+            postings = write_table(postings_of(node_tokens(nodes, documents)), "postings")
+            bits = blocks.slot_bits(side["n"].result())
+            held = pool.submit(lambda: blocks.blocks_of(postings, bits))
+            vocab = write_table(postings.groupBy("term").agg(F.count("*").alias("df")), "vocab")
+            own = glossary if glossary is not None else G.empty(documents.sparkSession)
+            if auto_glossary:
+                own = write_table(G.merge(own, G.automatic(documents, nodes)), "glossary")
+            stats, facets, refs, held = side["stats"].result(), side["facets"].result(), side["refs"].result(), held.result()
         n, total = _totals(stats)
-        own = glossary if glossary is not None else G.empty(documents.sparkSession)
-        if auto_glossary:
-            own = G.merge(own, G.automatic(documents, nodes))
-            own = write_table(own, "glossary")
-        return cls(documents, nodes, postings, vocab, stats, facets_of(documents), refs_of(documents), own, n, total, ranking, weights)
+        return cls(documents, nodes, postings, vocab, stats, facets, refs, own, n, total, ranking, weights, blocks=held, slot_bits=bits)
+
+    def facet_bits(self) -> DataFrame:
+        """(key, value, block, bits): the nodes of each facet value as bitmaps; made once, at the first search that filters."""
+        if "facets" not in self._bits:
+            self._bits["facets"] = write_table(blocks.bits_of(self.node_stats.select("doc_id", "nid").join(self.facets, "doc_id"), self.slot_bits, "key", "value"), "facet-bits")
+        return self._bits["facets"]
 
     # parameters
 
@@ -196,10 +212,14 @@ class Index:
         df = [self.postings.join(side, "doc_id", "left_semi").groupBy("term").agg((-F.count("*")).alias("d"))]
         n, total = _totals(self.node_stats.join(side, "doc_id", "left_semi"))
         n, total = self.n_nodes - n, self.n_tokens - total
+        gone_bits = blocks.bits_of(self.node_stats.join(side, "doc_id", "left_semi"), self.slot_bits)
+        gone_bits = gone_bits if self.dead is None else self.dead.unionByName(gone_bits).groupBy("block").agg(F.bitmap_or_agg("bits").alias("bits"))
+        dead, held, segment = write_table(gone_bits, "dead"), self.blocks, self.segment + 1
         if documents is not None and nodes is not None:
-            documents, nodes = _once(documents, nodes)
+            documents, nodes = _once(documents, nodes, segment)
             new = {"documents": documents, "nodes": nodes, "postings": write_table(postings_of(node_tokens(nodes, documents)), "postings"), "node_stats": write_table(stats_of(nodes), "node-stats")}
             tables = {k: v.unionByName(new[k]) for k, v in tables.items()}
+            held = held.unionByName(blocks.blocks_of(new["postings"], self.slot_bits))
             df.append(new["postings"].groupBy("term").agg(F.count("*").alias("d")))
             more, tokens = _totals(new["node_stats"])
             n, total = n + more, total + tokens
@@ -210,22 +230,28 @@ class Index:
         changes = self.changes + 1
         if changes > MOST_CHANGES:
             tables, changes = {k: write_table(v, k) for k, v in tables.items()}, 0
-        return replace(self, **tables, facets=facets_of(tables["documents"]), refs=refs_of(tables["documents"]), n_nodes=n, n_tokens=total, changes=changes)
+            held, dead = blocks.blocks_of(tables["postings"], self.slot_bits), None
+        docs = tables["documents"]
+        return replace(self, **tables, facets=facets_of(docs), refs=refs_of(docs), n_nodes=n, n_tokens=total, changes=changes, blocks=held, dead=dead, segment=segment, _bits={})
 
     # persistence
 
     def save(self, path: str) -> None:
-        """Parquet tables; postings are ordered by term, so a term's row groups are found by their statistics."""
-        for name in ("documents", "nodes", "vocab", "node_stats", "glossary"):
+        """Parquet tables; the blocks lie in folders by term."""
+        for name in ("documents", "nodes", "vocab", "node_stats", "glossary", "facets", "refs"):
             getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
         self.postings.repartitionByRange("term").sortWithinPartitions("term", "doc_ord", "ord").write.mode("overwrite").parquet(f"{path}/postings")
+        held = self.blocks if self.dead is None else blocks.blocks_of(self.postings, self.slot_bits)
+        held.repartition("bucket", F.shiftright("block", 10)).sortWithinPartitions("bucket", "term", "block").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/blocks")
+        self.spark.createDataFrame([(self.slot_bits, self.segment)], "slot_bits int, segment int").write.mode("overwrite").parquet(f"{path}/numbering")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, ranking: Ranking | None = None, weights: dict[str, float] | None = None) -> Index:
-        t = {n: spark.read.parquet(f"{path}/{n}") for n in ("documents", "nodes", "postings", "vocab", "node_stats", "glossary")}
+        t = {n: spark.read.parquet(f"{path}/{n}") for n in ("documents", "nodes", "postings", "vocab", "node_stats", "glossary", "facets", "refs", "blocks")}
         n, total = _totals(t["node_stats"])
-        return cls(t["documents"], t["nodes"], t["postings"], t["vocab"], t["node_stats"], facets_of(t["documents"]), refs_of(t["documents"]),
-                   t["glossary"], n, total, ranking or Ranking(), dict(weights or {}))
+        bits, segment = spark.read.parquet(f"{path}/numbering").select("slot_bits", "segment").first()
+        return cls(t["documents"], t["nodes"], t["postings"], t["vocab"], t["node_stats"], t["facets"], t["refs"], t["glossary"], n, total, ranking or Ranking(), dict(weights or {}),
+                   blocks=t["blocks"], slot_bits=bits, segment=segment)
 
 
 def changed(new: DataFrame, manifest: DataFrame) -> DataFrame:

@@ -8,14 +8,18 @@ mean length. Late materialisation: titles and snippets are made for the top rows
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from papyra.functions import text as T
+from papyra.operators import blocks
 from papyra.operators.indexing import Index
-from papyra.session import write_table
 
 Filters = Mapping[str, "str | Sequence[str]"]
 
@@ -64,6 +68,19 @@ def scope(index: Index, filters: Filters | None = None, collection: str | None =
     return found
 
 
+def scope_bits(index: Index, filters: Filters | None = None, collection: str | None = None, doc_id: str | None = None) -> DataFrame | None:
+    """(block, bits) of the nodes that pass: values of a key are joined by OR, keys by AND, all on bitmaps (Q03-Q05); None if all do."""
+    wanted = {k: [v] if isinstance(v, str) else list(v) for k, v in (filters or {}).items()}
+    asked = [*wanted.items(), *([("collection", [collection])] if collection else [])]
+    each = [index.facet_bits().where((F.col("key") == k) & F.col("value").isin(vs)).groupBy("block").agg(F.bitmap_or_agg("bits").alias("bits")) for k, vs in asked]
+    if doc_id is not None:
+        each.append(blocks.bits_of(index.node_stats.where(F.col("doc_id") == doc_id), index.slot_bits))
+    if not each:
+        return None
+    rows = reduce(DataFrame.unionByName, each)
+    return rows if len(each) == 1 else rows.groupBy("block").agg(F.bitmap_and_agg("bits").alias("bits"), F.count("*").alias("n")).where(F.col("n") == len(each)).drop("n")
+
+
 def allowed_postings(index: Index, filters: Filters | None = None, collection: str | None = None, doc_id: str | None = None) -> DataFrame:
     """Postings of the documents that pass (Q03-Q05)."""
     postings = index.postings
@@ -73,8 +90,10 @@ def allowed_postings(index: Index, filters: Filters | None = None, collection: s
     return postings if allowed is None else postings.join(allowed, "doc_id", "left_semi")
 
 
-#: Rows of query terms, or of indexed terms wanted, that a join may broadcast; beyond that both sides are dealt by term.
+#: Rows of query terms, or of indexed terms wanted, that a join may broadcast or a batch send; beyond that both sides are dealt by term.
 MOST_TERMS = 500_000
+#: Queries that are scored together.
+QUERIES = 512
 
 
 def scored(index: Index, terms: DataFrame, filters: Filters | None = None, collection: str | None = None, doc_id: str | None = None,
@@ -84,8 +103,8 @@ def scored(index: Index, terms: DataFrame, filters: Filters | None = None, colle
     Queries share terms, and a term's prefixes lead to many indexed ones: a node's score
     is summed for each distinct query term first, then for the queries that have it. The
     matching postings are dealt by node once; both sums follow without a further exchange.
-    The indexed terms that are wanted are written and counted: up to MOST_TERMS they are
-    broadcast, so that the postings are read where they lie and not dealt by term.
+    Up to MOST_TERMS the indexed terms that are wanted are broadcast, so that the postings
+    are read where they lie and not dealt by term. best() gives the best rows alone, sooner.
     """
     r = index.ranking
     matches = term_matches(index, terms, prefix)
@@ -97,8 +116,8 @@ def scored(index: Index, terms: DataFrame, filters: Filters | None = None, colle
         F.when(F.col("has_desc"), max(1.0, r.description_weight)).otherwise(1.0), F.when(F.col("has_code"), r.code_weight).otherwise(1.0),
     )
     wanted = matches.select("qterm", "term", (idf * F.col("penalty")).alias("u")).distinct()
-    wanted = write_table(wanted, "wanted")
-    wanted = F.broadcast(wanted) if wanted.count() <= MOST_TERMS else wanted
+    few = wanted.limit(MOST_TERMS + 1).toArrow()
+    wanted = F.broadcast(index.spark.createDataFrame(few, wanted.schema)) if len(few) <= MOST_TERMS else wanted
     # the scan reads no positions; what a posting is worth without the query is computed before the join
     worth = allowed_postings(index, filters, collection, doc_id).select("term", "doc_id", "node_id", "doc_ord", "ord", (norm * weight).alias("v"))
     node = ["doc_ord", "ord", "doc_id", "node_id"]
@@ -119,6 +138,71 @@ def scored(index: Index, terms: DataFrame, filters: Filters | None = None, colle
     return agg.select("qid", "doc_id", "node_id", "doc_ord", "ord", "score", "n_matched")
 
 
+def _batch(index: Index, asked: pa.Table, limit: int, filtered: bool, prefix: bool, bonuses: bool) -> tuple[blocks.Batch, DataFrame, list[int]] | None:
+    """What tasks need to score these queries (qid, term, n_terms): with it the wanted terms (term, t) and their buckets; None if those are too many."""
+    spark = index.spark
+    own = spark.createDataFrame(asked.append_column("idx", pa.array(range(len(asked)), pa.int32())), "qid string, term string, n_terms long, idx int")
+    found = term_matches(index, F.broadcast(own.select(F.lit("").alias("qid"), "term", "idx", "n_terms").dropDuplicates(["term"])), prefix)
+    found = found.select("qterm", "term", "df", "penalty", blocks.bucket_of(F.col("term")).alias("bucket")).limit(MOST_TERMS + 1).toArrow()
+    if len(found) > MOST_TERMS:
+        return None
+    qids, terms = asked.column("qid").combine_chunks().dictionary_encode(), asked.column("term").combine_chunks().dictionary_encode()
+    matrix = np.zeros((len(qids.dictionary), len(terms.dictionary)), np.uint8)
+    matrix[qids.indices.to_numpy(), terms.indices.to_numpy()] = 1
+    names = found.column("term").combine_chunks().dictionary_encode()
+    t = names.indices.to_numpy().astype(np.int64)
+    order = np.argsort(t, kind="stable")
+    df, penalty = found.column("df").to_numpy().astype(float), found.column("penalty").to_numpy()
+    u = np.log((index.n_nodes - df + 0.5) / (df + 0.5) + 1.0) * penalty
+    batch = blocks.Batch(
+        qids.dictionary.to_pylist(), matrix.sum(1).astype(np.int64), matrix, np.searchsorted(t[order], np.arange(len(names.dictionary) + 1)),
+        pc.index_in(found.column("qterm").combine_chunks(), terms.dictionary).to_numpy().astype(np.int64)[order], u[order], index.ranking, index.avgdl or 1.0, bonuses, limit, filtered,
+        max([1.0, *index.weights.values()]), index.slot_bits,
+    )
+    wanted = spark.createDataFrame(pa.table({"term": names.dictionary, "t": pa.array(np.arange(len(names.dictionary), dtype=np.int32))}), "term string, t int")
+    return batch, wanted, sorted(set(found.column("bucket").to_pylist()))
+
+
+def best(index: Index, terms: DataFrame, limit: int, filters: Filters | None = None, collection: str | None = None, doc_id: str | None = None,
+         prefix: bool = True, bonuses: bool = True) -> DataFrame:
+    """The best rows of each query with their rank, as top(scored(...)) gives them (Q05-Q12, Q15), by blocks.
+
+    QUERIES queries at a time are sent to the tasks, with the indexed terms they want; no
+    table is written. Tasks read the blocks of those terms from their buckets, keep the best
+    nodes of each query over all their blocks, and skip what bounds rule out. Queries that
+    want more than MOST_TERMS terms are scored by joins instead.
+    """
+    limit = limit or 20
+    asked = terms.select("qid", "term", F.col("n_terms").cast("long").alias("n_terms")).orderBy("qid").limit(MOST_TERMS + 1).toArrow()
+    by_joins = lambda t: top(scored(index, t, filters, collection, doc_id, prefix, bonuses), limit)
+    if len(asked) > MOST_TERMS or index.blocks is None or any(w < 0 for w in index.weights.values()):
+        return by_joins(terms)
+    bits = scope_bits(index, filters, collection, doc_id)
+    side = [] if bits is None else [blocks.side_rows(bits, blocks.ALLOWED)]
+    if index.dead is not None:
+        side.append(blocks.side_rows(index.dead, blocks.DEAD))
+    weighed = {k: float(w) for k, w in index.weights.items() if w != 1.0}
+    if weighed:
+        w = F.create_map(*(F.lit(x) for kv in weighed.items() for x in kv))
+        own = index.facet_bits().where((F.col("key") == "collection") & F.col("value").isin(list(weighed)))
+        side.append(blocks.side_rows(own, blocks.WEIGHT, w[F.col("value")]))
+    codes = asked.column("qid").combine_chunks().dictionary_encode().indices.to_numpy() // QUERIES if len(asked) else np.zeros(0, int)
+    out = []
+    for k in range(int(codes.max(initial=0)) + 1):
+        own = asked.filter(pa.array(codes == k))
+        made = _batch(index, own, limit, bits is not None, prefix, bonuses)
+        if made is None:
+            out.append(by_joins(index.spark.createDataFrame(own.append_column("idx", pa.array(range(len(own)), pa.int32())), "qid string, term string, n_terms long, idx int")).drop("rank"))
+            continue
+        batch, wanted, buckets = made
+        rows = reduce(DataFrame.unionByName, [blocks.read_blocks(index.blocks, wanted, buckets), *side])
+        sent = index.spark.sparkContext.broadcast(batch)
+        hits = rows.repartition("block").sortWithinPartitions("block", "t").mapInArrow(blocks.scorer(sent), "qid string, nid long, score double, n_matched int")
+        places = index.node_stats.select("nid", "doc_id", "node_id", "doc_ord", "ord")
+        out.append(hits.join(places, "nid").select("qid", "doc_id", "node_id", "doc_ord", "ord", "score", "n_matched"))
+    return top(reduce(DataFrame.unionByName, out), limit)
+
+
 def details(index: Index, terms: DataFrame, best: DataFrame, prefix: bool = True) -> DataFrame:
     """matched_terms and sorted match_positions of the best rows alone (Q09, Q13)."""
     few = index.postings.join(best.select("doc_id", "node_id").distinct(), ["doc_id", "node_id"], "left_semi").select("term", "doc_id", "node_id", "positions")
@@ -148,8 +232,8 @@ def search_batch(index: Index, queries: DataFrame, limit: int = 20, filters: Fil
                  doc_id: str | None = None, prefix: bool = True, expand: bool = True, snippets: bool = True) -> DataFrame:
     """Search many queries (qid, query) at once; one row a result, with its rank."""
     terms = query_terms(index, queries, expand)  # as small as the queries; made anew for the longest, for scores and for details
-    best = top(scored(index, terms, filters, collection, doc_id, prefix), limit)
-    return enrich(index, details(index, terms, best, prefix)) if snippets else best
+    found = best(index, terms, limit, filters, collection, doc_id, prefix)
+    return enrich(index, details(index, terms, found, prefix)) if snippets else found
 
 
 def search(index: Index, query: str, limit: int = 15, filters: Filters | None = None, collection: str | None = None, doc_id: str | None = None) -> DataFrame:
@@ -171,8 +255,8 @@ def find_symbol(index: Index, query: str, kind: str | None = None, language: str
         return search(index, query, limit, filters)
     terms = query_terms(index, query_frame(index.spark, query))
     own = index.nodes.where(F.col("kind") == kind).select("doc_id", "node_id")
-    best = top(scored(index, terms, filters).join(own, ["doc_id", "node_id"], "left_semi"), limit)
-    return enrich(index, details(index, terms, best)).orderBy("rank")
+    found = top(scored(index, terms, filters).join(own, ["doc_id", "node_id"], "left_semi"), limit)
+    return enrich(index, details(index, terms, found)).orderBy("rank")
 
 
 MAX_QUERY_TOKENS = 200

@@ -96,7 +96,7 @@ def _run(spark, index, rows, **how) -> DataFrame:
     prefix, bonuses, limit = how.pop("prefix", True), how.pop("bonuses", True), how.pop("limit", 20)
     q = search.query_terms(index, search.query_frame(spark, rows), how.pop("expand", False))
     more = how.pop("more", False)
-    best = search.top(search.scored(index, q, prefix=prefix, bonuses=bonuses, **how), limit)
+    best = search.best(index, q, limit, prefix=prefix, bonuses=bonuses, **how)
     return search.details(index, q, best, prefix) if more else best
 
 
