@@ -6,14 +6,16 @@ good, bad, or ambiguous (short, or nearly good). In pass two ambiguous blocks in
 the label of the nearest decided neighbours; where these differ, a nearly good block
 is kept and a short one goes with the nearer.
 
-Both passes run on every page; an article or main element is one more signal. A block in
-one that pass one rejects is ambiguous instead, unless an excluded element holds it or more
-than half of it is links; a paragraph that is a link from end to end is ambiguous too if it
-stands in no list and not beside links. Ambiguous blocks ask the decided blocks on their own side of the
+Both passes decide every block that no excluded element holds; no label is overruled. Standing
+in an article or main element is one bounded term of pass one: it adds ARTICLE to the share of
+stop words and to the share of links that a block may have. So in an article a block of few stop
+words is ambiguous at least, one of mostly links is rejected. A paragraph that is a link from end
+to end is ambiguous if it stands in no list and not beside links, and if it is in the article or
+the page has none and no good block. Ambiguous blocks ask the decided blocks on their own side of the
 element's border first; where there are none, those inside ask beyond it and those outside
 are rejected as what stands around an article; excluded elements have no
-say over blocks inside the article. Where no block of the page is good, those of the article
-that aren't rejected are kept.
+say over blocks inside the article. Where no block of the page is good, the ambiguous ones of
+the article are kept, or without an article all ambiguous ones; a page of one block is that block.
 
 Elements with a class, id or role that is made up of words of page furniture and layout alone
 are excluded (cookie-banner is, notice-period isn't); inline ones only drop their own words.
@@ -85,8 +87,8 @@ SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td",
 KEEPERS = frozenset(("html", "body", "main", "article"))
 MAIN = frozenset(("main", "article"))
 
-LINKS = 0.5
-LINKS_OUTSIDE = 0.2
+LINKS = 0.2
+ARTICLE = 0.3
 SHORT, LONG = 70, 200
 STOP_LOW, STOP_HIGH = 0.30, 0.32
 
@@ -319,28 +321,22 @@ def blocks(page: str) -> list[Block]:
 
 def _lone_link(found: list[Block], i: int) -> bool:
     """A paragraph that is one link from end to end, not one of a list of links."""
-    linkish = lambda j: 0 <= j < len(found) and found[j].main and found[j].linked > LINKS * len(found[j].text)
+    linkish = lambda j: 0 <= j < len(found) and found[j].main == found[i].main and found[j].linked > (LINKS + ARTICLE) * len(found[j].text)
     return found[i].linked == len(found[i].text) and not found[i].item and not linkish(i - 1) and not linkish(i + 1)
 
 
-def judge(found: list[Block], i: int) -> str:
-    """The label of pass one: good, bad, near (nearly good) or short."""
-    b = found[i]
-    label, size = _rule(b), len(b.text)
-    if label == "bad" and b.main and b.text[0] != "©" and (b.linked <= LINKS * size or _lone_link(found, i)):
-        return "short" if size < SHORT else "near"
-    return label
-
-
-def _rule(b: Block) -> str:
-    size = len(b.text)
-    density = b.linked / size
-    if b.text[0] == "©" or density > LINKS_OUTSIDE:
+def judge(found: list[Block], i: int, poor: bool = False) -> str:
+    """The label of pass one: good, bad, near (nearly good) or short. poor: the page has no article, and nothing good."""
+    b, size = found[i], len(found[i].text)
+    if b.text[0] == "©":
         return "bad"
+    term, links = ARTICLE if b.main else 0.0, b.linked / size
+    if links > LINKS + term or not term and links > 0 and size < SHORT:
+        return ("short" if size < SHORT else "near") if (b.main or poor) and _lone_link(found, i) else "bad"
     if size < SHORT:
-        return "bad" if density > 0 else "short"
-    found = _WORD.findall(b.text.lower())
-    stop = sum(w in STOP_WORDS for w in found) / len(found) if found else 0.0
+        return "short"
+    words = _WORD.findall(b.text.lower())
+    stop = sum(w in STOP_WORDS for w in words) / max(1, len(words)) + term
     if stop >= STOP_HIGH:
         return "good" if size > LONG else "near"
     return "near" if stop >= STOP_LOW else "bad"
@@ -365,14 +361,18 @@ def main_text(page: str | None) -> str:
         return ""
     found = blocks(page)
     out = [b.excluded() for b in found]
+    article = any(b.main and not o for b, o in zip(found, out))
+    if len(found) == 1 and not out[0] and found[0].text[0] != "©":
+        return found[0].text
     labels = ["bad" if x else judge(found, i) for i, x in enumerate(out)]
+    if not article and "good" not in labels:
+        labels = ["bad" if x else judge(found, i, True) for i, x in enumerate(out)]
     decided = [x if x in ("good", "bad") else None for x in labels]
     inside = _nearest([x if b.main and not o else None for x, b, o in zip(decided, found, out)])
     outside = _nearest([None if b.main else x for x, b in zip(decided, found)])
     shown = _nearest([None if o else x for x, o in zip(decided, out)])
     final = list(labels)
     some_good = "good" in labels
-    article = any(b.main and not o for b, o in zip(found, out))
     for i, x in enumerate(labels):
         if x in ("short", "near"):
             near = inside[i] if found[i].main else outside[i]
@@ -390,7 +390,7 @@ def main_text(page: str | None) -> str:
                 final[i] = before if d1 < d2 else after if d2 < d1 else "bad"
             if x == "short" and found[i].heading and after == "good":
                 final[i] = "good"
-            if (x == "near" or found[i].main) and not some_good:
+            if not some_good and (x == "near" or found[i].main or not article):
                 final[i] = "good"  # nothing better on the page
     return "\n\n".join(b.text for b, x in zip(found, final) if x == "good")
 
