@@ -46,17 +46,25 @@ def symbols(text: str, path: str) -> tuple[Source, list]:
 
 
 SYMBOLS = (
-    "doc_id string, doc_ord long, ord int, name string, kind string, signature string, content string, line_start int, line_end int, exported boolean, parent_ord int"
+    "doc_id string, doc_ord long, ord int, name string, kind string, signature string, content string, line_start int, line_end int, exported boolean, parent_ord int, above array<int>"
 )
 
 
+def _above(found: list, k: int) -> list[int]:
+    """Places of a symbol and of what it stands in, the nearest first."""
+    out = [k]
+    while found[out[-1]].parent is not None:
+        out.append(found[out[-1]].parent)
+    return out
+
+
 def _run(batches):
     for b in batches:
         rows = []
         for d, o, path, text in zip(*(b.column(c).to_pylist() for c in ("doc_id", "doc_ord", "file_path", "text"))):
             src, found = symbols(text or "", path)
-            rows += [(d, o, k, s.name, s.kind, s.signature, src.content(s), s.start + 1, s.end + 1, s.exported, s.parent) for k, s in enumerate(found)]
-        kinds = [pa.string(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.bool_(), pa.int32()]
+            rows += [(d, o, k, s.name, s.kind, s.signature, src.content(s), s.start + 1, s.end + 1, s.exported, s.parent, _above(found, k)) for k, s in enumerate(found)]
+        kinds = [pa.string(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.bool_(), pa.int32(), pa.list_(pa.int32())]
         cols = list(zip(*rows)) if rows else [[]] * len(kinds)
         names = [c.split()[0] for c in SYMBOLS.split(", ")]
         yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds)], names=names)
@@ -80,16 +88,18 @@ def nodes_of(files: DataFrame) -> DataFrame:
         level_of(F.col("kind"), F.col("parent_ord").isNotNull()).alias("level"),
         F.when(F.col("parent_ord").isNotNull(), F.concat("doc_id", F.lit(":n"), F.col("parent_ord") + 1)).alias("parent_id"),
         "content", F.left("signature", F.lit(200)).alias("summary"), "line_start", "line_end", "kind", "exported",
+        F.transform("above", lambda o: F.concat(F.col("doc_id"), F.lit(":n"), o + 1)).alias("path"),
     )
     lone = files.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(
         "doc_id", "doc_ord", F.lit(0).alias("ord"), F.concat("doc_id", F.lit(":n1")).alias("node_id"), T.base_name(F.col("file_path")).alias("title"),
         F.lit(1).alias("level"), F.lit(None).cast("string").alias("parent_id"), F.col("text").alias("content"), F.left("text", F.lit(200)).alias("summary"),
         F.lit(1).alias("line_start"), F.size(F.split("text", "\n")).alias("line_end"), F.lit(None).cast("string").alias("kind"), F.lit(None).cast("boolean").alias("exported"),
+        F.array(F.concat("doc_id", F.lit(":n1"))).alias("path"),
     )
     both = rows.unionByName(lone)
     return both.select(
         "doc_id", "doc_ord", "ord", "node_id", "title", "level", "parent_id", "content", "summary", T.word_count(F.col("content")).alias("word_count"),
-        "line_start", "line_end", "kind", "exported",
+        "line_start", "line_end", "kind", "exported", "path",
     )
 
 

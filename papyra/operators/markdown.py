@@ -258,7 +258,7 @@ def nodes_of(files: DataFrame, mode: str = "block") -> DataFrame:
     rows = sections.unionByName(lone).withColumn("node_id", F.concat("doc_id", F.lit(":n"), F.col("ord") + 1)).withColumn("summary", summary)
     return with_parents(rows).select(
         "doc_id", "doc_ord", "ord", "node_id", "title", "level", "parent_id", "content", "summary", T.word_count(F.col("content")).alias("word_count"),
-        "line_start", "line_end", F.lit(None).cast("string").alias("kind"), F.lit(None).cast("boolean").alias("exported"),
+        "line_start", "line_end", F.lit(None).cast("string").alias("kind"), F.lit(None).cast("boolean").alias("exported"), "path",
     )
 
 

@@ -10,7 +10,7 @@ DOCUMENTS = (
 )
 NODES = (
     "doc_id string, doc_ord long, ord int, node_id string, title string, level int, parent_id string, content string, summary string, "
-    "word_count int, line_start int, line_end int, kind string, exported boolean"
+    "word_count int, line_start int, line_end int, kind string, exported boolean, path array<string>"
 )
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -10,12 +12,22 @@ from papyra.operators.indexing import Index
 
 
 def with_parents(nodes: DataFrame, levels: range = range(0, 7)) -> DataFrame:
-    """parent_id: the nearest node before, of a smaller level; nodes have doc_id, ord, level, node_id."""
+    """parent_id: the nearest node before, of a smaller level; path: the node and its ancestors, the nearest first.
+
+    Nodes have doc_id, ord, level, node_id. Of each level the last node before is known from
+    one window; it is an ancestor if no node of a smaller level has come since.
+    """
     before = Window.partitionBy("doc_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
     last = {k: F.last(F.when(F.col("level") == k, F.struct("ord", "node_id")), ignorenulls=True).over(before) for k in levels}
     cols = nodes.select("*", *(c.alias(f"__l{k}") for k, c in last.items()))
     nearest = F.greatest(*(F.when(F.col("level") > k, F.col(f"__l{k}")) for k in levels))
-    return cols.withColumn("parent_id", nearest["node_id"]).drop(*(f"__l{k}" for k in levels))
+
+    def open_at(k: int):
+        closed = [F.coalesce(F.col(f"__l{j}.ord") > F.col(f"__l{k}.ord"), F.lit(False)) for j in levels if j < k]
+        return F.when((F.col("level") > k) & ~reduce(lambda a, c: a | c, closed, F.lit(False)), F.col(f"__l{k}.node_id"))
+
+    path = F.array_compact(F.array(F.col("node_id"), *(open_at(k) for k in reversed(levels))))
+    return cols.withColumns({"parent_id": nearest["node_id"], "path": path}).drop(*(f"__l{k}" for k in levels))
 
 
 def children(nodes: DataFrame) -> DataFrame:
@@ -31,9 +43,11 @@ def with_children(nodes: DataFrame) -> DataFrame:
 def ancestors(nodes: DataFrame) -> DataFrame:
     """(doc_id, node_id, ancestor, depth) pairs, a node its own ancestor at depth 0.
 
-    One chain of equality joins; a parent's level is smaller than its child's, so the
+    Nodes with a path have them there; for others one chain of equality joins; a parent's level is smaller than its child's, so the
     span of levels (six at most) says how many joins reach every root.
     """
+    if "path" in nodes.columns:
+        return nodes.select("doc_id", "node_id", F.posexplode("path").alias("depth", "ancestor")).select("doc_id", "node_id", "ancestor", "depth")
     most = nodes.agg(F.max("level") - F.min("level")).first()[0] or 0
     base = nodes.select("doc_id", "node_id", "parent_id")
     up = base.select(F.col("doc_id").alias("__d"), F.col("node_id").alias("__n"), F.col("parent_id").alias("__p"))
@@ -69,14 +83,22 @@ def node_content(index: Index, doc_id: str, node_ids: list[str]) -> DataFrame:
 def subtrees(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
     """Breadth-first subtrees of many roots (doc_id, root): rows with depth, in order of (depth, ord)."""
     down = wanted.select("doc_id", F.col("root").alias("node_id"), "root").withColumn("depth", F.lit(0))
+    if "path" in nodes.columns:  # each node meets the roots it stands under, by equality
+        rows = nodes.select("*", F.posexplode("path").alias("depth", "root"))
+        return rows.join(wanted.select("doc_id", "root").distinct(), ["doc_id", "root"], "left_semi")
     docs = nodes.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
     pairs = ancestors(docs).withColumnRenamed("ancestor", "root").join(down.select("doc_id", "root"), ["doc_id", "root"], "left_semi")
     return pairs.join(docs, ["doc_id", "node_id"])
 
 
 def subtree(index: Index, doc_id: str, node_id: str) -> DataFrame:
-    one = index.spark.createDataFrame([(doc_id, node_id)], "doc_id string, root string")
-    return subtrees(index.nodes.where(F.col("doc_id") == doc_id), one).orderBy("depth", "ord")
+    """The subtree of one node, in order of (depth, ord): a predicate on the written paths."""
+    own = index.nodes.where(F.col("doc_id") == doc_id)
+    if "path" in own.columns:
+        rows = own.where(F.array_contains("path", node_id)).withColumns({"root": F.lit(node_id), "depth": (F.array_position("path", node_id) - 1).cast("int")})
+    else:
+        rows = subtrees(own, index.spark.createDataFrame([(doc_id, node_id)], "doc_id string, root string"))
+    return rows.orderBy("depth", "ord")
 
 
 def title_slug(title):

@@ -47,7 +47,7 @@ def _node(df: DataFrame, doc_id, doc_ord, ord_, title, level, content, node_id=N
 def _finish(nodes: DataFrame) -> DataFrame:
     return with_parents(nodes).select(
         "doc_id", "doc_ord", "ord", "node_id", "title", "level", "parent_id", "content", F.lit("").alias("summary"), T.word_count(F.col("content")).alias("word_count"),
-        F.lit(1).alias("line_start"), F.lit(1).alias("line_end"), F.lit(None).cast("string").alias("kind"), F.lit(None).cast("boolean").alias("exported"),
+        F.lit(1).alias("line_start"), F.lit(1).alias("line_end"), F.lit(None).cast("string").alias("kind"), F.lit(None).cast("boolean").alias("exported"), "path",
     )
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from papyra.functions import text as T
 from papyra.operators import catalog, code, curate, evaluate, glossary, indexing, markdown, search, tree
 from papyra.operators import render as R
+from papyra.operators.code import udtf
 from papyra.plans import corpora as C
 from papyra.plans import sql as S
 
@@ -724,6 +725,30 @@ def symbols_by_language(spark, d):
     return code.parse_symbols(files).select("doc_ord", "ord", "kind", "name", "exported", "line_start", "line_end", "parent_ord")
 
 
+@query("symbols_by_sql", SQL["symbols_by_language"])
+def symbols_by_sql(spark, d):
+    """The same by SQL text: the parsers as a table function over a column of sources."""
+    udtf.register(spark)
+    C.many_files(spark, d).createOrReplaceTempView("papyra_sources")
+    return spark.sql(
+        "SELECT f.doc_ord, s.ord, s.kind, s.name, s.exported, s.line_start, s.line_end, s.parent_ord FROM papyra_sources f, LATERAL code_symbols(f.file_path, f.text) s"
+    )
+
+
+@query(
+    "sections_by_sql",
+    """WITH f AS (SELECT p_partkey AS k, coalesce(p_name, '') AS name, false AS late FROM part UNION ALL SELECT p_partkey, coalesce(p_name, ''), true FROM part WHERE p_partkey % 3 = 0)
+SELECT CASE WHEN late THEN k + 1099511627776 ELSE k END AS doc_ord, e.ord, e.level, e.title, e.content, e.a AS line_start, e.z AS line_end
+FROM f, LATERAL (VALUES (0, 1, 'Part ' || k, CASE WHEN late THEN 'later ' ELSE 'earlier ' END || name, 1, 3), (1, 2, CASE WHEN late THEN 'New' ELSE 'Old' END, CASE WHEN late THEN 'newzz words' ELSE 'gonezz words' END, 4, CASE WHEN late THEN 6 ELSE 6 END), (2, 2, 'Older', 'more', 7, 9)) e(ord, level, title, content, a, z)
+WHERE NOT late OR e.ord < 2""",
+)
+def sections_by_sql(spark, d):
+    """Sections of markdown texts by SQL, from a table function."""
+    udtf.register(spark)
+    C.twice_files(spark, d).createOrReplaceTempView("papyra_texts")
+    return spark.sql("SELECT f.doc_ord, s.ord, s.level, s.title, s.content, s.line_start, s.line_end FROM papyra_texts f, LATERAL markdown_sections(f.text) s")
+
+
 @query("symbol_stats", f"WITH {_CODE}, p AS (SELECT rk, count(*) AS n FROM sy GROUP BY rk) SELECT count(*) AS files, avg(n) AS avg_nodes, max(n) AS max_nodes, 0 AS import_only_files FROM p")
 def symbol_stats(spark, d):
     return evaluate.index_stats(C.code_index(spark, d).nodes).select("files", "avg_nodes", "max_nodes", F.col("import_only_files").cast("int").alias("import_only_files"))

@@ -23,7 +23,7 @@ def tables(spark, n, seed, first=0, tag=""):
         docs.append((doc, d, f"{doc}.md", some(3), some(3), 1, 1, 1, "", [], "", rng.choice(["one", "two"]), {"kind": [rng.choice("abc")], "size": [rng.choice("xy")]}, []))
         for k in range(rng.randint(1, 4)):
             body = some(30) + (" [code:py] " + some(4) if rng.random() < 0.3 else "") + tag
-            nodes.append((doc, d, k, f"{doc}:n{k}", some(2), 1, None, body, "", 1, 1, 1, None, None))
+            nodes.append((doc, d, k, f"{doc}:n{k}", some(2), 1, None, body, "", 1, 1, 1, None, None, [f"{doc}:n{k}"]))
     return spark.createDataFrame(docs, DOCUMENTS), spark.createDataFrame(nodes, NODES).repartition(5)
 
 
