@@ -28,7 +28,7 @@ from papyra.session import scratch_path
 SEGMENT_BITS = 53
 #: Bits of a slot: few nodes have small blocks, so that there are blocks for all tasks.
 LEAST_BITS, MOST_BITS = 8, 13
-BUCKETS = 64
+BUCKETS, FEW_NODES = 64, 4096  # fewer nodes have four
 #: Distinct query terms whose scores are held at once.
 TERMS = 128
 #: What a row of the stream is that holds no postings: slots that may be found, that may not, that have a weight.
@@ -54,15 +54,15 @@ def slot_of(bits: int) -> Column:
     return F.col("nid").bitwiseAND(F.lit((1 << bits) - 1)).cast("int")
 
 
-def bucket_of(term: Column) -> Column:
-    return F.pmod(F.xxhash64(F.left(term, F.lit(3))), F.lit(BUCKETS)).cast("int")
+def bucket_of(term: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(F.left(term, F.lit(3))), F.lit(buckets)).cast("int")
 
 
-def blocks_of(postings: DataFrame, bits: int) -> DataFrame:
+def blocks_of(postings: DataFrame, bits: int, buckets: int) -> DataFrame:
     """Rows of blocks (bucket, term, block, items and their bounds), written by bucket; one exchange of the postings."""
     marks = F.col("has_title").cast("int") + F.col("has_desc").cast("int") * 2 + F.col("has_code").cast("int") * 4
     rows = postings.select(
-        bucket_of(F.col("term")).alias("bucket"), F.shiftright(block_of(bits), 10).alias("part"), "term", block_of(bits).alias("block"),
+        bucket_of(F.col("term"), buckets).alias("bucket"), F.shiftright(block_of(bits), 10).alias("part"), "term", block_of(bits).alias("block"),
         F.struct(slot_of(bits).alias("slot"), "tf", F.col("total_tokens").alias("length"), marks.alias("marks")).alias("item"),
     )
     # a part is 1024 blocks, so a bucket of a large store has several files; the aggregate needs no other exchange
@@ -224,8 +224,7 @@ def scorer(batch: Broadcast):
 
 def read_blocks(blocks: DataFrame, terms: DataFrame, buckets: list[int]) -> DataFrame:
     """Rows of STREAM of the wanted terms (term, t), from their buckets alone."""
-    held = blocks.where(F.col("bucket").isin(buckets)) if len(buckets) < BUCKETS else blocks
-    rows = held.join(F.broadcast(terms), "term")
+    rows = blocks.where(F.col("bucket").isin(buckets)).join(F.broadcast(terms), "term")
     return rows.select("block", "t", "items", "max_tf", "min_length", "marks", F.lit(None).cast("binary").alias("bits"), F.lit(None).cast("double").alias("w"))
 
 

@@ -5,28 +5,56 @@ from __future__ import annotations
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
+from pyspark.sql.types import StructType
 
 from papyra.functions import text as T
 from papyra.operators import blocks
 from papyra.operators import glossary as G
 from papyra.operators.schema import Ranking
-from papyra.session import write_table
+from papyra.session import scratch_path, write_table
 
 
-def node_tokens(nodes: DataFrame, documents: DataFrame) -> DataFrame:
+#: Postings lie in folders by a hash of doc_id: so many nodes a folder, and so many folders at most.
+NODES_A_FOLD = 256
+MOST_FOLDS = 4096
+
+
+def folds_for(n_nodes: int) -> int:
+    """A power of two that grows with the store, so that a document's folder doesn't."""
+    return min(MOST_FOLDS, 1 << (n_nodes // NODES_A_FOLD).bit_length())
+
+
+def fold_of(folds: int) -> Column:
+    return F.pmod(F.xxhash64("doc_id"), F.lit(folds)).cast("int")
+
+
+def write_folds(rows: DataFrame, tag: str) -> DataFrame:
+    """write_table() in folders by the column fold."""
+    path = scratch_path(rows.sparkSession, tag)
+    rows.write.partitionBy("fold").parquet(path)
+    fields = [f for f in rows.schema.fields if f.name != "fold"]
+    return rows.sparkSession.read.schema(StructType([*fields, rows.schema["fold"]])).parquet(path)
+
+
+def node_tokens(nodes: DataFrame, documents: DataFrame, folds: int = 1) -> DataFrame:
     """One row a node: its tokens (title, then body), their stems and marks.
 
-    An occurrence counts for the first class that holds: 1 title, 2 description, 4 code.
+    Nodes are dealt by folder; those of a document with more nodes than a task's share are
+    dealt further. An occurrence counts for the first class that holds: 1 title, 2 description, 4 code.
     """
     desc = documents.select("doc_id", T.stems(T.raw_tokens(F.col("description"))).alias("desc_stems"))
     both = F.concat(T.raw_tokens(F.col("title")), T.raw_tokens(F.col("content")))
     # a fixed number of partitions: by the size of the texts alone they would be put together, but tokens are many times larger
     n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = nodes.repartition(n, "doc_id", "node_id").select(
-        "doc_id", "doc_ord", "node_id", "ord", "nid", F.size(T.raw_tokens(F.col("title"))).alias("title_len"), both.alias("tokens"), T.code_tokens(F.col("content")).alias("code"),
+    sizes = nodes.groupBy("doc_id").agg(F.count("*").alias("__n"))
+    total = nodes.count()
+    large = F.broadcast(sizes.where(F.col("__n") * n > total).select("doc_id", F.lit(True).alias("__large")))  # fewer than n
+    placed = nodes.join(large, "doc_id", "left").withColumn("salt", F.when(F.col("__large"), F.pmod(F.xxhash64("node_id"), F.lit(n)).cast("int")).otherwise(0))
+    rows = placed.withColumn("fold", fold_of(folds)).repartition(n, "fold", "salt").select(
+        "fold", "salt", "doc_id", "doc_ord", "node_id", "ord", "nid", F.size(T.raw_tokens(F.col("title"))).alias("title_len"), both.alias("tokens"), T.code_tokens(F.col("content")).alias("code"),
     )
     none = F.array().cast("array<string>")
     rows = (
@@ -39,22 +67,22 @@ def node_tokens(nodes: DataFrame, documents: DataFrame) -> DataFrame:
     mark = lambda p, i: title(i).when(F.array_contains(F.col("desc_stems"), p["stems"]), 2).when(F.array_contains(F.col("code"), p["tokens"]), 4).otherwise(0)
     pairs = F.arrays_zip("stems", "tokens")
     marks = F.when(plain, F.transform("stems", lambda x, i: title(i).otherwise(0))).otherwise(F.transform(pairs, mark))
-    return rows.select("doc_id", "doc_ord", "node_id", "ord", "nid", F.size("tokens").alias("total_tokens"), "stems", marks.alias("marks"))
+    return rows.select("fold", "salt", "doc_id", "doc_ord", "node_id", "ord", "nid", F.size("tokens").alias("total_tokens"), "stems", marks.alias("marks"))
 
 
 def postings_of(tokens: DataFrame) -> DataFrame:
     """(term, doc, node, positions, tf, total_tokens) with flags for the weight classes.
 
-    Rows were dealt by node before tokens are spread, so grouping needs no further shuffle.
+    Rows were dealt by folder before tokens are spread, so grouping needs no further shuffle.
     """
-    spread = tokens.select("doc_id", "doc_ord", "node_id", "ord", "nid", "total_tokens", F.posexplode(F.arrays_zip("stems", "marks")).alias("pos", "t"))
-    flat = spread.select("doc_id", "doc_ord", "node_id", "ord", "nid", "total_tokens", "pos", F.col("t.stems").alias("term"), F.col("t.marks").alias("mark")).where(F.length("term") >= 2)
+    spread = tokens.select("fold", "salt", "doc_id", "doc_ord", "node_id", "ord", "nid", "total_tokens", F.posexplode(F.arrays_zip("stems", "marks")).alias("pos", "t"))
+    flat = spread.select("fold", "salt", "doc_id", "doc_ord", "node_id", "ord", "nid", "total_tokens", "pos", F.col("t.stems").alias("term"), F.col("t.marks").alias("mark")).where(F.length("term") >= 2)
     # the number of the document stands first among the keys: most rows are sorted by it alone, without a look at the texts
-    grouped = flat.groupBy("doc_ord", "ord", "doc_id", "node_id", "nid", "term", "total_tokens").agg(
+    grouped = flat.groupBy("fold", "salt", "doc_ord", "ord", "doc_id", "node_id", "nid", "term", "total_tokens").agg(
         F.sort_array(F.collect_list("pos")).alias("positions"), F.count("*").cast("int").alias("tf"), F.bit_or("mark").alias("marks")
     )
     has = lambda bit: F.col("marks").bitwiseAND(F.lit(bit)) > 0
-    return grouped.select("doc_id", "node_id", "term", "doc_ord", "ord", "nid", "positions", "tf", "total_tokens", has(1).alias("has_title"), has(2).alias("has_desc"), has(4).alias("has_code"))
+    return grouped.select("doc_id", "node_id", "term", "doc_ord", "ord", "nid", "positions", "tf", "total_tokens", has(1).alias("has_title"), has(2).alias("has_desc"), has(4).alias("has_code"), "fold")
 
 
 def facets_of(documents: DataFrame) -> DataFrame:
@@ -122,9 +150,9 @@ class Index:
 
     documents: DataFrame
     nodes: DataFrame
-    postings: DataFrame
+    numbered_postings: DataFrame
     vocab: DataFrame
-    node_stats: DataFrame
+    numbered_stats: DataFrame
     facets: DataFrame
     refs: DataFrame
     glossary: DataFrame
@@ -134,11 +162,22 @@ class Index:
     weights: dict[str, float] = field(default_factory=dict)
     changes: int = 0  # since the tables were last written whole
     slot_bits: int = blocks.MOST_BITS
+    folds: int = 1  # folders of the postings
+    buckets: int = blocks.BUCKETS  # folders of the blocks
     blocks: DataFrame | None = None  # postings by term, see blocks.py
     dead: DataFrame | None = None  # (block, bits) of the nodes in blocks that are there no more
     segment: int = 0  # nodes that came with a change have its number in theirs
     _bits: dict = field(default_factory=dict, repr=False, compare=False)
 
+    @property
+    def postings(self) -> DataFrame:
+        """Postings without the numbers of nodes, which are of this index alone."""
+        return self.numbered_postings.drop("nid")
+
+    @property
+    def node_stats(self) -> DataFrame:
+        return self.numbered_stats.drop("nid")
+
     @property
     def avgdl(self) -> float:
         return self.n_tokens / self.n_nodes if self.n_nodes else 0.0
@@ -158,21 +197,23 @@ class Index:
                 "facets": pool.submit(lambda: write_table(facets_of(documents), "facets")), "refs": pool.submit(lambda: write_table(refs_of(documents), "refs")),
                 "stats": pool.submit(lambda: write_table(stats_of(nodes), "node-stats")), "n": pool.submit(nodes.count),
             }
-            postings = write_table(postings_of(node_tokens(nodes, documents)), "postings")
+            folds = folds_for(side["n"].result())
+            postings = write_folds(postings_of(node_tokens(nodes, documents, folds)), "postings")
             bits = blocks.slot_bits(side["n"].result())
-            held = pool.submit(lambda: blocks.blocks_of(postings, bits))
+            buckets = blocks.BUCKETS if side["n"].result() >= blocks.FEW_NODES else 4
+            held = pool.submit(lambda: blocks.blocks_of(postings, bits, buckets))
             vocab = write_table(postings.groupBy("term").agg(F.count("*").alias("df")), "vocab")
             own = glossary if glossary is not None else G.empty(documents.sparkSession)
             if auto_glossary:
                 own = write_table(G.merge(own, G.automatic(documents, nodes)), "glossary")
             stats, facets, refs, held = side["stats"].result(), side["facets"].result(), side["refs"].result(), held.result()
         n, total = _totals(stats)
-        return cls(documents, nodes, postings, vocab, stats, facets, refs, own, n, total, ranking, weights, blocks=held, slot_bits=bits)
+        return cls(documents, nodes, postings, vocab, stats, facets, refs, own, n, total, ranking, weights, blocks=held, slot_bits=bits, folds=folds, buckets=buckets)
 
     def facet_bits(self) -> DataFrame:
         """(key, value, block, bits): the nodes of each facet value as bitmaps; made once, at the first search that filters."""
         if "facets" not in self._bits:
-            self._bits["facets"] = write_table(blocks.bits_of(self.node_stats.select("doc_id", "nid").join(self.facets, "doc_id"), self.slot_bits, "key", "value"), "facet-bits")
+            self._bits["facets"] = write_table(blocks.bits_of(self.numbered_stats.select("doc_id", "nid").join(self.facets, "doc_id"), self.slot_bits, "key", "value"), "facet-bits")
         return self._bits["facets"]
 
     # parameters
@@ -191,6 +232,11 @@ class Index:
 
     # maintenance
 
+    def postings_in(self, ids: DataFrame) -> DataFrame:
+        """Postings in the folders of these documents (doc_id): what a change reads of them."""
+        own = [r[0] for r in ids.select(fold_of(self.folds)).distinct().collect()]  # MOST_FOLDS at most
+        return self.postings.where(F.col("fold").isin(own)) if len(own) < self.folds else self.postings
+
     def remove(self, doc_ids: DataFrame | list[str]) -> Index:
         """Without these documents."""
         return self._change(self.spark.createDataFrame([(d,) for d in doc_ids], "doc_id string") if isinstance(doc_ids, list) else doc_ids)
@@ -202,26 +248,28 @@ class Index:
     def _change(self, gone: DataFrame, documents: DataFrame | None = None, nodes: DataFrame | None = None) -> Index:
         """Written is what changes: the ids that go, the rows that come, the terms whose frequency differs.
 
+        Read are the folders of postings of those ids (their number grows with the store, so
+        one document's folder doesn't), the narrow tables of node lengths and terms, and no others.
         The tables become what they were without the ids, and the new rows; readers leave
         the ids out as they scan. Totals and frequencies change by difference. After
         MOST_CHANGES changes the tables are written whole, once for all of them.
         """
         gone = write_table(gone.select("doc_id").distinct(), "gone")
         side = F.broadcast(gone) if gone.count() <= MOST_GONE else gone
-        tables = {n: getattr(self, n).join(side, "doc_id", "left_anti") for n in ("documents", "nodes", "postings", "node_stats")}
-        df = [self.postings.join(side, "doc_id", "left_semi").groupBy("term").agg((-F.count("*")).alias("d"))]
+        tables = {n: getattr(self, n).join(side, "doc_id", "left_anti") for n in ("documents", "nodes", "numbered_postings", "numbered_stats")}
+        df = [self.postings_in(gone).join(side, "doc_id", "left_semi").groupBy("term").agg((-F.count("*")).alias("d"))]
         n, total = _totals(self.node_stats.join(side, "doc_id", "left_semi"))
         n, total = self.n_nodes - n, self.n_tokens - total
-        gone_bits = blocks.bits_of(self.node_stats.join(side, "doc_id", "left_semi"), self.slot_bits)
+        gone_bits = blocks.bits_of(self.numbered_stats.join(side, "doc_id", "left_semi"), self.slot_bits)
         gone_bits = gone_bits if self.dead is None else self.dead.unionByName(gone_bits).groupBy("block").agg(F.bitmap_or_agg("bits").alias("bits"))
         dead, held, segment = write_table(gone_bits, "dead"), self.blocks, self.segment + 1
         if documents is not None and nodes is not None:
             documents, nodes = _once(documents, nodes, segment)
-            new = {"documents": documents, "nodes": nodes, "postings": write_table(postings_of(node_tokens(nodes, documents)), "postings"), "node_stats": write_table(stats_of(nodes), "node-stats")}
+            new = {"documents": documents, "nodes": nodes, "numbered_postings": write_folds(postings_of(node_tokens(nodes, documents, self.folds)), "postings"), "numbered_stats": write_table(stats_of(nodes), "node-stats")}
             tables = {k: v.unionByName(new[k]) for k, v in tables.items()}
-            held = held.unionByName(blocks.blocks_of(new["postings"], self.slot_bits))
-            df.append(new["postings"].groupBy("term").agg(F.count("*").alias("d")))
-            more, tokens = _totals(new["node_stats"])
+            held = held.unionByName(blocks.blocks_of(new["numbered_postings"], self.slot_bits, self.buckets))
+            df.append(new["numbered_postings"].groupBy("term").agg(F.count("*").alias("d")))
+            more, tokens = _totals(new["numbered_stats"])
             n, total = n + more, total + tokens
         moved = (df[0] if len(df) == 1 else df[0].unionByName(df[1])).groupBy("term").agg(F.sum("d").alias("d")).where("d <> 0")
         moved = write_table(moved.join(self.vocab, "term", "left").select("term", (F.coalesce("df", F.lit(0)) + F.col("d")).alias("df")), "vocab")
@@ -229,29 +277,29 @@ class Index:
         tables["vocab"] = self.vocab.join(F.broadcast(terms) if terms.count() <= MOST_GONE else terms, "term", "left_anti").unionByName(moved.where("df > 0"))
         changes = self.changes + 1
         if changes > MOST_CHANGES:
-            tables, changes = {k: write_table(v, k) for k, v in tables.items()}, 0
-            held, dead = blocks.blocks_of(tables["postings"], self.slot_bits), None
+            tables, changes = {k: write_folds(v.repartition("fold"), k) if k == "numbered_postings" else write_table(v, k) for k, v in tables.items()}, 0
+            held, dead = blocks.blocks_of(tables["numbered_postings"], self.slot_bits, self.buckets), None
         docs = tables["documents"]
         return replace(self, **tables, facets=facets_of(docs), refs=refs_of(docs), n_nodes=n, n_tokens=total, changes=changes, blocks=held, dead=dead, segment=segment, _bits={})
 
     # persistence
 
     def save(self, path: str) -> None:
-        """Parquet tables; the blocks lie in folders by term."""
-        for name in ("documents", "nodes", "vocab", "node_stats", "glossary", "facets", "refs"):
-            getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
-        self.postings.repartitionByRange("term").sortWithinPartitions("term", "doc_ord", "ord").write.mode("overwrite").parquet(f"{path}/postings")
-        held = self.blocks if self.dead is None else blocks.blocks_of(self.postings, self.slot_bits)
+        """Parquet tables; postings lie in folders by document, blocks in folders by term."""
+        for name in ("documents", "nodes", "vocab", "numbered_stats", "glossary", "facets", "refs"):
+            getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name.replace('numbered', 'node')}")
+        self.numbered_postings.repartition("fold").write.mode("overwrite").partitionBy("fold").parquet(f"{path}/postings")
+        held = self.blocks if self.dead is None else blocks.blocks_of(self.numbered_postings, self.slot_bits, self.buckets)
         held.repartition("bucket", F.shiftright("block", 10)).sortWithinPartitions("bucket", "term", "block").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/blocks")
-        self.spark.createDataFrame([(self.slot_bits, self.segment)], "slot_bits int, segment int").write.mode("overwrite").parquet(f"{path}/numbering")
+        self.spark.createDataFrame([(self.slot_bits, self.folds, self.buckets, self.segment)], "slot_bits int, folds int, buckets int, segment int").write.mode("overwrite").parquet(f"{path}/numbering")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, ranking: Ranking | None = None, weights: dict[str, float] | None = None) -> Index:
         t = {n: spark.read.parquet(f"{path}/{n}") for n in ("documents", "nodes", "postings", "vocab", "node_stats", "glossary", "facets", "refs", "blocks")}
         n, total = _totals(t["node_stats"])
-        bits, segment = spark.read.parquet(f"{path}/numbering").select("slot_bits", "segment").first()
+        bits, folds, buckets, segment = spark.read.parquet(f"{path}/numbering").select("slot_bits", "folds", "buckets", "segment").first()
         return cls(t["documents"], t["nodes"], t["postings"], t["vocab"], t["node_stats"], t["facets"], t["refs"], t["glossary"], n, total, ranking or Ranking(), dict(weights or {}),
-                   blocks=t["blocks"], slot_bits=bits, segment=segment)
+                   blocks=t["blocks"], slot_bits=bits, folds=folds, buckets=buckets, segment=segment)
 
 
 def changed(new: DataFrame, manifest: DataFrame) -> DataFrame:

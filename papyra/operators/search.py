@@ -74,7 +74,7 @@ def scope_bits(index: Index, filters: Filters | None = None, collection: str | N
     asked = [*wanted.items(), *([("collection", [collection])] if collection else [])]
     each = [index.facet_bits().where((F.col("key") == k) & F.col("value").isin(vs)).groupBy("block").agg(F.bitmap_or_agg("bits").alias("bits")) for k, vs in asked]
     if doc_id is not None:
-        each.append(blocks.bits_of(index.node_stats.where(F.col("doc_id") == doc_id), index.slot_bits))
+        each.append(blocks.bits_of(index.numbered_stats.where(F.col("doc_id") == doc_id), index.slot_bits))
     if not each:
         return None
     rows = reduce(DataFrame.unionByName, each)
@@ -143,7 +143,7 @@ def _batch(index: Index, asked: pa.Table, limit: int, filtered: bool, prefix: bo
     spark = index.spark
     own = spark.createDataFrame(asked.append_column("idx", pa.array(range(len(asked)), pa.int32())), "qid string, term string, n_terms long, idx int")
     found = term_matches(index, F.broadcast(own.select(F.lit("").alias("qid"), "term", "idx", "n_terms").dropDuplicates(["term"])), prefix)
-    found = found.select("qterm", "term", "df", "penalty", blocks.bucket_of(F.col("term")).alias("bucket")).limit(MOST_TERMS + 1).toArrow()
+    found = found.select("qterm", "term", "df", "penalty", blocks.bucket_of(F.col("term"), index.buckets).alias("bucket")).limit(MOST_TERMS + 1).toArrow()
     if len(found) > MOST_TERMS:
         return None
     qids, terms = asked.column("qid").combine_chunks().dictionary_encode(), asked.column("term").combine_chunks().dictionary_encode()
@@ -198,7 +198,7 @@ def best(index: Index, terms: DataFrame, limit: int, filters: Filters | None = N
         rows = reduce(DataFrame.unionByName, [blocks.read_blocks(index.blocks, wanted, buckets), *side])
         sent = index.spark.sparkContext.broadcast(batch)
         hits = rows.repartition("block").sortWithinPartitions("block", "t").mapInArrow(blocks.scorer(sent), "qid string, nid long, score double, n_matched int")
-        places = index.node_stats.select("nid", "doc_id", "node_id", "doc_ord", "ord")
+        places = index.numbered_stats.select("nid", "doc_id", "node_id", "doc_ord", "ord")
         out.append(hits.join(places, "nid").select("qid", "doc_id", "node_id", "doc_ord", "ord", "score", "n_matched"))
     return top(reduce(DataFrame.unionByName, out), limit)
 

@@ -85,15 +85,15 @@ def test_changes_and_whole_writes(spark, index, tmp_path, monkeypatch):
     terms = search.query_terms(again, search.query_frame(spark, QUERIES))
     assert rows(search.best(again, terms, 7)) == rows(search.top(search.scored(own, terms), 7))
     grown = again.upsert(*tables(spark, 5, 3, 500))
-    assert grown.node_stats.select("nid").distinct().count() == grown.n_nodes
+    assert grown.numbered_stats.select("nid").distinct().count() == grown.n_nodes
 
 
 def test_a_search_opens_the_folders_of_its_terms(spark, index):
     wanted = spark.createDataFrame([("omega", 0), ("omegas", 1), ("x1", 2)], "term string, t int")
-    own = {r[0] for r in wanted.select(blocks.bucket_of(F.col("term"))).collect()}
+    own = {r[0] for r in wanted.select(blocks.bucket_of(F.col("term"), index.buckets)).collect()}
     read = blocks.read_blocks(index.blocks, wanted, sorted(own))
     plan = read._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters" in plan and "bucket" in plan.split("PartitionFilters")[1][:80] and len(own) == 2
+    assert "PartitionFilters" in plan and "bucket" in plan.split("PartitionFilters")[1][:80] and len(own) < index.buckets
     files = {r[0] for r in index.blocks.where(F.col("bucket").isin(sorted(own))).select(F.input_file_name()).distinct().collect()}
     whole = {r[0] for r in index.blocks.select(F.input_file_name()).distinct().collect()}
     assert {int(f.split("bucket=")[1].split("/")[0]) for f in files} <= own and len(files) < len(whole)
