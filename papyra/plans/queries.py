@@ -13,6 +13,8 @@ from papyra.operators import render as R
 from papyra.operators.code import udtf
 from papyra.plans import corpora as C
 from papyra.plans import sql as S
+from papyra.session import scratch_path
+from papyra.sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -595,6 +597,36 @@ def last_file_search(spark, d):
     return found.groupBy("doc_ord").agg(F.count("*").alias("n"))
 
 
+@query(
+    "named_files",
+    """SELECT 'p' || (p_partkey % 9) || '/n' || p_partkey || '.md' AS file_path, '# ' || p_name || chr(13) || chr(10) || p_partkey AS text FROM part WHERE p_name IS NOT NULL AND p_partkey IS NOT NULL""",
+)
+def named_files(spark, d):
+    """A file a part written by the data source, and read back by it with its name."""
+    key = F.col("p_partkey").cast("string")
+    rows = C.read(spark, d, "part").where("p_name IS NOT NULL AND p_partkey IS NOT NULL").select(
+        F.concat(F.lit("p"), (F.col("p_partkey") % 9).cast("string"), F.lit("/n"), key, F.lit(".md")).alias("file_path"), F.concat(F.lit("# "), "p_name", F.lit("\r\n"), key).alias("text")
+    )
+
+    def make(s, x):
+        path = scratch_path(s, "named")
+        files.write_markdown(rows, path)
+        return s.read.format("named_files").option("glob", "*.md").load(path)
+
+    return C.kept(spark, d, "named", make).select("file_path", "text")
+
+
+@query(
+    "path_types",
+    f"""SELECT p_partkey, e.type FROM part JOIN (VALUES {", ".join(f"({k}, '{t}')" for k, (_, t) in enumerate(T.PATH_TYPES))}) e(k, type) ON e.k = p_partkey % {len(T.PATH_TYPES)}""",
+)
+def path_types(spark, d):
+    """Every type that a folder's name can tell."""
+    names = ["runbooks", "user-guide", "Tutorials/a", "reference", "api-docs", "architectural", "adr", "rfcs/x", "procedures", "playbook", "troubleshooting", "faq", "changelogs", "release_notes", "howto", "ops", "deployments", "pipelines", "onboarding", "postmortems"]
+    path = F.concat(F.lit("docs/"), F.get(F.array(*map(F.lit, names)), (F.col("p_partkey") % len(names)).cast("int")), F.lit("/p"), F.col("p_partkey").cast("string"), F.lit(".md"))
+    return C.read(spark, d, "part").select("p_partkey", T.type_of_path(path).alias("type"))
+
+
 @query("ref_map", "SELECT lower(r_name) || '.md' AS basename, 'geo:' || r_regionkey AS doc_id FROM region")
 def ref_map(spark, d):
     return C.geo_index(spark, d).refs

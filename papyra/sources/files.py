@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from papyra.operators import code, glossary, markdown
-from papyra.operators.indexing import Index, of_the_last, repeated
+from papyra.operators.indexing import MOST_GONE, Index, of_the_last, repeated
 from papyra.operators.schema import Collection, Config
+from papyra.session import write_table
+from papyra.sources import named
 
 FILES = "file_path string, text string, collection string, modified timestamp"
 
@@ -37,13 +39,15 @@ def scan_all(spark: SparkSession, collections: list[Collection]) -> DataFrame:
     """All collections, markdown before code, in the order given; doc_ord is the load order."""
     ordered = [c for c in collections if c.kind == "md"] + [c for c in collections if c.kind == "code"]
     each = [scan(spark, c).withColumn("kind", F.lit(c.kind)).withColumn("c_ord", F.lit(i)) for i, c in enumerate(ordered)]
-    # a position within the collection by path hash order would need a global sort; ranks per folder keep it distributed
-    rows = reduce(DataFrame.unionByName, each)
-    w = Window.partitionBy("c_ord", "folder").orderBy("file_path")
-    named = rows.withColumn("folder", F.regexp_replace("file_path", "[^/]*$", ""))
-    folders = named.select("c_ord", "folder").distinct().withColumn("f_ord", F.row_number().over(Window.partitionBy("c_ord").orderBy("folder")))
-    placed = named.withColumn("n", F.row_number().over(w)).join(folders, ["c_ord", "folder"])
-    return placed.withColumn("doc_ord", F.col("c_ord").cast("long") * (1 << 52) + F.col("f_ord").cast("long") * (1 << 24) + F.col("n")).drop("c_ord", "folder", "f_ord", "n")
+    # paths alone are ranked (contents aren't read for it), in each folder by itself; the order is joined back to the texts
+    folder = F.regexp_replace("file_path", "[^/]*$", "")
+    paths = reduce(DataFrame.unionByName, [e.select("c_ord", "file_path") for e in each]).withColumn("folder", folder)
+    folders = paths.select("c_ord", "folder").distinct().withColumn("f_ord", F.row_number().over(Window.partitionBy("c_ord").orderBy("folder")))
+    ranked = paths.withColumn("n", F.row_number().over(Window.partitionBy("c_ord", "folder").orderBy("file_path"))).join(folders, ["c_ord", "folder"])
+    place = F.col("c_ord").cast("long") * (1 << 52) + F.col("f_ord").cast("long") * (1 << 24) + F.col("n")
+    places = write_table(ranked.select("c_ord", "file_path", place.alias("doc_ord")), "places")
+    side = F.broadcast(places) if places.count() <= MOST_GONE else places
+    return reduce(DataFrame.unionByName, each).join(side, ["c_ord", "file_path"]).drop("c_ord")
 
 
 def scan_directory(spark: SparkSession, root: str) -> DataFrame:
@@ -75,7 +79,7 @@ def open_index(spark: SparkSession, config: Config) -> Index:
 
 
 def write_markdown(rows: DataFrame, path: str) -> None:
-    """Batch sink (S12): (file_path, text) as text files, one folder a collection where there is one."""
-    by = ["collection"] if "collection" in rows.columns else []
-    w = rows.select(*by, F.col("text").alias("value")).write.mode("append")
-    (w.partitionBy(*by) if by else w).text(path)
+    """Sink (S12): (file_path, text) as files of those names, in a folder a collection where there is that column."""
+    named.register(rows.sparkSession)
+    name = F.concat_ws("/", *[c for c in ("collection", "file_path") if c in rows.columns])
+    rows.select(name.alias("file_path"), "text").write.format("named_files").mode("append").save(path)
