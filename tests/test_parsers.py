@@ -152,3 +152,48 @@ def test_markdown_blocks():
     text = "lost\n# One #\npara one\nstill\n\n```sh\n# not a heading\n```\n* a\n* b\n\nTwo\n===\n> q1\n> q2\n"
     assert block_sections(text) == [(1, "One", "para one still\n[code:sh] # not a heading\n- a\n- b", 2, 11), (1, "Two", "> q1 q2", 12, 16)]
     assert block_sections("no heading") == []
+
+
+def test_members_of_classes_and_interfaces_by_words():
+    text = """export abstract class Box<T> extends Base {
+  #size = 0;
+  static readonly LIMIT: number = 10;
+  cb: () => void;
+  handler = (e: Event) => {
+    return e;
+  };
+  get;
+  declare name?: string;
+  constructor(private readonly inner: T) {
+    super();
+  }
+  get value(): T { return this.inner; }
+  set value(v: T) {
+    if (v) { this.inner = v; }
+  }
+  get(key: string) { return key; }
+  async *items<K>(from: K): AsyncGenerator<K> {
+    yield from;
+  }
+  #hidden() {}
+  protected abstract area(): number;
+  // note(x): y
+  @Input() label: string;
+  static { Box.LIMIT; }
+}
+interface Shape {
+  readonly id: number;
+  name?: string;
+  get(key: string): string;
+  map<U>(f: (x: number) => U): U[];
+  [key: string]: unknown;
+  nested: {
+    inner: number;
+  };
+}
+"""
+    got = [(r[0], r[1]) for r in found("box.ts", text)]
+    assert got == [
+        ("class", "Box"), ("property", "#size"), ("property", "LIMIT"), ("property", "cb"), ("property", "handler"), ("property", "get"), ("property", "name"), ("method", "constructor"), ("method", "value"), ("method", "value"),
+        ("method", "get"), ("method", "items"), ("method", "#hidden"), ("method", "area"), ("interface", "Shape"), ("property", "id"), ("property", "name"), ("method", "get"), ("method", "map"), ("property", "nested"),
+    ]
