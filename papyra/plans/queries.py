@@ -437,6 +437,53 @@ def doc_totals(spark, d):
     return C.md_tables(spark, d)[0].select("doc_id", F.col("heading_count").cast("int").alias("heading_count"), "max_depth")
 
 
+@query(
+    "headless_files",
+    """SELECT 'bare:b:p' || p_partkey AS doc_id, 'bare:b:p' || p_partkey || ':n1' AS node_id, '(document root)' AS title, 0 AS level, p_name || chr(10) || 'no heading of ' || p_partkey AS content, 2 AS line_end
+FROM part WHERE p_name IS NOT NULL""",
+)
+def headless_files(spark, d):
+    """A file without a heading is one root node with the whole text."""
+    key = F.col("p_partkey").cast("string")
+    rows = C.read(spark, d, "part").where("p_name IS NOT NULL").select(
+        F.concat(F.lit("b/p"), key, F.lit(".md")).alias("file_path"), F.concat("p_name", F.lit("\nno heading of "), key).alias("text"), F.lit("bare").alias("collection"),
+        F.lit("2024-01-02 03:04:05").cast("timestamp").alias("modified"), F.col("p_partkey").cast("long").alias("doc_ord"),
+    )
+    return markdown.index_markdown(rows)[1].select("doc_id", "node_id", "title", "level", "content", "line_end")
+
+
+@query("html_titles", "SELECT p_partkey, p_brand || ' ' || p_name AS title FROM part")
+def html_titles(spark, d):
+    """Tags in a heading go, what they hold stays."""
+    marked = F.concat(F.lit("<b class='x'>"), "p_brand", F.lit("</b> "), "p_name", F.lit("<br/> "))
+    return C.read(spark, d, "part").select("p_partkey", T.strip_html(marked).alias("title"))
+
+
+@query("topic_titles", "SELECT p_partkey, array_to_string(list_transform(list_filter(string_split_regex(p_name, '[ _-]+'), lambda w: w <> ''), lambda w: upper(w[1]) || w[2:]), ' ') AS title FROM part WHERE p_name IS NOT NULL")
+def topic_titles(spark, d):
+    joined = F.when(F.col("p_partkey") % 2 == 0, F.replace("p_name", F.lit(" "), F.lit("-"))).otherwise(F.replace("p_name", F.lit(" "), F.lit("__")))
+    return C.read(spark, d, "part").where("p_name IS NOT NULL").select("p_partkey", T.title_of_topic(joined).alias("title"))
+
+
+_EXTENSIONS = ["py", "PYI", "ts", "mts", "cjs", "java", "go", "rs", "kt", "hpp", "rb", "zsh", "md", "txt", "json", ""]
+
+
+@query("code_extensions", f"SELECT p_partkey, p_partkey % {len(_EXTENSIONS)} < 12 AS is_code FROM part")
+def code_extensions(spark, d):
+    ext = F.get(F.array(*map(F.lit, _EXTENSIONS)), (F.col("p_partkey") % len(_EXTENSIONS)).cast("int"))
+    return C.read(spark, d, "part").select("p_partkey", code.is_code_file(F.concat(F.lit("a.b/f"), F.col("p_partkey").cast("string"), F.when(ext != "", F.concat(F.lit("."), ext)).otherwise(""))).alias("is_code"))
+
+
+@query("glossary_term_list", f"WITH {_DEFINED} SELECT DISTINCT lower(a) AS key FROM g UNION SELECT e FROM g")
+def glossary_term_list(spark, d):
+    return glossary.terms(C.defined_index(spark, d).glossary)
+
+
+@query("documents_listing", f"WITH d AS ({_DOC}) SELECT title || chr(10) || '  ' || doc_id || chr(10) || '  ' || lang || ' ' || source AS text FROM d WHERE collection = 'odd'")
+def documents_listing(spark, d):
+    return R.listing(catalog.matching(C.docs_index(spark, d), collection="odd"))
+
+
 @query("slug_title", r"SELECT p_partkey, left(regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 60) AS slug FROM part")
 def slug_title(spark, d):
     return C.read(spark, d, "part").select("p_partkey", T.slug(F.col("p_name")).alias("slug"))
@@ -677,6 +724,25 @@ def resolve_qrels(spark, d):
     return evaluate.resolve_qrels(i, asked.select("qid", F.col("dt").alias("doc_title"), F.col("title").alias("node_title"), F.lit(2).alias("relevance")))
 
 
+@query(
+    "qrel_steps",
+    f"""WITH {S.GEO}, c AS (SELECT 'geo:' || rk AS doc_id, 'geo:' || rk || ':' || nk || ':' || sk AS node_id, lower(content) AS content FROM g0),
+j AS (SELECT node_id || '/' || e.k AS qid, doc_id, e.want FROM g, LATERAL (VALUES ('equal', lower(title)), ('begins', lower(left(title, 4))), ('holds', lower(title[3:6])), ('text', 'supplier ' || lower(title)), ('none', 'zz' || node_id)) e(k, want)),
+s AS (SELECT j.qid, g.node_id, g.ord, CASE WHEN lower(title) = want THEN 1 WHEN starts_with(lower(title), want) THEN 2 WHEN contains(lower(title), want) THEN 3 WHEN contains(c.content, want) THEN 4 WHEN ord = 0 THEN 5 END AS step
+  FROM j JOIN g USING (doc_id) JOIN c USING (node_id))
+SELECT qid, arg_min(node_id, step * 1000000 + ord) AS item FROM s WHERE step IS NOT NULL GROUP BY qid""",
+)
+def qrel_steps(spark, d):
+    """Judgements that resolve by each of the five steps."""
+    i = C.geo_index(spark, d)
+    t = F.lower("title")
+    wants = {"equal": t, "begins": F.lower(F.left("title", F.lit(4))), "holds": F.lower(F.substring("title", 3, 4)), "text": F.concat(F.lit("supplier "), t), "none": F.concat(F.lit("zz"), "node_id")}
+    each = F.array(*(F.struct(F.lit(k).alias("k"), w.alias("want")) for k, w in wants.items()))
+    asked = i.nodes.join(i.documents.select("doc_id", F.col("title").alias("dt")), "doc_id").select("node_id", F.lower("dt").alias("doc_title"), F.explode(each).alias("e"))
+    judged = asked.select(F.concat_ws("/", "node_id", "e.k").alias("qid"), "doc_title", F.col("e.want").alias("node_title"), F.lit(1).alias("relevance"))
+    return evaluate.resolve_qrels(i, judged).select("qid", "item")
+
+
 # -- code --------------------------------------------------------------------
 
 _CODE = r"""
