@@ -141,8 +141,9 @@ def scored(index: Index, terms: DataFrame, filters: Filters | None = None, colle
 def _batch(index: Index, asked: pa.Table, limit: int, filtered: bool, prefix: bool, bonuses: bool) -> tuple[blocks.Batch, DataFrame, list[int]] | None:
     """What tasks need to score these queries (qid, term, n_terms): with it the wanted terms (term, t) and their buckets; None if those are too many."""
     spark = index.spark
-    own = spark.createDataFrame(asked.append_column("idx", pa.array(range(len(asked)), pa.int32())), "qid string, term string, n_terms long, idx int")
-    found = term_matches(index, F.broadcast(own.select(F.lit("").alias("qid"), "term", "idx", "n_terms").dropDuplicates(["term"])), prefix)
+    own = pc.unique(asked.column("term"))
+    own = spark.createDataFrame(pa.table({"qid": pa.array([""] * len(own)), "term": own, "idx": pa.array([0] * len(own), pa.int32()), "n_terms": pa.array([0] * len(own), pa.int64())}), "qid string, term string, idx int, n_terms long")
+    found = term_matches(index, F.broadcast(own), prefix)
     found = found.select("qterm", "term", "df", "penalty", blocks.bucket_of(F.col("term"), index.buckets).alias("bucket")).limit(MOST_TERMS + 1).toArrow()
     if len(found) > MOST_TERMS:
         return None
