@@ -142,6 +142,16 @@ def _totals(stats: DataFrame) -> tuple[int, int]:
 #: Changes between two whole writes of the tables, and ids or terms that a change may broadcast.
 MOST_CHANGES = 8
 MOST_GONE = 500_000
+#: Nodes are numbered anew at the next whole write after so many changes (a number has room for 1,023).
+MOST_SEGMENTS = 900
+
+
+def _numbered_anew(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The same tables with nodes numbered from the first segment on."""
+    nodes = write_table(blocks.numbered(tables["nodes"], 0), "nodes")
+    ids = nodes.select("doc_id", "node_id", "nid")
+    own = {k: tables[k].drop("nid").join(ids, ["doc_id", "node_id"]).select(*tables[k].columns) for k in ("numbered_postings", "numbered_stats")}
+    return {**tables, **own, "nodes": nodes}
 
 
 @dataclass
@@ -258,25 +268,34 @@ class Index:
         side = F.broadcast(gone) if gone.count() <= MOST_GONE else gone
         tables = {n: getattr(self, n).join(side, "doc_id", "left_anti") for n in ("documents", "nodes", "numbered_postings", "numbered_stats")}
         df = [self.postings_in(gone).join(side, "doc_id", "left_semi").groupBy("term").agg((-F.count("*")).alias("d"))]
-        n, total = _totals(self.node_stats.join(side, "doc_id", "left_semi"))
-        n, total = self.n_nodes - n, self.n_tokens - total
-        gone_bits = blocks.bits_of(self.numbered_stats.join(side, "doc_id", "left_semi"), self.slot_bits)
+        old = self.numbered_stats.join(side, "doc_id", "left_semi")
+        gone_bits = blocks.bits_of(old, self.slot_bits)
         gone_bits = gone_bits if self.dead is None else self.dead.unionByName(gone_bits).groupBy("block").agg(F.bitmap_or_agg("bits").alias("bits"))
-        dead, held, segment = write_table(gone_bits, "dead"), self.blocks, self.segment + 1
-        if documents is not None and nodes is not None:
-            documents, nodes = _once(documents, nodes, segment)
-            new = {"documents": documents, "nodes": nodes, "numbered_postings": write_folds(postings_of(node_tokens(nodes, documents, self.folds)), "postings"), "numbered_stats": write_table(stats_of(nodes), "node-stats")}
-            tables = {k: v.unionByName(new[k]) for k, v in tables.items()}
-            held = held.unionByName(blocks.blocks_of(new["numbered_postings"], self.slot_bits, self.buckets))
-            df.append(new["numbered_postings"].groupBy("term").agg(F.count("*").alias("d")))
-            more, tokens = _totals(new["numbered_stats"])
-            n, total = n + more, total + tokens
-        moved = (df[0] if len(df) == 1 else df[0].unionByName(df[1])).groupBy("term").agg(F.sum("d").alias("d")).where("d <> 0")
-        moved = write_table(moved.join(self.vocab, "term", "left").select("term", (F.coalesce("df", F.lit(0)) + F.col("d")).alias("df")), "vocab")
+        held, segment = self.blocks, self.segment + 1
+        with ThreadPoolExecutor(4) as pool:  # jobs that don't wait for each other
+            less, dead, fresh = pool.submit(lambda: _totals(old)), pool.submit(lambda: write_table(gone_bits, "dead")), None
+            if documents is not None and nodes is not None:
+                documents, nodes = _once(documents, nodes, segment)
+                stats = pool.submit(lambda: write_table(stats_of(nodes), "node-stats"))
+                postings = write_folds(postings_of(node_tokens(nodes, documents, self.folds)), "postings")
+                fresh = pool.submit(lambda: blocks.blocks_of(postings, self.slot_bits, self.buckets))
+                new = {"documents": documents, "nodes": nodes, "numbered_postings": postings, "numbered_stats": stats.result()}
+                tables = {k: v.unionByName(new[k]) for k, v in tables.items()}
+                df.append(postings.groupBy("term").agg(F.count("*").alias("d")))
+            moved = (df[0] if len(df) == 1 else df[0].unionByName(df[1])).groupBy("term").agg(F.sum("d").alias("d")).where("d <> 0")
+            moved = write_table(moved.join(self.vocab, "term", "left").select("term", (F.coalesce("df", F.lit(0)) + F.col("d")).alias("df")), "vocab")
+            (n, total), dead = less.result(), dead.result()
+            n, total = self.n_nodes - n, self.n_tokens - total
+            if fresh is not None:
+                held = held.unionByName(fresh.result())
+                more, tokens = _totals(new["numbered_stats"])
+                n, total = n + more, total + tokens
         terms = moved.select("term")
         tables["vocab"] = self.vocab.join(F.broadcast(terms) if terms.count() <= MOST_GONE else terms, "term", "left_anti").unionByName(moved.where("df > 0"))
         changes = self.changes + 1
         if changes > MOST_CHANGES:
+            if segment >= MOST_SEGMENTS:
+                tables, segment = _numbered_anew(tables), 0
             tables, changes = {k: write_folds(v.repartition("fold"), k) if k == "numbered_postings" else write_table(v, k) for k, v in tables.items()}, 0
             held, dead = blocks.blocks_of(tables["numbered_postings"], self.slot_bits, self.buckets), None
         docs = tables["documents"]

@@ -71,6 +71,7 @@ def test_changes_and_whole_writes(spark, index, tmp_path, monkeypatch):
     from papyra.operators import indexing
 
     monkeypatch.setattr(indexing, "MOST_CHANGES", 2)
+    monkeypatch.setattr(indexing, "MOST_SEGMENTS", 3)  # nodes are numbered anew at the whole write
     own, docs, nodes = index, *tables(spark, 30, 2, 70, " fresh tokens")
     steps = [lambda i: i.remove([f"d{k}" for k in range(0, 40, 3)]), lambda i: i.upsert(docs, nodes), lambda i: i.remove(["d71", "d1", "none"]), lambda i: i.upsert(docs, nodes)]
     for k, step in enumerate(steps):
@@ -79,7 +80,7 @@ def test_changes_and_whole_writes(spark, index, tmp_path, monkeypatch):
         assert rows(search.best(own, terms, 7)) == rows(search.top(search.scored(own, terms), 7)), k
         filtered = {"filters": {"kind": ["a", "c"]}}
         assert rows(search.best(own, terms, 7, **filtered)) == rows(search.top(search.scored(own, terms, **filtered), 7)), k
-    assert own.changes == 1 and own.dead is not None
+    assert own.changes == 1 and own.dead is not None and own.segment == 1
     own.save(f"{tmp_path}/i")
     again = Index.load(spark, f"{tmp_path}/i")
     terms = search.query_terms(again, search.query_frame(spark, QUERIES))
