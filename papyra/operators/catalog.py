@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass, replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from papyra.operators.indexing import Index
 from papyra.operators.search import Filters, scope
+from papyra.session import scratch_path, write_table
 
 
 def matching(index: Index, tag: str | None = None, collection: str | None = None, filters: Filters | None = None, query: str | None = None) -> DataFrame:
@@ -23,15 +26,84 @@ def matching(index: Index, tag: str | None = None, collection: str | None = None
     return docs if allowed is None else docs.join(allowed, "doc_id", "left_semi")
 
 
+def by_title() -> tuple:
+    """The order of a catalog: title (ICU collation), then load order."""
+    return F.collate("title", "UNICODE"), F.col("doc_ord")
+
+
 def page(docs: DataFrame, limit: int = 50, offset: int = 0) -> DataFrame:
-    """One page in order of title (ICU collation), then load order."""
-    return docs.orderBy(F.collate("title", "UNICODE"), "doc_ord").offset(offset or 0).limit(limit or 50)
+    """One page in order of title. Each task keeps its first offset + limit rows: for pages near the beginning; see TitlePages for others."""
+    return docs.orderBy(*by_title()).offset(offset or 0).limit(limit or 50)
+
+
+#: Documents of a range of titles, about; ranges at most (their counts go to the driver).
+RANGE_ROWS = 100_000
+MOST_RANGES = 4096
+#: Pages that end before this row are found without the ranges.
+NEAR = 10_000
+
+
+@dataclass
+class TitlePages:
+    """Documents in folders by ranges of titles, with the number of documents of each range and collection.
+
+    A page opens the one or two ranges that the running sum of the counts names, whatever
+    its offset. The load order belongs to the key, so a title that many share is cut too.
+    """
+
+    rows: DataFrame
+    counts: DataFrame
+
+    @classmethod
+    def build(cls, documents: DataFrame, range_rows: int = RANGE_ROWS) -> TitlePages:
+        """One exchange of the documents; each range is sorted as it is written."""
+        ranges = min(MOST_RANGES, 1 + documents.count() // range_rows)
+        dealt = documents.repartitionByRange(ranges, *by_title()).withColumn("part", F.spark_partition_id()).sortWithinPartitions("part", *by_title())
+        path = scratch_path(documents.sparkSession, "title-pages")
+        dealt.write.partitionBy("part").parquet(path)
+        rows = documents.sparkSession.read.schema(dealt.schema).parquet(path)
+        return cls(rows, write_table(rows.groupBy("part", "collection").agg(F.count("*").alias("n")).coalesce(1), "title-counts"))
+
+    def find(self, docs: DataFrame, counts: DataFrame, limit: int, offset: int) -> tuple[DataFrame, int]:
+        """A page of docs (rows that match) and their number; counts: (part, n) of them, in one row a range or more."""
+        before, opened, skip = 0, [], 0
+        for part, n in sorted(tuple(r) for r in counts.groupBy("part").agg(F.sum("n")).collect()):  # MOST_RANGES at most
+            if before < offset + limit and before + n > offset:
+                skip = skip if opened else offset - before
+                opened.append(part)
+            before += n
+        return docs.where(F.col("part").isin(opened)).drop("part").orderBy(*by_title()).offset(max(skip, 0)).limit(limit), before
+
+
+def title_pages(index: Index) -> TitlePages:
+    """The ranges of an index, made once, when a far page is first asked for."""
+    if "pages" not in index._bits:
+        index._bits["pages"] = TitlePages.build(index.documents)
+    return index._bits["pages"]
+
+
+def far_page(index: Index, limit: int = 50, offset: int = 0, pages: TitlePages | None = None, **which) -> tuple[DataFrame, int]:
+    """As page() of matching(), with the number of all that match, at any offset.
+
+    Without a filter, or with a collection alone, the counts are there already; else those
+    that match are counted by range in one scan, which sorts and moves nothing.
+    """
+    pages = pages or title_pages(index)
+    docs = matching(replace(index, documents=pages.rows), **which)
+    if any(v for k, v in which.items() if k != "collection"):
+        counts = docs.groupBy("part").agg(F.count("*").alias("n"))
+    else:
+        counts = pages.counts if which.get("collection") is None else pages.counts.where(F.col("collection") == which["collection"])
+    return pages.find(docs, counts, limit, offset)
 
 
 def list_documents(index: Index, limit: int = 30, offset: int = 0, **which) -> tuple[DataFrame, int]:
     """A page of 1 to 100 documents and the number of all that match."""
+    limit, offset = min(max(limit, 1), 100), max(offset, 0)
+    if offset + limit > NEAR:
+        return far_page(index, limit, offset, **which)
     docs = matching(index, **which)
-    return page(docs, min(max(limit, 1), 100), max(offset, 0)), docs.count()
+    return page(docs, limit, offset), docs.count()
 
 
 def facet_counts(docs: DataFrame) -> DataFrame:

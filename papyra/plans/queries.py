@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from papyra.functions import text as T
 from papyra.operators import catalog, code, curate, evaluate, glossary, indexing, markdown, search, tree
@@ -244,6 +245,29 @@ def list_page(spark, d):
     return catalog.page(catalog.matching(i, collection="odd"), 25, 50).select("doc_id", "title")
 
 
+_AMID = "SELECT doc_id, title, r - h AS place, n AS total FROM (SELECT doc_id, title, row_number() OVER (ORDER BY title, k) AS r, count(*) OVER () AS n, count(*) OVER () // 2 AS h FROM d) WHERE r > h AND r <= h + 25"
+
+
+def _amid(spark, d, **which) -> DataFrame:
+    """The page of 25 that begins after half of the documents, from ranges of some 50 titles; with their places in it."""
+    index = C.docs_index(spark, d)
+    pages = C.kept(spark, d, "pages", lambda *_: catalog.TitlePages.build(index.documents, 50))
+    half = catalog.far_page(index, 1, 0, pages, **which)[1] // 2
+    rows, total = catalog.far_page(index, 25, half, pages, **which)
+    place = F.row_number().over(Window.orderBy("title", "doc_ord"))  # of the page's rows alone
+    return rows.select("doc_id", "title", place.cast("long").alias("place"), F.lit(total).cast("long").alias("total"))
+
+
+@query("list_page_far", f"WITH d AS (SELECT * FROM ({_DOC}) WHERE collection = 'odd') {_AMID}")
+def list_page_far(spark, d):
+    return _amid(spark, d, collection="odd")
+
+
+@query("list_page_far_filtered", f"WITH d AS (SELECT * FROM ({_DOC}) WHERE lang IN ('fr', 'es')) {_AMID}")
+def list_page_far_filtered(spark, d):
+    return _amid(spark, d, filters={"lang": ["fr", "es"]})
+
+
 _FACETS = "SELECT doc_id, 'lang' AS key, lang AS value FROM d UNION ALL SELECT doc_id, 'source', source FROM d UNION ALL SELECT doc_id, 'tags', lang FROM d UNION ALL SELECT doc_id, 'collection', collection FROM d"
 
 
