@@ -3,6 +3,7 @@
   python -m papyra --docs FOLDER [--code FOLDER] [--glossary FILE] stats
   python -m papyra --docs FOLDER list [QUERY] | tree DOC_ID | search QUERY | symbols QUERY | similar FILE | draft TOPIC FILE
   python -m papyra --index PATH search QUERY        (an index saved with `save PATH`)
+  python -m papyra --code FOLDER --report FOLDER benchmark QUERY ...    (figures of indexing, and each query's results, as benchmark.md)
 """
 
 from __future__ import annotations
@@ -10,11 +11,11 @@ from __future__ import annotations
 import argparse
 import json
 
-from papyra.operators import catalog, curate, render, search, tree
+from papyra.operators import catalog, curate, evaluate, render, search, tree
 from papyra.operators.indexing import Index
 from papyra.operators.schema import Collection, Config
 from papyra.session import local_session
-from papyra.sources.files import open_index
+from papyra.sources.files import open_index, scan_all
 
 
 def main() -> None:
@@ -24,13 +25,21 @@ def main() -> None:
     p.add_argument("--glossary")
     p.add_argument("--index", help="a saved index")
     p.add_argument("--limit", type=int, default=10)
-    p.add_argument("command", choices=["stats", "list", "tree", "search", "symbols", "similar", "draft", "save"])
+    p.add_argument("--report", help="folder for the report of a benchmark")
+    p.add_argument("command", choices=["stats", "list", "tree", "search", "symbols", "similar", "draft", "save", "benchmark"])
     p.add_argument("rest", nargs="*")
     a = p.parse_args()
     spark = local_session()
     spark.sparkContext.setLogLevel("ERROR")
     named = lambda x, d: x.split("=", 1) if "=" in x else (d, x)
     collections = [Collection(*named(x, "docs")) for x in a.docs] + [Collection(*named(x, "code"), kind="code") for x in a.code]
+    if a.command == "benchmark":
+        lines = evaluate.benchmark(scan_all(spark, collections)).lines(", ".join(c.root for c in collections), spark.createDataFrame([(f"{k:04}", q) for k, q in enumerate(a.rest)], "qid string, query string"), a.limit)
+        print("\n".join(r["text"] for r in lines.orderBy("section", "place").collect()))
+        if a.report:
+            evaluate.write_report(lines, a.report, "benchmark.md")
+        spark.stop()
+        return
     index = Index.load(spark, a.index) if a.index else open_index(spark, Config(tuple(collections), glossary_path=a.glossary))
     say = lambda df: print("\n".join(r["text"] for r in df.collect()))  # noqa: E731  results are bounded by the limit
     arg = " ".join(a.rest)

@@ -1,12 +1,20 @@
-"""Retrieval quality: NDCG, reciprocal rank, hits, index statistics."""
+"""Retrieval quality: NDCG, reciprocal rank, hits, index statistics (E01-E05); a report of them."""
 
 from __future__ import annotations
 
+import time
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from papyra.functions import text as T
+from papyra.operators import catalog, search
+from papyra.operators.indexing import Index
+from papyra.session import write_table
+from papyra.sources.files import documents_and_nodes, write_markdown
 
 
 def ndcg(ranked: DataFrame, qrels: DataFrame, k: int = 10) -> DataFrame:
@@ -53,14 +61,100 @@ def resolve_qrels(index, judged: DataFrame) -> DataFrame:
     return best.select("qid", F.col("node_id").alias("item"), "relevance")
 
 
-def index_stats(nodes: DataFrame) -> DataFrame:
-    """Nodes per file, files with imports only, number of nodes of each kind."""
-    per = nodes.groupBy("doc_id").agg(F.count("*").alias("n"), F.min(F.coalesce(F.col("kind") == "import", F.lit(False))).alias("only"))
+def index_stats(nodes: DataFrame, documents: DataFrame | None = None) -> DataFrame:
+    """One row of nodes per file: mean, median (of an even number the upper one), greatest; files that are imports only.
+
+    With documents, those without nodes count too (empty_files).
+    """
+    per = nodes.groupBy("doc_id").agg(F.count("*").alias("n"), F.bool_and(F.coalesce(F.col("title") == "imports", F.lit(False))).alias("only"))
+    if documents is not None:
+        per = documents.select("doc_id").join(per, "doc_id", "left").select("doc_id", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("only", F.lit(False)).alias("only"))
     return per.agg(
-        F.count("*").alias("files"), F.avg("n").alias("avg_nodes"), F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY n)").alias("median_nodes"),
-        F.max("n").alias("max_nodes"), F.count_if("only").alias("import_only_files"),
+        F.count("*").alias("files"), F.avg("n").alias("avg_nodes"), F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY n DESC)").alias("median_nodes"),
+        F.max("n").alias("max_nodes"), F.count_if(F.col("n") == 0).alias("empty_files"), F.count_if(F.col("only") & (F.col("n") == 1)).alias("import_only_files"),
     )
 
 
 def kind_counts(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("kind").agg(F.count("*").alias("n"))
+
+
+def kind_table(documents: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(kind, n, files): nodes by the first word of their title, imports left out, and the files whose facets name that kind, if any."""
+    total = nodes.where("title <> 'imports'").groupBy(F.split_part("title", F.lit(" "), F.lit(1)).alias("kind")).agg(F.count("*").alias("n"))
+    named = documents.select(F.explode(F.try_element_at("facets", F.lit("symbol_kind"))).alias("kind")).groupBy("kind").agg(F.count("*").alias("files"))
+    return total.join(named, "kind", "left").select("kind", "n", "files")
+
+
+def language_table(documents: DataFrame) -> DataFrame:
+    """(language, files)."""
+    return documents.select(F.explode(F.try_element_at("facets", F.lit("language"))).alias("language")).groupBy("language").agg(F.count("*").alias("files"))
+
+
+def sample_files(documents: DataFrame, nodes: DataFrame, top: int = 10) -> DataFrame:
+    """(file_path, n, description): the files of most nodes, ties by load order; 70 characters of the description."""
+    per = nodes.groupBy("doc_id").agg(F.count("*").alias("n"))
+    rows = documents.join(per, "doc_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return rows.orderBy(F.desc("n"), "doc_ord").limit(top).select("file_path", "n", F.left("description", F.lit(70)).alias("description"))
+
+
+@dataclass
+class Benchmark:
+    """What indexing files took and gave (S13); the tables are made when they are asked for."""
+
+    index: Index
+    parse_seconds: float
+    load_seconds: float
+
+    def lines(self, name: str, queries: DataFrame, top: int = 10, limit: int = 8) -> DataFrame:
+        """The report as rows (section, place, text), in that order: figures, symbols, kinds, languages, sample files, results of queries (qid, query)."""
+        i, docs, nodes = self.index, self.index.documents, self.index.nodes
+        cell = lambda c: F.replace(F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit(" "))
+        row = lambda *cs: F.concat(F.lit("| "), F.concat_ws(" | ", *cs), F.lit(" |"))
+
+        def table(section: int, head: str, df: DataFrame, order: list, *cells) -> DataFrame:
+            """A heading, and the rows of a small table below it in order."""
+            n = head.count("|") - 1
+            titles = [(section, k, t) for k, t in enumerate([*head.split("\n"), "|" + "---|" * n])] if n > 0 else [(section, 0, head)]
+            place = (F.row_number().over(Window.orderBy(*order)) + 9).cast("int")
+            return i.spark.createDataFrame(titles, "section int, place int, text string").unionByName(df.select(F.lit(section).alias("section"), place.alias("place"), row(*cells).alias("text")))
+
+        def figures(section: int, head: str, df: DataFrame, own: list[tuple[str, str]]) -> DataFrame:
+            return table(section, head, df.select(F.posexplode(F.array(*[F.struct(F.lit(k).alias("k"), F.expr(v).cast("string").alias("v")) for k, v in own])).alias("p", "x")), ["p"], F.col("x.k"), F.col("x.v"))
+
+        whole = catalog.stats(i).withColumns({"parse": F.lit(self.parse_seconds), "load": F.lit(self.load_seconds)})
+        parts = [
+            i.spark.createDataFrame([(0, 0, f"# Benchmark: {name}")], "section int, place int, text string"),
+            figures(1, "## Indexing\n| Metric | Value |", whole, [
+                ("Files indexed", "document_count"), ("Parse time", "concat(format_number(parse, 2), 's')"), ("Store load time", "concat(format_number(load, 2), 's')"),
+                ("Files/second", "cast(round(document_count / greatest(parse, 0.001)) as bigint)"), ("Total nodes", "total_nodes"), ("Indexed terms", "indexed_terms"), ("Total words", "total_words"),
+            ]),
+            figures(2, "## Symbols\n| Metric | Value |", index_stats(nodes, docs), [
+                ("Avg nodes/file", "format_number(avg_nodes, 1)"), ("Median nodes/file", "median_nodes"), ("Max nodes/file", "max_nodes"),
+                ("Files with 0 symbols", "empty_files"), ("Files with only imports", "import_only_files"),
+            ]),
+            table(3, "### Nodes by kind\n| Kind | Nodes | Files |", kind_table(docs, nodes), [F.desc("n"), "kind"], cell("kind"), F.col("n").cast("string"), F.coalesce(F.col("files").cast("string"), F.lit("—"))),
+            table(4, "### Languages\n| Language | Files |", language_table(docs), [F.desc("files"), "language"], cell("language"), F.col("files").cast("string")),
+            table(5, f"## Sample files (top {top})\n| File | Nodes | Description |", sample_files(docs, nodes, top), [F.desc("n"), "file_path"], F.concat(F.lit("`"), "file_path", F.lit("`")), F.col("n").cast("string"), cell("description")),
+        ]
+        queries = queries.select(F.col("qid").cast("string").alias("qid"), "query")
+        found = search.search_batch(i, queries, limit).join(queries, "qid")
+        head = i.spark.createDataFrame([(6, 0, "## Queries"), (6, 1, "| Query | Score | Symbol | Snippet |"), (6, 2, "|---|---|---|---|")], "section int, place int, text string")
+        ranked = found.withColumn("place", (F.row_number().over(Window.orderBy("qid", "rank")) + 9).cast("int")).withColumn("cut", F.left("snippet", F.lit(80)))
+        parts += [head, ranked.select(F.lit(6).alias("section"), "place", row(cell("query"), F.format_number("score", 1), cell("node_title"), cell("cut")).alias("text"))]
+        return reduce(DataFrame.unionByName, parts)
+
+
+def benchmark(files: DataFrame) -> Benchmark:
+    """Index files (file_path, text, collection, kind, modified, doc_ord) and time parsing, then the building of the index."""
+    t = time.perf_counter()
+    docs, nodes = (write_table(x, "benchmark") for x in documents_and_nodes(files))
+    parsed = time.perf_counter()
+    index = Index.build(docs, nodes)
+    return Benchmark(index, parsed - t, time.perf_counter() - parsed)
+
+
+def write_report(lines: DataFrame, path: str, name: str) -> None:
+    """The report as one markdown file of that name in a folder."""
+    text = lines.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("section", "place", "text"))), lambda x: x["text"]), "\n").alias("text"))  # a report's lines are few
+    write_markdown(text.select(F.lit(name).alias("file_path"), F.concat("text", F.lit("\n")).alias("text")), path)

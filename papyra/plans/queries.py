@@ -876,6 +876,45 @@ def symbol_stats(spark, d):
     return evaluate.index_stats(C.code_index(spark, d).nodes).select("files", "avg_nodes", "max_nodes", F.col("import_only_files").cast("int").alias("import_only_files"))
 
 
+# nodes of a file of each language, by the kinds of _FOUND
+_KINDS = f"""k AS (SELECT p_partkey, e.ext, e.ord, e.kind, e.name, p_partkey % {len(C.MANY)} AS turn FROM part JOIN (VALUES {_FOUND_ROWS}) e(ext, ord, kind, name, exported, line_start, line_end, parent_ord) ON e.ext = ['{"', '".join(C.MANY)}'][p_partkey % {len(C.MANY)} + 1])"""
+
+
+def _many_benchmark(spark, d) -> evaluate.Benchmark:
+    return C.kept(spark, d, "many-benchmark", lambda s, x: evaluate.benchmark(C.many_files(s, x).withColumn("kind", F.lit("code"))))
+
+
+@query("kinds_and_files", f"WITH {_KINDS} SELECT kind, count(*) AS n, count(DISTINCT p_partkey) AS files FROM k WHERE kind <> 'import' GROUP BY kind")
+def kinds_and_files(spark, d):
+    i = _many_benchmark(spark, d).index
+    return evaluate.kind_table(i.documents, i.nodes)
+
+
+@query("files_by_language", "SELECT ['typescript', 'typescript', 'java', 'go', 'rust', 'python', 'ruby', 'cpp'][p_partkey % 8 + 1] AS language, count(*) AS files FROM part GROUP BY 1")
+def files_by_language(spark, d):
+    return evaluate.language_table(_many_benchmark(spark, d).index.documents)
+
+
+@query(
+    "nodes_per_file",
+    f"""WITH {_KINDS}, per AS (SELECT p_partkey, count(*) AS n FROM k GROUP BY 1), o AS (SELECT n, row_number() OVER (ORDER BY n) AS r, count(*) OVER () AS c FROM per)
+SELECT count(*) AS files, round(avg(n), 6) AS avg_nodes, max(CASE WHEN r = c // 2 + 1 THEN n END) AS median_nodes, max(n) AS max_nodes, 0 AS empty_files, 0 AS import_only_files FROM o""",
+)
+def nodes_per_file(spark, d):
+    i = _many_benchmark(spark, d).index
+    return evaluate.index_stats(i.nodes, i.documents).withColumn("avg_nodes", F.round("avg_nodes", 6)).withColumns({c: F.col(c).cast("int") for c in ("empty_files", "import_only_files")})
+
+
+@query(
+    "sample_files",
+    f"""WITH {_KINDS}, per AS (SELECT p_partkey, ext, count(*) AS n FROM k GROUP BY ALL)
+SELECT 'many/p' || p_partkey || '.' || ext AS file_path, n FROM per ORDER BY n DESC, p_partkey LIMIT 10""",
+)
+def sample_files(spark, d):
+    i = _many_benchmark(spark, d).index
+    return evaluate.sample_files(i.documents, i.nodes).select("file_path", "n")
+
+
 @query("kind_counts", f"WITH {_CODE} SELECT kind, count(*) AS n FROM sy GROUP BY kind")
 def kind_counts(spark, d):
     return evaluate.kind_counts(C.code_index(spark, d).nodes)
