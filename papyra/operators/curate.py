@@ -142,9 +142,14 @@ def glossary_hits(index: Index, texts: DataFrame) -> DataFrame:
 
 
 def draft(index: Index, topic: str, raw_content: str, suggested_path: str | None = None, source_url: str | None = None,
-          duplicate_threshold: float = DUPLICATE_THRESHOLD) -> dict:
-    """A draft entry: path, frontmatter scaffold, glossary hits, backlinks, duplicate warning (W02). Small results only are collected."""
+          duplicate_threshold: float = DUPLICATE_THRESHOLD, root: str = "/entries") -> dict:
+    """A draft entry: path (one suggested must do as a path below root), frontmatter scaffold, glossary hits, backlinks, duplicate warning (W02). Small results only are collected."""
     spark = index.spark
+    if suggested_path:
+        try:
+            suggested_path = os.path.relpath(validate_path(root, suggested_path), os.path.abspath(root))
+        except CuratorError as e:
+            raise CuratorError("PATH_INVALID", f"the suggested path won't do: {e}") from e
     matches = find_similar(index, raw_content, duplicate_threshold=duplicate_threshold).persist()
     try:
         one = spark.createDataFrame([(topic, suggested_path or "")], "topic string, path string")
@@ -180,7 +185,7 @@ def validate_path(root: str, path: str) -> str:
         raise CuratorError("PATH_INVALID", "the path is empty")
     if posixpath.isabs(path) or re.match(r"^[A-Za-z]:[\\/]", path):
         raise CuratorError("PATH_INVALID", "the path must be relative")
-    if not path.lower().endswith(".md"):
+    if not path.endswith(".md"):
         raise CuratorError("PATH_INVALID", "the path must end in .md")
     base = os.path.abspath(root)
     full = os.path.normpath(os.path.join(base, path))
@@ -198,7 +203,7 @@ def validate_frontmatter(meta: object) -> None:
         return isinstance(v, (str, int, float, *more)) and not (isinstance(v, str) and re.search(r"[\r\n]", v))
 
     for k, v in meta.items():
-        if not isinstance(k, str) or not re.match(r"^[A-Za-z_][\w-]*$", k):
+        if not isinstance(k, str) or not re.fullmatch(r"[A-Za-z][A-Za-z0-9_-]*", k):
             raise CuratorError("FRONTMATTER_INVALID", f"bad key {k!r}")
         if v is None:
             continue
@@ -209,16 +214,18 @@ def validate_frontmatter(meta: object) -> None:
             raise CuratorError("FRONTMATTER_INVALID", f"bad value at {k}")
 
 
+def _text(v: object) -> str:
+    return str(v).lower() if isinstance(v, bool) else str(int(v)) if isinstance(v, float) and v.is_integer() else str(v)
+
+
 def _value(v: object) -> str:
-    if isinstance(v, bool):
-        return "true" if v else "false"
-    s = str(v)
-    return '"' + s.replace('"', '\\"') + '"' if s.startswith("[") or '"' in s or "'" in s or "#" in s else s
+    s = _text(v)
+    return '"' + s.replace('"', '\\"') + '"' if isinstance(v, str) and re.search("^[\\[\\]]|[\"'#]", s) else s
 
 
 def serialize(meta: dict, content: str) -> str:
-    """Frontmatter lines and the body, right-trimmed, with one line break at the end."""
-    lines = [f"{k}: [{', '.join(_value(x) for x in v)}]" if isinstance(v, list) else f"{k}: {_value(v)}" for k, v in meta.items() if v is not None]
+    """Frontmatter lines and the body, right-trimmed, with one line break at the end (W08). Items of a list are trimmed, never quoted."""
+    lines = [f"{k}: [{', '.join(_text(x).strip() for x in v)}]" if isinstance(v, list) else f"{k}: {_value(v)}" for k, v in meta.items() if v is not None]
     return "\n".join(["---", *lines, "---", "", content.rstrip(), ""])
 
 
@@ -236,7 +243,7 @@ def write_entry(index: Index, root: str, collection: str, path: str, meta: dict,
         raise CuratorError("EXISTS", f"{path} exists")
     validate_frontmatter(meta)
     warning = None
-    if not exists or not overwrite:
+    if not overwrite:
         best = find_similar(index, content, duplicate_threshold=duplicate_threshold).orderBy("rank").select("doc_id", "overlap").first()
         if best and best["overlap"] >= duplicate_threshold:
             warning = {"doc_id": best["doc_id"], "overlap": best["overlap"]}

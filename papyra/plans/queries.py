@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from papyra.functions import text as T
-from papyra.operators import catalog, code, curate, evaluate, glossary, indexing, markdown, search, tree
+from papyra.operators import catalog, code, curate, entries, evaluate, glossary, indexing, markdown, search, tree
 from papyra.operators import render as R
 from papyra.operators.code import udtf
 from papyra.plans import corpora as C
 from papyra.plans import sql as S
 from papyra.session import scratch_path
-from papyra.sources import files
+from papyra.sources import files, named
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -943,3 +943,106 @@ def reference_lines(spark, d):
 def render_results(spark, d):
     i = C.geo_index(spark, d)
     return R.results(i, search.search_batch(i, search.query_frame(spark, [("j", "japan supplier")]), 5))
+
+
+# -- entries -----------------------------------------------------------------
+
+# @ stands for the key of a part, and ~ for its name
+_PATHS = ["a/b/n@.md", "./x//n@.md", "a/../n@.md", "../n@.md", "a/../../n@.md", "/n@.md", "C:/n@.md", "n@.txt", "", "../entries/n@.md", "a/b/../../c/./n@.md", "n@.MD", "a/../../../entries/n@.md"]
+_METAS = [
+    '{"title":"~","order":@,"tags":["~"," n@ ",7]}', '{"title":"say \\"~\\" #@","draft":true,"none":null}', '{"a b":"~"}', '{"note":"~\\n@"}', '{"deep":{"k":"~"}}', '{"flags":[true]}', '["~"]',
+    '{"half":@.5,"whole":@.0,"br":"]~","empty":[]}', '{"title":"~"', '{"_k":"~"}', '{"l":["x\\ny"]}', '{"z":1,"a":"~\'s"}', "",
+]
+_WRITTEN = ["w/n@.md", "w/../w/n@.md", "../n@.md", "v/n@.md"]
+
+
+def _variants(texts: list[str]):
+    which = (F.col("p_partkey") % len(texts)).cast("int")
+    return F.replace(F.replace(F.get(F.array(*map(F.lit, texts)), which), F.lit("@"), F.col("p_partkey").cast("string")), F.lit("~"), F.coalesce("p_name", F.lit("")))
+
+
+def _variants_sql(texts: list[str]) -> str:
+    each = ", ".join("'" + t.replace("'", "''") + "'" for t in texts)
+    return f"replace(replace(([{each}])[p_partkey % {len(texts)} + 1], '@', CAST(p_partkey AS VARCHAR)), '~', coalesce(p_name, ''))"
+
+
+def _paths_sql(path: str) -> str:
+    """Codes and full paths of a table e, by walking the steps of a path from the root's name on."""
+    return rf"""w AS (SELECT *, list_reduce(list_concat(['/entries'], list_filter(string_split({path}, '/'), lambda s: s NOT IN ('', '.'))), lambda acc, s: CASE WHEN s = '..' THEN regexp_replace(acc, '/[^/]*$', '') ELSE acc || '/' || s END) AS full_path FROM e),
+c AS (SELECT *, CASE WHEN NOT regexp_matches({path}, '\.md$') OR regexp_matches({path}, '^(/|[A-Za-z]:)') THEN 'PATH_INVALID' WHEN NOT starts_with(full_path, '/entries/') THEN 'PATH_ESCAPE' END AS code FROM w)"""
+
+
+_META_SQL = r"""v AS (SELECT *, coalesce(json_type(CASE WHEN json_valid(meta) THEN meta ELSE '[]' END) = 'OBJECT', false) AS ob FROM e),
+k AS (SELECT *, CASE WHEN ob THEN list_transform(json_keys(meta), lambda k: {'k': k, 't': json_type(json_extract(meta, '$."' || k || '"')), 'j': json_extract(meta, '$."' || k || '"'), 's': json_extract_string(meta, '$."' || k || '"')}) END AS ks
+  FROM (SELECT * REPLACE (CASE WHEN ob THEN meta ELSE '{}' END AS meta) FROM v)),
+m AS (SELECT *, NOT ob OR len(list_filter(ks, lambda x: NOT regexp_full_match(x.k, '[A-Za-z][A-Za-z0-9_-]*') OR x.t = 'OBJECT' OR (x.t = 'VARCHAR' AND contains(x.s, chr(10)))
+  OR (x.t = 'ARRAY' AND len(list_filter(json_extract(x.j, '$[*]'), lambda y: json_type(y) NOT IN ('VARCHAR', 'UBIGINT', 'BIGINT', 'DOUBLE') OR contains(y ->> '$', chr(10)))) > 0))) > 0 AS bad FROM k),
+x AS (SELECT *, '---' || chr(10) || array_to_string(list_transform(list_filter(ks, lambda x: x.t <> 'NULL'), lambda x: x.k || ': ' || CASE
+  WHEN x.t = 'ARRAY' THEN '[' || array_to_string(list_transform(json_extract(x.j, '$[*]'), lambda y: trim(y ->> '$')), ', ') || ']'
+  WHEN x.t = 'VARCHAR' AND (left(x.s, 1) IN ('[', ']') OR contains(x.s, '"') OR contains(x.s, '''') OR contains(x.s, '#')) THEN '"' || replace(x.s, '"', '\"') || '"'
+  WHEN x.t = 'DOUBLE' THEN regexp_replace(x.s, '\.0$', '') ELSE x.s END || chr(10)), '') || '---' || chr(10) || chr(10) || 'Body ' || p_partkey || chr(10) AS text FROM m)"""
+
+
+@query("entry_paths", f"WITH e AS (SELECT p_partkey, {_variants_sql(_PATHS)} AS path FROM part), {_paths_sql('path')} SELECT p_partkey, code, CASE WHEN code IS NULL THEN substr(full_path, 10) END AS path FROM c")
+def entry_paths(spark, d):
+    path = _variants(_PATHS)
+    return C.read(spark, d, "part").select("p_partkey", entries.path_code(path).alias("code"), F.when(entries.path_code(path).isNull(), entries.clean_path(path)).alias("path"))
+
+
+@query("entry_texts", f"WITH e AS (SELECT p_partkey, {_variants_sql(_METAS)} AS meta FROM part), {_META_SQL} SELECT p_partkey, CASE WHEN bad THEN 'FRONTMATTER_INVALID' END AS code, CASE WHEN NOT bad THEN text END AS text FROM x")
+def entry_texts(spark, d):
+    body = F.concat(F.lit("Body "), F.col("p_partkey").cast("string"), F.lit(" \n\n"))
+    rows = C.read(spark, d, "part").select("p_partkey", _variants(_METAS).alias("meta"), body.alias("body"))
+    rows = rows.select("p_partkey", entries.meta_code(F.col("meta")).alias("code"), entries.serialized(F.col("meta"), F.col("body")).alias("text"))
+    return rows.withColumn("text", F.when(F.col("code").isNull(), F.col("text")))
+
+
+_DRAWN = "left(qid, 1) >= '3'"
+
+
+@query(
+    "draft_entries",
+    f"""{_SIMILAR}, t5 AS (SELECT * FROM s WHERE rk <= 5), v AS (SELECT qid, coalesce(lang, 'none') AS tag, count(*) AS n, min(rk) AS seen FROM t5 JOIN documents ON t5.doc_id = 'docs:' || documents.doc_id GROUP BY ALL),
+vt AS (SELECT qid, string_agg(tag, ',' ORDER BY n DESC, seen) AS tags FROM v GROUP BY qid), l AS (SELECT qid, string_agg(doc_id, ',' ORDER BY rk) AS links FROM (SELECT qid, doc_id, min(rk) AS rk FROM t5 GROUP BY ALL) GROUP BY qid)
+SELECT qid, CASE WHEN NOT {_DRAWN} THEN 'PATH_INVALID' END AS code, CASE WHEN {_DRAWN} THEN 'topic-no-' || regexp_replace(lower(qid), '[^a-z0-9]+', '-', 'g') || '.md' END AS path,
+CASE WHEN {_DRAWN} THEN coalesce(tags, '') END AS tags, CASE WHEN {_DRAWN} THEN coalesce(links, '') END AS links, CASE WHEN {_DRAWN} THEN a.doc_id END AS like_doc, CASE WHEN {_DRAWN} THEN round(a.overlap, 6) END AS overlap
+FROM (SELECT CAST(item_id AS VARCHAR) AS qid FROM benchmark) LEFT JOIN vt USING (qid) LEFT JOIN l USING (qid) LEFT JOIN (SELECT * FROM s WHERE rk = 1 AND overlap >= 0.35) a USING (qid)""",
+)
+def draft_entries(spark, d):
+    qid = F.col("item_id").cast("string")
+    topics = C.read(spark, d, "benchmark").select(
+        qid.alias("qid"), F.concat(F.lit("topic_no-"), qid).alias("topic"), F.col("text").alias("content"), F.when(F.left(qid, F.lit(1)) < "3", F.lit("../out.md")).alias("suggested_path"), F.lit(None).cast("string").alias("source_url")
+    )
+    made = entries.draft_batch(C.docs_index(spark, d), topics)
+    return made.select(
+        "qid", "code", F.col("suggested_path").alias("path"), F.array_join("tags", ",").alias("tags"), F.array_join(F.transform("backlinks", lambda x: x["doc_id"]), ",").alias("links"),
+        F.col("duplicate_warning.doc_id").alias("like_doc"), F.round("duplicate_warning.overlap", 6).alias("overlap"),
+    )
+
+
+def _entries(spark, d) -> DataFrame:
+    """An entry a part; two neighbours have one path, at times."""
+    n = F.floor(F.col("p_partkey") / 2)
+    path = F.replace(F.get(F.array(*map(F.lit, _WRITTEN)), (n % len(_WRITTEN)).cast("int")), F.lit("@"), F.floor(F.col("p_partkey") / 4).cast("string"))
+    text = F.concat(F.lit("# Written "), F.col("p_partkey").cast("string"), F.lit("\nunheardof\n\n"))
+    return C.read(spark, d, "part").select(F.lpad(F.col("p_partkey").cast("string"), 12, "0").alias("qid"), path.alias("path"), _variants(_METAS).alias("meta"), text.alias("content"))
+
+
+@query(
+    "write_entries",
+    f"""WITH e AS (SELECT *, replace((['{"', '".join(_WRITTEN)}'])[(p_partkey // 2) % {len(_WRITTEN)} + 1], '@', CAST(p_partkey // 4 AS VARCHAR)) AS asked, {_variants_sql(_METAS)} AS meta FROM part), {_paths_sql('asked')},
+e2 AS (SELECT p_partkey, code, substr(full_path, 10) AS path, meta FROM c), {_META_SQL.replace('FROM e)', 'FROM e2)')},
+f AS (SELECT p_partkey, path, text, coalesce(code, CASE WHEN bad THEN 'FRONTMATTER_INVALID' END) AS code FROM x), g AS (SELECT *, CASE WHEN code IS NULL THEN row_number() OVER (PARTITION BY path, code IS NULL ORDER BY p_partkey) END AS nth FROM f)
+SELECT lpad(CAST(p_partkey AS VARCHAR), 12, '0') AS qid, coalesce(code, CASE WHEN nth > 1 THEN 'EXISTS' END) AS code, CASE WHEN nth = 1 THEN 'new:' || replace(path[:-4], '/', ':') END AS doc_id,
+CASE WHEN nth = 1 THEN replace(text, 'Body ' || p_partkey, '# Written ' || p_partkey || chr(10) || 'unheardof') END AS text, CASE WHEN nth = 1 THEN 1 ELSE 0 END AS found FROM g""",
+)
+def write_entries(spark, d):
+    """Entries written to a new folder: the report, the files as they are read again, and whether a search of the new index finds them."""
+    root = scratch_path(spark, "written") + "/entries"
+    said, index = entries.write_batch(C.defined_index(spark, d), _entries(spark, d), root, "new", allow_duplicate=True, enabled=True)
+    named.register(spark)
+    there = spark.read.format("named_files").load(root).select(F.col("file_path").alias("path"), "text")
+    asked = spark.createDataFrame([("q", "unheardof")], "qid string, query string")
+    hit = search.search_batch(index, asked, index.n_nodes, collection="new", snippets=False).select("doc_id").distinct().withColumn("found", F.lit(1))
+    own = said.select("qid", "code", "doc_id", F.when(F.col("code").isNull(), F.col("path")).alias("path"))
+    return own.join(there, "path", "left").join(hit, "doc_id", "left").select("qid", "code", "doc_id", "text", F.coalesce("found", F.lit(0)).alias("found"))
