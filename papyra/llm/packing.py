@@ -38,6 +38,8 @@ ITEMS = 50_000
 #: Free ids up to which a bin counts as nearly full, by round; beyond the list the last holds.
 SLACK = (4, 16, 64)
 FAN_IN = 8
+#: Bytes of texts that a task encodes and cuts at once; ids, places and copies of them take some twenty times that.
+TEXTS = 2 << 20
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 MEMBER = pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("offset", pa.int64())])
@@ -51,7 +53,7 @@ def _cutter(vocabulary: str, end: int, size: int):
         enc = encoder(vocabulary)
         for b in batches:
             keys = b.column("doc_id")
-            for i, got, n in enc.groups(b.column("text")):
+            for i, got, n in enc.groups(b.column("text"), TEXTS):
                 ends = np.cumsum(n)
                 whole = np.insert(got, ends, end).astype("<u4")
                 n = n + 1

@@ -127,3 +127,18 @@ def test_tree_of_rounds_packs_close_to_the_bound(spark):
 def test_best_fit_takes_the_fullest_bin_that_holds():
     assert packing.best_fit(np.array([6, 5, 4, 3, 2]), 10) == [[0, 2], [1, 3, 4]]
     assert packing.best_fit(np.zeros(0, np.int64), 10) == []
+
+
+def test_the_tokenizer_is_given_few_pieces_at_once(monkeypatch):
+    """Of many new words it returns objects of a kilobyte each; the ids stay those of one call."""
+    words = [f"w{k:05d}x" for k in range(tokens.PLAIN + 100)]
+    enc, calls = tokens.Encoder(public_tokenizers.path("byte_bpe_50k.json")), []
+
+    class Spy:
+        def encode_batch_fast(self, texts, **how):
+            calls.append(len(texts))
+            return real.encode_batch_fast(texts, **how)
+
+    real, enc.tok = enc.tok, Spy()
+    got = enc._plain(words)
+    assert max(calls) <= tokens.PLAIN and got == [e.ids for e in real.encode_batch_fast(words, add_special_tokens=False)]
