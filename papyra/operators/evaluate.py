@@ -12,7 +12,7 @@ from pyspark.sql import Window
 
 from papyra.functions import text as T
 from papyra.operators import catalog, search
-from papyra.operators.indexing import Index
+from papyra.operators.indexing import MOST_GONE, Index
 from papyra.session import write_table
 from papyra.sources.files import documents_and_nodes, write_markdown
 
@@ -48,17 +48,41 @@ def resolve_qrels(index, judged: DataFrame) -> DataFrame:
     counts: equal title, title begins with it, title contains it, content contains it,
     first node. Case doesn't matter. Fragments meet the titles that hold their first
     three characters by an equality join, and are compared then.
+
+    No judgement is compared with every node of its document: the runs of a title or a
+    content that are as long as some fragment asked meet the fragments by an equality
+    join. Contents are read for the fragments alone that no title of the document holds.
     """
     low = lambda c: F.lower(F.col(c))
     docs = index.documents.select(F.col("doc_id").alias("d"), F.lower("title").alias("dt"))
     held = docs.withColumn("g", F.explode(T.grams(F.col("dt"))))
-    hit = judged.withColumn("g", F.left(low("doc_title"), F.lit(3))).join(held, "g").where(F.contains(F.col("dt"), low("doc_title"))).drop("g")
-    rows = hit.join(index.nodes.select("doc_id", "node_id", "ord", "title", "content"), F.col("doc_id") == F.col("d"))
-    t, want = low("title"), low("node_title")
-    step = F.when(t == want, 1).when(F.startswith(t, want), 2).when(F.contains(t, want), 3).when(F.contains(low("content"), want), 4).when(F.col("ord") == 0, 5)
-    w = Window.partitionBy("qid", "doc_title", "node_title", "d").orderBy("step", "ord")
-    best = rows.withColumn("step", step).where("step IS NOT NULL").withColumn("n", F.row_number().over(w)).where("n = 1")
-    return best.select("qid", F.col("node_id").alias("item"), "relevance")
+    hit = judged.withColumn("g", F.left(low("doc_title"), F.lit(3))).join(held, "g").where(F.contains(F.col("dt"), low("doc_title")))
+    hit = write_table(hit.dropDuplicates(["qid", "doc_title", "node_title", "d"]).select("qid", "relevance", "d", low("node_title").alias("want")), "judged")
+    nodes = index.nodes.select(F.col("doc_id").alias("d"), "node_id", "ord", "title", "content")
+    asked = write_table(hit.select("d", "want").where("want IS NOT NULL").distinct(), "asked")
+    titled = write_table(_least_holding(nodes.withColumn("t", low("title")), asked, 1, 2, 3), "titled")
+    rest = write_table(asked.join(titled, ["d", "want"], "left_anti"), "untitled")
+    found = titled.unionByName(_least_holding(nodes.withColumn("t", low("content")), rest, 4, 4, 4))
+    first = nodes.where("ord = 0").groupBy("d").agg(F.min("node_id").alias("first"))
+    best = hit.join(found, ["d", "want"], "left").join(first, "d", "left")
+    return best.select("qid", F.coalesce("n.node_id", "first").alias("item"), "relevance").where("item IS NOT NULL")
+
+
+def _least_holding(texts: DataFrame, asked: DataFrame, equal: int, begins: int, holds: int) -> DataFrame:
+    """(d, want, n: step, ord, node_id): of each asked (d, want) the first node in order of step whose text t holds it, if any.
+
+    The runs of t of each length that is asked for are dealt where they lie if the asked are
+    counted few, else by (d, want); their number is that of t's characters times the lengths.
+    """
+    lens = sorted(r[0] for r in asked.select(F.length("want")).distinct().collect())  # lengths of titles
+    if not lens:
+        return asked.select("d", "want", F.struct(F.lit(holds).alias("step"), F.lit(0).alias("ord"), F.lit("").alias("node_id")).alias("n")).limit(0)
+    size = F.length("t")
+    each = texts.select("d", "node_id", "ord", "t", F.explode(F.array(*map(F.lit, lens))).alias("l")).where(F.col("l") <= size)
+    runs = each.select("d", "node_id", "ord", (F.col("l") == size).alias("whole"), F.posexplode(F.transform(F.sequence(F.lit(1), size - F.col("l") + 1), lambda i: F.substring("t", i, F.col("l")))).alias("p", "want"))
+    side = F.broadcast(asked) if asked.count() <= MOST_GONE else asked
+    step = F.when((F.col("p") == 0) & F.col("whole"), equal).when(F.col("p") == 0, begins).otherwise(holds)
+    return runs.join(side, ["d", "want"], "left_semi").groupBy("d", "want").agg(F.min(F.struct(step.alias("step"), "ord", "node_id")).alias("n"))
 
 
 def index_stats(nodes: DataFrame, documents: DataFrame | None = None) -> DataFrame:
