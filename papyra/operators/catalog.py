@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -89,7 +89,7 @@ def far_page(index: Index, limit: int = 50, offset: int = 0, pages: TitlePages |
     that match are counted by range in one scan, which sorts and moves nothing.
     """
     pages = pages or title_pages(index)
-    docs = matching(replace(index, documents=pages.rows), **which)
+    docs = matching(index.but(documents=pages.rows), **which)
     if any(v for k, v in which.items() if k != "collection"):
         counts = docs.groupBy("part").agg(F.count("*").alias("n"))
     else:

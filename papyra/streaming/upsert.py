@@ -25,7 +25,7 @@ class LiveIndex:
     """
 
     def __init__(self, index: Index):
-        self.index = index
+        self.index = index.make()  # so that no batch makes, and later drops, a table that outlives it
         self.batches = 0
         self._last: int | None = None  # the greatest place in the load order, found once
         self._now: list[str] = []

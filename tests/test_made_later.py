@@ -1,14 +1,33 @@
-"""Judgements meet nodes by their text."""
+"""Tables of an index are made when they are asked for; judgements meet nodes by their text."""
 
 from pyspark.sql import functions as F
 
-from papyra.operators import evaluate
+from papyra.operators import catalog, evaluate
+from papyra.operators.indexing import Index
 from papyra.plans import corpora
 
 SF = "/root/testdata/sf0.001"
 DEAR = {"numbered_postings", "blocks"}
 
 
+def test_terms_and_catalogs_need_no_postings(spark):
+    index = Index.build(*corpora.conv_tables(spark, SF), auto_glossary=False)
+    assert not index.made() & {*DEAR, "vocab", "facets", "refs", "numbered_stats"}
+    assert catalog.stats(index).first()["total_nodes"] == index.nodes.count()
+    assert catalog.matching(index.with_weights(conv=2.0), filters={"collection": ["conv"]}).count() == index.documents.count()
+    assert not index.made() & DEAR
+    early = sorted(map(tuple, index.vocab.collect()))
+    counted = index.numbered_postings.groupBy("term").agg(F.count("*").alias("df"))
+    assert index.made() & DEAR == {"numbered_postings"} and early == sorted(map(tuple, counted.collect()))
+    assert index.make().made() >= {*DEAR, "vocab", "facets", "refs", "numbered_stats", "n_nodes"}
+
+
+def test_a_copy_shares_what_is_made_later(spark):
+    index = Index.build(*corpora.conv_tables(spark, SF), auto_glossary=False)
+    other = index.with_ranking(k1=1.5)
+    assert other.facets is index.facets and other.ranking.k1 == 1.5 != index.ranking.k1
+
+
 def test_no_judgement_is_compared_with_all_nodes_of_its_document(spark):
     index = corpora.geo_index(spark, SF)
     nodes = [r.asDict() for r in index.nodes.join(index.documents.select("doc_id", F.col("title").alias("dt")), "doc_id").select("doc_id", "dt", "node_id", "ord", "title", "content").collect()]
