@@ -10,6 +10,7 @@ from papyra.functions import text as T
 from papyra.operators.code import generic, go, java, python, rust, typescript
 from papyra.operators.code.scan import Source
 from papyra.operators.schema import DOCUMENTS
+from papyra.session import write_table
 
 #: File extensions and the languages they stand for.
 LANGUAGES = {
@@ -80,8 +81,8 @@ def level_of(kind: Column, has_parent: Column) -> Column:
 
 
 def nodes_of(files: DataFrame) -> DataFrame:
-    """Nodes of files; one without symbols is a single node with the file's name."""
-    found = parse_symbols(files)
+    """Nodes of files; one without symbols is a single node with the file's name (C02, C03). Files are parsed once: what is found is written."""
+    found = write_table(parse_symbols(files), "symbols")
     title = F.when(F.col("kind") == "import", F.col("name")).otherwise(F.concat_ws(" ", "kind", "name"))
     rows = found.select(
         "doc_id", "doc_ord", "ord", F.concat("doc_id", F.lit(":n"), F.col("ord") + 1).alias("node_id"), title.alias("title"),

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from papyra.operators import catalog, evaluate
+from papyra.operators import catalog, code, evaluate
 from papyra.operators.indexing import Index
 from papyra.plans import corpora
 
@@ -47,3 +47,9 @@ def test_no_judgement_is_compared_with_all_nodes_of_its_document(spark):
     found = evaluate.resolve_qrels(index, spark.createDataFrame(asked, "qid string, doc_title string, node_title string, relevance int"))
     assert sorted((r["qid"], r["item"]) for r in found.collect()) == sorted(want)
     assert "Window" not in found._jdf.queryExecution().optimizedPlan().toString()  # which ranked a row for each judgement and node
+
+
+def test_source_files_are_parsed_once(spark):
+    documents, nodes = code.index_code(corpora.many_files(spark, SF))
+    assert all("MapInArrow" not in t._jdf.queryExecution().optimizedPlan().toString() for t in (documents, nodes))
+    assert nodes.select("doc_id").distinct().count() == documents.count() == corpora.read(spark, SF, "part").count()
