@@ -31,6 +31,6 @@ class MarkdownSections:
 
 
 def register(spark: SparkSession) -> None:
-    """Make code_symbols and markdown_sections known to a session's SQL; both are called with LATERAL, and exchange Arrow batches."""
-    spark.udtf.register("code_symbols", F.udtf(CodeSymbols, returnType=SYMBOLS, useArrow=True))
-    spark.udtf.register("markdown_sections", F.udtf(MarkdownSections, returnType=SECTIONS, useArrow=True))
+    """Make code_symbols and markdown_sections known to a session's SQL; both are called with LATERAL. Rows are exchanged plain: of each call's few rows Arrow makes a batch, which takes longer than the parsers."""
+    spark.udtf.register("code_symbols", F.udtf(CodeSymbols, returnType=SYMBOLS, useArrow=False))
+    spark.udtf.register("markdown_sections", F.udtf(MarkdownSections, returnType=SECTIONS, useArrow=False))
