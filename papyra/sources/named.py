@@ -6,11 +6,11 @@
 
 Paths may name any file system that Arrow knows (a local or shared folder, hdfs://, s3://, gs://).
 Reading: the driver lists names and sizes, tasks read the contents; files are dealt to
-partitions of `partition_bytes` at most (128 MB), so one flat folder is many tasks' work; what
-is no UTF-8 is replaced. Equality filters on file_path are pushed to the listing.
+partitions of `partition_bytes` at most (128 MB) and 4,096 files about, so one flat folder is
+many tasks' work, of small files too; what is no UTF-8 is replaced. Equality filters on file_path are pushed to the listing.
 Writing: a task writes its files into a folder of its own below `_attempts`; when all tasks
-have ended well the driver moves them into place, else all attempts are removed. So a failed or
-repeated task leaves nothing. Modes: append replaces files of the same path, overwrite removes
+have ended well the driver moves them into place, by MOVERS threads, else all attempts are removed.
+So a failed or repeated task leaves nothing. Of a name the driver keeps the message of its task and eight bytes more. Modes: append replaces files of the same path, overwrite removes
 all others first. A path that is absolute, empty or leads out of the folder is an error, as is
 a path that two rows have.
 """
@@ -19,10 +19,14 @@ from __future__ import annotations
 
 import fnmatch
 import posixpath
+import time
 import uuid
+from collections import deque
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import SparkSession
@@ -33,6 +37,10 @@ SCHEMA = "file_path string, text string, modified timestamp"
 ATTEMPTS = "_attempts"
 PARTITION_BYTES = 128 << 20
 BATCH_BYTES = 16 << 20
+#: Files of a partition if they are empty: each counts for its share of partition_bytes beside its size.
+FILES = 4096
+#: Threads that move files into place, and files that one moves at a time.
+MOVERS, LOT = 16, 1000
 
 
 def _open(path: str) -> tuple[fs.FileSystem, str]:
@@ -49,6 +57,14 @@ def _checked(path: str | None) -> str:
     return path
 
 
+def _repeated(names: list[list[str]]) -> bool:
+    """Whether two names are equal; names are compared only where their hashes are equal."""
+    seen = np.sort(np.fromiter((hash(n) for own in names for n in own), np.int64))
+    twice = set(seen[1:][seen[1:] == seen[:-1]].tolist())
+    held = [n for own in names for n in own if hash(n) in twice] if twice else []
+    return len(held) > len(set(held))
+
+
 @dataclass
 class Files(InputPartition):
     names: list[str]
@@ -74,6 +90,7 @@ class Reader(DataSourceReader):
         names = sorted((n, s) for n, s in names if fnmatch.fnmatch(posixpath.basename(n), self.glob) and n.split("/")[0] != ATTEMPTS and (self.only is None or n in self.only))
         out, size = [], 0
         for n, s in names:
+            s += self.most // FILES
             if not out or size and size + s > self.most:
                 out.append(Files([]))
                 size = 0
@@ -116,13 +133,22 @@ class Writer(DataSourceArrowWriter):
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         system, root = _open(self.root)
-        folder, names = f"{root}/{ATTEMPTS}/{self.job}/{uuid.uuid4().hex}", []
+        job = f"{root}/{ATTEMPTS}/{self.job}"
+        folder, names, made = f"{job}/{uuid.uuid4().hex}", [], {job}
+
+        def make(path: str) -> None:
+            """A folder below the job's, level by level: none is made anew for a job that was given up."""
+            if path not in made:
+                make(posixpath.dirname(path))
+                system.create_dir(path, recursive=False)
+                made.add(path)
+
         for b in iterator:
+            if system.get_file_info(job).type != fs.FileType.Directory:
+                raise RuntimeError("the write was given up")
             for name, text in zip(b.column("file_path").to_pylist(), b.column("text").to_pylist()):
                 path = f"{folder}/{_checked(name)}"
-                if system.get_file_info(f"{root}/{ATTEMPTS}/{self.job}").type != fs.FileType.Directory:
-                    raise RuntimeError("the write was given up")
-                system.create_dir(posixpath.dirname(path), recursive=True)
+                make(posixpath.dirname(path))
                 with system.open_output_stream(path) as f:
                     f.write((text or "").encode())
                 names.append(name)
@@ -131,18 +157,28 @@ class Writer(DataSourceArrowWriter):
     def commit(self, messages: list[Written | None]) -> None:
         system, root = _open(self.root)
         done = [m for m in messages if m is not None]
-        names = [n for m in done for n in m.names]
-        if len(names) > len(set(names)):
+        if _repeated([m.names for m in done]):
             self.abort(messages)
             raise ValueError("two rows have one path")
         if self.overwrite:
             for f in system.get_file_info(fs.FileSelector(root, allow_not_found=True)):
                 if posixpath.basename(f.path) != ATTEMPTS:
                     (system.delete_dir if f.type == fs.FileType.Directory else system.delete_file)(f.path)
-        for m in done:
-            for n in m.names:
-                system.create_dir(posixpath.dirname(f"{root}/{n}"), recursive=True)
+        for path in sorted({posixpath.dirname(n) for m in done for n in m.names}):
+            system.create_dir(f"{root}/{path}", recursive=True)
+
+        def move(m: Written, first: int) -> None:
+            for n in m.names[first : first + LOT]:
                 system.move(f"{m.folder}/{n}", f"{root}/{n}")
+
+        running = deque()
+        with ThreadPoolExecutor(MOVERS) as pool:
+            for m, first in ((m, k) for m in done for k in range(0, len(m.names), LOT)):
+                running.append(pool.submit(move, m, first))
+                if len(running) > 2 * MOVERS:
+                    running.popleft().result()
+            for r in running:
+                r.result()
         self._clear(system, root)
 
     def abort(self, messages: list[Written | None]) -> None:
@@ -152,8 +188,15 @@ class Writer(DataSourceArrowWriter):
         for path in (f"{root}/{ATTEMPTS}/{self.job}", f"{root}/{ATTEMPTS}"):
             there = system.get_file_info(fs.FileSelector(path, allow_not_found=True))
             if path.endswith(self.job) or not there:
-                if system.get_file_info(path).type == fs.FileType.Directory:
-                    system.delete_dir(path)
+                for again in range(20):  # a task that hasn't been stopped yet may add a file meanwhile
+                    try:
+                        if system.get_file_info(path).type == fs.FileType.Directory:
+                            system.delete_dir(path)
+                        break
+                    except OSError:
+                        if again == 19 and path.endswith(self.job):
+                            raise
+                        time.sleep(0.1)
 
 
 class NamedFiles(DataSource):
