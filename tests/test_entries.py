@@ -106,3 +106,13 @@ def test_writing(spark, index, tmp_path):
     # a folder that isn't there yet, and nothing to write
     said, none = entries.write_batch(i, df.limit(0), f"{tmp_path}/none", "docs", enabled=True)
     assert none is i and said.count() == 0 and not os.path.exists(f"{tmp_path}/none")
+
+
+def test_whole_texts_are_compared(spark, index):
+    late = " ".join(f"filler{k}" for k in range(250)) + " signing keys rotate every ninety days"
+    asked = spark.createDataFrame([("q", "Late", late, None, None)], "qid string, topic string, content string, suggested_path string, source_url string")
+    drafted = entries.draft_batch(index[1], asked).first()
+    assert [x["doc_id"] for x in drafted["backlinks"]] == ["docs:runbooks:rotate"] and drafted["duplicate_warning"] is None
+    row = search.similar_batch(index[1], asked.select("qid", "content")).first()
+    assert row["overlap"] == pytest.approx(row["n_matched"] / 256) and row["n_matched"] == 6
+    assert search.similar_batch(index[1], asked.select("qid", "content"), most_tokens=200).count() == 0
